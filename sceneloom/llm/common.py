@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +89,7 @@ _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
+_BYTE_SECOND = _BYTE[np.random.default_rng(8).permutation(256)] ^ np.uint64(0x5555555555555554)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -113,11 +114,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they lie."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they lie. second: another, independent one."""
     power, inverse = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * power[: len(data)], out=total[1:])
+    np.cumsum((_BYTE_SECOND if second else _BYTE_LOWER if lower else _BYTE)[data] * power[: len(data)], out=total[1:])
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
@@ -169,10 +170,6 @@ def list_array(off: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 # Connected components ---------------------------------------------------------------------------
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sharding
+from . import line_dedup, mixing, quality, sharding, token_files
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op5_token_files": token_files.op5_token_files,
     "op7_mixing": mixing.op7_mixing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
