@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, sharding, token_files
+from . import language_id, licenses, line_dedup, mixing, quality, sharding, token_files
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_id": language_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 SQL = {"op7_mixing": mixing.OP7_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
