@@ -49,8 +49,9 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> Dat
     filled = F.coalesce(F.sum(epochs * F.col("source_size")).over(before), F.lit(0))
     weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
     per = per.withColumn("level", (budget - filled) / weight)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
-    per = per.withColumn("level", F.coalesce(level, F.lit(float("inf"))))
+    per = per.withColumn("number", F.row_number().over(order))
+    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("number", "level"))).over(everything)
+    per = per.withColumn("level", F.coalesce(first["level"], F.lit(float("inf"))))
     full = F.col("level") >= F.col("ratio")
     target = F.when(full, (epochs * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("w"))
     return per.select("source", "source_size", target.alias("target"))
@@ -94,17 +95,33 @@ def document_hash(column: str = "doc_id"):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))), 1, 9), 16, 10).cast("long")
 
 
+def source_thresholds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sizes of every row of docs, one row of budget and threshold per source)."""
+    sizes = written(count_words(docs.select("doc_id", "source", "text")).withColumn("h", document_hash()))
+    return sizes, thresholds(sizes, targets(sizes))
+
+
+def copies():
+    return F.col("full") + (F.col("h") < F.col("threshold")).cast("long")
+
+
+def take(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes them: each row 0, 1 or 2 times, whole, with its own columns (doc_id, source and text among them)."""
+    names = docs.columns
+    state = source_thresholds(docs)[1].select("source", "full", "threshold")
+    rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("source"), document_hash().alias("h"))
+    rows = with_source(rows, state).select("row", F.explode(F.array_repeat(F.lit(0), copies().cast("int"))))
+    return rows.select("row.*").select(*names)
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, h, source_size, target, copies (0 to 2), taken of every row of docs.
 
     Rows with one doc_id share one decision, so repeated rows are taken alike. Null sources are one source,
     the last. Empty and null texts have size 0 and take nothing. An empty table gives an empty table.
     """
-    sizes = written(count_words(docs.select("doc_id", "source", "text")).withColumn("h", document_hash()))
-    state = thresholds(sizes, targets(sizes))
-    out = with_source(sizes, state)
-    copies = F.col("full") + (F.col("h") < F.col("threshold")).cast("long")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("full", "threshold")
+    sizes, state = source_thresholds(docs)
+    return with_source(sizes, state).withColumn("copies", copies()).withColumn("taken", F.col("copies") * F.col("size")).drop("full", "threshold")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -120,8 +137,9 @@ r AS (SELECT *, 2 * source_size / w::DOUBLE AS ratio FROM p),
 l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(2 * source_size) OVER b, 0)::DOUBLE)
                 / ((sum(w) OVER ()) - coalesce(sum(w) OVER b, 0))::DOUBLE AS level
       FROM r WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT source, source_size, CASE WHEN coalesce((SELECT min(level) FROM l WHERE level <= ratio), 'inf'::DOUBLE) >= ratio
-             THEN (2 * source_size)::DOUBLE ELSE (SELECT min(level) FROM l WHERE level <= ratio) * w END AS target FROM l),
+k AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
+g AS (SELECT source, source_size, CASE WHEN coalesce((SELECT level FROM k), 'inf'::DOUBLE) >= ratio
+             THEN (2 * source_size)::DOUBLE ELSE (SELECT level FROM k) * w END AS target FROM l),
 f AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS full_ FROM g),
 c AS (SELECT source, h, sum(size) AS m FROM s GROUP BY ALL),
 u AS (SELECT c.*, sum(m) OVER (PARTITION BY source ORDER BY h) AS upto FROM c),
