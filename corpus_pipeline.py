@@ -1,4 +1,87 @@
-STAGES = []
+"""A training corpus from raw documents: quality rules, near-duplicates, decontamination, mixing, token files.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last
+return the columns of docs. Rows are told apart by doc_id and text, so repeated rows are judged alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sceneloom.llm import decontaminate, mixing, ngram_join, quality, token_files
+from sceneloom.llm.common import documents, drop_written, small_enough, written
+
+#: Near-duplicates: five words and a similarity of 0.8.
+WORDS, SIMILARITY = 5, (4, 5)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id replaced by (doc_id, hash of the text), which operators carry through."""
+    return docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows that rejected (column doc_id: a key as _keyed makes them) names."""
+    keys = written(rejected.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct())
+    keys = F.broadcast(keys) if small_enough(keys) else keys
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest")), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base test and whose posterior probability of being good is at least one half."""
+    return _without(docs, quality.judge(_keyed(docs)).where("not kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the smallest doc_id, and one row of it.
+
+    Of rows with one doc_id the smallest in order of (text, other columns) stays. Rows without a doc_id
+    all stay: no other row can stand for them.
+    """
+    linked = ngram_join.link_documents(docs, WORDS, *SIMILARITY)
+    keep = written(linked.where("doc_id = component_id").select("doc_id").distinct())
+    keep = F.broadcast(keep) if small_enough(keep) else keep
+    rest = [c for c in docs.columns if c != "doc_id"]
+    row = F.struct(*(["text"] + [c for c in rest if c != "text"]))
+    named = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("row")).select("doc_id", *(F.col("row")[c].alias(c) for c in rest))
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a test item."""
+    found = decontaminate.find_contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them: not at all, once or twice."""
+    return mixing.take(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the documents in ascending doc_id order, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_files.write_and_read(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixture),
+    ("token_output", token_output),
+]
+#: No SQL: expectation-maximisation and the tokenizer cannot be written in it.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            out = written(out)
+            if k:
+                drop_written(docs)
+        docs = out
+    return docs

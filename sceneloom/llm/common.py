@@ -92,6 +92,8 @@ _BYTE_LOWER = _BYTE[_LOWER]
 _BYTE_SECOND = _BYTE[np.random.default_rng(8).permutation(256)] ^ np.uint64(0x5555555555555554)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -122,9 +124,9 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch of texts: each word's start, end, text number and hash, in order."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, lower: bool = False, letters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of texts: each word's start, end, text number and hash, in order. letters: words are runs of letters and digits."""
+    solid = ~(NO_LETTER if letters else SPACE)[data]
     before, after = np.empty_like(solid), np.empty_like(solid)
     if len(solid):
         before[1:], after[:-1] = solid[:-1], solid[1:]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, licenses, line_dedup, mixing, quality, sharding, token_files
+from . import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, quality, sharding, token_files
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op3_sharding": sharding.op3_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_batches, documents, mix, small_enough, shared_dir, span_hashes
+from .common import byte_batches, documents, small_enough, shared_dir, span_hashes
 
 FILE_IDS = 1 << 20
 DOCS_PER_RANGE, MOST_RANGES = 2048, 4096
@@ -272,9 +273,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def op5_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    import uuid
+def write_and_read(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """What read_token_files gives for docs, written to a new folder in the shared one."""
+    out = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(docs, out, tokenizer or tokenizer_path())
+    return read_token_files(docs.sparkSession, out)
 
-    out = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_token_files(documents(spark, sf_dir), out, tokenizer or tokenizer_path())
-    return read_token_files(spark, out)
+
+def op5_token_files(spark, sf_dir: str) -> DataFrame:
+    return write_and_read(documents(spark, sf_dir))
