@@ -10,8 +10,7 @@ from sceneloom.functions.scalars import contrast, luminance
 
 def variant_parts(symbols: DataFrame) -> DataFrame:
     """(id, component_key, property, value) of names like "Type=A, Size=1"; parts without "=" are left out."""
-    part = F.explode(F.split("name", ","))
-    out = symbols.select("id", "component_key", F.trim(part).alias("part")).where(F.col("part").contains("="))
+    out = symbols.select("id", "component_key", F.explode(F.split("name", ",")).alias("part")).withColumn("part", F.trim("part")).where(F.col("part").contains("="))
     return out.select("id", "component_key", F.trim(F.split_part("part", F.lit("="), F.lit(1))).alias("property"), F.trim(F.substring_index("part", "=", -1)).alias("value"))
 
 

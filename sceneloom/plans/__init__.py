@@ -1 +1,5 @@
-QUERIES, SQL = {}, {}
+"""Queries over the tables, by name, and their SQL."""
+
+from .catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
