@@ -52,7 +52,8 @@ def drop_written(df: DataFrame) -> None:
 
 def small_enough(df: DataFrame) -> bool:
     """Whether df's measured rows and bytes lie within the broadcast bound."""
-    width = sum((F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if t == "string" else F.lit(16)) for c, t in df.dtypes)
+    length = {"string": F.octet_length, "binary": F.octet_length, "array<binary>": lambda c: F.aggregate(c, F.lit(0), lambda n, b: n + F.octet_length(b) + 24)}
+    width = sum(F.coalesce(length[t](F.col(c)), F.lit(0)) if t in length else F.lit(16) for c, t in df.dtypes)
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, quality, sharding, token_files
+from . import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_files
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_files": token_files.op5_token_files,
+    "op6_suffix_dedup": substring_dedup.op6_suffix_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_language_id": language_id.op8_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
