@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_batches, documents, mix, small_enough, span_hashes, written
+from .common import byte_batches, documents, mix, span_hashes, written
 
-WIDTH, KEY, CELL = 100, 50, 7
+WIDTH, KEY, CELL = 100, 32, 7
 REACH = WIDTH - KEY  # an anchor lies at most so far behind the start of its string
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES, SLICE = 12 << 20, 1 << 20
 _SEGMENT = 1 << 22
 _NONE = -(1 << 63)
 
@@ -52,11 +52,13 @@ def _anchors(data: np.ndarray, off: np.ndarray, base: int):
     at = np.arange(len(data) - KEY + 1)
     h = span_hashes(data, at, at + KEY)
     low = (h & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
-    for step in (1, 2, 4, 8, 16):
-        low = np.minimum(low[:-step], low[step:])
-    low = np.minimum(low[: -(REACH + 1 - 32)], low[REACH + 1 - 32 :])[:n]
+    width = 1
+    while 2 * width <= REACH + 1:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    rest = REACH + 1 - width
+    low = np.minimum(low[:-rest], low[rest:])[:n] if rest else low[:n]
     edges = off[(off > 0) & (off < len(data) + WIDTH)]
-    valid = np.ones(n + 1, np.int32)
     cross = np.zeros(n + 1, np.int32)  # starts whose string crosses an edge
     lo = np.clip(edges - WIDTH + 1, 0, n)
     np.add.at(cross, lo, 1)
@@ -71,29 +73,37 @@ def _anchors(data: np.ndarray, off: np.ndarray, base: int):
     return place[first] + base, h[place[first]], start[first] + base, start[last] + base
 
 
+#: Bytes of an anchor's hash that are sent on: two hashes that agree in them cost a needless look, no more.
+SENT = 6
+
+
 def _count(buckets: int):
     def run(batches):
-        for rows, data, off in byte_batches(batches, "text", 4 << 20):
+        for rows, data, off in byte_batches(batches, "text", SLICE):
             place, key, _, _ = anchors(data, off)
             owner = np.searchsorted(off, place, "right") - 1
-            doc = rows.column(rows.schema.get_field_index("d")).to_numpy(zero_copy_only=False)[owner]
+            ids = rows.column(rows.schema.get_field_index("d")).to_numpy(zero_copy_only=False)
             pos = (place - off[owner]).astype(np.uint32)
+            key >>= np.uint64(64 - 8 * SENT)
             order = np.argsort(key, kind="stable")
-            key, doc, pos, owner = key[order], doc[order], pos[order], owner[order]
+            key, pos, owner = key[order], pos[order], owner[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             count = np.diff(np.append(first, len(key)))
             group = np.repeat(np.arange(len(first)), count)
             nth = np.arange(len(key)) - first[group]
-            local = count[group] > 1
-            send = nth < 2
+            local = count[group] > 1  # answered here; two places still tell the others
             weight = np.where(nth == 0, np.maximum(count[group] - 1, 1), 1).astype(np.uint32)
-            bucket = np.where(send, (key >> np.uint64(32)) % np.uint64(buckets), 0).astype(np.int64)
-            told = owner % buckets
-            sent, said = _split(bucket[send], buckets), _split(told[local], buckets)
-            a = [x[send] for x in (key, doc, pos, weight, local)]
-            b = [x[local] for x in (doc, pos)]
-            full = [k for k in range(buckets) if len(sent[k]) or len(said[k])]
-            blobs = [np.array([len(sent[k]), len(said[k])], np.int64).tobytes() + b"".join(x[sent[k]].tobytes() for x in a) + b"".join(x[said[k]].tobytes() for x in b) for k in full]
+            send, told = np.flatnonzero(nth < 2), np.flatnonzero(local)
+            sent = _split((mix(key[send]) % np.uint64(buckets)).astype(np.int64), buckets)
+            said = _split(owner[told] % buckets, buckets)
+            full, blobs = [], []
+            for k in range(buckets):
+                a, b = send[sent[k]], told[said[k]]
+                if len(a) or len(b):
+                    full.append(k)
+                    doc, at = np.unique(owner[np.concatenate([a, b])], return_inverse=True)
+                    parts = [ids[doc], key[a].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT], pos[a], weight[a], local[a], at.astype(np.uint32), pos[b]]
+                    blobs.append(np.array([len(doc), len(a), len(b)], np.int64).tobytes() + b"".join(x.tobytes() for x in parts))
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "places": pa.array(blobs, pa.binary())})
 
     return run
@@ -105,36 +115,60 @@ def _split(bucket: np.ndarray, n: int) -> list[np.ndarray]:
     return [order[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
 
-def _repeated(hot_above: float):
-    """Of one bucket: places of anchors that more than one place has, by document; hashes of the most frequent ones."""
+def _read(blob: bytes, at: int, *kinds) -> list[np.ndarray]:
+    """Arrays of (type, length) that lie one after the other in blob."""
+    out = []
+    for kind, n in kinds:
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _repeated(groups: int, hot_above: float):
+    """Of one bucket: places (document, position) of anchors that several places have, by group of documents; in group -1 the hashes of the most frequent ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts, told = ([], [], [], [], []), ([], [])
+        cols = ([], [], [], [], [], [], [])
         for blob in table.column("places").to_pylist():
-            n, m = np.frombuffer(blob, np.int64, 2)
-            at = 16
-            for out, kinds, size in ((parts, (np.uint64, np.int64, np.uint32, np.uint32, bool), n), (told, (np.int64, np.uint32), m)):
-                for col, kind in zip(out, kinds):
-                    col.append(np.frombuffer(blob, kind, size, at))
-                    at += col[-1].nbytes
-        key, doc, pos, weight, quiet = map(np.concatenate, parts)
+            t, n, m = np.frombuffer(blob, np.int64, 3).tolist()
+            ids, raw, pos, weight, quiet, at, more = _read(blob, 24, (np.int64, t), (np.uint8, n * SENT), (np.uint32, n), (np.uint32, n), (bool, n), (np.uint32, n + m), (np.uint32, m))
+            key = np.zeros((n, 8), np.uint8)
+            key[:, :SENT] = raw.reshape(-1, SENT)
+            doc = ids[at]
+            for col, x in zip(cols, (key.view("<u8").reshape(-1), doc[:n], pos, weight, quiet, doc[n:], more)):
+                col.append(x)
+        key, doc, pos, weight, quiet, more_doc, more_pos = map(np.concatenate, cols)
         order = np.argsort(key, kind="stable")
         key, doc, pos, weight, quiet = (x[order] for x in (key, doc, pos, weight, quiet))
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(key)))
         reply = np.repeat(count > 1, count) & ~quiet
         hot = key[first][np.add.reduceat(weight.astype(np.int64), first) > hot_above] if len(key) else key
-        doc, pos = np.concatenate([doc[reply], *told[0]]), np.concatenate([pos[reply], *told[1]])
-        order = np.argsort(doc, kind="stable")
-        ids, start = np.unique(doc[order], return_index=True)
-        stop = np.append(start[1:], len(doc))
-        lists = [pos[order[a:b]].tobytes() for a, b in zip(start, stop)]
-        none = len(hot)
-        return pa.table({"d": pa.array([*ids.tolist(), *[None] * none], pa.int64()), "places": pa.array([*lists, *[None] * none], pa.binary()), "hot": pa.array([*[None] * len(ids), *hot.view(np.int64).tolist()], pa.int64())})
+        doc, pos = np.concatenate([doc[reply], more_doc]), np.concatenate([pos[reply], more_pos])
+        full, blobs = [-1], [hot.tobytes()]
+        for g, rows in enumerate(_split((mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64), groups)):
+            if len(rows):
+                full.append(g)
+                blobs.append(np.int64(len(rows)).tobytes() + doc[rows].tobytes() + pos[rows].tobytes())
+        return pa.table({"part": pa.array(full, pa.int32()), "places": pa.array(blobs, pa.binary())})
 
     return run
 
 
+def _by_document(table: pa.Table) -> pa.Table:
+    """Of one group of documents: each document's places."""
+    docs, places = [], []
+    for blob in table.column("places").to_pylist():
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        doc, pos = _read(blob, 8, (np.int64, n), (np.uint32, n))
+        docs.append(doc), places.append(pos)
+    doc, pos = np.concatenate(docs), np.concatenate(places)
+    order = np.argsort(doc, kind="stable")
+    ids, start = np.unique(doc[order], return_index=True)
+    pos = pos[order]
+    return pa.table({"d": pa.array(ids), "places": pa.array([pos[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(pos)))], pa.binary())})
+
+
 def _gather(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of data[start:stop] of each row."""
     size = stop - start
@@ -143,18 +177,21 @@ def _gather(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
 
 
 def _contexts(buckets: int, hot: np.ndarray):
-    """Contexts of the repeated anchors of each document; a row without bytes says that all of its strings repeat."""
+    """Contexts of the repeated anchors of each document, and stretches whose strings all repeat within the batch."""
 
     def run(batches):
-        for rows, data, off in byte_batches(batches, "text", 4 << 20):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for rows, data, off in byte_batches(batches, "text", SLICE):
             names = rows.schema.names
             place, key, first, last = anchors(data, off)
             owner = np.searchsorted(off, place, "right") - 1
             lists = rows.column(names.index("places")).to_pylist()
-            wanted = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.uint32).astype(np.int64) + off[i] for i, x in enumerate(lists) for b in x or ())])
+            wanted = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.uint32).astype(np.int64) + off[i] for i, x in enumerate(lists) if x)])
             keep = np.isin(place, wanted)
             place, key, first, last, owner = place[keep], key[keep], first[keep], last[keep], owner[keep]
-            is_hot = np.isin(key, hot)
+            is_hot = np.isin(key >> np.uint64(64 - 8 * SENT), hot)
             cells = np.where(is_hot, (place - first) // CELL - (place - last) // CELL + 1, 1)
             take = np.repeat(np.arange(len(place)), cells)
             nth = np.arange(len(take)) - np.repeat(np.cumsum(cells) - cells, cells)
@@ -178,15 +215,20 @@ def _contexts(buckets: int, hot: np.ndarray):
             lead = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             same = (d[order] == d[order[lead]]) & (pos[order] == pos[order[lead]])
             rest, head = order[~same], order[same & (new | tie | same)]
-            o, flat = _gather(data, first[head], stop[head])
-            ctx = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(o.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
-            size = np.concatenate([stop[head] - first[head], stop[rest] - first[rest]])
-            both = np.concatenate([head, rest])
-            bucket = np.concatenate([(key[head] >> np.uint64(32)) % np.uint64(buckets), mix((digest[rest] + pos[rest]).astype(np.uint64)) % np.uint64(buckets)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.astype(np.int32)), pa.array(d[both]), pa.array(digest[both]), pa.array(pos[both], pa.int64()), pa.array(size, pa.int32()), pa.array(left[both], pa.int32()), pa.concat_arrays([ctx, pa.nulls(len(rest), pa.binary())])],
-                names=["bucket", "d", "digest", "pos", "size", "left", "context"],
-            )
+            ids, marks = (rows.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("d", "digest"))
+            sent = _split(((key[head] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), buckets)
+            said = _split(owner[rest] % buckets, buckets)
+            full, blobs = [], []
+            for k in range(buckets):
+                x, y = head[sent[k]], rest[said[k]]
+                if len(x) or len(y):
+                    both = np.concatenate([x, y])
+                    doc, at = np.unique(owner[both], return_inverse=True)
+                    flat = _gather(data, first[x], stop[x])[1]
+                    parts = [ids[doc], marks[doc], at.astype(np.uint32), pos[both].astype(np.uint32), (stop - first)[both].astype(np.uint16), left[x].astype(np.uint8), flat]
+                    full.append(k)
+                    blobs.append(press.compress(np.array([len(doc), len(x), len(y), len(flat)], np.int64).tobytes() + b"".join(p.tobytes() for p in parts)))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "contexts": pa.array(blobs, pa.binary())})
 
     return run
 
@@ -218,17 +260,20 @@ def repeated_starts(data: np.ndarray, off: np.ndarray, left: np.ndarray, rank: n
 
 def _covered(table: pa.Table) -> pa.Table:
     """Of one bucket: covered stretches (start, stop) by document."""
-    get = lambda c: table.column(c).to_numpy()
-    known = table.column("context").is_valid().to_numpy()
-    d, digest, pos, size, left = (get(c) for c in ("d", "digest", "pos", "size", "left"))
-    doc, start, stop = [d[~known]], [pos[~known]], [pos[~known] + size[~known]]
-    mark = [digest[~known]]
-    if known.any():
-        ctx = table.column("context").combine_chunks().drop_null().cast(pa.large_binary())
-        off = np.frombuffer(ctx.buffers()[1], np.int64, len(ctx) + 1, ctx.offset * 8)
-        data = np.frombuffer(ctx.buffers()[2], np.uint8)[off[0] : off[-1]]
-        off = off - off[0]
-        d, digest, pos, size, left = (x[known] for x in (d, digest, pos, size, left))
+    import zstandard
+
+    tool, cols = zstandard.ZstdDecompressor(), tuple([] for _ in range(10))
+    for blob in table.column("contexts").to_pylist():
+        blob = tool.decompress(blob)
+        t, n, m, size = np.frombuffer(blob, np.int64, 4).tolist()
+        ids, marks, at, pos, long, left, flat = _read(blob, 32, (np.int64, t), (np.int64, t), (np.uint32, n + m), (np.uint32, n + m), (np.uint16, n + m), (np.uint8, n), (np.uint8, size))
+        d, digest, pos, long = ids[at], marks[at], pos.astype(np.int64), long.astype(np.int64)
+        for col, x in zip(cols, (d[:n], digest[:n], pos[:n], long[:n], left.astype(np.int64), flat, d[n:], digest[n:], pos[n:], pos[n:] + long[n:])):
+            col.append(x)
+    d, digest, pos, size, left, data, *rest = map(np.concatenate, cols)
+    doc, mark, start, stop = ([x] for x in rest)
+    if len(d):
+        off = np.concatenate([[0], np.cumsum(size)])
         one, two = span_hashes(data, off[:-1], off[1:]), span_hashes(data, off[:-1], off[1:], second=True)
         order = np.lexsort((pos, d, left, two, one))
         new = np.ones(len(order), bool)
@@ -311,18 +356,20 @@ def drop_repeated_strings(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = size / ((REACH + 2) / 2)
     buckets = max(64, math.ceil(places * 24 / BUCKET_BYTES))
-    told = keyed.where(F.octet_length("text") >= WIDTH).select("d", "text").mapInArrow(_count(buckets), "bucket int, places binary")
-    told = written(told.groupBy("bucket").applyInArrow(_repeated(max(64.0, places / 10_000)), "d bigint, places binary, hot bigint"))
-    hot = np.array([r[0] for r in told.where("hot is not null").select("hot").distinct().collect()], np.int64).view(np.uint64)  # at most ten thousand or so
-    lists = told.where("hot is null").groupBy("d").agg(F.collect_list("places").alias("places"))
-    lists = F.broadcast(lists) if small_enough(lists) else lists
-    spots = keyed.where(F.octet_length("text") >= WIDTH).select("d", "digest", "text").join(lists, "d")
-    schema = "bucket int, d bigint, digest bigint, pos bigint, size int, left int, context binary"
-    contexts = spots.mapInArrow(_contexts(2 * buckets, np.sort(hot)), schema)
-    runs = written(contexts.groupBy("bucket").applyInArrow(_covered, "d bigint, digest bigint, runs binary"))
-    runs = runs.groupBy("d", "digest").agg(F.collect_list("runs").alias("runs")).select(F.col("d").alias("_d"), F.col("digest").alias("_digest"), "runs")
-    runs = F.broadcast(runs) if small_enough(runs) else runs
-    rows = keyed.join(runs, (F.col("d") == F.col("_d")) & (F.col("digest") == F.col("_digest")), "left").select("doc_id", "text", "runs")
+    found = keyed.where(F.octet_length("text") >= WIDTH).select("d", "text").mapInArrow(_count(buckets), "bucket int, places binary")
+    found = written(found.groupBy("bucket").applyInArrow(_repeated(buckets, max(64.0, places / 10_000)), "part int, places binary"))
+    hot = [np.frombuffer(r[0], np.uint64) for r in found.where("part = -1 and octet_length(places) > 0").select("places").collect()]  # about ten thousand at most
+    hot = np.unique(np.concatenate([np.zeros(0, np.uint64), *hot]))
+    lists = found.where("part >= 0").groupBy("part").applyInArrow(_by_document, "d bigint, places binary").select(F.col("d").alias("_d"), "places")
+    # Both joins read the documents from one shuffle by d: the same rows and columns, so that it is reused.
+    dealt = keyed.repartition("d")
+    spots = dealt.join(lists, F.col("d") == F.col("_d"), "left").select("doc_id", "text", "d", "digest", "places")
+    contexts = spots.mapInArrow(_contexts(2 * buckets, hot), "bucket int, contexts binary")
+    runs = contexts.groupBy("bucket").applyInArrow(_covered, "d bigint, digest bigint, runs binary")
+    runs = runs.groupBy(F.col("d").alias("_d"), F.col("digest").alias("_digest")).agg(F.collect_list("runs").alias("runs"))
+    runs = runs.groupBy("_d").agg(F.collect_list(F.struct("_digest", "runs")).alias("by_text"))
+    mine = F.flatten(F.transform(F.filter("by_text", lambda x: x["_digest"] == F.col("digest")), lambda x: x["runs"]))
+    rows = dealt.join(runs, F.col("d") == F.col("_d"), "left").select("doc_id", "text", "d", "digest", mine.alias("runs"))
     kind = dict(docs.dtypes)["doc_id"]
     return rows.mapInArrow(_cut(), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
