@@ -31,9 +31,40 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+def to_fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals, from its exact binary value; exact ties go away from zero, and zero has no sign."""
+    x = x.cast("double")
+    twice = F.abs(x) * float(2 ** (digits + 1))  # exact: a tie is an odd number of halves of 2 ** -digits
+    tie = (twice == F.floor(twice)) & (F.floor(twice) % 2 == 1)
+    x = F.when(tie, x + F.signum(x) * 2.0 ** -(digits + 8)).otherwise(x) + 0.0
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+
+
+def number_text(x: Column) -> Column:
+    """Shortest decimal form without a trailing ".0" or an exponent, for numbers of at most 18 decimals and below 1e20."""
+    plain = x.cast("double").cast("string").cast("decimal(38,18)").cast("string")
+    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def css_colour(r: Column, g: Column, b: Column, a: Column) -> Column:
-    channel = lambda c: half_up(c * 255).cast("string")
-    return F.concat(F.lit("rgba("), F.concat_ws(",", channel(r), channel(g), channel(b), F.format_number(a, "0.0000")), F.lit(")"))
+    """rgba(...) of channels in 0 .. 1: whole red, green and blue, alpha with four decimals. Absent colours are 0, an absent alpha is 1."""
+    channel = lambda c: half_up(F.coalesce(c, F.lit(0.0)) * 255).cast("string")
+    return F.concat(F.lit("rgba("), F.concat_ws(",", channel(r), channel(g), channel(b), to_fixed(F.coalesce(a, F.lit(1.0)), 4)), F.lit(")"))
+
+
+def affine_text(t: Column) -> Column:
+    """The transform attribute of struct (m00, m01, m02, m10, m11, m12): a shift if the rest is within 1e-6 of identity, else a matrix."""
+    part = {k: F.coalesce(t[k], F.lit(d)) for k, d in (("m00", 1.0), ("m01", 0.0), ("m02", 0.0), ("m10", 0.0), ("m11", 1.0), ("m12", 0.0))}
+    shift = (F.abs(part["m00"] - 1) < 1e-6) & (F.abs(part["m01"]) < 1e-6) & (F.abs(part["m10"]) < 1e-6) & (F.abs(part["m11"] - 1) < 1e-6)
+    fine = lambda k: number_text(to_fixed(part[k], 6))
+    moved = F.concat(F.lit("translate("), number_text(part["m02"]), F.lit(","), number_text(part["m12"]), F.lit(")"))
+    full = F.concat(F.lit("matrix("), F.concat_ws(",", fine("m00"), fine("m10"), fine("m01"), fine("m11"), to_fixed(part["m02"], 2), to_fixed(part["m12"], 2)), F.lit(")"))
+    return F.when(shift, moved).otherwise(full)
+
+
+def line_height(units: Column, value: Column, font_size: Column) -> Column:
+    """Line height in pixels of a value in RAW, PERCENT or PIXELS; 1.2 times the font size for anything else."""
+    return F.when(units == "RAW", value * font_size).when(units == "PERCENT", value / 100 * font_size).when(units == "PIXELS", value).otherwise(font_size * 1.2)
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:

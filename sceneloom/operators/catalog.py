@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.functions.ranking import numbered
 from sceneloom.functions.scalars import INTERNAL_CANVAS, prefix_kind, strip_prefix
 
 from .tree import ancestor_of_type, is_live
@@ -13,14 +14,16 @@ from .tree import ancestor_of_type, is_live
 def pages(nodes: DataFrame) -> DataFrame:
     """Live canvases but the internal one, numbered from 1 in collation order of their positions."""
     shown = nodes.where("type = 'CANVAS'").where(is_live()).where(~F.col("name").eqNullSafe(INTERNAL_CANVAS))
-    number = F.row_number().over(Window.orderBy(F.expr("coalesce(position, '') COLLATE UNICODE"), "ord"))
-    return shown.withColumn("number", number)
+    key = F.expr("coalesce(position, '') COLLATE UNICODE")
+    return numbered(shown.withColumn("_key", key), ["_key", "ord"], "number").drop("_key")
 
 
 def active_slides(nodes: DataFrame, document: str | None = None) -> DataFrame:
     """Live slides with their index from 0, by order in the file."""
-    w = Window.partitionBy(document).orderBy("ord") if document else Window.orderBy("ord")
-    return nodes.where("type = 'SLIDE'").where(is_live()).withColumn("slide_index", F.row_number().over(w) - 1)
+    live = nodes.where("type = 'SLIDE'").where(is_live())
+    if document is None:
+        return numbered(live, ["ord"], "slide_index", start=0)
+    return live.withColumn("slide_index", F.row_number().over(Window.partitionBy(document).orderBy("ord")).cast("long") - 1)
 
 
 def main_rows(nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.functions.ranking import numbered
 from sceneloom.functions.scalars import blank_as_space, position_char
 
 
@@ -38,8 +39,8 @@ def move_to_front(nodes: DataFrame, moved: str, order: str = "ord") -> DataFrame
 
 def allocate_ids(nodes: DataFrame, start: int, session: int) -> DataFrame:
     """(old, new) ids for nodes in order: "session:start + 1", ..."""
-    n = F.row_number().over(Window.orderBy("ord")) + start
-    return nodes.select(F.col("id").alias("old"), F.concat(F.lit(f"{session}:"), n.cast("string")).alias("new"))
+    rows = numbered(nodes.select("id", "ord"), ["ord"], "n", start + 1)
+    return rows.select(F.col("id").alias("old"), F.concat(F.lit(f"{session}:"), F.col("n").cast("string")).alias("new"))
 
 
 def remap(nodes: DataFrame, ids: DataFrame) -> DataFrame:

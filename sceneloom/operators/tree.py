@@ -6,6 +6,8 @@ and documents are walked side by side.  Levels are written out: depth does not p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,61 @@ def walk(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, skip_
     return seen
 
 
+def walk_links(nodes: DataFrame, start: DataFrame, skip_removed: bool = True, enter_symbol: bool = False) -> DataFrame:
+    """(root, id, depth, path) of all nodes below each start node, through instances into their symbols.
+
+    An instance's symbol's children come before its own (with enter_symbol, the symbol itself does). A
+    node counts once per root, at its first place in preorder: ordering by (root, path) is preorder.
+    skip_removed prunes. Per level and root each node keeps its first path only, and a path never meets a
+    node twice, so diamonds do not multiply and cycles end.
+    """
+    kept = (nodes.where(is_live()) if skip_removed else nodes).select("id", "pid", "ord", "type", "symbol_id")
+    own = kept.where("pid is not null").select(F.col("pid").alias("parent"), F.col("id").alias("child"), F.lit(1).cast("long").alias("kind"), F.col("ord").alias("o"))
+    uses = kept.where("type = 'INSTANCE' and symbol_id is not null").select(F.col("id").alias("parent"), "symbol_id")
+    inside = kept.select("id", (F.col("id") if enter_symbol else F.col("pid")).alias("_of"), "ord")
+    linked = uses.join(inside, F.col("symbol_id") == F.col("_of")).select("parent", F.col("id").alias("child"), F.lit(0).cast("long").alias("kind"), F.col("ord").alias("o"))
+    steps = written(own.unionByName(linked))
+    level = start.select(F.col("id").alias("root")).distinct().join(kept.withColumnRenamed("id", "root"), "root")
+    level = written(level.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.array(F.lit(1).cast("long"), "ord").alias("path"), F.array("root").alias("ids")))
+    found = level
+    while not level.isEmpty():
+        below = level.join(steps, level["id"] == steps["parent"]).where(~F.array_contains("ids", F.col("child")))
+        below = below.select("root", F.col("child").alias("id"), F.struct(F.concat("path", F.array("kind", "o")).alias("path"), F.concat("ids", F.array("child")).alias("ids"), (F.col("depth") + 1).alias("depth")).alias("x"))
+        below = below.groupBy("root", "id").agg(F.min("x").alias("x"))
+        level = written(below.select("root", "id", "x.depth", "x.path", "x.ids"))
+        found = found.unionByName(level)
+    first = found.groupBy("root", "id").agg(F.min(F.struct("path", "depth")).alias("x"))
+    return first.select("root", "id", "x.depth", "x.path")
+
+
+def fold_up(nodes: DataFrame, start: DataFrame, own: Callable[[Column], Column], skip_removed: bool = True) -> DataFrame:
+    """(root, id, text) of each start node's subtree: text = own(inner), inner the children's texts in order, without null and empty ones, joined by line ends.
+
+    Levels are folded from the deepest up; each is written out. own may use all columns of nodes.
+    """
+    walked = written(walk(nodes, start, skip_removed=skip_removed).select("root", "id", "depth"))
+    deepest = walked.agg(F.max("depth")).first()[0]
+    below = None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        here = walked.where(F.col("depth") == depth).join(nodes, "id")
+        if below is None:
+            here = here.withColumn("inner", F.lit(""))
+        else:
+            parts = below.where("coalesce(text, '') <> ''").groupBy("root", F.col("pid").alias("_pid")).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("_parts"))
+            parts = parts.select(F.col("root").alias("_root"), "_pid", F.array_join(F.transform("_parts", lambda p: p["text"]), "\n").alias("_inner"))
+            here = here.join(parts, (F.col("id") == F.col("_pid")) & (F.col("root") == F.col("_root")), "left").withColumn("inner", F.coalesce("_inner", F.lit("")))
+        below = written(here.select("root", "id", "pid", "ord", own(F.col("inner")).alias("text")))
+    if below is None:
+        return walked.select("root", "id", F.lit(None).cast("string").alias("text"))
+    return below.select("root", "id", "text")
+
+
+def override_targets(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, override_key, id): what an override key means inside each symbol; where keys repeat, the last in preorder."""
+    below = walk(nodes, symbols).where("depth > 0").join(nodes.where("override_key is not null").select("id", "override_key"), "id")
+    return below.groupBy(F.col("root").alias("symbol"), "override_key").agg(F.max_by("id", "path").alias("id"))
+
+
 def ancestor_of_type(nodes: DataFrame, start: DataFrame, kind: str) -> DataFrame:
     """(id, ancestor): the nearest ancestor of the given type of each start node (column id); null if none."""
     slim = nodes.select(F.col("id").alias("nid"), F.col("pid").alias("up"), F.col("type").alias("kind"))

@@ -1,5 +1,6 @@
-"""Queries over the tables, by name, and their SQL."""
+"""Queries over a document that is built from the plain tables, and their SQL."""
 
+from . import drawing  # noqa: F401  registers its queries
 from .catalogue import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
