@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +88,73 @@ def parse_svg_path(text: str | None) -> list[tuple[str, list[float]]] | None:
     return out
 
 
+#: Records of a vector network. After four counts (vertices, segments, regions, styles) come
+#: vertices, segments, and for each region its loops (counted segment numbers) and a winding rule.
+VERTEX = np.dtype([("x", "<f4"), ("y", "<f4"), ("mirroring", "<u4")])
+SEGMENT = np.dtype([("a", "<u4"), ("ax", "<f4"), ("ay", "<f4"), ("b", "<u4"), ("bx", "<f4"), ("by", "<f4"), ("kind", "<u4")])
+STRAIGHT, CURVED, MIRRORING, NONZERO = 0, 4, 4, 1
+
+
+def decode_network(blob: bytes | None, scale_x: float = 1.0, scale_y: float = 1.0) -> list[tuple[str, list[float]]] | None:
+    """Loops of a vector network as one path, scaled; each loop is closed. Null without any loop, or under 16 bytes.
+
+    Segments that do not exist, or whose vertices do not, are passed over; region data may be cut off.
+    """
+    if blob is None or len(blob) < 16:
+        return None
+    n_vertices, n_segments, n_regions, _ = struct.unpack_from("<4I", blob)
+    first = 16 + n_vertices * VERTEX.itemsize
+    vertices = np.frombuffer(blob, VERTEX, n_vertices, 16)
+    segments = np.frombuffer(blob, SEGMENT, n_segments, first)
+    points = np.stack([vertices["x"], vertices["y"]], 1).astype(float) * (scale_x, scale_y)
+    rest = blob[first + n_segments * SEGMENT.itemsize :]
+    numbers, out = iter(np.frombuffer(rest, "<u4", len(rest) // 4).tolist()), []
+    for _ in range(n_regions):
+        for _ in range(next(numbers, 0)):
+            count = next(numbers, None)
+            if count is None:
+                break
+            for k in range(count):
+                at = next(numbers, None)
+                if at is None:
+                    break
+                if at >= n_segments or max(segments["a"][at], segments["b"][at]) >= n_vertices:
+                    continue
+                s = segments[at]
+                a, b = points[s["a"]], points[s["b"]]
+                if k == 0:
+                    out.append(("M", a.tolist()))
+                bend = [a + (s["ax"] * scale_x, s["ay"] * scale_y), b + (s["bx"] * scale_x, s["by"] * scale_y)] if s["kind"] != STRAIGHT else []
+                out.append(("C" if bend else "L", np.concatenate([*bend, b]).tolist()))
+            out.append(("Z", []))
+        next(numbers, None)
+    return out or None
+
+
+def encode_network(loops: list[list[tuple[str, list[float]]]]) -> bytes:
+    """A vector network with one region of one loop for each path of M, L, C and Z. Closing adds a segment only away from the start."""
+    vertices, segments, regions = [], [], []
+    for path in loops:
+        own, start, here = [], None, None
+        for op, args in path:
+            if op == "Z":
+                to = start
+            else:
+                to = len(vertices)
+                vertices.append((args[-2], args[-1], MIRRORING))
+            if op == "M":
+                start = to
+            elif here is not None and to is not None and not (op == "Z" and here == start):
+                a, b = vertices[here], vertices[to]
+                bend = (args[0] - a[0], args[1] - a[1], args[2] - b[0], args[3] - b[1]) if op == "C" else (0, 0, 0, 0)
+                own.append(len(segments))
+                segments.append((here, *bend[:2], to, *bend[2:], CURVED if op == "C" else STRAIGHT))
+            here = to
+        regions.append(struct.pack(f"<{len(own) + 3}I", 1, len(own), *own, NONZERO))
+    head = struct.pack("<4I", len(vertices), len(segments), len(regions), 1)
+    return b"".join([head, np.array(vertices, VERTEX).tobytes(), np.array(segments, SEGMENT).tobytes(), *regions])
+
+
 def _rows(fn):
     return lambda s: pd.Series([fn(None if v is None else v) for v in s], dtype=object)
 
@@ -108,3 +176,14 @@ def parsed(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BinaryType())
 def encoded_svg(text: pd.Series) -> pd.Series:
     return _rows(lambda t: encode_path(parse_svg_path(t)))(text)
+
+
+@F.pandas_udf(T.BinaryType())
+def encoded_network(text: pd.Series) -> pd.Series:
+    """Path data as a vector network of one loop."""
+    return _rows(lambda t: None if t is None else encode_network([parse_svg_path(t)]))(text)
+
+
+@F.pandas_udf(PATH)
+def decoded_network(blob: pd.Series, scale_x: pd.Series, scale_y: pd.Series) -> pd.Series:
+    return pd.Series([_listed(decode_network(b, x, y)) for b, x, y in zip(blob, scale_x, scale_y)], dtype=object)
