@@ -1,6 +1,6 @@
 """Queries over a document that is built from the plain tables, and their SQL."""
 
-from . import drawing  # noqa: F401  registers its queries
+from . import drawing, listings  # noqa: F401  they register their queries
 from .catalogue import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
