@@ -58,7 +58,7 @@ def affine_text(t: Column) -> Column:
     shift = (F.abs(part["m00"] - 1) < 1e-6) & (F.abs(part["m01"]) < 1e-6) & (F.abs(part["m10"]) < 1e-6) & (F.abs(part["m11"] - 1) < 1e-6)
     fine = lambda k: number_text(to_fixed(part[k], 6))
     moved = F.concat(F.lit("translate("), number_text(part["m02"]), F.lit(","), number_text(part["m12"]), F.lit(")"))
-    full = F.concat(F.lit("matrix("), F.concat_ws(",", fine("m00"), fine("m10"), fine("m01"), fine("m11"), to_fixed(part["m02"], 2), to_fixed(part["m12"], 2)), F.lit(")"))
+    full = F.concat(F.lit("matrix("), F.concat_ws(",", fine("m00"), fine("m10"), fine("m01"), fine("m11"), *(number_text(to_fixed(part[k], 2)) for k in ("m02", "m12"))), F.lit(")"))
     return F.when(shift, moved).otherwise(full)
 
 

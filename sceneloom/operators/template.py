@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions.ranking import numbered
 from sceneloom.functions.scalars import parse_id, position_char, strip_prefix
+from sceneloom.functions.tables import written
 
 from .tree import is_live, roots, walk
 
-#: The session of cloned nodes, the distance between slides side by side.
-CLONE_SESSION, SLIDE_GAP = 200, 2160
+#: The sessions of cloned and of imported nodes, the distance between slides side by side.
+CLONE_SESSION, IMPORT_SESSION, SLIDE_GAP = 200, 1, 2160
 
 
 def next_local(nodes: DataFrame) -> int:
@@ -78,6 +79,49 @@ def create_from_template(nodes: DataFrame, wanted: DataFrame, layouts: DataFrame
     return nodes.join(gone, "id", "left_anti").select(*nodes.columns).unionByName(clones.select(*nodes.columns))
 
 
+def import_symbols(source: DataFrame, target: DataFrame, wanted: DataFrame, canvas: str) -> tuple[DataFrame, DataFrame]:
+    """(mapping (old, new, place), new nodes) for symbols of source that wanted (place, id) names, to go below target's node `canvas`.
+
+    A symbol whose component_key a live symbol of target has, or one imported before it, maps to that one
+    and brings no nodes. Others are cloned with their live subtrees in session 1, ids going on from target's. References to symbols and override keys follow
+    their own subtree's clones, else the last import before. A name that is no symbol of source is an error.
+    """
+    symbols = source.where("type = 'SYMBOL'").select("id", F.col("component_key").alias("_key"))
+    asked = wanted.join(symbols, "id", "left_anti").select("id").first()
+    if asked:
+        raise ValueError(f"SYMBOL not found in source deck: {asked[0]}")
+    have = target.where("type = 'SYMBOL'").where(is_live()).where("coalesce(component_key, '') <> ''").groupBy(F.col("component_key").alias("_key")).agg(F.max_by("id", "ord").alias("_have"))
+    rows = wanted.join(symbols, "id").join(have, "_key", "left")
+    keyed = F.coalesce("_key", F.lit("")) != ""
+    rows = written(rows.withColumn("_first", F.when(keyed, F.min("place").over(Window.partitionBy("_key"))).otherwise(F.col("place"))))
+    fresh = rows.where("_have is null and place = _first").select("place", F.col("id").alias("root"))
+    trees = walk(source, fresh.select(F.col("root").alias("id"))).select("root", F.col("id").alias("old"), "path")
+    live = source.where(is_live())
+    clones = numbered(fresh.join(trees, "root").join(live, F.col("old") == live["id"]), ["place", "path"], "_n", next_local(target))
+    new_id = F.concat(F.lit(f"{IMPORT_SESSION}:"), F.col("_n").cast("string"))
+    ids = written(clones.select("place", "root", "old", new_id.alias("new")))
+    tops = ids.where("old = root").select(F.col("place").alias("_p"), F.col("new").alias("_new"))
+    reused = rows.where("_have is not null or place <> _first").join(tops, F.col("_first") == F.col("_p"), "left")
+    mapping = ids.select("old", "new", "place").unionByName(reused.select(F.col("id").alias("old"), F.coalesce("_have", "_new").alias("new"), "place"))
+
+    def follow(df: DataFrame, column: str, earlier: bool) -> DataFrame:
+        """column through the clones of the same place, or the last mapping of an earlier one."""
+        m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_to"), F.col("place").alias("_at"))
+        near = F.col("_at") <= F.col("place") if earlier else F.col("_at") == F.col("place")
+        best = df.select("place", "old", column).join(m, (F.col(column) == F.col("_old")) & near).groupBy("place", "old").agg(F.max_by("_to", "_at").alias("_best"))
+        best = best.select(F.col("place").alias("_place"), F.col("old").alias("_node"), "_best")
+        joined = df.join(best, (F.col("place") == F.col("_place")) & (F.col("old") == F.col("_node")), "left")
+        return joined.withColumn(column, F.coalesce("_best", column)).drop("_place", "_node", "_best")
+
+    out = clones.withColumn("symbol_id", F.when(F.col("type") == "INSTANCE", F.col("symbol_id")))
+    for column, earlier in (("pid", False), ("symbol_id", True), ("override_key", False)):
+        out = follow(out, column, earlier)
+    last, siblings = target.agg(F.max("ord")).first()[0], target.where(F.col("pid") == canvas).count()
+    is_root = F.col("old") == F.col("root")
+    changed = {"id": new_id, "phase": F.lit("CREATED"), "ord": F.col("_n") + F.lit(last or 0), "pid": F.when(is_root, F.lit(canvas)).otherwise(F.col("pid")), "position": F.when(is_root, position_char(F.lit(siblings))).otherwise(F.col("position"))}
+    return mapping, out.select(*(changed.get(c, F.col(c)).cast(t).alias(c) for c, t in source.dtypes))
+
+
 def filled(clones: DataFrame, texts: DataFrame) -> DataFrame:
     """clones with `text` replaced where texts (place, key, text) has a value under one of a node's keys; empty texts become a space."""
     keys = F.array_distinct(F.array_compact(F.array(strip_prefix(F.col("name")), F.col("old_id"), F.concat(F.lit("#"), F.col("old_id")), F.col("name"))))

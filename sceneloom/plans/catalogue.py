@@ -282,10 +282,10 @@ def import_dedup(spark, d: str) -> DataFrame:
     return edit.import_plan(s.where("ord % 2 = 1"), s.where("ord % 40 = 0"))
 
 
-@query("SELECT id, CASE WHEN type = 'INSTANCE' AND ord % 10 = 0 THEN 'REMOVED' ELSE phase END AS phase FROM nodes", graph=True)
+@query("SELECT id, CASE WHEN type = 'INSTANCE' AND name = '1-URGENT' THEN 'REMOVED' ELSE phase END AS phase FROM nodes", graph=True)
 def soft_delete(spark, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return edit.soft_delete(n, n.where("type = 'INSTANCE' and ord % 10 = 0")).select("id", "phase")
+    return edit.soft_delete(n, n.where("type = 'INSTANCE' and name = '1-URGENT'")).select("id", "phase")
 
 
 @query("""WITH c AS (SELECT '4:' || o_orderkey AS inst_id, '5:1' AS key, CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE 'new' END AS text FROM orders WHERE o_orderkey % 5 = 0),
@@ -353,7 +353,7 @@ def list_text(spark, d: str) -> DataFrame:
     return overrides(spark, d).groupBy("inst_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("listing"))
 
 
-@query("WITH c AS (SELECT id FROM nodes WHERE type = 'SLIDE' AND ord % 50 = 0), t AS (SELECT c.id AS root, n.id FROM c JOIN nodes n ON n.id = c.id UNION ALL SELECT c.id, n.id FROM c JOIN nodes n ON n.pid = c.id WHERE n.phase <> 'REMOVED') SELECT root, count(*) AS n FROM t GROUP BY root", graph=True)
+@query("WITH c AS (SELECT id FROM nodes WHERE type = 'SLIDE'), t AS (SELECT c.id AS root, n.id FROM c JOIN nodes n ON n.id = c.id UNION ALL SELECT c.id, n.id FROM c JOIN nodes n ON n.pid = c.id WHERE n.phase <> 'REMOVED') SELECT root, count(*) AS n FROM t GROUP BY root", graph=True)
 def clone_subtrees(spark, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return tree.walk(n, n.where("type = 'SLIDE' and ord % 50 = 0"), skip_removed=True).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return tree.walk(n, n.where("type = 'SLIDE'"), skip_removed=True).groupBy("root").agg(F.count(F.lit(1)).alias("n"))

@@ -183,7 +183,7 @@ def drawn_nodes(spark, d: str) -> DataFrame:
 @query(f"""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS k, l_linenumber AS kind, l_quantity::BIGINT AS w,
   regexp_replace((l_quantity / 2)::VARCHAR, '\\.0$', '') AS half, regexp_replace((l_quantity / 2 - 1)::VARCHAR, '\\.0$', '') AS inset, regexp_replace(least(3, l_quantity / 2)::VARCHAR, '\\.0$', '') AS r, regexp_replace(greatest(least(3, l_quantity / 2) - 1, 0)::VARCHAR, '\\.0$', '') AS ri, l_partkey AS x, l_suppkey AS y, l_returnflag AS flag FROM lineitem),
 b AS (SELECT *, CASE kind
- WHEN 1 THEN '<g transform="translate(' || x || ',' || y || ')">' || chr(10) || '<rect width="' || w || '" height="8" rx="' || r || '" ry="' || r || '" fill="{RED}"/>' || CASE WHEN w > 2 THEN chr(10) || '<rect x="1" y="1" width="' || (w - 2) || '" height="6" rx="' || ri || '" ry="' || ri || '" fill="none" stroke="{BLUE}" stroke-width="2"/>' ELSE '' END || chr(10) || '</g>'
+ WHEN 1 THEN '<g transform="translate(' || x || ',' || y || ')">' || chr(10) || '<rect x="0" y="0" width="' || w || '" height="8" rx="' || r || '" ry="' || r || '" fill="{RED}"/>' || CASE WHEN w > 2 THEN chr(10) || '<rect x="1" y="1" width="' || (w - 2) || '" height="6" rx="' || ri || '" ry="' || ri || '" fill="none" stroke="{BLUE}" stroke-width="2"/>' ELSE '' END || chr(10) || '</g>'
  WHEN 2 THEN '<g transform="translate(' || x || ',' || y || ')">' || chr(10) || '<ellipse cx="' || half || '" cy="4" rx="' || half || '" ry="4" fill="{RED}"/>' || CASE WHEN w > 2 THEN chr(10) || '<ellipse cx="' || half || '" cy="4" rx="' || inset || '" ry="3" fill="none" stroke="{BLUE}" stroke-width="2"/>' ELSE '' END || chr(10) || '</g>'
  WHEN 3 THEN '<line x1="' || x || '" y1="' || y || '" x2="' || (x + w) || '" y2="' || y || '" stroke="{BLUE}" stroke-width="2"/>'
  ELSE '<g transform="translate(' || x || ',' || y || ')"><rect x="0" y="0" width="' || w || '" height="8" fill="none" stroke="#ff00ff" stroke-width="2" stroke-dasharray="6" opacity="0.5"/><!-- WIDGET --></g>' END AS f FROM l),
@@ -194,3 +194,23 @@ SELECT '3:' || c_custkey AS id, '<svg xmlns="http://www.w3.org/2000/svg" xmlns:x
 def draw_slides(spark, d: str) -> DataFrame:
     n = drawn_nodes(spark, d)
     return svg.draw_slides(n, n.where("type = 'SLIDE'"))
+
+
+@query("""WITH i AS (SELECT o_custkey AS k, o_orderkey % 300 - 100.0::DOUBLE AS x, o_orderkey % 200 - 50.0::DOUBLE AS y, o_orderkey % 90 + 1.0::DOUBLE AS w, o_orderkey % 70 + 1.0::DOUBLE AS h,
+  o_orderkey % (SELECT count(*) + count(*) // 20 FROM part) AS symbol FROM orders WHERE o_orderstatus <> 'F'),
+y AS (SELECT p_partkey, 50.0::DOUBLE AS w, 40.0::DOUBLE AS h, least(0, coalesce(s_acctbal / 100 - 30, 0)) AS x0, greatest(50, coalesce(s_acctbal / 100 - 30 + 20, 50)) AS x1 FROM part LEFT JOIN supplier ON s_suppkey = p_partkey AND s_nationkey <> 3),
+b AS (SELECT k, x AS x0, y AS y0, x + w AS x1, y + h AS y1 FROM i UNION ALL SELECT k, i.x + y.x0 * (i.w / y.w), i.y, i.x + y.x1 * (i.w / y.w), i.y + 40 * (i.h / y.h) FROM i JOIN y ON p_partkey = symbol)
+SELECT '3:' || c_custkey AS id, round(least(0, coalesce(min(x0), 0)), 6) AS min_x, round(least(0, coalesce(min(y0), 0)), 6) AS min_y, round(greatest(120, coalesce(max(x1), 120)), 6) AS max_x, round(greatest(80, coalesce(max(y1), 80)), 6) AS max_y
+FROM customer LEFT JOIN b ON k = c_custkey GROUP BY c_custkey""".replace("least(0,", "least(0::DOUBLE,").replace("greatest(50,", "greatest(50::DOUBLE,").replace("greatest(120,", "greatest(120::DOUBLE,").replace("greatest(80,", "greatest(80::DOUBLE,"))
+def overflow_bounds(spark, d: str) -> DataFrame:
+    n, s = deep_nodes(spark, d), table(spark, d, "supplier")
+    at = s.select(F.concat(F.lit("6:"), F.col("s_suppkey").cast("string")).alias("id"), (F.col("s_acctbal") / 100 - 30).alias("shift"))
+    key = S.parse_id(F.col("id"))["local"]
+    by = lambda slide, instance, symbol, text: F.when(F.col("type") == "SLIDE", slide).when(F.col("type") == "INSTANCE", instance).when(F.col("type") == "SYMBOL", symbol).otherwise(text).cast("double")
+    none = F.lit(None)
+    n = n.join(at, "id", "left").withColumns({
+        "visible": none.cast("boolean"), "x": by(none, key % 300 - 100, none, F.col("shift")), "y": by(none, key % 200 - 50, none, none),
+        "width": by(F.lit(120), key % 90 + 1, F.lit(50), F.lit(20)), "height": by(F.lit(80), key % 70 + 1, F.lit(40), F.lit(10)),
+    })
+    out = svg.content_bounds(n, n.where("type = 'SLIDE'"))
+    return out.select("id", *(F.round(c, 6).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))

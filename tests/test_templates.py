@@ -80,7 +80,7 @@ def test_numbers(spark):
     assert [r[0] for r in rows] == ["1.00", "0.13", "-0.13", "2.67", "0.00", "0.00", "1234567.89", None, "-2.50", "0.00", "0.38"]
     assert [r[1] for r in rows] == ["1.005", "0.125", "-0.125", "2.675", "0", "0", "1234567.891", None, "-2.5", "0.000000001", "0.375"]
     turn = spark.sql("select named_struct('m00', 0.0D, 'm01', -1.0D, 'm02', 3.0D, 'm10', 1.0D, 'm11', 0.0D, 'm12', 4.5D) t").select(affine_text(F.col("t"))).first()[0]
-    assert turn == "matrix(0,1,-1,0,3.00,4.50)"
+    assert turn == "matrix(0,1,-1,0,3,4.5)"
 
 
 def test_numbered(spark):
@@ -88,3 +88,36 @@ def test_numbered(spark):
     got = sorted((r["k"], r["i"]) for r in numbered(df, ["k"], "i", 5).collect())
     assert [i for _, i in got] == list(range(5, 1005))
     assert numbered(df.where("false"), ["k"], "i").count() == 0
+
+
+LIBRARY = "id string, pid string, ord bigint, type string, name string, phase string, position string, symbol_id string, override_key string, component_key string"
+ICON = [
+    ("99:10", "99:1", 1, "SYMBOL", "IconButton", None, "!", None, None, "ck-icon-button"),
+    ("99:11", "99:10", 2, "TEXT", "Label", None, "!", None, "99:11", None),
+    ("99:12", "99:10", 3, "FRAME", "Container", None, '"', None, None, None),
+    ("99:13", "99:12", 4, "ROUNDED_RECTANGLE", "Background", None, "!", None, "99:13", None),
+    ("99:20", "99:1", 5, "SYMBOL", "CardWithIcon", None, "!", None, None, "ck-card-with-icon"),
+    ("99:21", "99:20", 6, "INSTANCE", "NestedInstance", None, "!", "99:10", None, None),
+]
+TARGET = [("0:0", None, 0, "DOCUMENT", "d", None, "!", None, None, None), ("0:1", "0:0", 1, "CANVAS", "Internal Only Canvas", None, "!", None, None, None), ("0:5", "0:1", 2, "SYMBOL", "s", None, "!", None, None, "other")]
+
+
+def test_import_symbols(spark):
+    source, target = spark.createDataFrame(ICON, LIBRARY), spark.createDataFrame(TARGET, LIBRARY)
+    ask = lambda *ids: spark.createDataFrame(list(enumerate(ids)), "place bigint, id string")
+    mapping, new = template.import_symbols(source, target, ask("99:10"), "0:1")
+    assert mapping.count() == 4
+    got = {r["name"]: r for r in new.collect()}
+    assert {r["id"]: r["pid"] for r in got.values()} == {"1:6": "0:1", "1:7": "1:6", "1:8": "1:6", "1:9": "1:8"}
+    assert got["Label"]["override_key"] == "1:7" and got["Background"]["override_key"] == "1:9" and got["IconButton"]["position"] == '"'
+    assert {r["phase"] for r in got.values()} == {"CREATED"}
+    mapping, new = template.import_symbols(source, target, ask("99:10", "99:20", "99:10"), "0:1")
+    got = {r["name"]: r for r in new.collect()}
+    assert len(got) == 6 and got["NestedInstance"]["symbol_id"] == got["IconButton"]["id"]
+    assert sorted(r["new"] for r in mapping.where("old = '99:10'").collect()) == ["1:6", "1:6"]
+    both = target.unionByName(new)
+    mapping, again = template.import_symbols(source, both, ask("99:10"), "0:1")
+    assert again.count() == 0 and [(r["old"], r["new"]) for r in mapping.collect()] == [("99:10", "1:6")]
+    assert template.import_symbols(source, target, ask("99:10").where("false"), "0:1")[0].count() == 0
+    with pytest.raises(ValueError, match="SYMBOL not found in source deck: 999:999"):
+        template.import_symbols(source, target, ask("999:999"), "0:1")
