@@ -42,8 +42,10 @@ def to_fixed(x: Column, digits: int) -> Column:
 
 def number_text(x: Column) -> Column:
     """Shortest decimal form without a trailing ".0" or an exponent, for numbers of at most 18 decimals and below 1e20."""
-    plain = x.cast("double").cast("string").cast("decimal(38,18)").cast("string")
-    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    x = x.cast("double")
+    plain = x.cast("string").cast("decimal(38,18)").cast("string")
+    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(short)
 
 
 def css_colour(r: Column, g: Column, b: Column, a: Column) -> Column:

@@ -8,12 +8,13 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df, written as Parquet and read again; with `by`, in one folder per value of that column, so that a filter on it reads one."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='sceneloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/nodes-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

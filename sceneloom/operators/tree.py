@@ -32,7 +32,7 @@ def walk(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, skip_
     skip_removed prune: what lies below is not visited. A node is visited once per root, so cycles end.
     """
     kept = nodes.where(is_live()) if skip_removed else nodes
-    slim = kept.select("id", "pid", "ord")
+    slim = written(kept.select("id", "pid", "ord"))  # read once per level
     level = start.select(F.col("id").alias("root")).distinct().join(slim.withColumnRenamed("id", "root"), "root")
     level = level.select("root", F.col("root").alias("id"), "pid", F.lit(0).alias("depth"), F.array("ord").alias("path"))
     seen, depth = written(level), 0
@@ -75,25 +75,27 @@ def walk_links(nodes: DataFrame, start: DataFrame, skip_removed: bool = True, en
     return first.select("root", "id", "x.depth", "x.path")
 
 
-def fold_up(nodes: DataFrame, start: DataFrame, own: Callable[[Column], Column], skip_removed: bool = True) -> DataFrame:
-    """(root, id, text) of each start node's subtree: text = own(inner), inner the children's texts in order, without null and empty ones, joined by line ends.
+def fold_up(nodes: DataFrame, start: DataFrame, own: Callable[[DataFrame], DataFrame], skip_removed: bool = True) -> DataFrame:
+    """(root, id, text) of each start node's subtree, from the leaves up.
 
-    Levels are folded from the deepest up; each is written out. own may use all columns of nodes.
+    own adds the column text to a level's nodes, which have all their columns, root and inner: the
+    children's texts in order, without null and empty ones, joined by line ends. Each level is written out.
     """
-    walked = written(walk(nodes, start, skip_removed=skip_removed).select("root", "id", "depth"))
-    deepest = walked.agg(F.max("depth")).first()[0]
+    walked = walk(nodes, start, skip_removed=skip_removed).select("root", "id", "depth")
+    rows = written(walked.join(nodes, "id"), by="depth")
+    deepest = rows.agg(F.max("depth")).first()[0]
     below = None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
-        here = walked.where(F.col("depth") == depth).join(nodes, "id")
+        here = rows.where(F.col("depth") == depth)
         if below is None:
             here = here.withColumn("inner", F.lit(""))
         else:
             parts = below.where("coalesce(text, '') <> ''").groupBy("root", F.col("pid").alias("_pid")).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("_parts"))
             parts = parts.select(F.col("root").alias("_root"), "_pid", F.array_join(F.transform("_parts", lambda p: p["text"]), "\n").alias("_inner"))
             here = here.join(parts, (F.col("id") == F.col("_pid")) & (F.col("root") == F.col("_root")), "left").withColumn("inner", F.coalesce("_inner", F.lit("")))
-        below = written(here.select("root", "id", "pid", "ord", own(F.col("inner")).alias("text")))
+        below = written(own(here).select("root", "id", "pid", "ord", "text"))
     if below is None:
-        return walked.select("root", "id", F.lit(None).cast("string").alias("text"))
+        return rows.select("root", "id", F.lit(None).cast("string").alias("text"))
     return below.select("root", "id", "text")
 
 

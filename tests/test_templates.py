@@ -62,9 +62,9 @@ def test_errors(spark, nodes):
 
 
 def test_fold_up(spark, nodes):
-    out = tree.fold_up(nodes, nodes.where("id in ('0:2', '0:9')"), lambda inner: F.concat("name", F.lit("("), inner, F.lit(")")))
+    out = tree.fold_up(nodes, nodes.where("id in ('0:2', '0:9')"), lambda level: level.withColumn("text", F.concat("name", F.lit("("), "inner", F.lit(")"))))
     assert {r["id"]: r["text"] for r in out.collect()} == {"0:2": "row(A(slot:text:title())\nB(i()))", "0:9": "s(j()\nt())"}
-    assert tree.fold_up(nodes, nodes.where("false"), lambda inner: inner).count() == 0
+    assert tree.fold_up(nodes, nodes.where("false"), lambda level: level).count() == 0
 
 
 def test_paint_replacement(spark):
