@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneloom.llm import decontaminate, mixing, ngram_join, quality, token_files
-from sceneloom.llm.common import documents, drop_written, small_enough, written
+from sceneloom.llm.common import documents, drop_written, free_name, small_enough, written
 
 #: Near-duplicates: five words and a similarity of 0.8.
 WORDS, SIMILARITY = 5, (4, 5)
@@ -23,9 +23,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows that rejected (column doc_id: a key as _keyed makes them) names."""
-    keys = written(rejected.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct())
+    key, digest = free_name(docs, "_id"), free_name(docs, "_digest")
+    keys = written(rejected.select(F.col("doc_id.doc_id").alias(key), F.col("doc_id.digest").alias(digest)).distinct())
     keys = F.broadcast(keys) if small_enough(keys) else keys
-    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest")), "left_anti")
+    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(docs["text"]) == F.col(digest)), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
