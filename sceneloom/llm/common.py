@@ -21,7 +21,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
+#: Bytes of a batch of rows on its way to or from Python; one longer row is a batch by itself.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound batches by bytes, not by rows alone: texts differ in length. A bound that the session names stays."""
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -37,6 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df, written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
