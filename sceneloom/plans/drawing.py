@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions import scalars as S
-from sceneloom.operators import edit, fonts, svg, template, tree
+from sceneloom.operators import edit, fonts, svg, template, tree, vectors
+from sceneloom.sources import paths
 
 from .catalogue import query
 from .graph import NODES_SQL, nodes, table
@@ -214,3 +215,27 @@ def overflow_bounds(spark, d: str) -> DataFrame:
     })
     out = svg.content_bounds(n, n.where("type = 'SLIDE'"))
     return out.select("id", *(F.round(c, 6).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_partkey % 6 AS kind, p_size AS s, 'M0,0L' || p_size || ',0L' || p_size || ',8.5Z' AS d, 'M0,0C1.25,2 3,4 ' || p_size || ',6' AS e FROM part)
+SELECT id, CASE kind WHEN 5 THEN '<g transform="translate(' || s || ',0)"><rect x="0" y="0" width="40" height="8" fill="none" stroke="#ff00ff" stroke-width="2" stroke-dasharray="6" opacity="0.5"/><!-- VECTOR --></g>'
+ELSE '<g transform="matrix(1,0,0,1,' || s || ',0)">' || chr(10) || CASE kind WHEN 0 THEN '<path d="' || d || '" fill="{RED}" fill-rule="evenodd"/>'
+ WHEN 1 THEN '<path d="' || d || '" fill="none" stroke="{BLUE}" stroke-width="4" stroke-linejoin="miter"/>' || chr(10) || '<path d="' || d || '" fill="{RED}"/>'
+ WHEN 2 THEN '<path d="' || d || '" fill="{RED}"/>' || chr(10) || '<path d="' || d || e || '" fill="{BLUE}" fill-rule="evenodd"/>' WHEN 3 THEN '<path d="' || d || '" fill="{BLUE}"/>' || chr(10) || '<path d="' || e || '" fill="{RED}"/>'
+ ELSE '<path d="' || d || '" fill="{RED}" fill-rule="evenodd"/>' END || chr(10) || '</g>' END AS text FROM p""")
+def draw_vectors(spark, d: str) -> DataFrame:
+    none, kind, size = F.lit(None), F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    paint = lambda r, b, a: F.array(F.struct(F.lit("SOLID").alias("type"), none.cast("boolean").alias("visible"), F.lit(a).alias("opacity"), F.lit(r).alias("r"), F.lit(0.0).alias("g"), F.lit(b).alias("b"), F.lit(1.0).alias("a")))
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.concat(F.lit("M0,0L"), size, F.lit(",0L"), size, F.lit(",8.5Z")).alias("d"), F.concat(F.lit("M0,0C1.25,2 3,4 "), size, F.lit(",6")).alias("e"))
+    for c in ("d", "e"):  # through the byte form that documents keep
+        p = p.withColumn(c, vectors.path_text(paths.decoded(paths.encoded_svg(F.col(c)))))
+    piece = lambda c, style: F.struct(F.col(c).alias("d"), F.when(kind == 0, "EVENODD").otherwise("NONZERO").alias("winding"), F.lit(style).cast("long").alias("style"))
+    n = p.select(
+        F.col("p_partkey").alias("id"), F.lit("VECTOR").alias("type"), F.lit("CREATED").alias("phase"), none.cast("double").alias("opacity"), none.cast("double").alias("width"), F.lit(8.0).alias("height"), none.cast("double").alias("radius"), F.lit("").alias("inner"),
+        F.struct(*(F.lit(v).alias(k) for k, v in (("m00", 1.0), ("m01", 0.0))), F.col("p_size").cast("double").alias("m02"), *(F.lit(v).alias(k) for k, v in (("m10", 0.0), ("m11", 1.0), ("m12", 0.0)))).alias("transform"),
+        paint(1.0, 0.0, 1.0).alias("fill_paints"), F.when(kind.isin(1, 2), paint(0.0, 1.0, 0.5)).alias("stroke_paints"), F.lit(2.0).alias("stroke_weight"), F.when(kind == 1, "OUTSIDE").otherwise("CENTER").alias("stroke_align"),
+        F.when(kind == 3, F.array(piece("d", 7), piece("e", 9))).when(kind < 3, F.array(piece("d", 0))).alias("fill_geometry"),
+        F.when(kind == 2, F.array(*(F.struct(F.col(c).alias("d"), F.lit("NONZERO").alias("winding")) for c in ("d", "e")))).alias("stroke_geometry"),
+        F.array(F.struct(F.lit(7).cast("long").alias("style"), paint(0.0, 1.0, 0.5).alias("paints"))).alias("style_fills"), F.when(kind == 4, F.col("d")).alias("network"),
+    )
+    return svg.fragments(n).select("id", "text")
