@@ -10,7 +10,8 @@ a Parquet column (one file per row), as Spark's committer makes writing safe aga
 
 Tokenising: a text is cut where the tokenizer's own pre-splitting cuts for certain (before a single space
 or line feed between visible characters, and before punctuation that follows a letter or digit), and each
-distinct piece is encoded once per worker and kept, within a bound.
+distinct piece is encoded once per worker and kept, within a bound.  The tokenizer's added token stands for its
+single id; no cut falls inside it.
 """
 
 from __future__ import annotations
@@ -67,7 +68,6 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 

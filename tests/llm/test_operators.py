@@ -196,6 +196,21 @@ def test_token_files_round_trip(spark):
         start += len(ids)
 
 
+def test_token_files_added_token(spark):
+    """Ids of whole texts by the library alone, in its default setting."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    texts = ["say <|endoftext|> here", "a\n<|endoftext|>.\n<|endoftext|><|endoftext|> b", " \n<|endoftext|>'s é <|endof text|>", "<|endoftext|>", "after", None]
+    plain, start = Tokenizer.from_file(token_files.tokenizer_path()), 0
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [16706, 220, 50256, 994]
+    for r, t in zip(sorted(token_files.write_and_read(table(spark, texts)).collect()), texts, strict=True):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 def test_control_bytes():
     values = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], np.uint32)
     for n in range(len(values) + 1):
