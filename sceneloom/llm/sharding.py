@@ -5,7 +5,8 @@ of each block go to each cell (a shard is `cells_per_shard` cells); it is drawn
 multivariate hypergeometric law, so its counts are those of a uniform permutation and its column sums
 are the cells' exact sizes.  Each block permutes its rows locally (a rank by one random key), the matrix
 turns ranks into cells, and each cell permutes again (a rank by another key), which gives the slot.
-No task holds more than a block or a cell; both counts are parameters.
+No task holds more than a block or a cell; both counts grow with the bytes of the rows, up to a bound.
+Rows travel whole, texts included; the query derives its digests from the shards.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, free_name
 
+#: Bytes of a block or a cell, about, unless the most of them (or the numbers given) ask for more.
+PART_BYTES = 64 << 20
+LEAST_BLOCKS, MOST_BLOCKS = 512, 2048  # powers of two
+LEAST_CELLS_PER_SHARD, MOST_CELLS = 16, 2048
+
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     """Good items among `draws` without replacement: weights by the law's recurrence from its mode outwards, until they vanish."""
@@ -53,7 +59,7 @@ def communication_matrix(block_sizes: list[int], cell_sizes: list[int], seed: in
     return matrix
 
 
-def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int = 512, cells_per_shard: int = 16, seed: int = 17) -> DataFrame:
+def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int | None = None, cells_per_shard: int | None = None, seed: int = 17) -> DataFrame:
     """df with `shard` (0 .. n_shards - 1, sizes at most one apart) and `slot` (a uniform order, gapless from 0 in each shard).
 
     Reruns agree: the keys are hashes of the row. Repeated rows are dealt one by one (which of them gets
@@ -63,9 +69,22 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int = 512, cells_pe
     df = df.drop("shard", "slot")
     block, rank, cell, bounds = (free_name(df, x) for x in ("_block", "_rank", "_cell", "_bounds"))
     first, key = free_name(df, "_first"), [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
-    keyed = df.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(blocks)).cast("int"))
-    sizes = {r[0]: r[1] for r in keyed.groupBy(block).count().collect()}  # at most `blocks` rows
-    n = sum(sizes.values())
+    texts = [c for c, t in df.dtypes if t in ("string", "binary")]
+    parts = blocks or MOST_BLOCKS
+    keyed = df.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(parts)).cast("int"))
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8 * len(df.columns))).cast("long")
+    counted = keyed.groupBy(block).agg(F.count(F.lit(1)), F.sum(width)).collect()  # at most `parts` rows
+    n, size = sum(r[1] for r in counted), sum(r[2] for r in counted)
+    if blocks is None:
+        blocks = LEAST_BLOCKS
+        while blocks < MOST_BLOCKS and size > blocks * PART_BYTES:
+            blocks *= 2
+        keyed = keyed.withColumn(block, F.col(block) % blocks)
+    if cells_per_shard is None:
+        cells_per_shard = max(LEAST_CELLS_PER_SHARD, min(-(-size // (n_shards * PART_BYTES)), MOST_CELLS // n_shards))
+    sizes: dict[int, int] = {}
+    for b, k, _ in counted:
+        sizes[b % blocks] = sizes.get(b % blocks, 0) + k
     shard_sizes = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
     cells = [(s, m // cells_per_shard + (c < m % cells_per_shard)) for s, m in enumerate(shard_sizes) for c in range(cells_per_shard)]
     matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], [m for _, m in cells], seed)
@@ -83,7 +102,9 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int = 512, cells_pe
     spark = df.sparkSession
     sent = F.broadcast(spark.createDataFrame(rows, f"{block} int, {bounds} array<bigint>"))  # blocks x cells numbers
     places = F.broadcast(spark.createDataFrame(starts, f"{cell} int, shard int, {first} bigint"))
-    order = lambda k: [F.xxhash64(F.lit(seed + k), *key), *key]
+    # Ties of both hashes are equal rows, but for what a hash passes over: nulls, told apart by flags, and those inside nested values.
+    nulls, rest = [F.col(c).isNull() for c in key], [c for c in key if c not in texts]
+    order = lambda k: [F.xxhash64(F.lit(seed + k), *key), F.xxhash64(F.lit(seed + k + 2), *nulls, *key), *rest]
     placed = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(block).orderBy(*order(1))) - 1).join(sent, block)
     placed = placed.withColumn(cell, F.size(F.filter(bounds, lambda x: x <= F.col(rank)))).drop(bounds, rank, block)
     placed = placed.join(places, cell)
@@ -91,12 +112,12 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int = 512, cells_pe
     return placed.withColumn("slot", slot.cast("long")).drop(cell, first)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, null: none, plus 1) and text_crc32 (null for a null text)."""
+def digests(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, size (UTF-8 bytes of the text, null: none, plus 1), text_crc32 (null for a null text) and the other columns named."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return docs.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), *others)
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
-    out = uniform_shards(digests(documents(spark, sf_dir)))
+    out = digests(uniform_shards(documents(spark, sf_dir)), "shard", "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

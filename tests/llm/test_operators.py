@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sceneloom.llm import decontaminate, language_id, licenses, line_dedup, ngram_join, quality, sharding, substring_dedup, token_files
 
@@ -151,6 +152,34 @@ def test_shards(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_whole_documents(spark, monkeypatch):
+    """Texts go through the shuffle: very long ones, many copies of one, nulls; reruns agree, whatever the number of blocks and cells."""
+    texts = corpus() + ["same text " * 50] * 200 + ["long " * 400_000, "longer " * 600_000]
+    docs = table(spark, texts).unionByName(table(spark, ["again"] * 5).withColumn("doc_id", F.lit(None).cast("bigint")))
+    docs = docs.unionByName(spark.createDataFrame([(None, "e", 7, None, "d", None), (None, None, 7, "e", "d", None), (None, None, 7, None, "e", "d")], SCHEMA))
+    want = sorted(docs.collect(), key=str)
+    got = sharding.uniform_shards(docs, 3).collect()
+    assert sorted((r[: len(docs.columns)] for r in got), key=str) == [tuple(r) for r in want]
+    assert sorted(sharding.uniform_shards(docs.repartition(7), 3).collect(), key=str) == sorted(got, key=str)
+    monkeypatch.setattr(sharding, "PART_BYTES", 4 << 10)
+    for out in (got, sharding.uniform_shards(docs, 3).collect()):
+        slots = [sorted(r["slot"] for r in out if r["shard"] == s) for s in range(3)]
+        assert all(s == list(range(len(s))) for s in slots) and max(map(len, slots)) - min(map(len, slots)) <= 1
+
+
+def test_shards_query_moves_texts(spark, monkeypatch):
+    seen, real = [], sharding.uniform_shards
+    monkeypatch.setattr(sharding, "uniform_shards", lambda df, *a, **k: seen.append(df.columns) or real(df, *a, **k))
+    d = "/root/testdata/sf0.001"
+    out = sharding.op3_sharding(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert seen == [docs.columns]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [row_number()" in line]
+    assert len(windows) == 2 and "text#" in plan[: plan.index("Window [row_number()")]
+    assert sorted(out.select("doc_id", "size", "text_crc32").collect()) == sorted(sharding.digests(docs).collect())
+
+
 def test_hypergeometric_law():
     rng = random.Random(2)
     draws = [sharding.hypergeometric(rng, 30, 70, 20) for _ in range(4000)]
