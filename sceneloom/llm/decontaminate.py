@@ -4,8 +4,10 @@ Words are runs of letters and digits, lower-cased.  With match 2, mismatch -1 an
 at least 0.7 of an item's best score 2 L loses at most 0.6 L of the item's three-word n-grams.  So
 such a passage holds one of the item's 0.6 L + 1 rarest n-grams (the seeds, ranked by their count of
 documents in the corpus), and 0.4 L - 2 of its n-grams in all: both are tested before the alignment, and
-neither loses a passage.  The alignment is a Smith-Waterman recurrence over word hashes of the stretch
-around the hits, a row of the table at a time.
+neither loses a passage.  For items of at most five words that guarantee is empty, so they go by all their
+pairs of words (a single word by itself): their passages miss one word or hold one more at most, and
+keep two words that stand together.  The alignment is a Smith-Waterman recurrence over word hashes of the
+stretch around the hits, a row of the table at a time.
 
 Items are taken in blocks of bounded size; each block is searched for in all documents.
 """
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import byte_batches, documents, windows, words
 
 SEED = 3
+#: Items of at most so many words have shorter n-grams.
+SHORT = 5
 #: Items of one block: about so many bytes of text at most.
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP, NEEDED = 2, -1, -2, 0.7
@@ -37,6 +41,12 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> int:
     return best
 
 
+def grams_of(h: np.ndarray, doc: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, hashes and lengths of the n-grams of every length asked for."""
+    found = [windows(h, doc, n) for n in lengths]
+    return np.concatenate([at for at, _ in found]), np.concatenate([grams for _, grams in found]), np.repeat(lengths, [len(at) for at, _ in found])
+
+
 class Items:
     """A block of items: word hashes, n-grams in order of hash with the places they come from."""
 
@@ -46,7 +56,12 @@ class Items:
         _, _, doc, h = words(np.frombuffer(b"".join(raw), np.uint8), off, True, True)
         edge = np.searchsorted(doc, np.arange(len(raw) + 1))
         self.words = [h[a:b] for a, b in zip(edge[:-1], edge[1:])]
-        at, grams = windows(h, doc, SEED)
+        size = np.diff(edge)
+        length = np.where(size > SHORT, SEED, np.minimum(size, 2))
+        self.lengths = sorted({SEED, *length[length > 0].tolist()})
+        at, grams, n = grams_of(h, doc, self.lengths)
+        own = n == length[doc[at]]
+        at, grams = at[own], grams[own]
         order = np.argsort(grams, kind="stable")
         self.grams, first = np.unique(grams[order], return_index=True)
         self.first, self.item = np.append(first, len(order)), doc[at[order]]
@@ -81,7 +96,7 @@ def hits_of(found: np.ndarray, at: np.ndarray, items: Items) -> tuple[np.ndarray
 
 def best_items(h: np.ndarray, doc: np.ndarray, items: Items, texts: int) -> list[tuple[int, int, int]]:
     """(text number, item, score) of every item that reaches the threshold somewhere in a text."""
-    at, grams = windows(h, doc, SEED)
+    at, grams, _ = grams_of(h, doc, items.lengths)
     pos, item, start, seed = hits_of(items.find(grams), at, items)
     if not len(pos):
         return []
@@ -119,7 +134,7 @@ def _blocks(items: DataFrame):
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_id (best, ties to the smallest), score (share of the item's best) and n_items of every row.
 
-    Null and empty texts are clean. Items of fewer than three words have no n-gram and match nothing.
+    Null and empty texts are clean. Items without words match nothing; one of a single word matches wherever it stands.
     Repeated rows are judged alike, repeated items counted one by one. Columns other than doc_id, item_id
     and text are not looked at; without items every row is clean. Each row has one result for each block
     of items, and blocks are merged by a grouped maximum over a row number that is fixed beforehand.
@@ -147,7 +162,7 @@ def _search(docs: DataFrame, ids: list, texts: list, kind: str) -> DataFrame:
     def count(batches):
         for _, data, off in byte_batches(batches, "text"):
             _, _, doc, h = words(data, off, True, True)
-            at, grams = windows(h, doc, SEED)
+            at, grams, _ = grams_of(h, doc, items.lengths)
             found = items.find(grams)
             pair = np.unique(doc[at[found >= 0]].astype(np.int64) * max(len(items.grams), 1) + found[found >= 0])
             gram, n = np.unique(pair % max(len(items.grams), 1), return_counts=True)

@@ -135,6 +135,28 @@ def test_decontamination(spark):
     assert not any(out[len(texts) + k]["contaminated"] for k in range(len(EDGES)))
 
 
+def test_decontamination_short_items(spark):
+    """Items of one to seven words, edited in every way, against plain alignment with every text."""
+    rng = random.Random(9)
+    items = [[f"k{n}x{j}" for j in range(n)] for n in range(1, 8)] + [["k4x0", "k4x1", "k5x3"], ["k2x0"], []]
+    texts = []
+    for item in items[:7]:
+        for j in range(len(item)):
+            texts += [item, item[:j] + ["zz"] + item[j + 1 :], item[:j] + ["zz"] + item[j:], item[:j] + item[j + 1 :], item[:j] + ["zz", "zz"] + item[j:], item[: j + 1]]
+    texts = [["aa"] * rng.randrange(5) + w + ["bb"] * rng.randrange(5) for w in texts]
+    texts += [rng.choices([w for i in items for w in i], k=12) for _ in range(60)]
+    code = {w: k for k, w in enumerate(sorted({w for x in items + texts for w in x}))}
+    coded = lambda x: np.array([code[w] for w in x], np.int64)
+    rows = spark.createDataFrame([(n, " ".join(i)) for n, i in enumerate(items)], "item_id bigint, text string")
+    out = {r["doc_id"]: r for r in decontaminate.find_contamination(table(spark, [" ".join(w) for w in texts]), rows).collect()}
+    for k, w in enumerate(texts):
+        scores = {n: decontaminate.alignment(coded(i), coded(w)) / (2 * len(i)) for n, i in enumerate(items) if i}
+        reached = [(-x, n) for n, x in scores.items() if x >= 0.7]
+        r = out[k]
+        assert (r["contaminated"], r["n_items"]) == (bool(reached), len(reached)), w
+        assert not reached or (r["score"], r["item_id"]) == (pytest.approx(-min(reached)[0]), min(reached)[1])
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(i, " ".join(f"t{i}x{k}" for k in range(20))) for i in range(8)], "item_id bigint, text string")
     docs = table(spark, [" ".join(f"t{i}x{k}" for k in range(20)) for i in (2, 5)] + ["nothing here at all", None])
