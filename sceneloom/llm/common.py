@@ -7,8 +7,6 @@ sums of a polynomial in 64 bits, so no Python loop runs over words.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sceneloom.functions import tables
+from sceneloom.functions.tables import drop_written, shared_dir  # noqa: F401  passed on to the operators
+
 #: Broadcast a side only if it has at most so many rows and bytes; beyond that, a shuffled join.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
@@ -37,35 +38,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='sceneloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a table that `written` gave, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again, its batches bounded."""
+    bound_batches(df.sparkSession)
+    return tables.written(df)
 
 
 def small_enough(df: DataFrame) -> bool:
     """Whether df's measured rows and bytes lie within the broadcast bound."""
     length = {"string": F.octet_length, "binary": F.octet_length, "array<binary>": lambda c: F.aggregate(c, F.lit(0), lambda n, b: n + F.octet_length(b) + 24)}
+    length |= {t: lambda c: 8 * F.size(c) + 16 for t in ("array<bigint>", "array<int>")}
     width = sum(F.coalesce(length[t](F.col(c)), F.lit(0)) if t in length else F.lit(16) for c, t in df.dtypes)
     n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return n <= BROADCAST_ROWS and size <= BROADCAST_BYTES

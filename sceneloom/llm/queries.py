@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_license_scan": licenses.op10_license_scan,
 }
-SQL = {"op7_mixing": mixing.OP7_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+SQL = {"op1_ngram_join": ngram_join.OP1_SQL, "op7_mixing": mixing.OP7_SQL, "op9_line_dedup": line_dedup.OP9_SQL}

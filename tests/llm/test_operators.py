@@ -61,6 +61,43 @@ def test_ngram_join(spark, n, num, den):
     assert got == classes(texts, n, num, den)
 
 
+def test_ngram_join_repeated_ids(spark):
+    """Two texts under one doc_id, each of which shares a third with another document: nothing links, whatever their union would do."""
+    words = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    a1, a2 = words("a", 60), words("b", 60)
+    rows = [(1, a1), (1, a2), (2, a1[:30] + a2[:30]), (3, a1[:59] + ["x"]), (4, a2[1:] + ["y"]), (5, words("c", 9)), (5, words("c", 9) + words("d", 80)), (6, words("c", 9)), (7, [])]
+    docs = spark.createDataFrame([(i, " ".join(w), 1, "", "", "") for i, w in rows], SCHEMA)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(docs).collect()}
+    # 3 and 4 link with the two texts of document 1, whose links are pooled; 6 is a copy of one text of 5.
+    assert got == {(1, 58, 1), (2, 58, 2), (3, 58, 1), (4, 58, 1), (5, 7, 5), (5, 87, 5), (6, 7, 5), (7, 0, 7)}
+
+
+def test_ngram_join_remembered(spark, monkeypatch):
+    """Many batches in one task, and n-grams that it has told already."""
+    monkeypatch.setattr(ngram_join, "REMEMBERED", 50)
+    texts = corpus(200, 4) + [" ".join(f"common words of all{k % 7}" for k in range(30)) + f" end{i}" for i in range(60)]
+    real = ngram_join.byte_batches
+    monkeypatch.setattr(ngram_join, "byte_batches", lambda batches, text, most: real(batches, text, 3000))
+    import pyarrow as pa
+
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_pydict({"key": ids, "doc_id": ids, "text": texts})
+    for share in ((0.0, 0.15), (0.15, 0.5), (0.0, 1.0)):
+        out = pa.Table.from_batches(list(ngram_join._sets(3, share, 16)(iter([batch])))).to_pylist()
+        blobs = pa.table({"pairs": pa.array([r["pairs"] for r in out if r["kind"] == 1], pa.binary())})
+        answers = dict(zip(*(c.to_pylist() for c in ngram_join._answer(blobs).columns)))
+        owners, sets = {}, {}
+        for r in (r for r in out if r["kind"] == 0):
+            raw = (texts[r["doc_id"]] or "").encode()
+            _, grams = ngram_join.shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 3)
+            sets[r["doc_id"]] = grams[ngram_join._in_share(grams, share)].tolist()
+            for g in sets[r["doc_id"]]:
+                owners.setdefault(g, set()).add((r["d1"], r["d2"]))
+        for r in (r for r in out if r["kind"] == 0):
+            own = sum(len(owners[g]) == 1 for g in sets[r["doc_id"]])
+            assert r["alone"] - answers.get(r["d1"], 0) <= own  # never more: no class is dropped that may link
+
+
 def test_ngram_join_null_id_and_repeats(spark):
     rows = [(None, "a b c d", 1, "", "", ""), (4, "A b c d", 1, "", "", ""), (4, "a b c d", 1, "", "", ""), (9, None, 1, "", "", ""), (None, "q r s", 1, "", "", "")]
     got = sorted(ngram_join.link_documents(spark.createDataFrame(rows, SCHEMA)).collect(), key=str)
