@@ -22,8 +22,9 @@ def parse_id(id_: Column) -> Column:
 
 
 def position_char(k: Column) -> Column:
-    """The k-th sibling position, from "!" on."""
-    return F.char((k + 33).cast("long"))
+    """The k-th sibling position, from "!" on: one UTF-16 unit, so places beyond 93 go on past ASCII."""
+    unit = F.lpad(F.hex(F.pmod(k.cast("long") + 33, F.lit(1 << 16))), 4, "0")
+    return F.decode(F.unhex(unit), "UTF-16BE")
 
 
 def half_up(x: Column) -> Column:
@@ -41,11 +42,16 @@ def to_fixed(x: Column, digits: int) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """Shortest decimal form without a trailing ".0" or an exponent, for numbers of at most 18 decimals and below 1e20."""
+    """A number as scripts write it: shortest digits, no trailing ".0", an exponent below 1e-6 and from 1e21 on, NaN and Infinity by name."""
     x = x.cast("double")
-    plain = x.cast("string").cast("decimal(38,18)").cast("string")
-    short = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(short)
+    plain, size = x.cast("string"), F.abs(x)
+    digits = lambda kind: F.regexp_replace(plain.try_cast(kind).cast("string"), r"\.?0+$", "")
+    power = F.regexp_extract(plain, "E(.*)$", 1)
+    sign = F.when(power.startswith("-"), "").otherwise("+")
+    far = F.concat(F.regexp_replace(F.split_part(plain, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e"), sign, power)
+    long_form = F.when(size >= 1e21, far).when(size >= 1e7, digits("decimal(38,10)")).when(size >= 1e-6, digits("decimal(38,26)")).otherwise(far)
+    short = F.when(plain.contains("E"), long_form).otherwise(plain)
+    return F.when((x == F.floor(x)) & (size < 1e15), x.try_cast("long").cast("string")).otherwise(short)
 
 
 def css_colour(r: Column, g: Column, b: Column, a: Column) -> Column:
@@ -121,9 +127,18 @@ def inventory_weight(style: Column) -> Column:
     return found.when(low.contains("medium"), 500).when(low.contains("bold"), 700).when(low.contains("black"), 900).otherwise(400)
 
 
+def head16(text: Column, most: int) -> Column:
+    """The first `most` UTF-16 units of a text; half of a pair at the end becomes U+FFFD."""
+    units = F.encode(text, "UTF-16BE")
+    cut = F.substring(units, 1, 2 * most)
+    half = F.substring(cut, 2 * most - 1, 1).between(F.lit(b"\xd8"), F.lit(b"\xdb"))
+    shorter = F.concat(F.decode(F.substring(cut, 1, 2 * most - 2), "UTF-16BE"), F.lit("\ufffd"))
+    return F.when(half, shorter).otherwise(F.decode(cut, "UTF-16BE"))
+
+
 def preview(text: Column, most: int = 50) -> Column:
-    """Texts over `most` characters are cut and end in three dots."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+    """Texts over `most` UTF-16 units are cut and end in three dots."""
+    return F.when(utf16_length(text) > most, F.concat(head16(text, most - 3), F.lit("..."))).otherwise(text)
 
 
 def strip_prefix(name: Column) -> Column:
@@ -155,4 +170,4 @@ def render_scale(width: Column, height: Column, scale: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units."""
-    return F.octet_length(F.encode(text, "UTF-16LE")) / 2
+    return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2)

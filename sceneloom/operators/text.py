@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.functions.scalars import utf16_length
+
 
 def style_runs(glyphs: DataFrame, key: str, order: str, style: str) -> DataFrame:
     """(key, first, last, style, n): maximal runs of consecutive rows of one style."""
@@ -31,10 +33,11 @@ def first_of_list(lines: DataFrame, key: str, order: str, kind: str, indent: str
 
 
 def line_offsets(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, start, length): lines of a text with the character position each starts at."""
+    """(key, line, start, length): lines of a text with the UTF-16 unit that each starts at, and their units."""
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("line", "content"))
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select(key, "line", F.coalesce(F.sum(F.length("content") + 1).over(w), F.lit(0)).alias("start"), F.length("content").alias("length"))
+    lines = lines.select(key, "line", utf16_length(F.col("content")).alias("length"))
+    before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select(key, "line", F.coalesce(F.sum(F.col("length") + 1).over(before), F.lit(0)).alias("start"), "length")
 
 
 def run_at(lines: DataFrame, runs: DataFrame, key: str, at: str, run_start: str, value: str) -> DataFrame:

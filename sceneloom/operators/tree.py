@@ -25,23 +25,27 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.join(ids, nodes["pid"] == F.col("_id"), "left_anti")
 
 
-def walk(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, skip_removed: bool = False) -> DataFrame:
+def walk(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, skip_removed: bool = False, path: bool = True) -> DataFrame:
     """(root, id, pid, depth, path) of all nodes below each start node (column id), itself at depth 0.
 
-    path is the array of ord from the root: ordering by (root, path) is preorder. max_depth and
-    skip_removed prune: what lies below is not visited. A node is visited once per root, so cycles end.
+    path is the array of ord from the root: ordering by (root, path) is preorder; without it, path is left
+    out. max_depth and skip_removed prune: what lies below is not visited. A node has one parent (where an
+    id repeats, its last row's), so a walk can come back to its root only, and there it ends.
     """
     kept = nodes.where(is_live()) if skip_removed else nodes
-    slim = written(kept.select("id", "pid", "ord"))  # read once per level
+    slim = kept.groupBy("id").agg(F.max_by(F.struct("pid", "ord"), "ord").alias("x")).select("id", "x.pid", "x.ord")
+    slim = written(slim)  # read once per level
+    trail = ["path"] if path else []
     level = start.select(F.col("id").alias("root")).distinct().join(slim.withColumnRenamed("id", "root"), "root")
     level = level.select("root", F.col("root").alias("id"), "pid", F.lit(0).alias("depth"), F.array("ord").alias("path"))
-    seen, depth = written(level), 0
-    level = seen
-    step = slim.select(F.col("id").alias("child"), F.col("pid").alias("parent"), F.col("ord").alias("o"))
+    level = seen = written(level.drop(*(set(["path"]) - set(trail))))
+    step = slim.where("pid is not null").select(F.col("id").alias("child"), F.col("pid").alias("parent"), F.col("ord").alias("o"))
+    depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        below = level.join(step, level["id"] == step["parent"]).select("root", F.col("child").alias("id"), F.col("parent").alias("pid"), F.lit(depth).alias("depth"), F.concat("path", F.array("o")).alias("path"))
-        level = written(below.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
+        below = level.join(step, (level["id"] == step["parent"]) & (step["child"] != level["root"]))
+        longer = [F.concat("path", F.array("o")).alias("path")] if path else []
+        level = written(below.select("root", F.col("child").alias("id"), F.col("parent").alias("pid"), F.lit(depth).alias("depth"), *longer))
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
@@ -81,7 +85,7 @@ def fold_up(nodes: DataFrame, start: DataFrame, own: Callable[[DataFrame], DataF
     own adds the column text to a level's nodes, which have all their columns, root and inner: the
     children's texts in order, without null and empty ones, joined by line ends. Each level is written out.
     """
-    walked = walk(nodes, start, skip_removed=skip_removed).select("root", "id", "depth")
+    walked = walk(nodes, start, skip_removed=skip_removed, path=False).select("root", "id", "depth")
     rows = written(walked.join(nodes, "id"), by="depth")
     deepest = rows.agg(F.max("depth")).first()[0]
     below = None
@@ -106,18 +110,22 @@ def override_targets(nodes: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def ancestor_of_type(nodes: DataFrame, start: DataFrame, kind: str) -> DataFrame:
-    """(id, ancestor): the nearest ancestor of the given type of each start node (column id); null if none."""
+    """(id, ancestor): the nearest ancestor of the given type of each start node (column id); null if none, as on a cycle.
+
+    Each level is one join of what still searches; the ids on the way tell a cycle.
+    """
     slim = nodes.select(F.col("id").alias("nid"), F.col("pid").alias("up"), F.col("type").alias("kind"))
-    level = start.select("id").join(slim, F.col("id") == F.col("nid")).select("id", F.col("up").alias("at"), F.lit(1).alias("depth"))
+    level = start.select("id").distinct().join(slim, F.col("id") == F.col("nid"))
+    level = level.select("id", F.col("up").alias("at"), F.array("id").alias("way"))
     found = None
-    for depth in range(2, 1000):
+    while True:
         here = level.join(slim, level["at"] == slim["nid"])
         hit = here.where(F.col("kind") == kind).select("id", F.col("nid").alias("ancestor"))
         found = hit if found is None else found.unionByName(hit)
-        level = written(here.where(F.col("kind") != kind).select("id", F.col("up").alias("at"), F.lit(depth).alias("depth")).where("at is not null"))
+        rest = here.where(~F.col("kind").eqNullSafe(kind)).where("up is not null").where(~F.array_contains("way", F.col("up")))
+        level = written(rest.select("id", F.col("up").alias("at"), F.concat("way", F.array("at")).alias("way")))
         if level.isEmpty():
-            break
-    return start.select("id").distinct().join(found, "id", "left")
+            return start.select("id").distinct().join(found, "id", "left")
 
 
 def tree_lines(nodes: DataFrame, walked: DataFrame) -> DataFrame:
@@ -136,6 +144,11 @@ def children_count(nodes: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("n_live", F.lit(0)).alias("n_live"))
 
 
+def live_children(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """The live direct children of parents (column id), all their columns."""
+    return nodes.where(is_live()).join(parents.select(F.col("id").alias("pid")).distinct(), "pid", "left_semi")
+
+
 def first_child(nodes: DataFrame, parents: DataFrame, kind: str) -> DataFrame:
     """(id, child): the first child of a type, by ord, of each parent; null if none."""
     of = nodes.where(F.col("type") == kind).groupBy("pid").agg(F.min_by("id", "ord").alias("child"))

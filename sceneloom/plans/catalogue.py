@@ -35,21 +35,21 @@ WALK = "WITH w AS (SELECT id, 0 AS depth FROM nodes WHERE pid IS NULL UNION ALL
 @query(WALK + " SELECT n.id, n.type, n.name, n.phase, n.symbol_id, w.depth FROM w JOIN nodes n ON n.id = w.id", graph=True, recursive=True)
 def inspect(spark, d: str) -> DataFrame:
     n = nodes(spark, d)
-    found = tree.walk(n, tree.roots(n)).select("id", "depth")
+    found = tree.walk(n, tree.roots(n), path=False).select("id", "depth")
     return n.join(found, "id").select("id", "type", "name", "phase", "symbol_id", "depth")
 
 
 @query("WITH w AS (SELECT id, 0 AS depth FROM nodes WHERE pid IS NULL UNION ALL SELECT n.id, w.depth + 1 FROM nodes n JOIN w ON n.pid = w.id WHERE w.depth < 3) SELECT n.id, n.name, w.depth FROM w JOIN nodes n ON n.id = w.id WHERE type = 'SLIDE'", graph=True, recursive=True)
 def inspect_depth_type(spark, d: str) -> DataFrame:
     n = nodes(spark, d)
-    found = tree.walk(n, tree.roots(n), max_depth=3).select("id", "depth")
+    found = tree.walk(n, tree.roots(n), max_depth=3, path=False).select("id", "depth")
     return n.where("type = 'SLIDE'").join(found, "id").select("id", "name", "depth")
 
 
 @query("WITH w AS (SELECT id, 0 AS depth FROM nodes WHERE pid IS NULL UNION ALL SELECT n.id, w.depth + 1 FROM nodes n JOIN w ON n.pid = w.id WHERE n.phase <> 'REMOVED') SELECT type, depth, count(*) AS n FROM w JOIN nodes USING (id) GROUP BY ALL", graph=True, recursive=True)
 def inspect_live(spark, d: str) -> DataFrame:
     n = nodes(spark, d)
-    found = tree.walk(n, tree.roots(n), skip_removed=True).select("id", "depth")
+    found = tree.walk(n, tree.roots(n), skip_removed=True, path=False).select("id", "depth")
     return n.join(found, "id").groupBy("type", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -195,7 +195,17 @@ def first_line_flags(spark, d: str) -> DataFrame:
     return text.first_of_list(e, "user_id", "event_id", "event_type", "indent").select("user_id", "event_id", "is_first")
 
 
-LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),\no AS (SELECT doc_id, line, coalesce(sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, length(content) AS length FROM l)"
+def astral(text: str) -> str:
+    """SQL for how many characters of a text take two UTF-16 units."""
+    return f"length(regexp_replace({text}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+
+
+def units(text: str) -> str:
+    """SQL for the UTF-16 units of a text."""
+    return f"(length({text}) + {astral(text)})"
+
+
+LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),\no AS (SELECT doc_id, line, coalesce(sum(u + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, u AS length FROM (SELECT *, " + units("content") + " AS u FROM l))"
 
 
 @query(LINES + " SELECT doc_id, line, start, length FROM o")
@@ -337,7 +347,13 @@ def geometry(spark, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(S.line_vector(at(0), at(1), at(2), at(3))["length"], 6).alias("length"), S.rotation(at(0), at(1)).alias("rotation"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) > 50 THEN text[1:47] || '...' ELSE text END AS preview, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents""")
+CUT = (
+    f"(array_to_string(list_filter(string_split(text[1:47], ''), lambda c, i: i + {astral('text[1:i]')} <= 47), '') || CASE WHEN "
+    f"len(list_filter(string_split(text[1:47], ''), lambda c, i: {astral('c')} = 1 AND i + {astral('text[1:i]')} = 48)) > 0 THEN chr(65533) ELSE '' END)"
+)
+
+
+@query("SELECT doc_id, CASE WHEN " + units("text") + " > 50 THEN " + CUT + """ || '...' ELSE text END AS preview, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents""")
 def text_preview(spark, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", S.preview(F.col("text")).alias("preview"), S.xml_escape(F.col("text")).alias("escaped"))
 
@@ -356,4 +372,4 @@ def list_text(spark, d: str) -> DataFrame:
 @query("WITH c AS (SELECT id FROM nodes WHERE type = 'SLIDE'), t AS (SELECT c.id AS root, n.id FROM c JOIN nodes n ON n.id = c.id UNION ALL SELECT c.id, n.id FROM c JOIN nodes n ON n.pid = c.id WHERE n.phase <> 'REMOVED') SELECT root, count(*) AS n FROM t GROUP BY root", graph=True)
 def clone_subtrees(spark, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return tree.walk(n, n.where("type = 'SLIDE'"), skip_removed=True).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    return tree.walk(n, n.where("type = 'SLIDE'"), skip_removed=True, path=False).groupBy("root").agg(F.count(F.lit(1)).alias("n"))

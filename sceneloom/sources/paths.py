@@ -18,7 +18,7 @@ OPERATIONS = {0: ("Z", 0), 1: ("M", 2), 2: ("L", 2), 4: ("C", 6)}
 BYTES = {name: (byte, n) for byte, (name, n) in OPERATIONS.items()}
 PATH = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("args", T.ArrayType(T.DoubleType()))]))
 
-_TOKEN = re.compile(r"[A-Za-z]|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
+_TOKEN = re.compile(r"[MLCSHVZmlcshvz]|[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 _TAKES = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Z": 0}
 
 
@@ -44,31 +44,30 @@ def encode_path(path: list[tuple[str, list[float]]] | None, scale: float = 1.0)
 
 
 def parse_svg_path(text: str | None) -> list[tuple[str, list[float]]] | None:
-    """Path data as absolute M, L, C and Z. Other commands are skipped with their numbers.
+    """Path data as absolute M, L, C and Z.
 
-    Coordinates that repeat a move's are lines. A smooth curve mirrors the last control point seen in
-    the path, or starts at the current point if there was none.
+    Coordinates that repeat a move's are lines. A smooth curve mirrors the last control point seen anywhere
+    in the path, 0,0 before any. Letters of other commands (Q, T, A) are not seen: their numbers go on
+    as points of the command before. Numbers before any command, after a close, and too few for a point are left out.
     """
     if text is None:
         return None
-    out, here, begin, control = [], (0.0, 0.0), (0.0, 0.0), None
+    out, here, begin, control = [], (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)
     tokens = _TOKEN.findall(text)
     at = 0
     while at < len(tokens):
         command = tokens[at]
         at += 1
-        kind, numbers = command.upper(), []
+        numbers = []
         while at < len(tokens) and not tokens[at].isalpha():
             numbers.append(float(tokens[at]))
             at += 1
-        if kind not in _TAKES:
-            continue
+        kind = command.upper()
         if kind == "Z":
             out.append(("Z", []))
             here = begin
-            continue
-        n = _TAKES[kind]
-        for k in range(len(numbers) // n):
+        n = _TAKES.get(kind, 0)
+        for k in range(len(numbers) // n if n else 0):
             x0, y0 = here if command.islower() else (0.0, 0.0)
             part = numbers[k * n : (k + 1) * n]
             if kind == "H":
@@ -78,8 +77,7 @@ def parse_svg_path(text: str | None) -> list[tuple[str, list[float]]] | None:
             else:
                 points = [(x0 + part[i], y0 + part[i + 1]) for i in range(0, n, 2)]
             if kind == "S":
-                mirror = here if control is None else (2 * here[0] - control[0], 2 * here[1] - control[1])
-                points = [mirror, *points]
+                points = [(2 * here[0] - control[0], 2 * here[1] - control[1]), *points]
             op = "C" if len(points) == 3 else "M" if kind == "M" and k == 0 else "L"
             out.append((op, [c for p in points for c in p]))
             here = points[-1]
