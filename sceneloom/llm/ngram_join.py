@@ -287,7 +287,10 @@ def _answers(raw: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and d1, d2 (which tell sets apart) of every row of docs.
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), key and first_key of every row of docs.
+
+    key is a hash of the row's doc_id and text; first_key is the key of the oldest text (by doc_id, null last) of
+    those that its links reach, before links of one doc_id are pooled: the row that can stand for all.
 
     Words are lower-cased (A-Z); a text with 1 to n - 1 words has its whole sequence as its one n-gram; null
     and empty texts have none, link with nothing, and are their own component. Two rows link when
@@ -305,7 +308,8 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) ->
     raw = written(docs.mapInArrow(_sets(n, (0.0, share), buckets), ROWS))
     members = raw.where("kind = 0").select("key", "doc_id", "n", "d1", "d2", "alone")
     classes = members.where("n > 0").groupBy("d1", "d2", "n")
-    classes = classes.agg(F.min("doc_id").alias("doc"), F.min("key").alias("key"), F.max("alone").alias("alone"), F.count(F.lit(1)).alias("copies"))
+    oldest = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "key")
+    classes = classes.agg(F.min("doc_id").alias("doc"), F.min_by("key", oldest).alias("key"), F.max("alone").alias("alone"), F.count(F.lit(1)).alias("copies"))
     classes = classes.join(_answers(raw), "d1", "left").withColumn("alone", F.col("alone") - F.coalesce("answers", F.lit(0))).drop("answers")
     classes = written(classes)
     join = _Join(n, num, den)
@@ -314,15 +318,15 @@ def link_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) ->
     hopeful = written(ordered.sortWithinPartitions(F.col("doc").asc_nulls_last(), "key").withColumn("cls", F.monotonically_increasing_id()))
     hopeful = join.filtered(docs, hopeful, (share, max(share, SECOND_SHARE)), buckets)
     groups = components(join.edges(docs, hopeful)).select(F.col("id").alias("cls"), "component")
-    labelled = written(hopeful.select("cls", "d1", "d2", "n", "doc").join(groups, "cls"))
-    least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"))
-    linked = labelled.join(least, "component").select("d1", "d2", "n", "component_id")
-    copies = classes.where("copies > 1").select("d1", "d2", "n", "doc").join(linked.drop("component_id"), ["d1", "d2", "n"], "left_anti")
-    named = _bounded(written(linked.unionByName(copies.withColumnRenamed("doc", "component_id")).withColumn("_named", F.lit(True))))
-    narrow = members.select("doc_id", "n", "d1", "d2")
-    out = narrow.join(named, ["d1", "d2", "n"], "left").withColumn("component_id", F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id")))
-    out = _pooled(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "d1", "d2"))
-    return out
+    labelled = written(hopeful.select("cls", "key", "d1", "d2", "n", "doc").join(groups, "cls"))
+    least = labelled.groupBy("component").agg(F.min("doc").alias("component_id"), F.min_by("key", "cls").alias("first_key"))
+    linked = labelled.join(least, "component").select("d1", "d2", "n", "component_id", "first_key")
+    copies = classes.where("copies > 1").select("d1", "d2", "n", F.col("doc").alias("component_id"), F.col("key").alias("first_key"))
+    copies = copies.join(linked.select("d1", "d2", "n"), ["d1", "d2", "n"], "left_anti")
+    named = _bounded(written(linked.unionByName(copies).withColumn("_named", F.lit(True))))
+    out = members.drop("alone").join(named, ["d1", "d2", "n"], "left")
+    own = lambda c, d: F.when(F.col("_named"), F.col(c)).otherwise(F.col(d)).alias(c)
+    return _pooled(out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id", "doc_id"), "key", own("first_key", "key")))
 
 
 def _pooled(rows: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ A file's ids are replaced by their rank in that file (the most frequent is 0), s
 byte.  Four ranks share one control byte (two bits each: length 1 to 4); control bytes and data bytes are
 separate streams, which numpy decodes by table lookup without a loop over values.
 
-Documents are dealt to ranges of doc_id, sorted, and cut into files of about FILE_IDS ids, each with its
-own rank table, so that a file decodes by itself and one pass over the texts suffices.  Files travel in
-a Parquet column (one file per row), as Spark's committer makes writing safe against lost executors.
+Documents are dealt to ranges of (doc_id, hash of the text), one range a task, sorted, and cut into files
+of about FILE_IDS ids, each with its own rank table, so that a file decodes by itself and one pass over
+the texts suffices.  Files travel in a Parquet column (one file per row), as Spark's committer makes
+writing safe against lost executors.
 
 Tokenising: a text is cut where the tokenizer's own pre-splitting cuts for certain (before a single space
 or line feed between visible characters, and before punctuation that follows a letter or digit), and each
@@ -16,12 +17,16 @@ single id; no cut falls inside it.
 
 from __future__ import annotations
 
+import json
+import math
 import os
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +34,11 @@ from pyspark.sql import functions as F
 from .common import byte_batches, documents, small_enough, shared_dir, span_hashes
 
 FILE_IDS = 1 << 20
-DOCS_PER_RANGE, MOST_RANGES = 2048, 4096
-CACHED_PIECES = 1_500_000
+#: Bytes of text of a range: at least so many; beyond that both a range and their number grow with the root of all bytes
+#: (1 GB each, 100,000 of them, at 100 TB), so that neither a task's share nor the list of bounds gets out of hand.
+RANGE_BYTES, RANGE_ROOT = 16 << 20, 10_000
+#: Pieces that a worker keeps, and how many are found before they are sorted in with the rest.
+CACHED_PIECES, MERGED_PIECES = 1_500_000, 50_000
 END_ID = 0
 
 _ALNUM = np.zeros(256, bool)
@@ -60,49 +68,88 @@ def piece_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Table:
+    """Sorted keys with values (rows of numbers) by key."""
+
+    def __init__(self) -> None:
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((3, 0), np.int64)
+
+    def look_up(self, key: np.ndarray, out: np.ndarray) -> None:
+        """Set the columns of out whose key is known."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = np.flatnonzero(self.keys[at] == key)
+            out[:, known] = self.values[:, at[known]]
+
+    def insert(self, key: np.ndarray, values: np.ndarray) -> None:
+        keys = np.concatenate([self.keys, key])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], np.concatenate([self.values, values], 1)[:, order]
+
+
+def cuts_as_known(tokenizer) -> bool:
+    """Whether a tokenizer splits as piece_starts supposes: byte-level pieces by the usual pattern, nothing changed before."""
+    told = json.loads(tokenizer.to_str())
+    before = told.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return plain and told.get("normalizer") is None and all(not t["lstrip"] and not t["rstrip"] for t in told["added_tokens"])
+
+
 class Pieces:
-    """Ids of distinct pieces of text, found by hash and checked by a second hash; kept in a worker between batches."""
+    """Ids of distinct pieces of text, found by hash and checked by a second hash; kept in a worker between batches.
+
+    With a tokenizer that splits otherwise than piece_starts supposes, a piece is a whole text.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.starts = piece_starts if cuts_as_known(self.tokenizer) else lambda data, off: np.unique(off[:-1][off[:-1] < off[1:]])
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.sums = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.tables = [_Table(), _Table()]  # many pieces, and those found since
         self.pool, self.used = np.full(1 << 16, END_ID, self.dtype), 1  # the first id is the end id
 
     def places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each piece, where its ids lie in the pool and how many they are."""
-        if len(self.keys) > CACHED_PIECES:
+        if sum(len(t.keys) for t in self.tables) > CACHED_PIECES:
             self.clear()
-        key, at, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        inverse, key = pd.factorize(span_hashes(data, start, end))
+        order = np.argsort(key)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        inverse, key = rank[inverse], key[order]  # keys in order are found faster
+        at = np.empty(len(key), np.int64)
+        at[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)  # the first piece of each key
         check = span_hashes(data, start, end, second=True)
-        sums, where = check[at], np.searchsorted(self.keys, key)
-        known = where < len(self.keys)
-        known[known] = self.keys[where[known]] == key[known]
-        new = np.flatnonzero(~known)
+        found = np.full((3, len(key)), -1, np.int64)  # check, first, size
+        for table in self.tables:
+            table.look_up(key, found)
+        new = np.flatnonzero(found[2] < 0)
         if len(new):
             first, size = self.add(data, start[at[new]], end[at[new]])
-            order = np.argsort(merged := np.concatenate([self.keys, key[new]]), kind="stable")
-            self.keys, self.sums = merged[order], np.concatenate([self.sums, sums[new]])[order]
-            self.first, self.size = np.concatenate([self.first, first])[order], np.concatenate([self.size, size])[order]
-            where = np.searchsorted(self.keys, key)
-        first, size = self.first[where][inverse], self.size[where][inverse]
-        other = np.flatnonzero(check != self.sums[where][inverse])  # two pieces with one hash: encoded each time
+            found[:, new] = check[at[new]].view(np.int64), first, size
+            many, fresh = self.tables
+            fresh.insert(key[new], found[:, new])
+            if len(fresh.keys) > max(MERGED_PIECES, len(many.keys) // 8):
+                many.insert(fresh.keys, fresh.values)
+                self.tables[1] = _Table()
+        sums, first, size = (x[inverse] for x in found)
+        other = np.flatnonzero(check.view(np.int64) != sums)  # two pieces with one hash: encoded each time
         if len(other):
             first[other], size[other] = self.add(data, start[other], end[other])
         return first, size
 
     def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())], add_special_tokens=False)]
+        texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist())]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), self.dtype, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(size.sum()))
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         first = self.used + np.cumsum(size) - size
@@ -112,7 +159,7 @@ class Pieces:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of a batch of texts, an end id after each."""
-        start = piece_starts(data, off)
+        start = self.starts(data, off)
         doc = np.searchsorted(off, start, "right") - 1
         end = np.minimum(np.concatenate([start[1:], [len(data)]]), off[doc + 1]) if len(start) else start
         first, size = self.places(data, start, end) if len(start) else (start, start)
@@ -137,19 +184,31 @@ def binary_column(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def tokenised(docs: DataFrame, path: str, bounds: list) -> DataFrame:
-    """(doc_id, part, ids): ids as little-endian bytes, part the number of bounds at or below doc_id (null: -1)."""
+def range_numbers(docs: pa.Array, hashes: np.ndarray, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of the bounds (doc_id, hash), in order, are at or below each (doc_id, hash); null ids come first."""
+    ids = docs.fill_null(_FIRST).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(edges[0], ids), np.searchsorted(edges[0], ids, "right")
+    for i in np.flatnonzero(low < high):  # bounds within one doc_id
+        high[i] = low[i] + np.searchsorted(edges[1][low[i] : high[i]], hashes[i], "right")
+    return high
+
+
+_FIRST = -(1 << 63)
+
+
+def tokenised(docs: DataFrame, path: str, bounds: list[tuple[int | None, int]]) -> DataFrame:
+    """(doc_id, hash, part, ids): ids as little-endian bytes, part the range by bounds, sorted (doc_id, hash of the text)."""
+    edges = (np.array([_FIRST if d is None else d for d, _ in bounds], np.int64), np.array([h for _, h in bounds], np.int64))
 
     def run(batches):
-        tool, edges = pieces(path), np.array(bounds, np.int64)
+        tool = pieces(path)
         for rows, data, off in byte_batches(batches, "text"):
-            ids = rows.column(rows.schema.get_field_index("doc_id"))
-            part = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
-            part[ids.is_null().to_numpy(zero_copy_only=False)] = -1
+            ids, hashes = (rows.column(rows.schema.get_field_index(c)) for c in ("doc_id", "hash"))
+            part = range_numbers(ids, hashes.to_numpy(), edges)
             stops, values = tool.encode(data, off)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(part, pa.int32()), binary_column(values, stops)], names=["doc_id", "part", "ids"])
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(part, pa.int32()), binary_column(values, stops)], names=["doc_id", "hash", "part", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, part int, ids binary")
+    return docs.select("doc_id", "hash", "text").mapInArrow(run, "doc_id bigint, hash bigint, part int, ids binary")
 
 
 # The file format ----------------------------------------------------------------------------------
@@ -226,18 +285,30 @@ def to_files(batches, dtype: str, most: int = FILE_IDS):
         yield flush()
 
 
+def _bounds(docs: DataFrame) -> list[tuple[int | None, int]]:
+    """Where ranges of (doc_id, hash) begin, but for the first: as many as the bytes of the texts ask for."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = math.ceil(size / max(RANGE_BYTES, math.sqrt(size * RANGE_ROOT)))
+    if ranges < 2:
+        return []
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    dealt = docs.select("doc_id", "hash").repartitionByRange(ranges, *order).withColumn("part", F.spark_partition_id())
+    least = dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "hash")).alias("x"))
+    rows = least.orderBy("part").select("x.doc_id", "x.hash").collect()  # one row a range
+    return [tuple(r) for r in rows[1:]]
+
+
 def write_token_files(docs: DataFrame, out: str, tokenizer: str) -> None:
-    """Write the ids of every row of docs under `out`, in ascending doc_id order (nulls first; rows with one doc_id by their ids).
+    """Write the ids of every row of docs under `out`, in ascending doc_id order (nulls first; rows with one doc_id by a hash of the text).
 
     Null texts count as empty and hold the end id alone. An empty table gives no files. Columns other
-    than doc_id and text are not looked at.
+    than doc_id and text are not looked at. A very long text is one batch by itself. Rows of one doc_id may lie in several ranges.
     """
-    n = docs.count()
-    ranges = min(MOST_RANGES, max(1, -(-n // DOCS_PER_RANGE)))
-    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / ranges for k in range(1, ranges)], 100_000)).first()[0] if ranges > 1 else None
-    rows = tokenised(docs, tokenizer, sorted(set(bounds or [])))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
+    bounds = _bounds(docs)
     dtype = np.dtype(pieces(tokenizer).dtype).newbyteorder("<").str
-    rows = rows.repartition(max(ranges, 1), "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), F.col("ids"))
+    rows = tokenised(docs, tokenizer, bounds).repartitionById(len(bounds) + 1, "part")
+    rows = rows.sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "hash").drop("hash")
     files = rows.mapInArrow(lambda batches: to_files(batches, dtype), "part int, seq int, n_docs bigint, n_ids bigint, file binary")
     files.write.mode("overwrite").option("compression", "zstd").parquet(out)
 
@@ -247,7 +318,7 @@ def read_token_files(spark, path: str) -> DataFrame:
     files = spark.read.schema("part int, seq int, n_docs bigint, n_ids bigint, file binary").parquet(path)
     inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     blocks = files.select("part", "seq", "n_ids")
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row per range, at most MOST_RANGES + 1
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # one row a range
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     begins = blocks.withColumn("inner", F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).join(F.broadcast(parts), "part")
     begins = begins.select("part", "seq", (F.col("base") + F.col("inner")).alias("base"))
