@@ -171,3 +171,13 @@ def render_scale(width: Column, height: Column, scale: Column) -> Column:
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 code units."""
     return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2)
+
+
+def hash_bytes(text: Column) -> Column:
+    """The bytes of a hash in hexadecimal digits."""
+    return F.unhex(text)
+
+
+def hash_text(data: Column) -> Column:
+    """A hash's bytes as small hexadecimal digits."""
+    return F.lower(F.hex(data))

@@ -78,3 +78,8 @@ def table_cells(table_id: str, rows: list[list[str]], df_of) -> DataFrame:
         raise ValueError("a table needs at least one cell")
     cells = [(r, c, f"{table_id}>{r}>{c}", t) for r, line in enumerate(rows) for c, t in enumerate(line)]
     return df_of(cells, "row int, col int, key string, text string").withColumn("text", blank_as_space(F.col("text")))
+
+
+def reversed_ids(ids: DataFrame) -> DataFrame:
+    """(new, old) of (old, new): where several old ids have one new id, the last by id."""
+    return ids.groupBy("new").agg(F.max("old").alias("old"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sceneloom.functions.scalars import inventory_weight
 
+from .tree import walk
+
 
 def inventory(texts: DataFrame) -> DataFrame:
     """(family, weight): each family and weight in texts (family, style), once."""
@@ -31,6 +33,63 @@ def resolve(needed: DataFrame, builtin: DataFrame, sources: DataFrame) -> DataFr
     return per.select("family", "n_weights", gone.cast("long").alias("n_missing"), "missing", state.alias("state"))
 
 
-def preferred(found: DataFrame, key: str, rank: str, path: str) -> DataFrame:
+def preferred(found: DataFrame, key: list[str], rank: str, path: str) -> DataFrame:
     """(key, path): of the paths that exist, the one that comes first."""
-    return found.where(F.col(path).isNotNull()).groupBy(key).agg(F.min_by(path, rank).alias(path))
+    return found.where(F.col(path).isNotNull()).groupBy(*key).agg(F.min_by(path, rank).alias(path))
+
+
+#: Endings of font files, names by weight, and file names of packaged fonts in order of preference.
+ENDINGS = ("ttf", "otf", "woff", "woff2")
+WEIGHT_NAMES = {
+    100: ("thin", "hairline"), 200: ("extralight", "ultralight"), 300: ("light",), 400: ("regular", "normal"), 500: ("medium",),
+    600: ("semibold", "demibold"), 700: ("bold",), 800: ("extrabold", "ultrabold"), 900: ("black", "heavy"),
+}
+PACKAGED = ("{}-latin-{}-normal.woff2", "{}-latin-{}-normal.woff", "{}-latin-{}-normal.ttf", "{}-all-{}-normal.woff2")
+
+
+def read_fonts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, bytes) of every font file below a folder that Spark can list."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(ENDINGS) + "}")
+    return files.load(folder).select("path", F.col("content").alias("bytes"))
+
+
+def packaged(families: DataFrame, files: DataFrame) -> DataFrame:
+    """(slug, weight, file): for each of families (slug, weight) the preferred one of its packaged files that is in files (column file)."""
+    names = F.array(*(F.format_string(p.replace("{}", "%s"), F.col("slug"), F.col("weight").cast("string")) for p in PACKAGED))
+    wanted = families.select("slug", "weight", F.posexplode(names).alias("rank", "file"))
+    return preferred(wanted.join(files.select("file").distinct(), "file"), ["slug", "weight"], "rank", "file")
+
+
+def all_or_none(found: DataFrame, family: str, weights: list[int]) -> DataFrame:
+    """(family, complete): whether every one of a family's weights is found (family, weight); a part of them does not count."""
+    have = found.where(F.col("weight").isin(weights)).groupBy(family).agg(F.count_distinct("weight").alias("n"))
+    return have.select(family, (F.col("n") == len(weights)).alias("complete"))
+
+
+def system_fonts(needed: DataFrame, files: DataFrame) -> DataFrame:
+    """(family, weight, file): the first of files (ord, file) that a family and weight can use.
+
+    A name has the family in it, with blanks left out, as dashes or as underscores, and one of the weight's names; a
+    plain name (no dash and word before its ending) is regular, and a collection serves all weights.
+    """
+    low = F.lower("file")
+    fonts = files.where(low.rlike(r"\.(ttf|otf|ttc)$")).select("ord", "file", low.alias("low"))
+    family = F.lower("family")
+    slugs = F.array(*(F.regexp_replace(family, r"\s+", by) for by in ("", "-", "_")))
+    # Families and font files of a machine are few hundreds each: every pair is looked at, the smaller side sent to all.
+    wanted = needed.select("family", "weight", F.explode(F.array_distinct(slugs)).alias("slug"))
+    both = fonts.join(F.broadcast(wanted), F.col("low").contains(F.col("slug")))
+    plain = (F.col("weight") == 400) & ~F.col("low").rlike(r"-\w+\.")
+    named = F.lit(False)
+    for weight, names in WEIGHT_NAMES.items():
+        for name in names:
+            named = named | ((F.col("weight") == weight) & F.col("low").contains(name))
+    fits = F.col("low").endswith(".ttc") | plain | named
+    return both.where(fits).groupBy("family", "weight").agg(F.min_by("file", "ord").alias("file"))
+
+
+def scan(nodes: DataFrame, slides: DataFrame) -> DataFrame:
+    """(family, weight) of the live texts below slides (column id): removed nodes end a branch, and instances are not entered."""
+    below = walk(nodes, slides, skip_removed=True, path=False).select("id").distinct()
+    texts = nodes.join(below, "id").where("type = 'TEXT'")
+    return inventory(texts.select(F.col("font_family").alias("family"), F.col("font_style").alias("style")))

@@ -47,3 +47,11 @@ def named_or_id(nodes: DataFrame, ref: str, kind: str = "SLIDE", removed_too: bo
     by_name = of.where(F.col("name") == ref) if removed_too else of.where(is_live()).where(F.col("name") == ref)
     both = of.where(F.col("id") == ref).withColumn("_by", F.lit(0)).unionByName(by_name.withColumn("_by", F.lit(1)))
     return both.orderBy("_by", "ord").limit(1).drop("_by")
+
+
+def by_reference(nodes: DataFrame, refs: DataFrame, kind: str = "SLIDE", removed_too: bool = False) -> DataFrame:
+    """refs (ref) with id: of the node of a type that has ref as its id, else of the first by that name (live ones only, unless removed_too); null if none."""
+    of = nodes.where(F.col("type") == kind)
+    named = (of if removed_too else of.where(is_live())).groupBy(F.col("name").alias("_name")).agg(F.min_by("id", "ord").alias("_named"))
+    out = refs.join(of.select(F.col("id").alias("_id")), F.col("ref") == F.col("_id"), "left").join(named, F.col("ref") == F.col("_name"), "left")
+    return out.select(*refs.columns, F.coalesce("_id", "_named").alias("id"))

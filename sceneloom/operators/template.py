@@ -170,3 +170,18 @@ def with_paint(paints: Column, paint: Column) -> Column:
 def orphans(nodes: DataFrame) -> DataFrame:
     """Nodes but the document whose parent is missing, as after a prune."""
     return roots(nodes).where("pid is not null").select("id", "pid")
+
+
+def import_blobs(uses: DataFrame, source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uses with new places of their byte strings, target with those appended).
+
+    uses: place (of the import) and blob (a place in source); source and target: ix, bytes. Within one import a byte string is
+    copied once; places that source does not have stay as they are.
+    """
+    have = source.select(F.col("ix").alias("blob"), "bytes")
+    first = target.agg(F.coalesce(F.max("ix") + 1, F.lit(0))).first()[0]
+    fresh = written(numbered(uses.select("place", "blob").distinct().join(have, "blob"), ["place", "blob"], "_new", first))
+    named = fresh.select(F.col("place").alias("_place"), F.col("blob").alias("_blob"), "_new")
+    out = uses.join(named, (F.col("place") == F.col("_place")) & (F.col("blob") == F.col("_blob")), "left")
+    out = out.withColumn("blob", F.coalesce("_new", "blob")).select(*uses.columns)
+    return out, target.unionByName(fresh.select(F.col("_new").alias("ix"), "bytes"))

@@ -72,3 +72,38 @@ def format_dictionary(runs: DataFrame, key: str, order: str, style: str, plain)
     ids = first.select(key, F.col(style).alias("_style"), F.row_number().over(Window.partitionBy(key).orderBy("seen")).alias("_id")).withColumnRenamed(key, "_key")
     out = runs.join(ids, (F.col(key) == F.col("_key")) & F.col(style).eqNullSafe(F.col("_style")), "left")
     return out.withColumn("style_id", F.coalesce("_id", F.lit(0))).drop("_key", "_style", "_id")
+
+
+#: Kinds of lines.
+PLAIN, BULLET, NUMBER = "PLAIN", "UNORDERED_LIST", "ORDERED_LIST"
+
+
+def list_lines(texts: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+    """(key, line, line_type, indent, is_first) of texts that are a list as a whole: `kind` is number, else bullet.
+
+    An empty last line is plain; the first line of a list is one after a plain line, or the first of all.
+    """
+    lines = texts.select(key, F.col(kind).alias("_kind"), F.split(text, "\n").alias("_lines"))
+    lines = lines.select(key, "_kind", F.size("_lines").alias("_n"), F.posexplode("_lines").alias("line", "content"))
+    last = (F.col("line") == F.col("_n") - 1) & (F.col("content") == "")
+    kind_of = F.when(last, PLAIN).when(F.col("_kind") == "number", NUMBER).otherwise(BULLET)
+    return lines.select(key, "line", kind_of.alias("line_type"), F.when(last, 0).otherwise(1).alias("indent"), (~last & (F.col("line") == 0)).alias("is_first"))
+
+
+def run_lines(texts: DataFrame, runs: DataFrame, key: str = "key") -> DataFrame:
+    """(key, line, line_type, indent, is_first) of texts (key, text) made of runs (key, run_start in UTF-16 units, bullet, number, indent).
+
+    A line is of the kind of the run that holds its first character: bullet before number; an empty last line is plain. The
+    first line of a list differs in kind or indent from the line before.
+    """
+    starts = line_offsets(texts, key, "text")
+    kind = F.when(F.coalesce("bullet", F.lit(False)), BULLET).when(F.coalesce("number", F.lit(False)), NUMBER).otherwise(PLAIN)
+    told = runs.select(key, "run_start", F.struct(kind.alias("kind"), F.when(kind == PLAIN, 0).otherwise(F.coalesce("indent", F.lit(1))).alias("indent")).alias("run"))
+    lines = starts.join(run_at(starts.select(key, "start").distinct(), told, key, "start", "run_start", "run"), [key, "start"])
+    ends = starts.groupBy(key).agg(F.max("line").alias("_last"))
+    lines = lines.join(ends, key)
+    plain = (F.col("line") == F.col("_last")) & (F.col("length") == 0)
+    lines = lines.withColumn("line_type", F.when(plain, PLAIN).otherwise(F.coalesce("run.kind", F.lit(PLAIN))))
+    lines = lines.withColumn("indent", F.when(plain, 0).otherwise(F.coalesce("run.indent", F.lit(0))))
+    out = first_of_list(lines, key, "line", "line_type", "indent")
+    return out.select(key, "line", "line_type", "indent", (F.col("is_first") & (F.col("line_type") != PLAIN)).alias("is_first"))

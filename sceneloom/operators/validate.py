@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.functions.scalars import contrast, luminance
+from sceneloom.functions.scalars import contrast, luminance, to_fixed
+
+from .resolve import dangling
+from .tree import is_live, walk_links
 
 
 def variant_parts(symbols: DataFrame) -> DataFrame:
@@ -34,3 +37,34 @@ def low_contrast(texts: DataFrame, least: float = 2.0) -> DataFrame:
     bg = [F.coalesce(F.col(f"bg_{c}"), F.lit(1.0)) for c in "rgb"]
     ratio = contrast(luminance(*(F.col(c) for c in "rgb")), luminance(*bg))
     return texts.withColumn("ratio", ratio).where(F.col("ratio") < least)
+
+
+def first_colour(paints: str = "fill_paints"):
+    """Colour of the first paint, of whatever type, seen or not; null without one."""
+    p = F.try_element_at(F.col(paints), F.lit(1))
+    return F.when(p["r"].isNotNull(), F.struct(*(p[c].alias(c) for c in "rgb")))
+
+
+def slide_contrast(nodes: DataFrame) -> DataFrame:
+    """(slide, id, name, ratio) of every text below a live slide, through instances and removed nodes too, whose contrast with the slide's background is low."""
+    slides = nodes.where("type = 'SLIDE'").where(is_live())
+    found = walk_links(nodes, slides.select("id"), skip_removed=False, enter_symbol=True).select(F.col("root").alias("slide"), "id")
+    ground = slides.select(F.col("id").alias("slide"), first_colour().alias("_bg"))
+    texts = nodes.where("type = 'TEXT'").select("id", "name", first_colour().alias("_fg")).where("_fg is not null")
+    rows = found.join(texts, "id").join(ground, "slide")
+    rows = rows.select("slide", "id", "name", *(F.col(f"_fg.{c}").alias(c) for c in "rgb"), *(F.col(f"_bg.{c}").alias(f"bg_{c}") for c in "rgb"))
+    return low_contrast(rows).select("slide", "id", "name", "ratio")
+
+
+def warnings(nodes: DataFrame) -> DataFrame:
+    """(kind, id, message): what is wrong with a document: variant values that no symbol lists, instances without symbol, texts hard to read."""
+    quoted = lambda c: F.concat(F.lit(' "'), F.coalesce(c, F.lit("")), F.lit('"'))
+    named = nodes.select("id", "name")
+    variants = variant_mismatches(nodes.where("type = 'SYMBOL'").where(is_live())).join(named, "id")
+    told = F.concat(F.lit("SYMBOL "), "id", quoted("name"), F.lit(': variant value "'), "value", F.lit('" is in no symbol of the component'))
+    lost = dangling(nodes.where("symbol_id is not null or type <> 'INSTANCE'"))
+    missing = F.concat(F.lit("INSTANCE "), "id", quoted("name"), F.lit(": references missing SYMBOL "), "symbol_id")
+    pale = F.concat(F.lit("TEXT "), "id", quoted("name"), F.lit(": contrast ratio "), to_fixed(F.col("ratio"), 2), F.lit(":1 on slide "), "slide", F.lit(" is below 2:1"))
+    out = variants.select(F.lit("variant").alias("kind"), "id", told.alias("message"))
+    out = out.unionByName(lost.select(F.lit("missing").alias("kind"), "id", missing.alias("message")))
+    return out.unionByName(slide_contrast(nodes).select(F.lit("contrast").alias("kind"), "id", pale.alias("message")))
