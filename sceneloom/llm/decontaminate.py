@@ -134,7 +134,7 @@ def _blocks(items: DataFrame):
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, item_id (best, ties to the smallest), score (share of the item's best) and n_items of every row.
 
-    Null and empty texts are clean. Items without words match nothing; one of a single word matches wherever it stands.
+    Null and empty texts are clean; very long ones are searched whole; an empty table of documents gives an empty table. Items without words match nothing; one of a single word matches wherever it stands.
     Repeated rows are judged alike, repeated items counted one by one. Columns other than doc_id, item_id
     and text are not looked at; without items every row is clean. Each row has one result for each block
     of items, and blocks are merged by a grouped maximum over a row number that is fixed beforehand.

@@ -121,7 +121,9 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
     docs gives the labelled text. Without any labelled text there is no language: lang, text_lang and
     confidence are null. A page without text has only the other evidence; a null address has a null host,
-    domain and suffix, which are groups of their own. Ties go to the first language in order of code.
+    domain and suffix, which are groups of their own. Ties go to the first language in order of code. Repeated
+    rows are judged one by one, alike; other columns are not looked at; an empty table gives an empty table; very long
+    pages are read whole.
     """
     langs, table = fit(docs)
     found = text_evidence(pages, langs, table)

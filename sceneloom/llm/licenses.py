@@ -1,14 +1,21 @@
 """Licence scans by sentence rules.
 
 Texts are cut into pieces at line ends and sentence ends and normalised to lower-case words.  A run of
-whole pieces that reads as a known licence sentence becomes that sentence's identifier; ordered licence
-rules are then matched against the sequence of identifiers, the longest first at each place, and what
-they use up is not used again.
+whole pieces becomes a sentence's identifier if it
+
+- reads as a known licence sentence (looked up whole),
+- is a reference: a form such as "this project is licensed under the terms of", or the tag of a licence
+  identifier, around one of a licence's names, or
+- comes close to a known sentence of at least LONG words: a named holder or a changed word does no harm.
+
+Ordered licence rules are then matched against the sequence of identifiers, the longest first at each
+place, and what they use up is not used again.
 """
 
 from __future__ import annotations
 
 import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -56,7 +63,34 @@ SENTENCES = {
     "cc-by-nc-4-ref": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."],
     "cc-by-4-ref": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
     "cc-by-sa-4-ref": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0."],
-    "no-warranty": ["The software is provided \"as is\", without warranty of any kind, express or implied."],
+    "no-warranty": [
+        "The software is provided \"as is\", without warranty of any kind, express or implied.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+    ],
+    "bsd-disclaimer": ["This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."],
+    "gpl-title": ["GNU General Public License"],
+    "lgpl-title": ["GNU Lesser General Public License"],
+    "agpl-title": ["GNU Affero General Public License"],
+    "version-3-2007": ["Version 3, 29 June 2007"],
+    "version-3-agpl": ["Version 3, 19 November 2007"],
+    "version-2-1991": ["Version 2, June 1991"],
+    "version-2.1-1999": ["Version 2.1, February 1999"],
+    "lgpl-modify2.1+": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ],
+    "agpl-modify3+": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ],
+    "apache2-title": ["Apache License Version 2.0, January 2004"],
+    "epl2-terms": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "unlicense-domain": ["This is free and unencumbered software released into the public domain."],
+    "zlib-asis": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"],
+    "bsl-grant": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+    ],
+    "mpl2-file": ["If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "cc0-dedicate": ["To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."],
 }
 #: Ordered rules: a licence and the sequence of sentences that states it. Longer sequences stand first.
 RULES = [
@@ -81,9 +115,64 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-4-ref"]),
     ("CC-BY-4.0", ["cc-by-4-ref"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4-ref"]),
+    ("GPL-3.0-only", ["gpl-title", "version-3-2007"]),
+    ("GPL-2.0-only", ["gpl-title", "version-2-1991"]),
+    ("LGPL-3.0-only", ["lgpl-title", "version-3-2007"]),
+    ("LGPL-2.1-only", ["lgpl-title", "version-2.1-1999"]),
+    ("AGPL-3.0-only", ["agpl-title", "version-3-agpl"]),
+    ("LGPL-2.1-or-later", ["lgpl-modify2.1+"]),
+    ("AGPL-3.0-or-later", ["agpl-modify3+", "gpl-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl-modify3+"]),
+    ("Apache-2.0", ["apache2-title"]),
+    ("EPL-2.0", ["epl2-terms"]),
+    ("Unlicense", ["unlicense-domain"]),
+    ("Zlib", ["zlib-asis", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("BSL-1.0", ["bsl-grant"]),
+    ("MPL-2.0", ["mpl2-ref", "mpl2-file"]),
+    ("CC0-1.0", ["cc0-dedicate"]),
+    ("MIT", ["mit-title", "mit-grant", "mit-notice", "no-warranty"]),
+    ("MIT", ["mit-grant", "mit-notice", "no-warranty"]),
+    ("BSD-3-Clause", ["bsd-may", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-disclaimer"]),
+    ("BSD-2-Clause", ["bsd-may", "bsd-source", "bsd-binary", "bsd-disclaimer"]),
 ]
+#: What licences are called, by identifier; the identifier itself is a name too.
+NAMES = {
+    "MIT": ["MIT License", "MIT Licence", "Expat License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache License v2", "Apache License v2.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"],
+    "ISC": ["ISC License"],
+    "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2", "GPL v2", "GPL 2.0"],
+    "GPL-2.0-or-later": ["GNU General Public License, version 2 or later", "GPLv2 or later", "GPLv2+"],
+    "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3", "GPL v3", "GPL 3.0"],
+    "GPL-3.0-or-later": ["GNU General Public License, version 3 or later", "GPLv3 or later", "GPLv3+"],
+    "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPLv2.1", "LGPL 2.1"],
+    "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3", "LGPL 3.0"],
+    "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3", "AGPLv3", "AGPL 3.0"],
+    "MPL-2.0": ["Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0"],
+    "EPL-1.0": ["Eclipse Public License 1.0", "Eclipse Public License v1.0", "EPL 1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0", "EPL 2.0"],
+    "CC-BY-4.0": ["CC BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC0-1.0": ["CC0 1.0", "CC0", "Creative Commons Zero v1.0 Universal", "CC0 1.0 Universal"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "Artistic-2.0": ["Artistic License 2.0", "Perl Artistic License 2.0"],
+    "WTFPL": ["WTFPL"],
+}
+#: Forms of a reference; every choice of their parts before a name counts (subject, verb, terms).
+SUBJECTS = r"(?:(?:this|the|our|all|it|its) (?:\w+ ){0,3}?(?:is|are) )?(?:dual )?"
+VERBS = r"(?:licen[sc]ed|released|distributed|available|published|provided|made available|covered|redistributed|shared)"
+TERMS = r" (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
+TAG = r"(?:spdx )?licen[sc]e(?: identifier)? "
+#: A known sentence of so many words or more is recognised if so much of its three-word runs is there, and so little else.
+LONG, CLOSE = 12, 0.65
 #: Every known sentence holds one of these (a test asserts it), so a text without any is passed over whole.
-TRIGGERS = (b"licen", b"permi", b"redistrib", b"warrant", b"promote", b"copyright")
+TRIGGERS = (b"licen", b"permi", b"redistrib", b"warrant", b"promote", b"copyright", b"29 june 2007", b"november 2007", b"june 1991", b"february 1999", b"public domain", b"under ", b"covered by", b"mpl")
 
 _WORD = re.compile(r"[^\W_]+")
 _PIECE = re.compile(r"\n|(?<=[.;:!?])\s+")
@@ -97,28 +186,81 @@ def known_sentences(sentences: dict[str, list[str]] | None = None) -> dict[tuple
     return {normalise(s): k for k, forms in (sentences or SENTENCES).items() for s in forms}
 
 
-def sentence_ids(text: str, known: dict[tuple[str, ...], str]) -> list[str]:
-    """Identifiers of the known sentences in text, in order; at each piece the longest that starts there."""
-    pieces = [normalise(p) for p in _PIECE.split(text)]
-    pieces = [p for p in pieces if p]
-    most, heads, found, i = max(map(len, known), default=0), {k[0] for k in known}, [], 0
-    while i < len(pieces):
+def _runs(words: tuple[str, ...]) -> set[tuple[str, ...]]:
+    return {words[i : i + 3] for i in range(len(words) - 2)}
+
+
+class Sentences:
+    """Known sentences, references by name, and the three-word runs of long sentences."""
+
+    def __init__(self, sentences: dict[str, list[str]] | None = None, names: dict[str, list[str]] | None = None) -> None:
+        self.known = known_sentences(sentences)
+        self.heads, self.most = {k[0] for k in self.known}, max(map(len, self.known), default=0)
+        names = NAMES if names is None and sentences is None else names or {}
+        self.names = {" ".join(normalise(n)): licence for licence, forms in names.items() for n in [licence, *forms]}
+        any_name = "|".join(sorted(map(re.escape, self.names), key=len, reverse=True))
+        self.reference = re.compile(f"(?:{SUBJECTS}{VERBS}{TERMS}|{TAG})({any_name})(?: licen[sc]e)?$") if names else None
+        self.longest_reference = 12 + max((len(n.split()) for n in self.names), default=0)
+        self.long = [(k, ident, _runs(k)) for k, ident in self.known.items() if len(k) >= LONG]
+        self.by_run: dict[tuple[str, ...], list[int]] = {}
+        for number, (_, _, runs) in enumerate(self.long):
+            for run in runs:
+                self.by_run.setdefault(run, []).append(number)
+
+    def exact(self, pieces: list[tuple[str, ...]], i: int) -> tuple[str, int] | None:
+        """(identifier, next piece) of the longest known sentence that begins at piece i."""
+        best, run, j = None, (), i
+        while pieces[i][0] in self.heads and j < len(pieces) and len(run) + len(pieces[j]) <= self.most:
+            run, j = run + pieces[j], j + 1
+            if run in self.known:
+                best = (self.known[run], j)
+        return best
+
+    def referred(self, pieces: list[tuple[str, ...]], i: int) -> tuple[str, int] | None:
+        """The same for a reference to a licence by name; its identifier is the licence's."""
         best, run, j = None, (), i
-        while pieces[i][0] in heads and j < len(pieces) and len(run) + len(pieces[j]) <= most:
+        while self.reference and j < len(pieces) and len(run) + len(pieces[j]) <= self.longest_reference:
             run, j = run + pieces[j], j + 1
-            if run in known:
-                best = (known[run], j)
-        if best:
-            found.append(best[0])
-        i = best[1] if best else i + 1
+            if (m := self.reference.match(" ".join(run))) and m.end() == len(" ".join(run)):
+                best = (f"ref:{self.names[m.group(1)]}", j)
+        return best
+
+    def close(self, pieces: list[tuple[str, ...]], i: int) -> tuple[str, int] | None:
+        """The same for the known long sentence that a run of pieces comes closest to."""
+        first = tuple(w for p in pieces[i : i + 3] for w in p)
+        candidates = {n for run in _runs(first) for n in self.by_run.get(run, ())}
+        best, score = None, CLOSE
+        for number in candidates:
+            key, ident, runs = self.long[number]
+            words, j = (), i
+            while j < len(pieces) and len(words) < 1.3 * len(key):
+                words, j = words + pieces[j], j + 1
+                own = _runs(words)
+                share = len(own & runs) / max(len(own), len(runs))
+                if share > score:
+                    best, score = (ident, j), share
+        return best
+
+
+def sentence_ids(text: str, known: Sentences) -> list[str]:
+    """Identifiers of the licence sentences in text, in order; at each piece the longest known one, else a reference, else a close one."""
+    pieces = [p for p in map(normalise, _PIECE.split(text)) if p]
+    found, i = [], 0
+    while i < len(pieces):
+        hit = known.exact(pieces, i) or known.referred(pieces, i) or known.close(pieces, i)
+        if hit:
+            found.append(hit[0])
+        i = hit[1] if hit else i + 1
     return found
 
 
 def match_rules(ids: list[str], rules: list[tuple[str, list[str]]]) -> tuple[list[str], list[str]]:
-    """Licences whose rules match ids, in order, and the identifiers that no rule used."""
+    """Licences whose rules match ids, in order, and the identifiers that no rule used. A reference is a rule by itself."""
     licences, rest, i = [], [], 0
     while i < len(ids):
         hit = next(((name, len(seq)) for name, seq in rules if ids[i : i + len(seq)] == seq), None)
+        if ids[i].startswith("ref:"):
+            hit = (ids[i][4:], 1)
         if hit:
             licences.append(hit[0])
         else:
@@ -133,10 +275,11 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     A null or empty text has none (empty arrays). Every text is searched whole, repeated rows one by one.
     Other columns of docs are not looked at; an empty table gives an empty table.
     """
-    known, ordered = known_sentences(sentences), sorted(rules or RULES, key=lambda r: -len(r[1]))
+    ordered = sorted(rules or RULES, key=lambda r: -len(r[1]))
     custom = sentences is not None
 
     def run(batches):
+        known = Sentences(sentences)
         for rows, data, off in byte_batches(batches, "text", 1 << 22):
             raw, out = data.tobytes(), ([], [], [])
             low = raw.lower()

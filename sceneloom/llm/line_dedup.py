@@ -50,7 +50,7 @@ def drop_repeated_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Rows equal in doc_id and text are one document and judged alike. A null text stays null, without
     lines; a text of fewer than three lines has no window and stays whole. When all lines go, kept is ''.
-    Other columns of docs are not looked at.
+    Other columns of docs are not looked at; an empty table gives an empty table; a very long text goes through whole.
     """
     runs = covered_runs(docs, width).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "runs")
     rows = docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))

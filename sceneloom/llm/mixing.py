@@ -90,14 +90,14 @@ def with_source(rows: DataFrame, per_source: DataFrame, how: str = "inner") -> D
     return rows.join(right, rows["source"].eqNullSafe(right["_source"]), how).drop("_source")
 
 
-def document_hash(column: str = "doc_id"):
-    """36 bits of the md5 of an id's digits, the same in any SQL engine; a null id hashes as the empty string."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))), 1, 9), 16, 10).cast("long")
+def document_hash(column: str = "doc_id", text: str = "text"):
+    """36 bits of the md5 of an id's digits, the same in any SQL engine; without an id, of the text, and without that, of nothing."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.col(text), F.lit(""))), 1, 9), 16, 10).cast("long")
 
 
 def source_thresholds(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sizes of every row of docs, one row of budget and threshold per source)."""
-    sizes = written(count_words(docs.select("doc_id", "source", "text")).withColumn("h", document_hash()))
+    sizes = written(count_words(docs.select("doc_id", "source", "text", document_hash().alias("h"))))
     return sizes, thresholds(sizes, targets(sizes))
 
 
@@ -106,7 +106,11 @@ def copies():
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row 0, 1 or 2 times, whole, with its own columns (doc_id, source and text among them)."""
+    """docs as the mix takes them: each row 0, 1 or 2 times, whole, with its own columns (doc_id, source and text among them).
+
+    Rows with one doc_id share one decision, rows without one by their text. A null source is the last source;
+    null and empty texts have no words and are not taken; an empty table stays empty; texts are counted whole.
+    """
     names = docs.columns
     state = source_thresholds(docs)[1].select("source", "full", "threshold")
     rows = docs.select(F.struct(*names).alias("row"), F.col("source").alias("source"), document_hash().alias("h"))
@@ -117,7 +121,7 @@ def take(docs: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, h, source_size, target, copies (0 to 2), taken of every row of docs.
 
-    Rows with one doc_id share one decision, so repeated rows are taken alike. Null sources are one source,
+    Rows with one doc_id share one decision, rows without one by their text, so repeated rows are taken alike. Null sources are one source,
     the last. Empty and null texts have size 0 and take nothing. An empty table gives an empty table.
     """
     sizes, state = source_thresholds(docs)
@@ -130,7 +134,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 9))::BIGINT AS h FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size,
              CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s GROUP BY source),
 r AS (SELECT *, 2 * source_size / w::DOUBLE AS ratio FROM p),

@@ -141,7 +141,8 @@ def judge(docs: DataFrame, keep: float = 0.5) -> DataFrame:
 
     base_failed: under 50 words, or over half of the words repeat in three-word windows; then kept is
     false. Null and empty texts have no words and so fail. Repeated rows are judged one by one, alike.
-    Columns of docs other than doc_id and text are not looked at; an empty table gives an empty table.
+    Columns of docs other than doc_id and text are not looked at; an empty table gives an empty table; a very long
+    text is counted whole, as a batch by itself.
     """
     named = rules()
     pattern = sum((v * 3**k for k, v in enumerate(named.values())), F.lit(0)).cast("int")

@@ -64,9 +64,10 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int | None = None,
 
     Reruns agree: the keys are hashes of the row. Repeated rows are dealt one by one (which of them gets
     which slot makes no difference); nulls and empty values hash like any other; an empty table gives an
-    empty table. Columns of df named shard or slot are replaced. The driver sees one count per block.
+    empty table; a very long text goes whole with its row. Where df has a column named shard or slot, the new one
+    has an underscore at its end. The driver sees one count per block.
     """
-    df = df.drop("shard", "slot")
+    shard, slot_name = free_name(df, "shard"), free_name(df, "slot")
     block, rank, cell, bounds = (free_name(df, x) for x in ("_block", "_rank", "_cell", "_bounds"))
     first, key = free_name(df, "_first"), [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
     texts = [c for c, t in df.dtypes if t in ("string", "binary")]
@@ -101,7 +102,7 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int | None = None,
         at += m
     spark = df.sparkSession
     sent = F.broadcast(spark.createDataFrame(rows, f"{block} int, {bounds} array<bigint>"))  # blocks x cells numbers
-    places = F.broadcast(spark.createDataFrame(starts, f"{cell} int, shard int, {first} bigint"))
+    places = F.broadcast(spark.createDataFrame(starts, f"{cell} int, {shard} int, {first} bigint"))
     # Ties of both hashes are equal rows, but for what a hash passes over: nulls, told apart by flags, and those inside nested values.
     nulls, rest = [F.col(c).isNull() for c in key], [c for c in key if c not in texts]
     order = lambda k: [F.xxhash64(F.lit(seed + k), *key), F.xxhash64(F.lit(seed + k + 2), *nulls, *key), *rest]
@@ -109,7 +110,7 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int | None = None,
     placed = placed.withColumn(cell, F.size(F.filter(bounds, lambda x: x <= F.col(rank)))).drop(bounds, rank, block)
     placed = placed.join(places, cell)
     slot = F.row_number().over(Window.partitionBy(cell).orderBy(*order(2))) - 1 + F.col(first)
-    return placed.withColumn("slot", slot.cast("long")).drop(cell, first)
+    return placed.withColumn(slot_name, slot.cast("long")).drop(cell, first)
 
 
 def digests(docs: DataFrame, *others: str) -> DataFrame:

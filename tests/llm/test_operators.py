@@ -334,6 +334,115 @@ def test_licences(spark):
     assert all(out[4 + i]["licences"] == [] for i in range(len(EDGES)))
 
 
+def test_licence_references(spark):
+    """Short references, tags and named holders."""
+    texts = {
+        "This software is released under the MIT License.": ["MIT"], "SPDX-License-Identifier: MIT": ["MIT"], "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;": ["GPL-3.0-or-later"],
+        "License: Apache-2.0": ["Apache-2.0"], "The source code is made available under the terms of the GNU Affero General Public License, version 3.": ["AGPL-3.0-only"],
+        "This library is distributed under the\n LGPLv2.1 license.": ["LGPL-2.1-only"], "a licence to drive under the influence of the moon": [], "Licensed under the Parrot License.": [],
+        "It is available under the Eclipse Public License 2.0.": ["EPL-2.0"], "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": ["GPL-3.0-only"],
+    }
+    holder = "\n".join(licenses.SENTENCES[k][0] for k in ("bsd-may", "bsd-source", "bsd-binary", "bsd-endorse")).replace("the copyright holder nor", "Example Widgets Inc. nor")
+    texts[holder] = ["BSD-3-Clause"]
+    out = {r["doc_id"]: r["licences"] for r in licenses.scan(table(spark, list(texts))).collect()}
+    assert [out[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_licence_recall(spark):
+    """Whole licences in comments, wrapped anew, each long sentence with a word changed, dropped or added: nine in ten at least are found, prose holds none."""
+    rng, texts, want = random.Random(11), [], []
+    rules = [r for r in licenses.RULES if any(len(licenses.normalise(licenses.SENTENCES[k][0])) >= licenses.LONG for k in r[1])]
+    for k in range(300):
+        name, ids = rules[k % len(rules)]
+        words = []
+        for ident in ids:
+            w = licenses.SENTENCES[ident][-1].split()
+            if len(w) >= licenses.LONG:
+                at = rng.randrange(1, len(w) - 1)
+                w[at : at + 1] = rng.choice([["other"], [], [w[at], "very"]])
+            words.append(w)
+        lines, width, mark = [], rng.randrange(40, 90), rng.choice(["", "# ", " * ", "// "])
+        for sentence in words:
+            line = ""
+            for x in sentence:
+                if len(line) + len(x) > width:
+                    lines.append(line)
+                    line = ""
+                line += x + " "
+            lines.append(line)
+        texts.append("".join(f"{mark}{x}\n" for x in lines))
+        want.append(name)
+    prose = [" ".join(rng.choice("the permission of a garden under licensed rain and copyright to walk without warranty".split()) for _ in range(80)) for _ in range(100)]
+    out = {r["doc_id"]: r["licences"] for r in licenses.scan(table(spark, texts + prose)).collect()}
+    assert np.mean([out[i] == [w] for i, w in enumerate(want)]) >= 0.9
+    assert not any(out[len(texts) + i] for i in range(len(prose)))
+
+
+def test_quality_model(spark):
+    """Posterior and verdict of every document, recomputed from its counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = quality.judge(docs).collect()
+    ratio = lambda a, b: a / max(b, 1)
+    say = lambda bad, good: 0 if bad else 2 if good else 1
+
+    def votes(r):
+        n, letters, lines = r["n_words"], r["n_letters"], r["n_lines"]
+        size, dup, stop = ratio(r["word_chars"], n), ratio(r["n_dup_lines"], lines), ratio(r["n_stop_words"], n)
+        symbols, repeats, upper, loud = ratio(r["n_symbols"], n), ratio(r["n_repeat_words"], n), ratio(r["n_upper"], letters), ratio(r["n_loud"], n)
+        return (
+            say(n < 50, n >= 80), say(n and symbols > 0.1, n and symbols < 0.02), say(n and repeats > 0.3, n and repeats < 0.1), say(lines > 1 and dup > 0.3, lines > 1 and dup < 0.1),
+            say(letters and upper > 0.4, letters and upper < 0.2), say(n and (size < 2 or size > 14), n and 3 <= size <= 10), say(n >= 50 and stop < 0.005, n >= 50 and stop > 0.03), say(n and loud > 0.3, n and loud < 0.05),
+        )
+
+    told = [votes(r) for r in rows]
+    weight = {}
+    for v, r in zip(told, rows):
+        weight[v] = weight.get(v, 0) + (not r["base_failed"])
+    right, prior, post = {(c, j): (0.3, 0.98)[c] for c in (0, 1) for j in range(8)}, 0.8, {}
+    for _ in range(200):
+        new = {}
+        for v in weight:
+            like = [(1 - prior, prior)[c] for c in (0, 1)]
+            for j, x in enumerate(v):
+                for c in (0, 1):
+                    agrees = right[c, j] if (x == 2) == bool(c) else 1 - right[c, j]
+                    like[c] *= agrees if x != 1 else 1
+            new[v] = like[1] / sum(like)
+        prior = (sum(weight[v] * new[v] for v in weight) + 8) / (sum(weight.values()) + 10)
+        for j in range(8):
+            for c in (0, 1):
+                mass = {v: weight[v] * (new[v] if c else 1 - new[v]) for v in weight}
+                top = sum(m for v, m in mass.items() if v[j] == 2 * c) + 10 * (0.3, 0.98)[c]
+                right[c, j] = min(max(top / (sum(m for v, m in mass.items() if v[j] != 1) + 10), 1e-6), 1 - 1e-6)
+        done = post and max(abs(new[v] - post[v]) for v in new) < 1e-9
+        post = new
+        if done:
+            break
+    for v, r in zip(told, rows):
+        assert r["quality"] == pytest.approx(post[v], abs=1e-5)
+        assert r["kept"] == (not r["base_failed"] and post[v] >= 0.5)
+
+
+def test_shard_digests_and_uniformity(spark):
+    """Sizes and checksums by the contract; over many seeds each row comes to each shard and each pair of rows together as often as chance says."""
+    import zlib
+
+    texts = corpus(10)
+    out = {r["doc_id"]: r for r in sharding.digests(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert out[i]["size"] == len((t or "").encode()) + 1 and out[i]["text_crc32"] == (None if t is None else zlib.crc32(t.encode()))
+    small, n = table(spark, [f"t{i}" for i in range(12)]), 40
+    places = np.zeros((n, 12), int)
+    for seed in range(n):
+        for r in sharding.uniform_shards(small, 3, 8, 2, seed).collect():
+            places[seed, r["doc_id"]] = r["shard"]
+    assert all((np.bincount(row, minlength=3) == 4).all() for row in places)
+    counts = np.stack([(places == s).sum(0) for s in range(3)])
+    assert ((counts - n / 3) ** 2 / (n / 3)).sum() < 60  # 24 degrees of freedom: one run in ten thousand
+    together = sum((places[:, i] == places[:, j]).sum() for i in range(12) for j in range(i)) / (66 * n)
+    assert abs(together - 3 / 11) < 0.02
+
+
 def test_languages(spark):
     said = {"en": "the house and the garden of the town with ", "de": "das haus und der garten von der stadt mit ", "fr": "la maison et le jardin de la ville avec "}
     docs = spark.createDataFrame([(i, t * 4, lang) for i, (lang, t) in enumerate([*said.items()] * 5)], "doc_id bigint, text string, lang string")
@@ -346,6 +455,48 @@ def test_languages(spark):
     assert len(none) == 6 and all(r["lang"] is None for r in none)
 
 
+def test_language_posteriors(spark):
+    """Fused posteriors of every page, recomputed with plain loops and groups."""
+    d = "/root/testdata/sf0.001"
+    docs, pages = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/pages.parquet").unionByName(
+        spark.createDataFrame([(9001, None, "<p>die stadt und der garten</p>"), (9002, "http://x.example.fr/a", None), (9003, "nonsense", "<html lang=xx>")], "page_id bigint, url string, html string"))
+    grams = lambda t: language_id.trigrams(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[1]
+    labelled = [(r["lang"], r["text"]) for r in docs.collect() if r["lang"] is not None and r["text"] is not None]
+    langs = sorted({x for x, _ in labelled})
+    table_ = {x: np.full(language_id.BUCKETS, 0.1) for x in langs}
+    for x, t in labelled:
+        np.add.at(table_[x], grams(t), 1)
+    logs = {x: np.log(v / v.sum()) for x, v in table_.items()}
+    soft = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    rows = []
+    for r in pages.collect():
+        g = grams(language_id.visible_text(r["html"]))
+        like = np.array([logs[x][g].sum() for x in langs]) * min(len(g), language_id.INDEPENDENT) / max(len(g), 1)
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", r["url"] or "")
+        host = m.group(1).lower() if m else None
+        parts = host.split(".") if host else []
+        said = re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", r["html"] or "", re.I)
+        keys = {"suffix": parts[-1] if parts else None, "domain": ".".join(parts[-2:]) if parts else None, "host": host, "declared": said.group(1).lower() if said else None}
+        rows.append((r["page_id"], like, soft(like), keys))
+    every = sum(p for _, _, p, _ in rows)
+    sums = {(k, v): sum(p for _, _, p, keys in rows if keys[k] == v) for k in ("suffix", "domain", "host", "declared") for v in {x[3][k] for x in rows}}
+    out = {r["page_id"]: r for r in language_id.identify(pages, docs).collect()}
+    for page, like, p, keys in rows:
+        rest = np.maximum(every - p, 0)
+        prior = (rest + 1) / (rest.sum() + len(langs))
+        for k in ("suffix", "domain", "host"):
+            own = np.maximum(sums[k, keys[k]] - p, 0)
+            prior = (own + language_id.STRENGTH[k] * prior) / (own.sum() + language_id.STRENGTH[k])
+        told = np.zeros(len(langs))
+        if keys["declared"] is not None:
+            told = np.log((np.maximum(sums["declared", keys["declared"]] - p, 0) + 0.5) / (rest + 0.5 * len(langs)))
+        post = soft(like + np.log(prior) + told)
+        r = out[page]
+        assert (r["suffix"], r["domain"], r["host"], r["declared"]) == tuple(keys[k] for k in ("suffix", "domain", "host", "declared"))
+        assert r["confidence"] == pytest.approx(post.max(), abs=1e-4)
+        assert post[langs.index(r["lang"])] == pytest.approx(post.max(), abs=1e-4) and p[langs.index(r["text_lang"])] == pytest.approx(p.max(), abs=1e-6)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
