@@ -19,7 +19,11 @@ def test_unknown_byte_ends_a_path():
 
 def test_svg():
     assert paths.parse_svg_path("m1 2 3 4h5V1z") == [("M", [1, 2]), ("L", [4, 6]), ("L", [9, 6]), ("L", [9, 1]), ("Z", [])]
-    assert paths.parse_svg_path("M0,0C1,1 2,2 3,0s2 2 3-1A1 1 0 0 0 5 5L1-1") == [("M", [0, 0]), ("C", [1, 1, 2, 2, 3, 0]), ("C", [4, -2, 5, 2, 6, -1]), ("L", [1, -1])]
+    assert paths.parse_svg_path("M0,0C1,1 2,2 3,0s2 2 3-1A1 1 0 0 0 5 5L1-1") == [
+        ("M", [0, 0]), ("C", [1, 1, 2, 2, 3, 0]), ("C", [4, -2, 5, 2, 6, -1]), ("C", [7, -4, 7, 0, 6, -1]), ("L", [1, -1]),
+    ]
+    assert paths.parse_svg_path("M5 5 S 6 6 7 7") == [("M", [5, 5]), ("C", [10, 10, 6, 6, 7, 7])]
+    assert paths.parse_svg_path("M0 0 Q 1 1 2 2 Z 3 3") == [("M", [0, 0]), ("L", [1, 1]), ("L", [2, 2]), ("Z", [])]
 
 
 def test_in_batches(spark):

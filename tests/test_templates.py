@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sceneloom.functions.ranking import numbered
-from sceneloom.functions.scalars import affine_text, number_text, to_fixed
-from sceneloom.operators import template, tree
+from sceneloom.functions.scalars import affine_text, number_text, position_char, preview, to_fixed
+from sceneloom.operators import template, text, tree
 
 SCHEMA = "id string, pid string, ord bigint, type string, name string, phase string, position string, symbol_id string, text string"
 ROWS = [
@@ -78,7 +78,22 @@ def test_numbers(spark):
     values = [1.005, 0.125, -0.125, 2.675, 0.0, -0.0, 1234567.891, None, -2.5, 1e-9, 0.375]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select(to_fixed(F.col("x"), 2), number_text(F.col("x"))).collect()
     assert [r[0] for r in rows] == ["1.00", "0.13", "-0.13", "2.67", "0.00", "0.00", "1234567.89", None, "-2.50", "0.00", "0.38"]
-    assert [r[1] for r in rows] == ["1.005", "0.125", "-0.125", "2.675", "0", "0", "1234567.891", None, "-2.5", "0.000000001", "0.375"]
+    assert [r[1] for r in rows] == ["1.005", "0.125", "-0.125", "2.675", "0", "0", "1234567.891", None, "-2.5", "1e-9", "0.375"]
+    big = [float("nan"), float("inf"), -float("inf"), 1e20, 1e21, 1.5e-7, 0.00025, 12345678.25, -1e15]
+    shown = [r[0] for r in spark.createDataFrame([(v,) for v in big], "x double").select(number_text(F.col("x"))).collect()]
+    assert shown == ["NaN", "Infinity", "-Infinity", "100000000000000000000", "1e+21", "1.5e-7", "0.00025", "12345678.25", "-1000000000000000"]
+
+
+def test_utf16(spark):
+    """Lengths, cuts and places count UTF-16 units; positions go on past ASCII."""
+    texts = ["\U0001f600a\nb", "\U0001f600" * 30, "x" * 46 + "\U0001f600" * 3, "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    starts = {(r["doc_id"], r["line"]): (r["start"], r["length"]) for r in text.line_offsets(df).collect()}
+    assert starts[0, 0] == (0, 3) and starts[0, 1] == (4, 1)
+    cut = [r[0] for r in df.orderBy("doc_id").select(preview(F.col("text"))).collect()]
+    assert cut == [texts[0], "\U0001f600" * 23 + "\ufffd...", "x" * 46 + "\ufffd...", "short"]
+    places = [r[0] for r in spark.range(300).orderBy("id").select(position_char(F.col("id"))).collect()]
+    assert places == [chr(33 + k) for k in range(300)]
     turn = spark.sql("select named_struct('m00', 0.0D, 'm01', -1.0D, 'm02', 3.0D, 'm10', 1.0D, 'm11', 0.0D, 'm12', 4.5D) t").select(affine_text(F.col("t"))).first()[0]
     assert turn == "matrix(0,1,-1,0,3,4.5)"
 
