@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions import scalars as S
-from sceneloom.operators import edit, fonts, svg, template, tree, vectors
+from sceneloom.operators import edit, fonts, instances, svg, template, tree, vectors
 from sceneloom.sources import paths
 
 from .catalogue import query
@@ -239,3 +239,83 @@ def draw_vectors(spark, d: str) -> DataFrame:
         F.array(F.struct(F.lit(7).cast("long").alias("style"), paint(0.0, 1.0, 0.5).alias("paints"))).alias("style_fills"), F.when(kind == 4, F.col("d")).alias("network"),
     )
     return svg.fragments(n).select("id", "text")
+
+
+# Texts and instances ------------------------------------------------------------------------------
+
+WEIGHTS_SQL = "CASE WHEN p_size % 4 = 0 THEN 'Regular' WHEN p_size % 4 = 1 THEN 'SemiBold Italic' WHEN p_size % 4 = 2 THEN 'Bold' ELSE 'Medium' END"
+
+
+def _text_nodes(spark, d: str) -> DataFrame:
+    """A text node for each part, its name on lines of its words; every third has glyphs that fit, every third a layout that does not, the rest none."""
+    key, size, none = F.col("p_partkey"), F.col("p_size").cast("double"), F.lit(None)
+    words = F.concat_ws("\n", F.split("p_name", " "))
+    n = F.length("p_name")
+    glyph = lambda i: F.struct(i.alias("first"), (i * 10.0).alias("x"), F.lit(12.5).alias("y"), F.lit(20.0).alias("size"))
+    glyphs = F.transform(F.sequence(F.lit(0), n - 1), glyph)
+    line = F.array(F.struct(F.lit(0).alias("first"), F.lit(3).alias("end"), F.lit(4.0).alias("x"), F.lit(16.0).alias("y"), F.lit(24.0).alias("line_height"), F.lit(18.0).alias("ascent")))
+    laid, old = key % 3 == 0, key % 3 == 1
+    style = F.when(F.col("p_size") % 4 == 0, "Regular").when(F.col("p_size") % 4 == 1, "SemiBold Italic").when(F.col("p_size") % 4 == 2, "Bold").otherwise("Medium")
+    kinds = F.transform(F.split(words, "\n"), lambda w, i: F.when(i % 3 == 2, "UNORDERED_LIST").otherwise("ORDERED_LIST"))
+    ids = {"m00": 1.0, "m01": 0.0, "m10": 0.0, "m11": 1.0, "m12": 0.0}
+    at = F.struct(*(F.lit(ids[k]).alias(k) if k in ids else size.alias(k) for k in ("m00", "m01", "m02", "m10", "m11", "m12")))
+    return table(spark, d, "part").select(
+        key.alias("id"), F.lit("TEXT").alias("type"), F.lit("CREATED").alias("phase"), none.cast("double").alias("opacity"), F.lit(300.0).alias("width"), F.lit(40.0).alias("height"), none.cast("double").alias("radius"),
+        F.lit("").alias("inner"), at.alias("transform"), none.cast(f"array<{svg.PAINT}>").alias("fill_paints"), none.cast(f"array<{svg.PAINT}>").alias("stroke_paints"), none.cast("double").alias("stroke_weight"), none.cast("string").alias("stroke_align"),
+        F.when(laid, F.col("p_name")).otherwise(words).alias("text"), F.when(key % 5 == 0, "UPPER").alias("text_case"), F.lit("Serif").alias("font_family"), style.alias("font_style"), F.lit(20.0).alias("font_size"),
+        F.when(laid, glyphs).alias("glyphs"), F.when(old, line).alias("baselines"), F.when(~laid & ~old, kinds).alias("line_types"), F.when(~laid & ~old, F.transform(kinds, lambda k: F.lit(1))).alias("line_indents"),
+        F.when(old, 10.0).alias("letter_spacing"), F.lit("PERCENT").alias("letter_units"), F.when(~laid & ~old, "CENTER").alias("align"),
+    )
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS id, p_partkey % 3 AS kind, p_size, CASE WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS shown, {WEIGHTS_SQL} AS style FROM part),
+w AS (SELECT *, string_split(shown, ' ') AS lines, list_max([length(x) FOR x IN string_split(shown, ' ')]) AS longest FROM b),
+s AS (SELECT *, CASE WHEN kind = 1 THEN greatest(least(CASE WHEN longest > 3 THEN 3 / longest::DOUBLE ELSE 1 END, CASE WHEN len(lines) > 1 THEN 1 / len(lines)::DOUBLE ELSE 1 END), 0.15) ELSE 1 END::DOUBLE AS f FROM w),
+l AS (SELECT id, i, line, kind, f, (i - 1) % 3 AS m FROM s, unnest(lines) WITH ORDINALITY AS t(line, i)),
+g AS (SELECT id, i, substr(shown, i, 1) AS c, CASE WHEN substr(shown, i, 3) IN ('ffl', 'ffi') THEN 3 WHEN substr(shown, i, 2) IN ('ff', 'fi', 'fl') THEN 2 ELSE 1 END AS n, substr(shown, i, CASE WHEN substr(shown, i, 3) IN ('ffl', 'ffi') THEN 3 WHEN substr(shown, i, 2) IN ('ff', 'fi', 'fl') THEN 2 ELSE 1 END) AS said FROM b, unnest(range(1, length(shown) + 1)) AS t(i) WHERE kind = 0),
+spans AS (SELECT id, string_agg('<tspan x="' || (i - 1) * 10 || '" y="12.5">' || said || '</tspan>', '' ORDER BY i) AS x FROM g WHERE c <> ' ' AND NOT EXISTS (SELECT 1 FROM g h WHERE h.id = g.id AND h.i < g.i AND h.i + h.n > g.i) GROUP BY id
+UNION ALL SELECT id, string_agg(CASE kind WHEN 1 THEN '<tspan x="4.00" y="' || printf('%.2f', 16 * f + (i - 1) * (24 * f)) || '" text-anchor="start">' || line ELSE '<tspan x="166.00" y="' || printf('%.2f', 16.0 + (i - 1) * 24) || '" text-anchor="middle">' || CASE m WHEN 2 THEN '• ' ELSE (m + 1) || '. ' END || line END || '</tspan>', '' ORDER BY i) FROM l WHERE kind <> 0 GROUP BY id)
+SELECT s.id, s.kind, '<g transform="translate(' || p_size || ',0)">' || chr(10) || '<text font-size="' AS head, round(20 * f, 6) AS size, CASE WHEN style LIKE 'Semi%' THEN '600' WHEN style = 'Bold' THEN '700' WHEN style = 'Medium' THEN '500' ELSE '400' END || ' ' || CASE WHEN style LIKE '%Italic' THEN 'italic' ELSE 'normal' END AS style,
+CASE WHEN kind = 1 THEN printf('%.3f', 2 * f) END AS space, x || '</text>' || chr(10) || '</g>' AS tail FROM s JOIN spans USING (id)""")
+def draw_texts(spark, d: str) -> DataFrame:
+    """Texts drawn from glyphs, anew by an old layout, and anew as lists; told apart into their parts."""
+    text = svg.fragments(_text_nodes(spark, d)).select("id", "text")
+    part = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    style = F.concat(part('font-weight="(\\d+)"'), F.lit(" "), part('font-style="(\\w+)"'))
+    tail = F.regexp_extract("text", '(?s)geometricPrecision">(.*)$', 1)
+    return text.select("id", (F.col("id") % 3).alias("kind"), F.regexp_extract("text", '(?s)^(.*?font-size=")', 1).alias("head"), F.round(part('font-size="([^"]*)"').cast("double"), 6).alias("size"), style.alias("style"), part('letter-spacing="([^"]*)"').alias("space"), tail.alias("tail"))
+
+
+# Symbols of suppliers with even numbers hold an instance of the next one; orders set texts by key, and some swap that instance's symbol.
+NESTED_SQL = (
+    DEEP_SQL
+    + """,
+nest AS (SELECT id, pid, ord, type, name, phase, symbol_id, CASE WHEN type = 'TEXT' THEN 'k' || right(name, 1) END AS key FROM deep
+ UNION ALL SELECT '10:' || s_suppkey, '5:' || s_suppkey, 10000000000 + s_suppkey, 'INSTANCE', 'nested', 'CREATED', '5:' || (s_suppkey + 1), 'n' FROM supplier WHERE s_suppkey % 2 = 0),
+sym AS (SELECT id FROM nest WHERE type = 'SYMBOL' AND phase <> 'REMOVED'),
+top AS (SELECT i.id, i.symbol_id AS symbol, split_part(i.id, ':', 2)::BIGINT AS o FROM nest i WHERE i.id LIKE '4:%' AND i.phase <> 'REMOVED' AND i.symbol_id IN (SELECT id FROM sym)),
+kid AS (SELECT pid AS symbol, id, type, name, symbol_id, key, phase, ord FROM nest WHERE type IN ('TEXT', 'INSTANCE') AND pid LIKE '5:%'),
+swap AS (SELECT t.id, '5:1' AS to_ FROM top t JOIN kid k ON k.symbol = t.symbol AND k.key = 'n' WHERE t.o % 6 = 0),
+aim AS (SELECT t.id, coalesce((SELECT arg_max(k.id, k.ord) FROM kid k, swap s WHERE s.id = t.id AND k.symbol = s.to_ AND k.key = 'k' || (t.o % 10)), (SELECT arg_max(k.id, k.ord) FROM kid k WHERE k.symbol = t.symbol AND k.key = 'k' || (t.o % 10))) AS target, CASE WHEN t.o % 4 = 0 THEN 'last' ELSE 'first' END AS text FROM top t),
+one AS (SELECT t.id AS inst, t.id || '/' || k.id AS id, t.id AS pid, k.id AS node, k.type, k.name, CASE WHEN k.type = 'INSTANCE' THEN coalesce(s.to_, k.symbol_id) END AS shows FROM top t JOIN kid k ON k.symbol = t.symbol AND k.phase <> 'REMOVED' LEFT JOIN swap s ON s.id = t.id AND k.key = 'n'),
+two AS (SELECT inst, o.id || '/' || k.id AS id, o.id AS pid, k.id AS node, k.type, k.name, k.symbol_id AS shows FROM one o JOIN kid k ON k.symbol = o.shows AND k.phase <> 'REMOVED' WHERE o.type = 'INSTANCE' AND o.shows <> (SELECT symbol FROM top WHERE top.id = o.inst)),
+three AS (SELECT inst, o.id || '/' || k.id AS id, o.id AS pid, k.id AS node, k.type, k.name FROM two o JOIN kid k ON k.symbol = o.shows AND k.phase <> 'REMOVED' WHERE o.type = 'INSTANCE')"""
+)
+
+
+@query("WITH " + NESTED_SQL + """, every AS (SELECT inst, id, pid, node, type, name FROM one UNION ALL SELECT inst, id, pid, node, type, name FROM two UNION ALL SELECT * FROM three)
+SELECT e.id, e.pid, e.node, e.type, CASE WHEN e.type = 'TEXT' THEN coalesce(a.text, e.name) END AS text FROM every e LEFT JOIN aim a ON a.id = e.inst AND a.target = e.node""")
+def expanded_instances(spark, d: str) -> DataFrame:
+    n, s, key = deep_nodes(spark, d), table(spark, d, "supplier"), F.col("s_suppkey")
+    n = n.withColumn("override_key", F.when(F.col("type") == "TEXT", F.concat(F.lit("k"), F.right("name", F.lit(1)))))
+    nested = s.where("s_suppkey % 2 = 0").select(
+        F.concat(F.lit("10:"), key).alias("id"), F.concat(F.lit("5:"), key).alias("pid"), (key + 10_000_000_000).alias("ord"), F.lit("INSTANCE").alias("type"), F.lit("nested").alias("name"),
+        F.lit("CREATED").alias("phase"), F.concat(F.lit("5:"), key + 1).alias("symbol_id"), F.lit("n").alias("override_key"))
+    n = n.select(nested.columns).unionByName(nested).withColumn("text", F.when(F.col("type") == "TEXT", F.col("name")))
+    o, order, none = table(spark, d, "orders"), F.col("o_orderkey"), F.lit(None).cast("string")
+    row = lambda ix, path, text, symbol: (F.concat(F.lit("4:"), order).alias("inst_id"), F.lit(ix).cast("long").alias("ov_ix"), F.array(path).alias("path"), text.alias("text"), none.alias("image"), symbol.alias("symbol_id"))
+    digit = F.concat(F.lit("k"), order % 10)
+    over = o.select(*row(1, digit, F.lit("first"), none)).unionByName(o.where("o_orderkey % 4 = 0").select(*row(2, digit, F.lit("last"), none)))
+    over = over.unionByName(o.where("o_orderkey % 6 = 0").select(*row(3, F.lit("n"), none, F.lit("5:1"))))
+    out = instances.expand(n, over, n.where("type = 'SLIDE'").select("id"))
+    return out.where("size(chain) > 0").select("id", "pid", "node", "type", "text")
