@@ -26,3 +26,14 @@ def pixel_metrics(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def tier(score: str):
     return F.when(F.col(score) >= 0.99, "PASS").when(F.col(score) >= 0.9, "WARN").otherwise("FAIL")
+
+
+def overlay(render: str, reference: str):
+    """Channels of the picture that shows where two differ: half of the reference and half of the inverted rendering."""
+    return F.zip_with(reference, render, lambda r, d: F.floor(r / 2 + (255 - d) / 2 + 0.5).cast("int"))
+
+
+def report_rows(pairs: DataFrame, key: str, a: str, b: str, score: str) -> DataFrame:
+    """(key, off_pct, mean_delta_100, off_delta_10, score, tier, overlay) of pairs of pictures (channel arrays a: rendered, b: reference) with a score of likeness."""
+    rows = pixel_metrics(pairs, a, b)
+    return rows.select(key, "off_pct", "mean_delta_100", "off_delta_10", score, tier(score).alias("tier"), overlay(a, b).alias("overlay"))

@@ -319,3 +319,72 @@ def expanded_instances(spark, d: str) -> DataFrame:
     over = over.unionByName(o.where("o_orderkey % 6 = 0").select(*row(3, F.lit("n"), none, F.lit("5:1"))))
     out = instances.expand(n, over, n.where("type = 'SLIDE'").select("id"))
     return out.where("size(chain) > 0").select("id", "pid", "node", "type", "text")
+
+
+def _shape_rows(spark, d: str, kind: str, **columns) -> DataFrame:
+    """A node for each part, 40 by 20, shifted by its size, with more columns."""
+    none, size = F.lit(None), F.col("p_size").cast("double")
+    at = F.struct(*(F.lit(1.0 if k in ("m00", "m11") else 0.0).alias(k) if k != "m02" else size.alias(k) for k in ("m00", "m01", "m02", "m10", "m11", "m12")))
+    plain = {"id": F.col("p_partkey"), "type": F.lit(kind), "phase": F.lit("CREATED"), "opacity": none.cast("double"), "width": F.lit(40.0), "height": F.lit(20.0), "radius": none.cast("double"), "inner": F.lit(""), "transform": at,
+             "fill_paints": none.cast(f"array<{svg.PAINT}>"), "stroke_paints": none.cast(f"array<{svg.PAINT}>"), "stroke_weight": none.cast("double"), "stroke_align": none.cast("string")}
+    return table(spark, d, "part").select(*(v.alias(k) for k, v in (plain | columns).items()))
+
+
+def _red(on=None):
+    none = F.lit(None)
+    paint = F.array(F.struct(F.lit("SOLID").alias("type"), none.cast("boolean").alias("visible"), F.lit(1.0).alias("opacity"), F.lit(1.0).alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), F.lit(1.0).alias("a")))
+    return paint if on is None else F.when(on, paint)
+
+
+PLAIN_RED = "rgba(255,0,0,1.0000)"
+
+
+@query(f"""SELECT p_partkey AS id, '<g transform="translate(' || p_size || ',0)">' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE chr(10) END || '<rect x="0" y="0" width="40" height="20" rx="10" ry="10" fill="{PLAIN_RED}" ' || CASE WHEN p_partkey % 2 = 0 THEN 'stroke="{PLAIN_RED}" stroke-width="2"' ELSE '' END || '/>' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE
+ chr(10) || '<text font-size="10" font-family="Inter, sans-serif"' || chr(10) || '  font-weight="' || CASE WHEN p_partkey % 3 = 0 THEN 'bold' ELSE 'normal' END || '" font-style="normal" fill="#000000"' || chr(10) || '  text-rendering="geometricPrecision"><tspan x="20" y="12.00" text-anchor="middle">' || p_brand || '</tspan></text>' || chr(10) END || '</g>' AS text FROM part""")
+def draw_shape_texts(spark, d: str) -> DataFrame:
+    """Pills with and without a text and a stroke."""
+    key = F.col("p_partkey")
+    n = _shape_rows(
+        spark, d, "SHAPE_WITH_TEXT", shape_paints=_red(), shape_radius=F.lit(1e6), shape_stroke_weight=F.when(key % 2 == 0, 2.0), shape_stroke_paints=_red(key % 2 == 0),
+        shape_text=F.when(key % 4 == 0, " ").otherwise(F.col("p_brand")), font_style=F.when(key % 3 == 0, "SemiBold"), font_size=F.lit(10.0))
+    return svg.fragments(n).select("id", "text")
+
+
+@query(f"""SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN '<defs><filter id="fx-' || p_partkey || '" x="-10%" y="-10%" width="120%" height="120%" color-interpolation-filters="sRGB"><feGaussianBlur in="SourceAlpha" stdDeviation="' || regexp_replace((p_size / 2)::VARCHAR, '\\.0$', '') || '" result="s0b"/><feOffset in="s0b" dx="1" dy="0" result="s0o"/><feFlood flood-color="rgb(128,0,0)" flood-opacity="0.2500" result="s0c"/><feComposite in="s0c" in2="s0o" operator="in" result="s0"/><feMerge><feMergeNode in="s0"/><feMergeNode in="SourceGraphic"/></feMerge></filter></defs>' || chr(10) || '<g filter="url(#fx-' || p_partkey || ')">' ELSE '' END
+ || '<g transform="translate(' || p_size || ',0)">' || chr(10) || '<rect x="0" y="0" width="40" height="20" rx="0" ry="0" fill="{PLAIN_RED}"/>' || chr(10) || '</g>' || CASE WHEN p_partkey % 2 = 0 THEN '</g>' ELSE '' END AS text FROM part""")
+def draw_shadows(spark, d: str) -> DataFrame:
+    """Rectangles with a drop shadow, a hidden one, or another effect."""
+    key, none = F.col("p_partkey"), F.lit(None)
+    effect = lambda kind, visible: F.struct(kind.alias("type"), visible.alias("visible"), F.lit(0.5).alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b"), F.lit(0.25).alias("a"), F.lit(1.0).alias("x"), none.cast("double").alias("y"), F.col("p_size").cast("double").alias("radius"))
+    shadow, blur = F.lit("DROP_SHADOW"), F.lit("LAYER_BLUR")
+    effects = F.array(effect(F.when(key % 2 == 0, shadow).otherwise(blur), none.cast("boolean")), effect(shadow, F.lit(False)))
+    return svg.fragments(_shape_rows(spark, d, "RECTANGLE", fill_paints=_red(), effects=effects)).select("id", "text")
+
+
+@query(f"""WITH a AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_size FROM part)
+SELECT id, CASE WHEN k = 3 THEN '<g transform="translate(' || p_size || ',0)"><rect x="0" y="0" width="40" height="20" fill="none" stroke="#ff00ff" stroke-width="2" stroke-dasharray="6" opacity="0.5"/><!-- INSTANCE --></g>'
+ ELSE '<g transform="translate(' || p_size || ',0)">' || chr(10) || CASE k WHEN 0 THEN '<g transform="scale(2,0.5)">' || chr(10) ELSE '' END || '<rect x="0" y="0" width="' || CASE k WHEN 0 THEN '20' ELSE '40' END || '" height="' || CASE k WHEN 0 THEN '40' ELSE '20' END || '" rx="0" ry="0" fill="{PLAIN_RED}"/>' || chr(10) || 'inside' ||
+ CASE k WHEN 2 THEN chr(10) || '<rect x="1" y="1" width="38" height="18" rx="0" ry="0" fill="none" stroke="{PLAIN_RED}" stroke-width="2"/>' ELSE '' END || CASE k WHEN 0 THEN chr(10) || '</g>' ELSE '' END || chr(10) || '</g>' END AS text FROM a""")
+def draw_instances(spark, d: str) -> DataFrame:
+    """Instances that are scaled, laid out by their symbol, stroked by themselves, or without a symbol."""
+    k = F.col("p_partkey") % 4
+    n = _shape_rows(
+        spark, d, "INSTANCE", inner=F.lit("inside"), expanded=k != 3, symbol_paints=_red(), symbol_width=F.lit(20.0), symbol_height=F.lit(40.0), stack_mode=F.when(k != 0, "VERTICAL"),
+        stroke_paints=_red(k == 2), stroke_weight=F.lit(2.0), stroke_align=F.lit("INSIDE"))
+    return svg.fragments(n).select("id", "text")
+
+
+@query(f"""WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 50 AS x, o_orderkey % 9 + 1 AS w FROM orders WHERE o_orderstatus <> 'F'),
+b AS (SELECT o_custkey, string_agg('<g transform="translate(' || x || ',0)">' || chr(10) || '<rect x="0" y="0" width="' || w || '" height="8" rx="0" ry="0" fill="{PLAIN_RED}"/>' || chr(10) || '</g>', chr(10) ORDER BY o_orderkey) AS f, max(x + w) AS m FROM r GROUP BY 1),
+s AS (SELECT c_custkey, f, CASE WHEN c_custkey % 2 = 0 THEN greatest(30, coalesce(m, 0)) ELSE 30 END AS w FROM customer LEFT JOIN b ON o_custkey = c_custkey)
+SELECT '3:' || c_custkey AS id, '<svg xmlns="http://www.w3.org/2000/svg" xmlns:xlink="http://www.w3.org/1999/xlink" width="' || w || '" height="20" viewBox="0 0 ' || w || ' 20">' || chr(10) || '<rect x="0" y="0" width="30" height="20" fill="white"/>' || chr(10) || coalesce(f, '') || chr(10) || '</svg>' AS svg FROM s""")
+def draw_frames(spark, d: str) -> DataFrame:
+    """Frames as pictures of their own; every second one is as wide as its content."""
+    none, key = F.lit(None), F.col("o_orderkey")
+    paints = none.cast(f"array<{svg.PAINT}>")
+    at = lambda x: F.struct(*(F.lit(1.0 if k in ("m00", "m11") else 0.0).alias(k) if k != "m02" else x.cast("double").alias(k) for k in ("m00", "m01", "m02", "m10", "m11", "m12")))
+    shape = lambda id_, pid, ord_, kind, phase, w, h, x, fill, mask: (id_.alias("id"), pid.alias("pid"), ord_.alias("ord"), F.lit(kind).alias("type"), phase.alias("phase"), none.cast("boolean").alias("visible"), none.cast("double").alias("opacity"), w.cast("double").alias("width"), F.lit(h).alias("height"), none.cast("double").alias("radius"), at(x).alias("transform"), fill.alias("fill_paints"), paints.alias("stroke_paints"), none.cast("double").alias("stroke_weight"), none.cast("string").alias("stroke_align"), mask.alias("mask_disabled"), none.cast("string").alias("symbol_id"))
+    c = table(spark, d, "customer").select(*shape(F.concat(F.lit("3:"), "c_custkey"), none.cast("string"), F.col("c_custkey"), "FRAME", F.lit("CREATED"), F.lit(30), 20.0, F.lit(0), paints, F.col("c_custkey") % 2 == 0))
+    o = table(spark, d, "orders").select(*shape(F.concat(F.lit("4:"), key), F.concat(F.lit("3:"), "o_custkey"), key, "RECTANGLE", F.when(F.col("o_orderstatus") == "F", "REMOVED").otherwise("CREATED"), key % 9 + 1, 8.0, key % 50, _red(), F.lit(None).cast("boolean")))
+    n = c.unionByName(o)
+    return svg.draw_frames(n, n.where("type = 'FRAME'"))

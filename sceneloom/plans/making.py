@@ -312,3 +312,60 @@ def slide_size(spark, d: str) -> DataFrame:
     n = slide_nodes(spark, d).withColumns({"width": F.lit(None).cast("double"), "height": F.lit(None).cast("double")})
     third = decks.nth(catalog.active_slides(n), 3).select(F.col("id").alias("third"))
     return decks.slide_size(n).join(third, F.lit(True))
+
+
+# Graphics and pictures ----------------------------------------------------------------------------
+
+SVG = """'<svg viewBox="0 0 ' || w || ' ' || h || '"><path fill="x" d="M0 0 L' || w || ' ' || h || ' Z"/><g><path d="M1 1h2"/></g></svg>'"""
+
+
+def _graphics(spark, d: str):
+    from sceneloom.sources import pictures
+
+    key = F.col("p_partkey")
+    w, h = (F.pow(F.lit(2), key % n).cast("int").cast("string") for n in (4, 3))
+    text = F.concat(F.lit('<svg viewBox="0 0 '), w, F.lit(" "), h, F.lit('"><path fill="x" d="M0 0 L'), w, F.lit(" "), h, F.lit(' Z"/><g><path d="M1 1h2"/></g></svg>'))
+    asks = table(spark, d, "part").select(key.alias("k"), F.lit("2:0").alias("parent"), F.lit(3.0).alias("x"), F.lit(4.0).alias("y"), F.lit(64.0).alias("width"), text.alias("svg"), F.lit("#ff0000").alias("colour"), _none().alias("name"))
+    return pictures.add_graphics(nodes(spark, d), asks, variables(spark, d))
+
+
+@query(f"""WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS n, 64.0::DOUBLE * (1 << (p_partkey % 3)::INT) / (1 << (p_partkey % 4)::INT) AS height, (SELECT count(*) FROM customer WHERE c_nationkey = 0) AS c FROM part)
+SELECT '1:' || ({TOP} + 1 + 2 * n) AS id, '2:0' AS pid, 'FRAME' AS type, {POSITION.format('c + n')} AS position, height, NULL::DOUBLE AS red FROM a UNION ALL SELECT '1:' || ({TOP} + 2 + 2 * n), '1:' || ({TOP} + 1 + 2 * n), 'VECTOR', '!', height, 1 FROM a""", graph=True)
+def added_graphics(spark, d: str) -> DataFrame:
+    return _graphics(spark, d)[0].select("id", "pid", "type", "position", "height", _shown("fill_paints", "r").alias("red"))
+
+
+@query(f"""WITH a AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS n, (1 << (p_partkey % 4)::INT) AS w, (1 << (p_partkey % 3)::INT) AS h FROM part), b AS (SELECT *, 64 // w AS s FROM a)
+SELECT '1:' || ({TOP} + 2 + 2 * n) AS id, 0 AS ix, 'M0,0L' || w * s || ',' || h * s || 'Z' AS path FROM b UNION ALL SELECT '1:' || ({TOP} + 2 + 2 * n), 1, 'M' || s || ',' || s || 'L' || 3 * s || ',' || s FROM b""", graph=True)
+def graphic_paths(spark, d: str) -> DataFrame:
+    """Fill regions of placed graphics, through the byte form that documents keep."""
+    from sceneloom.operators import vectors
+    from sceneloom.sources import paths
+
+    fills = _graphics(spark, d)[1].where("kind = 'fill'")
+    return fills.select("id", "ix", vectors.path_text(paths.decoded(F.col("bytes"))).alias("path"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE p_size END::BIGINT AS width, CASE WHEN p_partkey % 3 = 2 THEN 0 ELSE p_size + 1 END::BIGINT AS height FROM part")
+def picture_sizes(spark, d: str) -> DataFrame:
+    """Sizes from the headers of PNG and JPEG files, and none from other files."""
+    from sceneloom.sources import pictures
+
+    number = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
+    w, h = F.col("p_size"), F.col("p_size") + 1
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(w, 8), number(h, 8), F.lit("0806000000"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), number(h, 4), number(w, 4), F.lit("03012200021101031101"))
+    key = F.col("p_partkey") % 3
+    data = F.unhex(F.when(key == 0, png).when(key == 1, jpeg).otherwise("47494638"))
+    return table(spark, d, "part").select("p_partkey", data.alias("data")).select("p_partkey", pictures.sizes("data").alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("""WITH p AS (SELECT vec_id, [floor((x + 1) / 2 * 255)::INT FOR x IN embedding[1:30]::DOUBLE[]] AS a, [floor((x + 1) / 2 * 255)::INT FOR x IN embedding[31:60]::DOUBLE[]] AS b, abs(embedding[1])::DOUBLE AS score FROM embeddings)
+SELECT vec_id, CASE WHEN score >= 0.99 THEN 'PASS' WHEN score >= 0.9 THEN 'WARN' ELSE 'FAIL' END AS tier, array_to_string([floor(b[i] / 2 + (255 - a[i]) / 2 + 0.5)::INT FOR i IN range(1, 31)], ',') AS overlay FROM p""")
+def report_overlays(spark, d: str) -> DataFrame:
+    """Rows of a comparison report: tier and overlay of each pair of pictures."""
+    from sceneloom.operators import imagediff
+
+    channel = lambda first: F.transform(F.slice("embedding", first, 30), lambda x: F.floor((x.cast("double") + 1) / 2 * 255).cast("int"))
+    rows = table(spark, d, "embeddings").select("vec_id", channel(1).alias("a"), channel(31).alias("b"), F.abs(F.col("embedding")[0].cast("double")).alias("score"))
+    return imagediff.report_rows(rows, "vec_id", "a", "b", "score").select("vec_id", "tier", F.array_join("overlay", ",").alias("overlay"))

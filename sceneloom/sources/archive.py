@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import records
+from .pictures import sizes
 
 #: Fixed values of the format.
 PRELUDES = ("fig-kiwi", "fig-deck", "fig-jam.")
@@ -93,17 +94,32 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def read_parts(spark: SparkSession, path: str) -> DataFrame:
+def read_parts(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
     """One row for each part of each file under path."""
+    return parts_of(_files(spark, path), permissive)
+
+
+def _opened(name: str, content: bytes, permissive: bool) -> list:
+    """A file's parts; with permissive, one part of kind error for a file that is broken."""
+    try:
+        return unpack(content)
+    except (ValueError, zlib.error, zstandard.ZstdError, struct.error, zipfile.BadZipFile) as broken:
+        if not permissive:
+            raise
+        return [("error", 0, name, None, None, str(broken).encode())]
+
+
+def parts_of(files: DataFrame, permissive: bool = False) -> DataFrame:
+    """One row for each part of each of files (path, content). One file is the largest piece: it is opened in one task."""
 
     def run(batches):
         for batch in batches:
             for name, content in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                rows = [(name, *p) for p in unpack(content)]
+                rows = [(name, *p) for p in _opened(name, content, permissive)]
                 fields = zip(("path", "kind", "ix", "name", "prelude", "version", "bytes"), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()), zip(*rows))
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, t, v in fields})
 
-    return _files(spark, path).mapInArrow(run, PARTS)
+    return files.select("path", "content").mapInArrow(run, PARTS)
 
 
 def write_archives(parts: DataFrame) -> DataFrame:
@@ -133,19 +149,131 @@ def node_row(path: str, place: int, n: dict) -> dict:
     }
 
 
-def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+def read_nodes(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:
     """One row for each node of each file under path, in the order of the file (ord)."""
+    return nodes_of(read_parts(spark, path, permissive))
+
+
+def nodes_of(parts: DataFrame) -> DataFrame:
+    """One row for each node of the documents whose parts are given, in the order of the document (ord)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of = {r.kind: bytes(r.bytes) for r in rows.itertuples()}
+        message = records.decode(of["message"], records.read_schema(of["schema"]), MESSAGE)
+        found = [node_row(rows["path"].iloc[0], k, n) for k, n in enumerate(message.get("nodeChanges", []))]
+        return pd.DataFrame(found, columns=list(_NODE_SCHEMA.names), dtype=object)
+
+    return parts.where("kind in ('schema', 'message')").groupBy("path").applyInPandas(run, NODES)
+
+
+#: Fields of a node as typed columns, by their names in the document.
+TYPED = {
+    "transform": ("transform", "struct<m00:double,m01:double,m02:double,m10:double,m11:double,m12:double>"),
+    "fill_paints": ("fillPaints", "array<struct<type:string,visible:boolean,opacity:double,color:struct<r:double,g:double,b:double,a:double>,image:struct<hash:string,name:string>>>"),
+    "stroke_paints": ("strokePaints", "array<struct<type:string,visible:boolean,opacity:double,color:struct<r:double,g:double,b:double,a:double>>>"),
+    "stroke_weight": ("strokeWeight", "double"), "stroke_align": ("strokeAlign", "string"), "radius": ("cornerRadius", "double"),
+    "fill_geometry": ("fillGeometry", "array<struct<commandsBlob:bigint,windingRule:string,styleID:bigint>>"),
+    "symbol_overrides": ("symbolData.symbolOverrides", "array<struct<guidPath:struct<guids:array<struct<sessionID:bigint,localID:bigint>>>,textData:struct<characters:string>>>"),
+    "lines": ("textData.lines", "array<struct<lineType:string,indentationLevel:int>>"),
+}
+
+
+def typed(nodes: DataFrame) -> DataFrame:
+    """nodes with the columns of TYPED, read from raw in the JVM; null where a node does not have the field."""
+    raw = F.col("raw")
+    read = lambda field, kind: F.from_json(F.get_json_object(raw, f"$.{field}"), kind)
+    plain = lambda field, kind: F.get_json_object(raw, f"$.{field}").cast(kind)
+    return nodes.withColumns({c: (read if "<" in kind else plain)(field, kind) for c, (field, kind) in TYPED.items()})
+
+
+def _set(node: dict, field: str, value) -> None:
+    """Set a field of a node, or leave it out where there is no value."""
+    if value is None or value is pd.NA or value != value:
+        node.pop(field, None)
+    else:
+        node[field] = value
+
+
+def _parsed(text: str | None) -> dict | None:
+    return None if text is None else dict(zip(("sessionID", "localID"), map(int, text.split(":"))))
+
+
+def node_record(r) -> dict:
+    """A node as the document has it: raw, with what the columns of NODES say."""
+    node = json.loads(r.raw) if isinstance(r.raw, str) else {}
+    has = lambda v: v is not None and v == v
+    node["guid"] = _parsed(r.id)
+    _set(node, "parentIndex", {"guid": _parsed(r.pid), "position": r.position or "!"} if has(r.pid) else None)
+    for field, value in (("type", r.type), ("name", r.name_), ("phase", r.phase), ("visible", None if not has(r.visible) else bool(r.visible)), ("opacity", r.opacity), ("componentKey", r.component_key)):
+        _set(node, field, value)
+    _set(node, "size", {"x": float(r.width), "y": float(r.height)} if has(r.width) and has(r.height) else None)
+    if has(r.text):
+        node.setdefault("textData", {})["characters"] = r.text
+    if has(r.symbol_id):
+        node.setdefault("symbolData", {})["symbolID"] = _parsed(r.symbol_id)
+    _set(node, "overrideKey", _parsed(r.override_key) if has(r.override_key) else None)
+    return node
+
+
+def revived(value, schema: dict, kind: str):
+    """A record that came through JSON: byte strings from hexadecimal digits."""
+    if kind in records.NATIVE or value is None or schema[kind][0] == "ENUM":
+        return value
+    out = {}
+    for field, t, many, _ in schema[kind][1]:
+        if field in value:
+            v = value[field]
+            out[field] = bytes.fromhex(v) if many and t == "byte" and isinstance(v, str) else [revived(x, schema, t) for x in v] if many else revived(v, schema, t)
+    return out
+
+
+def with_nodes(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """parts with messages that hold these nodes (columns of NODES) instead of their own, in order of ord. A document is one group, and no larger."""
+
+    def run(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows
+        of = {r.kind: bytes(r.bytes) for r in rows.itertuples()}
+        schema = records.read_schema(of["schema"])
+        message = records.decode(of["message"], schema, MESSAGE)
+        made = [node_record(r) for r in table.rename(columns={"name": "name_"}).sort_values("ord").itertuples()]
+        kind = next(t for field, t, _, _ in schema[MESSAGE][1] if field == "nodeChanges")
+        message["nodeChanges"] = [revived(n, schema, kind) for n in made]
+        data = records.encode(message, schema, MESSAGE)
+        return rows.assign(bytes=[data if k == "message" else b for k, b in zip(rows["kind"], rows["bytes"])])
+
+    names = [c.split()[0] for c in NODES.split(", ")]
+    own = nodes.toDF(*(f"_{c}" for c in nodes.columns)).select(*(F.col(f"_{c}").alias(c) for c in names))  # its own columns, even if parts come from nodes
+    both = parts.where("kind in ('schema', 'message')").groupBy("path").cogroup(own.groupBy("path")).applyInPandas(run, PARTS)
+    return both.unionByName(parts.where("kind not in ('schema', 'message')"))
+
+
+def new_parts(paths: DataFrame, schema: dict, prelude: str = "fig-deck", version: int = 48) -> DataFrame:
+    """The parts of new documents (column path) with a schema and an empty message."""
+    empty = records.encode({"nodeChanges": []}, schema, MESSAGE)
+    rows = [("schema", 0, records.write_schema(schema)), ("message", 1, empty)]
+    parts = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(ix).alias("ix"), F.lit(b).alias("bytes")) for k, ix, b in rows))
+    spread = paths.select("path", F.explode(parts).alias("p"))
+    return spread.select("path", "p.kind", "p.ix", F.lit(CANVAS).alias("name"), F.lit(prelude).alias("prelude"), F.lit(version).cast("long").alias("version"), "p.bytes")
+
+
+def counts(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(path, nodes, slides, live_slides, instances, symbols, chunks) of documents."""
+    live = ~F.col("phase").eqNullSafe("REMOVED")
+    of = lambda kind: F.count_if(F.col("type") == kind)
+    per = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("nodes"), of("SLIDE").alias("slides"), F.count_if((F.col("type") == "SLIDE") & live).alias("live_slides"), of("INSTANCE").alias("instances"), of("SYMBOL").alias("symbols"))
+    chunks = parts.where(F.col("name") == CANVAS).groupBy("path").agg(F.count(F.lit(1)).alias("chunks"))
+    return chunks.join(per, "path", "left").select("path", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("nodes", "slides", "live_slides", "instances", "symbols")), "chunks")
 
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                parts = {p[0]: p[5] for p in unpack(content)}
-                message = records.decode(parts["message"], records.read_schema(parts["schema"]), MESSAGE)
-                rows = [node_row(name, k, n) for k, n in enumerate(message.get("nodeChanges", []))]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_NODE_SCHEMA)
 
-    return _files(spark, path).mapInArrow(run, NODES)
+def round_trip(parts: DataFrame) -> DataFrame:
+    """counts of documents, with `same`: whether writing and reading them again gives the same nodes."""
+    before = nodes_of(parts)
+    again = parts_of(write_archives(with_nodes(parts, before)).withColumnRenamed("archive", "content"))
+    after = nodes_of(again)
+    rows = [c for c in before.columns]
+    lost = before.exceptAll(after).unionByName(after.exceptAll(before)).select(*rows).groupBy("path").agg(F.count(F.lit(1)).alias("_lost"))
+    return counts(after, again).join(lost, "path", "left").withColumn("same", F.col("_lost").isNull()).drop("_lost")
 
 
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -153,7 +281,6 @@ _NODE_SCHEMA = pa.schema([(c, _ARROW[t]) for c, t in (x.split() for x in NODES.s
 
 
 def images(parts: DataFrame) -> DataFrame:
-    """(path, name, sha1, width, height) of image parts; sizes from the header of a PNG, else 0."""
-    head = F.hex(F.substring("bytes", 1, 8)) == "89504E470D0A1A0A"
-    number = lambda at: F.when(head, F.conv(F.hex(F.substring("bytes", at, 4)), 16, 10).cast("long")).otherwise(0)
-    return parts.where("kind = 'image'").select("path", "name", F.sha1("bytes").alias("sha1"), number(17).alias("width"), number(21).alias("height"))
+    """(path, name, sha1, width, height) of image parts; sizes from the header of a PNG or JPEG, else 0."""
+    found = parts.where("kind = 'image'").withColumn("_size", sizes("bytes"))
+    return found.select("path", "name", F.sha1("bytes").alias("sha1"), "_size.width", "_size.height")

@@ -70,3 +70,23 @@ def test_networks(spark):
     assert len(paths.decode_network(paths.encode_network([loop, loop]))) == 2 * len(closed)
     assert paths.decode_network(b"\0" * 15) is None and paths.decode_network(None) is None and paths.decode_network(b"\0" * 16) is None
     assert paths.decode_network(paths.encode_network([loop])[:-8])[-1] == ("Z", [])
+
+
+def test_permissive(spark, tmp_path):
+    """A broken file stops a strict read, and is a row of kind error in a permissive one; the others are read."""
+    (tmp_path / "good.deck").write_bytes(archive.pack(canvas_parts()))
+    (tmp_path / "bad.deck").write_bytes(b"something else")
+    parts = archive.read_parts(spark, str(tmp_path), permissive=True)
+    assert [r["path"].rsplit("/", 1)[1] for r in parts.where("kind = 'error'").collect()] == ["bad.deck"]
+    assert archive.nodes_of(parts.where("kind <> 'error'")).count() == 2
+    with pytest.raises(Exception, match="not a canvas"):
+        archive.read_parts(spark, str(tmp_path)).count()
+
+
+def test_typed_and_back(spark, tmp_path):
+    """What raw holds comes back through new files: bytes, big numbers, absent fields."""
+    (tmp_path / "a.deck").write_bytes(archive.pack(canvas_parts()))
+    parts = archive.read_parts(spark, str(tmp_path))
+    assert [(r["nodes"], r["slides"], r["chunks"], r["same"]) for r in archive.round_trip(parts).collect()] == [(2, 1, 3, True)]
+    again = {r["kind"]: bytes(r["bytes"]) for r in archive.with_nodes(parts, archive.nodes_of(parts)).where("path is not null").collect()}
+    assert records.decode(again["message"], SCHEMA, "Message") == {"nodeChanges": NODES}
