@@ -32,6 +32,8 @@ SENT = 5
 REMEMBERED = 1 << 18
 #: Hash ranges of the suffix filter.
 RANGES = 16
+#: N-grams that a row remembers of its prefix: a pair that meets in two places far apart is found twice and counted once.
+BEFORE = 32
 
 #: Of all n-grams: the share up to which the second filter looks.
 SECOND_SHARE = 0.5
@@ -235,7 +237,8 @@ class _Join:
         """Pairs (a, b) that meet in an n-gram and are of different components (id, component); found has the components so far.
 
         An n-gram's rows outside its largest component meet the others in bands of length: a link's two
-        lengths are in one band or in neighbouring ones. Rows here have the counts of the suffix filter with them.
+        lengths are in one band or in neighbouring ones. Rows here have the counts of the suffix filter with them, and
+        the n-grams of their prefix just before this one: a pair that has one of those in common meets there, and not again here.
         """
         labelled = posts.join(found.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         labelled = written(labelled)
@@ -243,11 +246,14 @@ class _Join:
         mixed = groups.groupBy("g").agg(F.count(F.lit(1)).alias("several"), F.max_by("component", F.struct("k", "component")).alias("main"))
         mixed = mixed.where("several > 1").drop("several")
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num) + 1e-9).cast("int")
-        there = labelled.join(mixed, "g").join(ranked.select("cls", "ranges"), "cls")
-        there = written(there.select("g", "main", band.alias("band"), F.struct("cls", "n", "at", "shared", "component", "ranges").alias("x")))
+        there = labelled.join(mixed, "g").join(ranked.select("cls", "ranges", "grams"), "cls")
+        first = F.greatest(F.lit(1), F.col("shared") - BEFORE)
+        there = there.withColumn("before", F.slice("grams", first, F.col("shared") - first))
+        there = written(there.select("g", "main", band.alias("band"), F.struct("cls", "n", "at", "shared", "component", "ranges", "before").alias("x")))
         odd = there.where("x.component <> main").select("g", "x", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
         other = there.select("g", "main", "band", F.col("x").alias("y"))
         met = odd.join(other, ["g", "band"]).where("x.component <> y.component and (y.component = main or x.cls < y.cls)").where(self.fits("x", "y"))
+        met = met.where(~F.arrays_overlap("x.before", "y.before"))
         met = met.where(self.links(_overlap(F.col("x.ranges"), F.col("y.ranges")), F.col("x.n"), F.col("y.n")))
         pairs = written(met.select(F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")).distinct())
         drop_written(labelled)
