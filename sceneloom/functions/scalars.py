@@ -181,3 +181,11 @@ def hash_bytes(text: Column) -> Column:
 def hash_text(data: Column) -> Column:
     """A hash's bytes as small hexadecimal digits."""
     return F.lower(F.hex(data))
+
+
+def table_checksum(data: Column) -> Column:
+    """Sum of the big-endian 32-bit numbers of some bytes, modulo 2 ** 32; bytes that are missing at the end count as zero."""
+    digits = F.hex(data)
+    words = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(digits) / 8).cast("int") - 1, F.lit(0))), lambda i: F.rpad(F.substr(digits, i * 8 + 1, F.lit(8)), 8, "0"))
+    total = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.pmod(a + F.conv(w, 16, 10).cast("long"), F.lit(1 << 32)))
+    return F.when(F.octet_length(data) > 0, total).otherwise(F.when(data.isNotNull(), F.lit(0).cast("long")))

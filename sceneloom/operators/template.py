@@ -123,12 +123,17 @@ def import_symbols(source: DataFrame, target: DataFrame, wanted: DataFrame, canv
 
 
 def filled(clones: DataFrame, texts: DataFrame) -> DataFrame:
-    """clones with `text` replaced where texts (place, key, text) has a value under one of a node's keys; empty texts become a space."""
+    """clones with `text` replaced where texts (place, key, text) has a value under one of a node's keys; empty texts become a space.
+
+    A layout and list lines that a replaced text had (baselines, glyphs, line_types, line_indents) go with it.
+    """
     keys = F.array_distinct(F.array_compact(F.array(strip_prefix(F.col("name")), F.col("old_id"), F.concat(F.lit("#"), F.col("old_id")), F.col("name"))))
     asked = clones.select(F.col("place").alias("_place"), F.col("old_id").alias("_old"), F.posexplode(keys).alias("_at", "_key"))
     values = texts.select(F.col("place").alias("_p"), F.col("key").alias("_k"), F.when(F.coalesce("text", F.lit("")) == "", " ").otherwise(F.col("text")).alias("_t"))
     hit = asked.join(values, (F.col("_place") == F.col("_p")) & (F.col("_key") == F.col("_k"))).groupBy("_place", "_old").agg(F.min_by("_t", "_at").alias("_text"))
     out = clones.join(hit, (F.col("place") == F.col("_place")) & (F.col("old_id") == F.col("_old")), "left")
+    stale = [c for c in ("baselines", "glyphs", "line_types", "line_indents") if c in clones.columns]
+    out = out.withColumns({c: F.when(F.col("_text").isNull(), F.col(c)) for c in stale})
     return out.withColumn("text", F.coalesce("_text", "text")).drop("_place", "_old", "_text")
 
 

@@ -369,3 +369,42 @@ def report_overlays(spark, d: str) -> DataFrame:
     channel = lambda first: F.transform(F.slice("embedding", first, 30), lambda x: F.floor((x.cast("double") + 1) / 2 * 255).cast("int"))
     rows = table(spark, d, "embeddings").select("vec_id", channel(1).alias("a"), channel(31).alias("b"), F.abs(F.col("embedding")[0].cast("double")).alias("score"))
     return imagediff.report_rows(rows, "vec_id", "a", "b", "score").select("vec_id", "tier", F.array_join("overlay", ",").alias("overlay"))
+
+
+@query("""WITH b AS (SELECT p_partkey AS ix, 'M' || p_size || ',0L1,' || p_size || 'Z' AS d FROM part WHERE p_partkey % 3 <> 0)
+SELECT o_orderkey AS id, coalesce(x.d, '-') || ' ' || coalesce(y.d, '-') AS paths FROM orders LEFT JOIN b x ON x.ix = o_orderkey % 50 LEFT JOIN b y ON y.ix = o_custkey % 50""")
+def geometry_paths(spark, d: str) -> DataFrame:
+    """Fill regions of shapes by the places of their byte strings; some are missing."""
+    from sceneloom.operators import vectors
+    from sceneloom.sources import paths
+
+    size = F.col("p_size")
+    text = F.concat(F.lit("M"), size, F.lit(" 0L1 "), size, F.lit("Z"))
+    blobs = table(spark, d, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("ix"), paths.encoded_svg(text).alias("bytes"))
+    region = lambda c: F.struct((F.col(c) % 50).alias("blob"), F.lit("NONZERO").alias("winding"), F.lit(0).cast("long").alias("style"))
+    shapes_ = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array(region("o_orderkey"), region("o_custkey")).alias("fill_geometry"))
+    out = vectors.with_blobs(shapes_, blobs, paths.decoded)
+    return out.select("id", F.array_join(F.transform("fill_geometry", lambda g: F.coalesce(g["d"], F.lit("-"))), " ").alias("paths"))
+
+
+@query("""WITH t AS (SELECT doc_id, hex(encode(text[1:50])) AS x FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, rpad(substr(x, 8 * i + 1, 8), 8, '0') AS w FROM t, range(50) AS r(i) WHERE 8 * i < length(x))
+SELECT t.doc_id, coalesce(sum(('0x' || w)::BIGINT), 0)::BIGINT % 4294967296 AS checksum FROM t LEFT JOIN w USING (doc_id) GROUP BY t.doc_id""")
+def table_checksums(spark, d: str) -> DataFrame:
+    """Checksums, as font tables have them, of the first 50 characters of each text."""
+    from sceneloom.functions.scalars import table_checksum
+
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", table_checksum(F.substring("text", 1, 50).cast("binary")).alias("checksum"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'SOLID,new,IMAGE' WHEN 1 THEN 'new' ELSE 'new' END AS paints FROM part")
+def paints_replaced(spark, d: str) -> DataFrame:
+    """Paints in which a new picture takes the place of the first picture, or of all where there is none."""
+    from sceneloom.operators import template
+
+    key = F.col("p_partkey") % 3
+    kinds = F.when(key == 0, F.array(F.lit("SOLID"), F.lit("IMAGE"), F.lit("IMAGE"))).when(key == 1, F.array(F.lit("SOLID"), F.lit("SOLID")))
+    paints = F.transform(kinds, lambda k: F.struct(k.alias("type"), k.alias("name")))
+    new = F.struct(F.lit("IMAGE").alias("type"), F.lit("new").alias("name"))
+    rows = table(spark, d, "part").select("p_partkey", paints.alias("paints"))
+    return rows.select("p_partkey", F.array_join(F.transform(template.with_paint(F.col("paints"), new), lambda p: p["name"]), ",").alias("paints"))

@@ -90,3 +90,13 @@ def test_typed_and_back(spark, tmp_path):
     assert [(r["nodes"], r["slides"], r["chunks"], r["same"]) for r in archive.round_trip(parts).collect()] == [(2, 1, 3, True)]
     again = {r["kind"]: bytes(r["bytes"]) for r in archive.with_nodes(parts, archive.nodes_of(parts)).where("path is not null").collect()}
     assert records.decode(again["message"], SCHEMA, "Message") == {"nodeChanges": NODES}
+
+
+def test_font_files(spark, tmp_path):
+    from sceneloom.operators import fonts
+
+    (tmp_path / "sub").mkdir()
+    for name in ("a.ttf", "sub/b.woff2", "sub/c.txt"):
+        (tmp_path / name).write_bytes(name.encode())
+    got = {r["path"].rsplit("/", 1)[1]: bytes(r["bytes"]) for r in fonts.read_fonts(spark, str(tmp_path)).collect()}
+    assert got == {"a.ttf": b"a.ttf", "b.woff2": b"sub/b.woff2"}
