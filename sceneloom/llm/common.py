@@ -75,6 +75,7 @@ def byte_batches(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 <<
             hi = min(hi, len(col))
             yield batch.slice(lo, hi - lo), data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
             lo = hi
+    pa.default_memory_pool().release_unused()  # a worker waits for its next task without what this one needed
 
 
 # Hashing ------------------------------------------------------------------------------------------

@@ -30,6 +30,8 @@ BUCKET_BYTES = 8 << 20
 SENT = 5
 #: N-grams that a task remembers as sent for two owners already.
 REMEMBERED = 1 << 18
+#: Bytes of text that are looked at together.
+TEXT_BYTES = 1 << 20
 #: Hash ranges of the suffix filter.
 RANGES = 16
 #: N-grams that a row remembers of its prefix: a pair that meets in two places far apart is found twice and counted once.
@@ -100,7 +102,7 @@ def _sets(n: int, share: tuple[float, float], buckets: int):
 
     def run(batches):
         owners = _Owners(buckets)
-        for rows, data, off in byte_batches(batches, "text", 2 << 20):
+        for rows, data, off in byte_batches(batches, "text", TEXT_BYTES):
             column = lambda c: rows.column(rows.schema.get_field_index(c))  # noqa: B023, E731
             at, grams = shingle_sets(data, off, n)
             d1, d2 = _digests(at, grams)
@@ -151,7 +153,7 @@ def _whole_sets(n: int):
     """(cls, n, grams, ranges) of rows with the digests d1, d2 that their class has."""
 
     def run(batches):
-        for rows, data, off in byte_batches(batches, "text", 2 << 20):
+        for rows, data, off in byte_batches(batches, "text", TEXT_BYTES):
             column = lambda c: rows.column(rows.schema.get_field_index(c))  # noqa: B023, E731
             at, grams = shingle_sets(data, off, n)
             d1, d2 = _digests(at, grams)

@@ -69,22 +69,33 @@ def piece_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class _Table:
-    """Sorted keys with values (rows of numbers) by key."""
+    """Sorted keys with a check, a place and a size by key, in as few bytes as they need."""
 
     def __init__(self) -> None:
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((3, 0), np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        self.values = [np.zeros(0, t) for t in (np.int64, np.uint32, np.uint32)]
 
     def look_up(self, key: np.ndarray, out: np.ndarray) -> None:
         """Set the columns of out whose key is known."""
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             known = np.flatnonzero(self.keys[at] == key)
-            out[:, known] = self.values[:, at[known]]
+            for row, values in zip(out, self.values):
+                row[known] = values[at[known]]
 
-    def insert(self, key: np.ndarray, values: np.ndarray) -> None:
-        keys = np.concatenate([self.keys, key])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], np.concatenate([self.values, values], 1)[:, order]
+    def insert(self, key: np.ndarray, values: list[np.ndarray]) -> None:
+        """Add keys, which are in order and new."""
+        at = np.searchsorted(self.keys, key) + np.arange(len(key))
+        old = np.ones(len(self.keys) + len(key), bool)
+        old[at] = False
+
+        def merged(have: np.ndarray, new: np.ndarray) -> np.ndarray:
+            out = np.empty(len(old), have.dtype)
+            out[at], out[old] = new, have
+            return out
+
+        self.keys = merged(self.keys, key)
+        self.values = [merged(have, new) for have, new in zip(self.values, values)]
 
 
 def cuts_as_known(tokenizer) -> bool:
@@ -134,7 +145,7 @@ class Pieces:
             first, size = self.add(data, start[at[new]], end[at[new]])
             found[:, new] = check[at[new]].view(np.int64), first, size
             many, fresh = self.tables
-            fresh.insert(key[new], found[:, new])
+            fresh.insert(key[new], list(found[:, new]))
             if len(fresh.keys) > max(MERGED_PIECES, len(many.keys) // 8):
                 many.insert(fresh.keys, fresh.values)
                 self.tables[1] = _Table()
