@@ -5,7 +5,7 @@ whole pieces becomes a sentence's identifier if it
 
 - reads as a known licence sentence (looked up whole),
 - is a reference: a form such as "this project is licensed under the terms of", or the tag of a licence
-  identifier, around one of a licence's names, or
+  identifier, before a licence's name or several of them (either, or, and, with an exception), or such a list alone, or
 - comes close to a known sentence of at least LONG words: a named holder or a changed word does no harm.
 
 Ordered licence rules are then matched against the sequence of identifiers, the longest first at each
@@ -144,9 +144,12 @@ NAMES = {
     "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License"],
     "ISC": ["ISC License"],
     "GPL-2.0-only": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2", "GPL v2", "GPL 2.0"],
-    "GPL-2.0-or-later": ["GNU General Public License, version 2 or later", "GPLv2 or later", "GPLv2+"],
+    "GPL-2.0-or-later": ["GPL-2.0+", "GPLv2+", "GPL v2+"],
     "GPL-3.0-only": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3", "GPL v3", "GPL 3.0"],
-    "GPL-3.0-or-later": ["GNU General Public License, version 3 or later", "GPLv3 or later", "GPLv3+"],
+    "GPL-3.0-or-later": ["GPL-3.0+", "GPLv3+", "GPL v3+"],
+    "LGPL-2.1-or-later": ["LGPL-2.1+", "LGPLv2.1+"],
+    "LGPL-3.0-or-later": ["LGPL-3.0+", "LGPLv3+"],
+    "AGPL-3.0-or-later": ["AGPL-3.0+", "AGPLv3+"],
     "LGPL-2.1-only": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPLv2.1", "LGPL 2.1"],
     "LGPL-3.0-only": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3", "LGPL 3.0"],
     "AGPL-3.0-only": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3", "AGPLv3", "AGPL 3.0"],
@@ -165,16 +168,22 @@ NAMES = {
     "WTFPL": ["WTFPL"],
 }
 #: Forms of a reference; every choice of their parts before a name counts (subject, verb, terms).
-SUBJECTS = r"(?:(?:this|the|our|all|it|its) (?:\w+ ){0,3}?(?:is|are) )?(?:dual )?"
+NOUNS = "code source software text content documentation data project library package work".split()
+SUBJECTS = rf"(?:(?:this|the|our|all|it|its) (?:\w+ ){{0,3}}?(?:is|are) |(?:{'|'.join(NOUNS)})(?: code)? (?:(?:is|are) )?)?(?:dual )?"
 VERBS = r"(?:licen[sc]ed|released|distributed|available|published|provided|made available|covered|redistributed|shared)"
 TERMS = r" (?:under|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
 TAG = r"(?:spdx )?licen[sc]e(?: identifier)? "
 #: A known sentence of so many words or more is recognised if so much of its three-word runs is there, and so little else.
 LONG, CLOSE = 12, 0.65
-#: Every known sentence holds one of these (a test asserts it), so a text without any is passed over whole.
-TRIGGERS = (b"licen", b"permi", b"redistrib", b"warrant", b"promote", b"copyright", b"29 june 2007", b"november 2007", b"june 1991", b"february 1999", b"public domain", b"under ", b"covered by", b"mpl")
-
-_WORD = re.compile(r"[^\W_]+")
+#: Exceptions that an expression may add to a licence.
+EXCEPTIONS = ["Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception", "Bison-exception-2.2", "Autoconf-exception-3.0", "Linux-syscall-note"]
+#: A licence's later versions too: what may follow the name of one that ends in "-only".
+LATER = r"(?: (?:or|and)(?: at your option)?(?: any)? (?:later|newer)(?: versions?)?)"
+WORD_LICENCE = r"(?: licen[sc]es?)?"
+LINK = r" (?:and or |or |and )?(?:the )?"
+
+#: A plus at a word's end is part of it: it tells "or later" apart.
+_WORD = re.compile(r"[^\W_]+\+?")
 _PIECE = re.compile(r"\n|(?<=[.;:!?])\s+")
 
 
@@ -186,6 +195,16 @@ def known_sentences(sentences: dict[str, list[str]] | None = None) -> dict[tuple
     return {normalise(s): k for k, forms in (sentences or SENTENCES).items() for s in forms}
 
 
+def licence_names(names: dict[str, list[str]]) -> dict[str, str]:
+    """Licence by normalised name. A name that two licences share is an error."""
+    out: dict[str, str] = {}
+    for licence, forms in names.items():
+        for name in (" ".join(normalise(n)) for n in [licence, *forms]):
+            if out.setdefault(name, licence) != licence:
+                raise ValueError(f"two licences have one name: {name}")
+    return out
+
+
 def _runs(words: tuple[str, ...]) -> set[tuple[str, ...]]:
     return {words[i : i + 3] for i in range(len(words) - 2)}
 
@@ -196,16 +215,20 @@ class Sentences:
     def __init__(self, sentences: dict[str, list[str]] | None = None, names: dict[str, list[str]] | None = None) -> None:
         self.known = known_sentences(sentences)
         self.heads, self.most = {k[0] for k in self.known}, max(map(len, self.known), default=0)
-        names = NAMES if names is None and sentences is None else names or {}
-        self.names = {" ".join(normalise(n)): licence for licence, forms in names.items() for n in [licence, *forms]}
-        any_name = "|".join(sorted(map(re.escape, self.names), key=len, reverse=True))
-        self.reference = re.compile(f"(?:{SUBJECTS}{VERBS}{TERMS}|{TAG})({any_name})(?: licen[sc]e)?$") if names else None
-        self.longest_reference = 12 + max((len(n.split()) for n in self.names), default=0)
+        self.names = licence_names(NAMES if names is None and sentences is None else names or {})
+        any_name = "(?:" + "|".join(map(re.escape, sorted(self.names, key=len, reverse=True))) + ")"
+        with_exception = "(?: with (?:" + "|".join(" ".join(normalise(e)) for e in EXCEPTIONS) + "))?"
+        one = f"{any_name}{WORD_LICENCE}{LATER}?{WORD_LICENCE}{with_exception}"
+        lead = f"(?:{SUBJECTS}{VERBS}{TERMS}(?:either (?:of )?(?:the )?)?|{TAG}(?:either )?)"
+        self.reference = re.compile(f"(?:{lead}(?P<told>{one}(?:{LINK}{one})*)(?: at your option)?|(?P<bare>{one}(?: (?:or|and) {one})+))$") if self.names else None
+        self.name = re.compile(f"(?P<link> and or | or | and | )?(?:the )?(?P<name>{any_name}){WORD_LICENCE}(?P<later>{LATER})?{WORD_LICENCE}{with_exception}")
+        self.longest_reference = 12 + 3 * max((len(n.split()) for n in self.names), default=0)
         self.long = [(k, ident, _runs(k)) for k, ident in self.known.items() if len(k) >= LONG]
         self.by_run: dict[tuple[str, ...], list[int]] = {}
         for number, (_, _, runs) in enumerate(self.long):
             for run in runs:
                 self.by_run.setdefault(run, []).append(number)
+        self.reference_heads = {*NOUNS, *"this the our all it its dual spdx license licence".split()} | set(re.findall(r"\w+", VERBS.replace("[sc]", "c") + VERBS.replace("[sc]", "s"))) | {n.split()[0] for n in self.names}
 
     def exact(self, pieces: list[tuple[str, ...]], i: int) -> tuple[str, int] | None:
         """(identifier, next piece) of the longest known sentence that begins at piece i."""
@@ -217,20 +240,30 @@ class Sentences:
         return best
 
     def referred(self, pieces: list[tuple[str, ...]], i: int) -> tuple[str, int] | None:
-        """The same for a reference to a licence by name; its identifier is the licence's."""
+        """The same for a reference to licences by name; its identifier is the expression of their identifiers."""
         best, run, j = None, (), i
-        while self.reference and j < len(pieces) and len(run) + len(pieces[j]) <= self.longest_reference:
+        while self.reference and pieces[i][0] in self.reference_heads and j < len(pieces) and (j == i or len(run) + len(pieces[j]) <= self.longest_reference):
             run, j = run + pieces[j], j + 1
-            if (m := self.reference.match(" ".join(run))) and m.end() == len(" ".join(run)):
-                best = (f"ref:{self.names[m.group(1)]}", j)
+            if m := self.reference.match(" ".join(run)):
+                best = (f"ref:{self.expression(m.group('told') or m.group('bare'))}", j)
         return best
 
+    def expression(self, named: str) -> str:
+        """Licence identifiers of a list of names, with OR and AND as told; names that only stand side by side count as AND."""
+        out = ""
+        for m in self.name.finditer(named):
+            licence = self.names[m.group("name")]
+            if m.group("later") and licence.endswith("-only"):
+                licence = licence.removesuffix("-only") + "-or-later"
+            out += (" OR " if "or" in (m.group("link") or "").split() else " AND ") * bool(out) + licence
+        return out
+
     def close(self, pieces: list[tuple[str, ...]], i: int) -> tuple[str, int] | None:
         """The same for the known long sentence that a run of pieces comes closest to."""
         first = tuple(w for p in pieces[i : i + 3] for w in p)
         candidates = {n for run in _runs(first) for n in self.by_run.get(run, ())}
         best, score = None, CLOSE
-        for number in candidates:
+        for number in sorted(candidates):
             key, ident, runs = self.long[number]
             words, j = (), i
             while j < len(pieces) and len(words) < 1.3 * len(key):
@@ -255,14 +288,14 @@ def sentence_ids(text: str, known: Sentences) -> list[str]:
 
 
 def match_rules(ids: list[str], rules: list[tuple[str, list[str]]]) -> tuple[list[str], list[str]]:
-    """Licences whose rules match ids, in order, and the identifiers that no rule used. A reference is a rule by itself."""
+    """Licences whose rules match ids, in order, and the identifiers that no rule used. A reference is a rule by itself and gives each licence it names."""
     licences, rest, i = [], [], 0
     while i < len(ids):
-        hit = next(((name, len(seq)) for name, seq in rules if ids[i : i + len(seq)] == seq), None)
+        hit = next((([name], len(seq)) for name, seq in rules if ids[i : i + len(seq)] == seq), None)
         if ids[i].startswith("ref:"):
-            hit = (ids[i][4:], 1)
+            hit = (re.split(" OR | AND ", ids[i][4:]), 1)
         if hit:
-            licences.append(hit[0])
+            licences += hit[0]
         else:
             rest.append(ids[i])
         i += hit[1] if hit else 1
@@ -276,15 +309,13 @@ def scan(docs: DataFrame, sentences: dict[str, list[str]] | None = None, rules:
     Other columns of docs are not looked at; an empty table gives an empty table.
     """
     ordered = sorted(rules or RULES, key=lambda r: -len(r[1]))
-    custom = sentences is not None
 
     def run(batches):
         known = Sentences(sentences)
         for rows, data, off in byte_batches(batches, "text", 1 << 22):
             raw, out = data.tobytes(), ([], [], [])
-            low = raw.lower()
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                ids = sentence_ids(raw[a:b].decode(), known) if custom or any(low.find(t, a, b) >= 0 for t in TRIGGERS) else []
+                ids = sentence_ids(raw[a:b].decode(), known)
                 licences, rest = match_rules(ids, ordered)
                 for col, x in zip(out, (ids, licences, rest)):
                     col.append(x)

@@ -324,7 +324,6 @@ def test_line_dedup(spark):
 
 
 def test_licences(spark):
-    assert all(any(t in s.lower().encode() for t in licenses.TRIGGERS) for forms in licenses.SENTENCES.values() for s in forms)
     mit = "The MIT License (MIT)\n\n" + licenses.SENTENCES["mit-grant"][0].replace(" ", "\n", 9) + "\n" + licenses.SENTENCES["mit-notice"][0]
     bsd = "\n".join(licenses.SENTENCES[k][0] for k in ("bsd-may", "bsd-source", "bsd-binary", "bsd-endorse"))
     texts = [mit, bsd, "foo\nReleased under the MIT License.\nbar. Licensed under CC BY-NC 4.0.", licenses.SENTENCES["bsd-source"][0], *EDGES]
@@ -348,6 +347,83 @@ def test_licence_references(spark):
     assert [out[i] for i in range(len(texts))] == list(texts.values())
 
 
+def test_licence_expressions_and_later_versions(spark):
+    """A plus and "or later" tell versions apart; expressions and lists give every licence."""
+    texts = {
+        "Licensed under GPLv3.": ["GPL-3.0-only"], "Licensed under GPLv2.": ["GPL-2.0-only"], "Licensed under GPLv3+.": ["GPL-3.0-or-later"], "Released under the GPLv2 or later.": ["GPL-2.0-or-later"],
+        "Licensed under the GNU General Public License, version 3 or any later version.": ["GPL-3.0-or-later"], "SPDX-License-Identifier: GPL-2.0+": ["GPL-2.0-or-later"], "License: LGPLv2.1+": ["LGPL-2.1-or-later"],
+        "Released under\nGPLv3.": ["GPL-3.0-only"], "Distributed by Apache 2.0.": ["Apache-2.0"], "Provided under\tGPLv2": ["GPL-2.0-only"],
+        "MIT OR Apache-2.0": ["MIT", "Apache-2.0"], "license = \"MIT OR Apache-2.0\"": ["MIT", "Apache-2.0"], "SPDX-License-Identifier: (MIT AND BSD-3-Clause) OR ISC": ["MIT", "BSD-3-Clause", "ISC"],
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": ["GPL-2.0-only"], "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": ["Apache-2.0", "MIT"],
+        "Dual licensed under the MIT and GPL v2 or later licenses.": ["MIT", "GPL-2.0-or-later"], "MIT": [], "under the MIT tree": [], "\u212aind of: released under the MIT License.": ["MIT"],
+    }
+    out = {r["doc_id"]: r["licences"] for r in licenses.scan(table(spark, list(texts))).collect()}
+    assert {t: out[i] for i, t in enumerate(texts)} == texts
+    assert licenses.Sentences().expression("mit and bsd 3 clause or isc") == "MIT AND BSD-3-Clause OR ISC"
+    with pytest.raises(ValueError, match="one name"):
+        licenses.licence_names({"A-1.0": ["Some License"], "B": ["some license"]})
+
+
+def test_gates_lose_nothing():
+    """First words and shared runs only save time: without them the same is found in 10,000 texts of parts of licences, names and prose."""
+
+    class Everything:
+        def __contains__(self, word):
+            return True
+
+        def get(self, run, default):
+            return range(len(known.long))
+
+    known, ungated, rng = licenses.Sentences(), licenses.Sentences(), random.Random(5)
+    ungated.heads = ungated.reference_heads = ungated.by_run = Everything()
+    parts = [w for forms in licenses.SENTENCES.values() for f in forms for w in [f, *(" ".join(f.split()[k : k + 9]) for k in range(0, len(f.split()), 4))]]
+    verbs = "Released under|Distributed by|provided under the terms of|This is licensed under the|License:|SPDX-License-Identifier:|covered by|dual licensed under|Source code is available under".split("|")
+    names = [*licenses.NAMES, *(n for forms in licenses.NAMES.values() for n in forms)]
+    prose = "the software of a house is permitted, version 2 and notice. Copy this\tfile; no warranty? \u0130 \u212a é 日本 MIT+ GPL or later".split(" ")
+
+    def part():
+        kind = rng.random()
+        if kind < 0.35:
+            words = rng.choice(parts).split()
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = rng.choice(prose)
+            return " ".join(words)
+        return rng.choice(verbs) if kind < 0.55 else rng.choice(names) if kind < 0.75 else " ".join(rng.choices(prose, k=rng.randint(1, 8)))
+
+    found = 0
+    for _ in range(10_000):
+        text = "".join(part() + rng.choice([" ", "\n", ".\n", " or ", "\t"]) for _ in range(rng.randint(1, 3)))
+        text = text.upper() if rng.random() < 0.1 else text
+        want = licenses.sentence_ids(text, known)
+        assert licenses.sentence_ids(text, ungated) == want
+        found += bool(want)
+    assert 2000 < found < 9000
+
+
+#: How projects state their licences, as their files word it; none of it comes from the module's tables.
+STATED = [
+    ("# Copyright 2021 Example Authors.\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     https://example.org/LICENSE-2.0\n", "Apache-2.0"),
+    ("This project is licensed under the terms of the MIT license.", "MIT"), ("Code released under the MIT License.", "MIT"), ("Available under the MIT Licence", "MIT"), ("The code is licensed under the ISC license.", "ISC"),
+    ("Use of this source code is governed by a BSD-style license.\nLicensed under the 3-Clause BSD License", "BSD-3-Clause"), ("This package is distributed under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("foo is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n", "GPL-3.0-or-later"),
+    ("This file is part of bar; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0-or-later"),
+    ("The library is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1-only"), ("This program is released under the GNU AGPL v3", "AGPL-3.0-only"), ("/* SPDX-License-Identifier: BSD-2-Clause */", "BSD-2-Clause"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://example.org.", "MPL-2.0"),
+    ("All of it is available under the Mozilla Public License 2.0", "MPL-2.0"), ("The documentation is licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Text is available under the Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish.", "Unlicense"), ("license: WTFPL", "WTFPL"), ("Published under the Artistic License 2.0", "Artistic-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction, including\nwithout limitation the rights to use, copy, modify, merge, publish,\ndistribute, sublicense, and/or sell copies of the Software, and to\npermit persons to whom the Software is furnished to do so, subject to\nthe following conditions:\n\nThe above copyright notice and this permission notice shall be\nincluded in all copies or substantial portions of the Software.\n", "MIT"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n", "BSD-2-Clause"),
+    ("Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", "ISC"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "EPL-2.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0-only"),
+]
+
+
+def test_recall_on_statements_that_the_tables_do_not_hold(spark):
+    out = {r["doc_id"]: r["licences"] for r in licenses.scan(table(spark, [t for t, _ in STATED])).collect()}
+    missed = [(STATED[i], out[i]) for i in range(len(STATED)) if STATED[i][1] not in out[i] or len(set(out[i])) > 1]
+    assert len(missed) <= len(STATED) // 10, missed
+
+
 def test_licence_recall(spark):
     """Whole licences in comments, wrapped anew, each long sentence with a word changed, dropped or added: nine in ten at least are found, prose holds none."""
     rng, texts, want = random.Random(11), [], []
