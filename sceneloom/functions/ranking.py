@@ -20,3 +20,16 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     out = dealt.join(F.broadcast(counts), "_range")  # one row per range
     return out.withColumn(name, (rank + F.col("_base") + (start - 1)).cast("long")).drop("_range", "_base")
+
+
+def numbered_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """df with `name` (long): 0, 1, ... in order of the columns `order` among the rows of each value of `group` (nulls are one).
+
+    As numbered, but counts are one per range and group: a group with most of the rows is spread over ranges.
+    """
+    dealt = written(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(F.col("_range").alias("_at"), F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n")).select("_at", "_group", F.coalesce(before, F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order)) - 1
+    out = dealt.join(counts, (F.col("_range") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn(name, (rank + F.col("_base")).cast("long")).drop("_range", "_base", "_at", "_group")

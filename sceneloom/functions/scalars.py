@@ -21,10 +21,24 @@ def parse_id(id_: Column) -> Column:
     return F.struct(part(1).alias("session"), part(2).alias("local"))
 
 
+#: Places up to this one are a single character each; the next code point begins longer ones. A digit of those has so many bits.
+_SINGLE, _DIGIT = 0xD7FF - 0x21, 15
+
+
 def position_char(k: Column) -> Column:
-    """The k-th sibling position, from "!" on: one UTF-16 unit, so places beyond 93 go on past ASCII."""
-    unit = F.lpad(F.hex(F.pmod(k.cast("long") + 33, F.lit(1 << 16))), 4, "0")
-    return F.decode(F.unhex(unit), "UTF-16BE")
+    """The k-th sibling position, from "!" on, such that positions stand in the order of their places, by characters or by bytes.
+
+    The first 55,262 places are one character each, "!" + k, as documents have them. Beyond these come U+D7FF, the
+    number of digits and the digits: code points from U+D800 on are halves of pairs, and one 16-bit unit begins again after 65,503 places
+    (what the reference does). Null for negative places.
+    """
+    k = k.cast("long")
+    more = k - _SINGLE
+    unit = lambda x: F.lpad(F.hex(x + 33), 4, "0")
+    size = F.when(more < 1 << _DIGIT, 1).when(more < 1 << 2 * _DIGIT, 2).when(more < 1 << 3 * _DIGIT, 3).otherwise(4)
+    digits = [F.when(size > i, unit(F.shiftright(more, _DIGIT * i).bitwiseAND((1 << _DIGIT) - 1))).otherwise("") for i in (3, 2, 1, 0)]
+    units = F.when(k < _SINGLE, unit(k)).otherwise(F.concat(F.lit("D7FF"), unit(size.cast("long")), *digits))
+    return F.when(k >= 0, F.decode(F.unhex(units), "UTF-16BE"))
 
 
 def half_up(x: Column) -> Column:
@@ -185,7 +199,6 @@ def hash_text(data: Column) -> Column:
 
 def table_checksum(data: Column) -> Column:
     """Sum of the big-endian 32-bit numbers of some bytes, modulo 2 ** 32; bytes that are missing at the end count as zero."""
-    digits = F.hex(data)
-    words = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(digits) / 8).cast("int") - 1, F.lit(0))), lambda i: F.rpad(F.substr(digits, i * 8 + 1, F.lit(8)), 8, "0"))
+    words = F.transform(F.regexp_extract_all(F.hex(data), F.lit("(.{1,8})"), 1), lambda w: F.rpad(w, 8, "0"))
     total = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: F.pmod(a + F.conv(w, 16, 10).cast("long"), F.lit(1 << 32)))
     return F.when(F.octet_length(data) > 0, total).otherwise(F.when(data.isNotNull(), F.lit(0).cast("long")))

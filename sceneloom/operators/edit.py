@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.functions.ranking import numbered
+from sceneloom.functions.ranking import numbered, numbered_within
 from sceneloom.functions.scalars import blank_as_space, position_char
 
 
@@ -37,6 +37,31 @@ def move_to_front(nodes: DataFrame, moved: str, order: str = "ord") -> DataFrame
     return nodes.withColumn("place", rank).withColumn("position", position_char(F.col("place")))
 
 
+def move_nodes(nodes: DataFrame, moves: DataFrame, order: str = "ord") -> DataFrame:
+    """nodes with place (from 0, among the siblings of a parent) and position, after moves (id, to_index) have been made.
+
+    A moved node takes to_index among its siblings, of which nodes has those that count (live ones); from the end where it is negative, and no further than either
+    end. The others keep their order around it. Of moves to one place, or to ones that are taken, the first by order is first and the
+    rest follow. Moves that name no node are passed over; of several for one node one with the largest place counts. Every sibling gets a position anew. Rows are numbered by
+    ranges, so a parent with most of the nodes is no single task.
+    """
+    to = moves.groupBy(F.col("id").alias("_moved")).agg(F.max("to_index").alias("_to"))
+    told = nodes.join(to, nodes["id"] == F.col("_moved"), "left").drop("_moved")
+    size = told.groupBy(F.col("pid").alias("_pid")).agg(F.count_if(F.col("_to").isNull()).alias("_others"))
+    told = told.join(size, F.col("pid").eqNullSafe(F.col("_pid"))).drop("_pid")
+    wish = F.when(F.col("_to") < 0, F.greatest(F.col("_to") + F.col("_others"), F.lit(0))).otherwise(F.col("_to"))
+    moved = told.where("_to is not null").withColumn("_to", wish)
+    moved = moved.withColumn("_j", F.row_number().over(Window.partitionBy("pid").orderBy("_to", order, "id")) - 1)
+    # the moved node j lands behind so many others that it keeps its place, once those moved before it are there
+    behind = F.max(F.col("_to") - F.col("_j")).over(Window.partitionBy("pid").orderBy("_j"))
+    moved = moved.withColumn("_behind", F.least(behind, F.col("_others")).cast("long"))
+    others = numbered_within(told.where("_to is null"), "pid", [order, "id"], "_behind").withColumn("_j", F.lit(None).cast("int"))
+    both = moved.select(*nodes.columns, "_behind", "_j").unionByName(others.select(*nodes.columns, "_behind", "_j"))
+    both = both.withColumn("_last", F.coalesce("_j", F.lit((1 << 31) - 1)))  # of what stands behind so many others, moved nodes are first
+    out = numbered_within(both, "pid", ["_behind", "_last"], "place")
+    return out.withColumn("position", position_char(F.col("place"))).select(*nodes.columns, *({"place", "position"} - set(nodes.columns)))
+
+
 def allocate_ids(nodes: DataFrame, start: int, session: int) -> DataFrame:
     """(old, new) ids for nodes in order: "session:start + 1", ..."""
     rows = numbered(nodes.select("id", "ord"), ["ord"], "n", start + 1)

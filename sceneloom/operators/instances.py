@@ -1,19 +1,25 @@
 """Instances expanded into what they show: the content of their symbols with overrides, as nodes of their own.
 
 An override has inst_id, ov_ix, path (array of keys; the first of one that counts has one key), and text, image or symbol_id
-(another symbol for a nested instance). A layout entry has inst_id, ix, path, and width, height, x, y or glyphs and baselines:
-what the document's own layout gives a node inside an instance.
+(another symbol for a nested instance). A layout entry has inst_id, ix, path, and width and height, transform (or x and y), or glyphs and
+baselines (and what else nodes have of a text's layout): what the document's own layout gives a node inside an instance.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sceneloom.functions.tables import written
 
 from .tree import is_live, override_targets, walk
 
+#: Columns of layout entries that only count inside a symbol that lays out its content itself, each row of them set together.
+PLACED = (("width", "height"), ("transform",), ("x", "y"))
+
 
 def targets(nodes: DataFrame, uses: DataFrame, keys: DataFrame) -> DataFrame:
     """keys (inst_id, key, ...) with target: the node that a key means inside an instance.
@@ -45,12 +51,28 @@ def values(nodes: DataFrame, overrides: DataFrame, swapped: DataFrame) -> DataFr
     return found.groupBy("inst_id", "target").agg(last("text"), last("image"))
 
 
-def layouts(nodes: DataFrame, entries: DataFrame) -> DataFrame:
-    """(inst_id, target, x) of layout entries: by the last key of their path, of several the last; x has their other columns."""
-    rest = [c for c in entries.columns if c not in ("inst_id", "ix", "path")]
-    uses = nodes.where("type = 'INSTANCE'").select(F.col("id").alias("inst_id"), F.col("symbol_id").alias("symbol"), F.lit(0).alias("rank"))
-    last = entries.where("size(path) > 0").groupBy("inst_id", F.element_at("path", -1).alias("key")).agg(F.max_by(F.struct(*rest), "ix").alias("x"))
-    return targets(nodes, uses, last).where("target is not null").groupBy("inst_id", "target").agg(F.max("x").alias("x"))
+def layout_units(entries: DataFrame) -> dict[str, list[str]]:
+    """Columns of layout entries that are set together, by name: sizes, transforms, places, and all of a text's layout."""
+    have = [c for c in entries.columns if c not in ("inst_id", "ix", "path")]
+    units = {"_".join(unit): [c for c in unit if c in have] for unit in PLACED}
+    units["laid_text"] = [c for c in have if not any(c in unit for unit in PLACED)]
+    return {name: columns for name, columns in units.items() if columns}
+
+
+def layouts(nodes: DataFrame, entries: DataFrame, swapped: DataFrame) -> DataFrame:
+    """(inst_id, target, a struct for each of layout_units): what layout entries set on nodes inside an instance.
+
+    An entry names a node by the last key of its path. Of entries with one key the last counts, in the place of the first; where
+    several keys mean one node, the later place counts, for each unit by itself. Keys of swapped symbols count too.
+    """
+    units = layout_units(entries)
+    own = nodes.where("type = 'INSTANCE'").select(F.col("id").alias("inst_id"), F.col("symbol_id").alias("symbol"), F.lit(0).alias("rank"))
+    uses = own.unionByName(swapped.select("inst_id", "symbol", F.lit(1).alias("rank")))
+    given = lambda columns: reduce(or_, (F.col(c).isNotNull() for c in columns))
+    said = entries.select("inst_id", "ix", F.element_at("path", -1).alias("key"), *(F.when(given(columns), F.struct(*columns)).alias(name) for name, columns in units.items()))
+    last = said.where("key is not null").groupBy("inst_id", "key").agg(F.min("ix").alias("place"), F.max_by(F.struct(*units), "ix").alias("x")).select("inst_id", "key", "place", "x.*")
+    later = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col("place"))).alias(name) for name in units]
+    return targets(nodes, uses, last).where("target is not null").groupBy("inst_id", "target").agg(*later)
 
 
 def expand(nodes: DataFrame, overrides: DataFrame, start: DataFrame, invalid: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
@@ -82,7 +104,7 @@ def expand(nodes: DataFrame, overrides: DataFrame, start: DataFrame, invalid: Da
         above = F.when(F.col("up") == F.col("symbol"), F.col("_id")).otherwise(within("up"))
         below = below.select(within("node").alias("id"), above.alias("pid"), "node", "chain", "inside")
         level = _shown(below.join(kinds, "node"), swapped, known)
-    return _valued(found.select("id", "pid", "node", "chain", "shows"), nodes, values(nodes, overrides, swapped), None if entries is None else layouts(nodes, entries))
+    return _valued(found.select("id", "pid", "node", "chain", "shows"), nodes, values(nodes, overrides, swapped), None if entries is None else (layouts(nodes, entries, swapped), layout_units(entries)))
 
 
 def _shown(rows: DataFrame, swapped: DataFrame, known: DataFrame) -> DataFrame:
@@ -96,29 +118,35 @@ def _shown(rows: DataFrame, swapped: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("shows", shows).select("id", "pid", "node", "chain", "inside", "shows")
 
 
-def _valued(found: DataFrame, nodes: DataFrame, value: DataFrame, layout: DataFrame | None) -> DataFrame:
+def _valued(found: DataFrame, nodes: DataFrame, value: DataFrame, layout: tuple[DataFrame, dict[str, list[str]]] | None) -> DataFrame:
     """found with the columns of nodes, changed by the instances that each row is in, and the looks of the symbol that it shows."""
-    spread = found.select("id", "node", F.posexplode("chain").alias("_at", "inst_id"))
+    spread = found.select("id", "node", F.posexplode("chain").alias("_at", "inst_id"), "chain")
 
-    def innermost(table: DataFrame, columns: list[str]) -> DataFrame:
-        hit = spread.join(table.withColumnRenamed("target", "node"), ["inst_id", "node"])
-        return hit.groupBy("id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_{c}") for c in columns))
+    def innermost(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return rows.groupBy("id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(f"_{c}") for c in columns))
 
     own = nodes.drop("pid").withColumnRenamed("id", "node")
-    out = found.join(own, "node").join(innermost(value, ["text", "image"]), "id", "left")
+    hit = spread.join(value.withColumnRenamed("target", "node"), ["inst_id", "node"])
+    out = found.join(own, "node").join(innermost(hit, ["text", "image"]), "id", "left")
     out = out.withColumn("text", F.coalesce(F.when(F.col("type") == "TEXT", F.col("_text")), "text"))
     if "image" in nodes.columns:
         out = out.withColumn("image", F.coalesce("_image", "image"))
     if layout is not None:
-        out = out.join(innermost(layout, ["x"]), "id", "left")
-        by = nodes.where("type = 'SYMBOL' and stack_mode is not null").select(F.col("id").alias("_auto"))
-        last = found.select("id", F.element_at("chain", -1).alias("_in")).join(nodes.select(F.col("id").alias("_in"), F.col("symbol_id").alias("_auto")), "_in").join(by, "_auto").select("id", F.lit(True).alias("_laid"))
-        out = out.join(last, "id", "left")
-        for c in ("width", "height"):
-            out = out.withColumn(c, F.when(F.col("_laid"), F.coalesce(f"_x.{c}", c)).otherwise(F.col(c)))
+        table, units = layout
+        hit = spread.join(table.withColumnRenamed("target", "node"), ["inst_id", "node"])
+        hit = hit.withColumn("_copy", F.concat_ws("/", F.slice("chain", 1, F.col("_at") + 1)))  # the id of the instance's own row
+        auto = nodes.where("type = 'SYMBOL' and stack_mode is not null") if "stack_mode" in nodes.columns else nodes.where("false")
+        laid = found.join(auto.select(F.col("id").alias("shows")).distinct(), "shows", "left_semi").select(F.col("id").alias("_copy"), F.lit(True).alias("_laid"))
+        hit = hit.join(laid, "_copy", "left").withColumns({name: F.when(F.col("_laid"), F.col(name)) for name in units if name != "laid_text"})
+        out = out.join(innermost(hit, list(units)), "id", "left")
+        for name, columns in units.items():
+            out = out.withColumns({c: F.when(F.col(f"_{name}").isNotNull(), F.col(f"_{name}")[c]).otherwise(F.col(c)) for c in columns if c in nodes.columns})
     looks = {"fill_paints": "symbol_paints", "width": "symbol_width", "height": "symbol_height", "radius": "symbol_radius", "stack_mode": "stack_mode", "stroke_paints": "symbol_stroke_paints", "stroke_weight": "symbol_stroke_weight", "stroke_align": "symbol_stroke_align"}
     have = {c: name for c, name in looks.items() if c in nodes.columns}
-    symbol = nodes.select(F.col("id").alias("shows"), F.struct(*(F.col(c).alias(name) for c, name in have.items())).alias("_looks"))
-    out = out.drop("stack_mode").join(symbol, "shows", "left").withColumn("expanded", F.when(F.col("type") == "INSTANCE", F.col("shows").isNotNull()))
+    out = out.drop("stack_mode")
+    if have:
+        symbol = nodes.select(F.col("id").alias("shows"), F.struct(*(F.col(c).alias(name) for c, name in have.items())).alias("_looks"))
+        out = out.join(symbol, "shows", "left")
+    out = out.withColumn("expanded", F.when(F.col("type") == "INSTANCE", F.col("shows").isNotNull()))
     kept = [c for c in nodes.columns if c not in ("id", "pid", "stack_mode")]
     return out.select("id", "pid", *kept, "node", "chain", "shows", "expanded", *(F.col(f"_looks.{name}").alias(name) for name in have.values()))

@@ -122,6 +122,27 @@ def import_symbols(source: DataFrame, target: DataFrame, wanted: DataFrame, canv
     return mapping, out.select(*(changed.get(c, F.col(c)).cast(t).alias(c) for c, t in source.dtypes))
 
 
+def import_overrides(overrides: DataFrame, mapping: DataFrame, new: DataFrame) -> DataFrame:
+    """What the overrides of imported instances become: overrides (inst_id, path and any others) with new ids, once for each clone.
+
+    mapping and new: what import_symbols gives. Every key of a path that names a node of the same import becomes that node's clone; others stay, as
+    keys of libraries do. Overrides of instances that were not cloned are not in the result. Each path is followed once an import, however many
+    overrides have it.
+    """
+    clones = written(mapping.join(new.select(F.col("id").alias("new")), "new", "left_semi").select("place", "old", "new"))
+    own = clones.select(F.col("place").alias("_place"), F.col("old").alias("_old"), F.col("new").alias("_inst"))
+    rows = written(overrides.join(own, F.col("inst_id") == F.col("_old")))
+    paths = rows.select("_place", "path").distinct().where("size(path) > 0")
+    keys = paths.select("_place", "path", F.posexplode("path").alias("_at", "_key"))
+    to = clones.select(F.col("place").alias("_p"), F.col("old").alias("_k"), F.col("new").alias("_to"))
+    followed = keys.join(to, (F.col("_place") == F.col("_p")) & (F.col("_key") == F.col("_k")), "left")
+    step = F.struct("_at", F.coalesce("_to", "_key").alias("key"))
+    found = followed.groupBy(F.col("_place").alias("_of"), F.col("path").alias("_from")).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    out = rows.join(found, (F.col("_place") == F.col("_of")) & (F.col("path") == F.col("_from")), "left")
+    path = F.when(F.col("_steps").isNull(), F.col("path")).otherwise(F.transform("_steps", lambda x: x["key"]))
+    return out.withColumns({"inst_id": F.col("_inst"), "path": path}).select(*overrides.columns)
+
+
 def filled(clones: DataFrame, texts: DataFrame) -> DataFrame:
     """clones with `text` replaced where texts (place, key, text) has a value under one of a node's keys; empty texts become a space.
 

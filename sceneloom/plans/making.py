@@ -387,14 +387,14 @@ def geometry_paths(spark, d: str) -> DataFrame:
     return out.select("id", F.array_join(F.transform("fill_geometry", lambda g: F.coalesce(g["d"], F.lit("-"))), " ").alias("paths"))
 
 
-@query("""WITH t AS (SELECT doc_id, hex(encode(text[1:50])) AS x FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, rpad(substr(x, 8 * i + 1, 8), 8, '0') AS w FROM t, range(50) AS r(i) WHERE 8 * i < length(x))
+@query("""WITH t AS (SELECT doc_id, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, rpad(unnest(regexp_extract_all(x, '.{1,8}')), 8, '0') AS w FROM t)
 SELECT t.doc_id, coalesce(sum(('0x' || w)::BIGINT), 0)::BIGINT % 4294967296 AS checksum FROM t LEFT JOIN w USING (doc_id) GROUP BY t.doc_id""")
 def table_checksums(spark, d: str) -> DataFrame:
-    """Checksums, as font tables have them, of the first 50 characters of each text."""
+    """Checksums, as font tables have them, of whole texts."""
     from sceneloom.functions.scalars import table_checksum
 
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", table_checksum(F.substring("text", 1, 50).cast("binary")).alias("checksum"))
+    return docs.select("doc_id", table_checksum(F.col("text").cast("binary")).alias("checksum"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'SOLID,new,IMAGE' WHEN 1 THEN 'new' ELSE 'new' END AS paints FROM part")
