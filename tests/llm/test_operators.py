@@ -388,7 +388,8 @@ def test_gates_lose_nothing():
             for _ in range(rng.randrange(3)):
                 words[rng.randrange(len(words))] = rng.choice(prose)
             return " ".join(words)
-        return rng.choice(verbs) if kind < 0.55 else rng.choice(names) if kind < 0.75 else " ".join(rng.choices(prose, k=rng.randint(1, 8)))
+        stated = rng.choice(verbs) + rng.choice([" ", "\n", " the "]) + rng.choice(names) + rng.choice(["", " or later", " license", " or MIT", "+"])
+        return stated if kind < 0.6 else rng.choice(verbs) if kind < 0.7 else rng.choice(names) if kind < 0.8 else " ".join(rng.choices(prose, k=rng.randint(1, 8)))
 
     found = 0
     for _ in range(10_000):
