@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,41 +49,77 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5)
 
 
+_CONSTANTS: dict[object, Column] = {}
+
+
+def constant(text: str, make: Callable[[str], Column] = F.lit) -> Column:
+    """make(text), made once for the running context: drawings have hundreds of equal pieces, and each costs the driver a call."""
+    key = (id(SparkContext._active_spark_context), make, text)
+    if key not in _CONSTANTS:
+        if len(_CONSTANTS) > 10_000 or not any(k[0] == key[0] for k in _CONSTANTS):
+            _CONSTANTS.clear()
+        _CONSTANTS[key] = make(text)
+    return _CONSTANTS[key]
+
+
+def each(values: Column, form: str) -> Column:
+    """An array with an SQL expression of v in place of each of its values v. One small function, however often it is used."""
+    return F.call_function("transform", values, constant(f"v -> {form}", F.expr))
+
+
+def _fixed(digits: int, v: str = "v") -> str:
+    twice = f"abs({v}) * {float(2 ** (digits + 1))}D"  # exact: a tie is an odd number of halves of 2 ** -digits
+    tie = f"{twice} = floor({twice}) AND floor({twice}) % 2 = 1"
+    return f"format_number(CASE WHEN {tie} THEN {v} + signum({v}) * {2.0 ** -(digits + 8)!r}D ELSE {v} END + 0D, '{'0.' + '0' * digits if digits else '0'}')"
+
+
+def colour_form(alpha: str) -> str:
+    """SQL of the CSS colour of a struct v (r, g, b in 0 .. 1) with an alpha: whole channels, alpha with four decimals."""
+    channels = ", ".join(f"CAST(floor(coalesce(v.{c}, 0D) * 255 + 0.5D) AS STRING)" for c in "rgb")
+    return f"concat('rgba(', concat_ws(',', {channels}, {_fixed(4, alpha)}), ')')"
+
+
+_PLAIN = "CAST(v AS STRING)"
+_FAR = f"concat(regexp_replace(split_part({_PLAIN}, 'E', 1), '[.]0$', ''), 'e', CASE WHEN contains({_PLAIN}, 'E-') THEN '' ELSE '+' END, split_part({_PLAIN}, 'E', 2))"
+
+
+def _digits(kind: str) -> str:
+    return f"regexp_replace(CAST(try_cast({_PLAIN} AS {kind}) AS STRING), '[.]?0+$', '')"
+
+
+_NUMBER = f"""CASE WHEN v = floor(v) AND abs(v) < 1e15D THEN CAST(try_cast(v AS BIGINT) AS STRING) WHEN NOT contains({_PLAIN}, 'E') THEN {_PLAIN}
+WHEN abs(v) >= 1e21D THEN {_FAR} WHEN abs(v) >= 1e7D THEN {_digits('decimal(38,10)')} WHEN abs(v) >= 1e-6D THEN {_digits('decimal(38,26)')} ELSE {_FAR} END"""
+
+
 def to_fixed(x: Column, digits: int) -> Column:
     """x with so many decimals, from its exact binary value; exact ties go away from zero, and zero has no sign."""
-    x = x.cast("double")
-    twice = F.abs(x) * float(2 ** (digits + 1))  # exact: a tie is an odd number of halves of 2 ** -digits
-    tie = (twice == F.floor(twice)) & (F.floor(twice) % 2 == 1)
-    x = F.when(tie, x + F.signum(x) * 2.0 ** -(digits + 8)).otherwise(x) + 0.0
-    return F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+    return each(F.array(x.cast("double")), _fixed(digits))[0]
 
 
 def number_text(x: Column) -> Column:
     """A number as scripts write it: shortest digits, no trailing ".0", an exponent below 1e-6 and from 1e21 on, NaN and Infinity by name."""
-    x = x.cast("double")
-    plain, size = x.cast("string"), F.abs(x)
-    digits = lambda kind: F.regexp_replace(plain.try_cast(kind).cast("string"), r"\.?0+$", "")
-    power = F.regexp_extract(plain, "E(.*)$", 1)
-    sign = F.when(power.startswith("-"), "").otherwise("+")
-    far = F.concat(F.regexp_replace(F.split_part(plain, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e"), sign, power)
-    long_form = F.when(size >= 1e21, far).when(size >= 1e7, digits("decimal(38,10)")).when(size >= 1e-6, digits("decimal(38,26)")).otherwise(far)
-    short = F.when(plain.contains("E"), long_form).otherwise(plain)
-    return F.when((x == F.floor(x)) & (size < 1e15), x.try_cast("long").cast("string")).otherwise(short)
+    return each(F.array(x.cast("double")), _NUMBER)[0]
+
+
+def number_texts(xs: list[Column], digits: int | None = None) -> Column:
+    """An array of numbers as scripts write them, rounded to so many decimals before."""
+    values = F.array(*(x.cast("double") for x in xs))
+    return each(values if digits is None else each(values, f"CAST({_fixed(digits)} AS DOUBLE)"), _NUMBER)
 
 
 def css_colour(r: Column, g: Column, b: Column, a: Column) -> Column:
     """rgba(...) of channels in 0 .. 1: whole red, green and blue, alpha with four decimals. Absent colours are 0, an absent alpha is 1."""
-    channel = lambda c: half_up(F.coalesce(c, F.lit(0.0)) * 255).cast("string")
-    return F.concat(F.lit("rgba("), F.concat_ws(",", channel(r), channel(g), channel(b), to_fixed(F.coalesce(a, F.lit(1.0)), 4)), F.lit(")"))
+    channels = F.struct(*(c.cast("double").alias(k) for k, c in zip("rgba", (r, g, b, a))))
+    return each(F.array(channels), colour_form("coalesce(v.a, 1D)"))[0]
 
 
 def affine_text(t: Column) -> Column:
     """The transform attribute of struct (m00, m01, m02, m10, m11, m12): a shift if the rest is within 1e-6 of identity, else a matrix."""
     part = {k: F.coalesce(t[k], F.lit(d)) for k, d in (("m00", 1.0), ("m01", 0.0), ("m02", 0.0), ("m10", 0.0), ("m11", 1.0), ("m12", 0.0))}
     shift = (F.abs(part["m00"] - 1) < 1e-6) & (F.abs(part["m01"]) < 1e-6) & (F.abs(part["m10"]) < 1e-6) & (F.abs(part["m11"] - 1) < 1e-6)
-    fine = lambda k: number_text(to_fixed(part[k], 6))
-    moved = F.concat(F.lit("translate("), number_text(part["m02"]), F.lit(","), number_text(part["m12"]), F.lit(")"))
-    full = F.concat(F.lit("matrix("), F.concat_ws(",", fine("m00"), fine("m10"), fine("m01"), fine("m11"), *(number_text(to_fixed(part[k], 2)) for k in ("m02", "m12"))), F.lit(")"))
+    moved = F.concat(F.lit("translate("), F.array_join(number_texts([part["m02"], part["m12"]]), ","), F.lit(")"))
+    turned = F.concat(number_texts([part[k] for k in ("m00", "m10", "m01", "m11")], 6), number_texts([part["m02"], part["m12"]], 2))
+    full = F.concat(F.lit("matrix("), F.array_join(turned, ","), F.lit(")"))
     return F.when(shift, moved).otherwise(full)
 
 

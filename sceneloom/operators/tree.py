@@ -25,10 +25,10 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.join(ids, nodes["pid"] == F.col("_id"), "left_anti")
 
 
-def walk(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, skip_removed: bool = False, path: bool = True) -> DataFrame:
+def walk(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, skip_removed: bool = False, path: bool = True, ids: bool = False) -> DataFrame:
     """(root, id, pid, depth, path) of all nodes below each start node (column id), itself at depth 0.
 
-    path is the array of ord from the root: ordering by (root, path) is preorder; without it, path is left
+    path is the array of ord from the root (with ids, of (ord, id)): ordering by (root, path) is preorder; without it, path is left
     out. max_depth and skip_removed prune: what lies below is not visited. A node has one parent (where an
     id repeats, its last row's), so a walk can come back to its root only, and there it ends.
     """
@@ -37,9 +37,10 @@ def walk(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, skip_
     slim = written(slim)  # read once per level
     trail = ["path"] if path else []
     level = start.select(F.col("id").alias("root")).distinct().join(slim.withColumnRenamed("id", "root"), "root")
-    level = level.select("root", F.col("root").alias("id"), "pid", F.lit(0).alias("depth"), F.array("ord").alias("path"))
+    first = F.struct(F.col("ord").cast("long").alias("ord"), F.col("root").alias("id")) if ids else F.col("ord")
+    level = level.select("root", F.col("root").alias("id"), "pid", F.lit(0).alias("depth"), F.array(first).alias("path"))
     level = seen = written(level.drop(*(set(["path"]) - set(trail))))
-    step = slim.where("pid is not null").select(F.col("id").alias("child"), F.col("pid").alias("parent"), F.col("ord").alias("o"))
+    step = slim.where("pid is not null").select(F.col("id").alias("child"), F.col("pid").alias("parent"), (F.struct(F.col("ord").cast("long").alias("ord"), "id") if ids else F.col("ord")).alias("o"))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -79,28 +80,49 @@ def walk_links(nodes: DataFrame, start: DataFrame, skip_removed: bool = True, en
     return first.select("root", "id", "x.depth", "x.path")
 
 
+#: Stands for the children's texts while a node's own is made.
+INNER = "\x00inner\x00"
+
+
 def fold_up(nodes: DataFrame, start: DataFrame, own: Callable[[DataFrame], DataFrame], skip_removed: bool = True) -> DataFrame:
-    """(root, id, text) of each start node's subtree, from the leaves up.
+    """(root, id, text) of each start node: its subtree's texts, each around its children's.
+
+    own adds the column text to nodes, which have all their columns, root and inner: the children's texts in order (ord, then id), without
+    null and empty ones, joined by line ends. It puts inner into text once and unchanged, or not at all (then nothing below
+    the node counts); whether inner is empty may change the rest.
 
-    own adds the column text to a level's nodes, which have all their columns, root and inner: the
-    children's texts in order, without null and empty ones, joined by line ends. Each level is written out.
+    All nodes are made at once: each with a mark for inner, or without, as something below it counts or not. What stands before the mark opens
+    a node and what stands behind closes it; a root's text is its pieces in order of their bracketed paths. No level loop but the
+    walk's, no node's children in one group.
     """
-    walked = walk(nodes, start, skip_removed=skip_removed, path=False).select("root", "id", "depth")
-    rows = written(walked.join(nodes, "id"), by="depth")
-    deepest = rows.agg(F.max("depth")).first()[0]
-    below = None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        here = rows.where(F.col("depth") == depth)
-        if below is None:
-            here = here.withColumn("inner", F.lit(""))
-        else:
-            parts = below.where("coalesce(text, '') <> ''").groupBy("root", F.col("pid").alias("_pid")).agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("_parts"))
-            parts = parts.select(F.col("root").alias("_root"), "_pid", F.array_join(F.transform("_parts", lambda p: p["text"]), "\n").alias("_inner"))
-            here = here.join(parts, (F.col("id") == F.col("_pid")) & (F.col("root") == F.col("_root")), "left").withColumn("inner", F.coalesce("_inner", F.lit("")))
-        below = written(own(here).select("root", "id", "pid", "ord", "text"))
-    if below is None:
-        return rows.select("root", "id", F.lit(None).cast("string").alias("text"))
-    return below.select("root", "id", "text")
+    walked = walk(nodes, start, skip_removed=skip_removed, ids=True).select("root", "id", "path")
+    parents = walked.where(F.size("path") > 1).select(F.col("root").alias("_root"), F.element_at("path", -2)["id"].alias("_parent")).distinct().withColumn("_inside", F.lit(True))
+    rows = walked.join(nodes, "id").join(parents, (F.col("root") == F.col("_root")) & (F.col("id") == F.col("_parent")), "left").drop("_root", "_parent")
+    forms = F.when(F.col("_inside"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("_around", F.explode(forms)).withColumn("inner", F.when(F.col("_around"), INNER).otherwise(""))
+    made = own(rows).select("root", "id", "path", F.col("_inside").isNotNull().alias("inside"), F.col("_around").alias("around"), F.coalesce("text", F.lit("")).alias("text"))
+    made = written(made)
+    shows = F.col("text").contains(INNER)
+    above = F.transform(F.slice("path", 1, F.size("path") - 1), lambda x: x["id"])
+    closed = made.where(F.col("around") & ~shows).select(F.col("root").alias("_root"), F.col("id").alias("_closed"))
+    seen = made
+    if not closed.isEmpty():  # nodes that do not show what is below them
+        hidden = made.where("not around").select("root", "id", F.explode(above).alias("_above")).join(closed, (F.col("root") == F.col("_root")) & (F.col("_above") == F.col("_closed"))).select("root", "id").distinct()
+        seen = written(made.join(hidden, ["root", "id"], "left_anti"))
+    # a node has something inside if a node below it counts by itself
+    filled = seen.where("not around and text <> ''").select(F.col("root").alias("_root"), F.explode(above).alias("_id")).distinct().withColumn("_filled", F.lit(True))
+    inside = seen.where("inside").join(filled, (F.col("root") == F.col("_root")) & (F.col("id") == F.col("_id")), "left").where(F.col("around") == F.coalesce("_filled", F.lit(False)))
+    drawn = seen.where("not inside").select("root", "path", "text", "around").unionByName(inside.select("root", "path", "text", "around")).where("text <> ''")
+    part = lambda k: F.split_part("text", F.lit(INNER), F.lit(k))
+    piece = lambda path, kind, said: F.struct(path.alias("path"), F.lit(kind).alias("kind"), said.alias("said"))
+    end = F.concat("path", F.array(F.struct(F.lit((1 << 63) - 1).alias("ord"), F.lit("").alias("id"))))
+    pieces = F.when(F.col("around"), F.array(piece(F.col("path"), "opens", part(1)), piece(end, "closes", part(2)))).otherwise(F.array(piece(F.col("path"), "whole", F.col("text"))))
+    whole = drawn.select("root", F.explode(pieces).alias("_p")).groupBy(F.col("root").alias("_root")).agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
+    # siblings are apart: what follows the piece that opens a node is its first child
+    apart = lambda p, i: F.when((i == 0) | (p["kind"] == "closes") | (F.get("_ps", i - 1)["kind"] == "opens"), "").otherwise("\n")
+    whole = whole.select("_root", F.array_join(F.transform("_ps", lambda p, i: F.concat(apart(p, i), p["said"])), "").alias("text"))
+    tops = made.where(~F.col("around") & (F.size("path") == 1)).select("root", "id")
+    return tops.join(whole, F.col("root") == F.col("_root"), "left").select("root", "id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def override_targets(nodes: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -194,3 +194,30 @@ def test_numbering_within_groups(spark):
         mine = sorted((r["k"], r["i"]) for r in rows if r["g"] == g)
         assert [i for _, i in mine] == list(range(len(mine)))
     assert len(rows) == 2000 and numbered_within(df.where("false"), "g", ["k"], "i").count() == 0
+
+
+def test_texts_folded_around_children(spark):
+    """Random forests against recursion: nodes that show nothing inside, draw only around something, or say nothing; equal ords; removed nodes."""
+    import random
+
+    from sceneloom.operators import tree
+
+    rng, rows = random.Random(4), []
+    for k in range(300):
+        parent = None if k < 3 else f"n{rng.randrange(max(0, k - 40), k):03}"
+        rows.append((f"n{k:03}", parent, rng.randrange(4), rng.choice(["bracket", "bracket", "only", "closed", "silent", "leaf"]), rng.choice([None, None, None, None, "REMOVED"]) if k > 2 else None))
+    df = spark.createDataFrame(rows, "id string, pid string, ord bigint, kind string, phase string").repartition(3)
+    kind = F.col("kind")
+
+    def own(level):
+        around = F.concat("id", F.lit("<"), "inner", F.lit(">"))
+        text = F.when(kind == "bracket", around).when(kind == "only", F.when(F.col("inner") != "", around).otherwise("")).when(kind == "closed", F.when(F.col("inner") != "", F.concat("id", F.lit("!"))).otherwise(F.col("id")))
+        return level.withColumn("text", text.when(kind == "leaf", F.concat("id", F.lit("."), "inner")))
+
+    def told(row):
+        inner = [] if row[3] == "silent" else [told(c) for c in sorted((r for r in rows if r[1] == row[0] and r[4] is None), key=lambda r: (r[2], r[0]))]
+        inner = "\n".join(t for t in inner if t)
+        return {"bracket": f"{row[0]}<{inner}>", "only": f"{row[0]}<{inner}>" if inner else "", "closed": row[0], "silent": "", "leaf": f"{row[0]}.{inner}"}[row[3]]
+
+    got = {r["id"]: r["text"] for r in tree.fold_up(df, df.where("pid is null"), own).collect()}
+    assert got == {r[0]: told(r) for r in rows[:3]} and max(map(len, got.values())) > 100
