@@ -22,14 +22,16 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
     return out.withColumn(name, (rank + F.col("_base") + (start - 1)).cast("long")).drop("_range", "_base")
 
 
-def numbered_within(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+def numbered_within(df: DataFrame, group: str, order: list[str], name: str, ranges: int | None = None) -> DataFrame:
     """df with `name` (long): 0, 1, ... in order of the columns `order` among the rows of each value of `group` (nulls are one).
 
-    As numbered, but counts are one per range and group: a group with most of the rows is spread over ranges.
+    As numbered, but counts are one per range and group: a group with most of the rows is spread over ranges (so many of them, or the session's number of partitions).
     """
-    dealt = written(df.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
-    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    counts = dealt.groupBy(F.col("_range").alias("_at"), F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n")).select("_at", "_group", F.coalesce(before, F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order)) - 1
-    out = dealt.join(counts, (F.col("_range") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
-    return out.withColumn(name, (rank + F.col("_base")).cast("long")).drop("_range", "_base", "_at", "_group")
+    taken = {c.lower() for c in df.columns}
+    part, at, of, n, base = (next(x for k in range(len(taken) + 1) if (x := f"_{c}{k or ''}") not in taken) for c in ("range", "at", "group", "n", "base"))
+    dealt = written(df.repartitionByRange(*([ranges] if ranges else []), group, *order).withColumn(part, F.spark_partition_id()))
+    before = F.sum(n).over(Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    counts = dealt.groupBy(F.col(part).alias(at), F.col(group).alias(of)).agg(F.count(F.lit(1)).alias(n)).select(at, of, F.coalesce(before, F.lit(0)).alias(base))
+    rank = F.row_number().over(Window.partitionBy(part, group).orderBy(*order)) - 1
+    out = dealt.join(counts, (F.col(part) == F.col(at)) & F.col(group).eqNullSafe(F.col(of)))
+    return out.withColumn(name, (rank + F.col(base)).cast("long")).drop(part, base, at, of)
