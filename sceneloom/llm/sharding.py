@@ -5,7 +5,8 @@ of each block go to each cell (a shard is `cells_per_shard` cells); it is drawn
 multivariate hypergeometric law, so its counts are those of a uniform permutation and its column sums
 are the cells' exact sizes.  Each block permutes its rows locally (a rank by one random key), the matrix
 turns ranks into cells, and each cell permutes again (a rank by another key), which gives the slot.
-No task holds more than a block or a cell; both counts grow with the bytes of the rows, up to a bound.
+Both counts grow with the bytes of the rows until the matrix is as large as the driver should draw; beyond that, ranks are taken by
+ranges of a block or a cell, so that no task holds more than PART_BYTES or so at any size.
 Rows travel whole, texts included; the query derives its digests from the shards.
 """
 
@@ -13,12 +14,15 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.functions.ranking import numbered_within
+
 from .common import documents, free_name
 
-#: Bytes of a block or a cell, about, unless the most of them (or the numbers given) ask for more.
+#: Bytes of a block or a cell, about, or of the ranges of larger ones.
 PART_BYTES = 64 << 20
 LEAST_BLOCKS, MOST_BLOCKS = 512, 2048  # powers of two
 LEAST_CELLS_PER_SHARD, MOST_CELLS = 16, 2048
@@ -45,17 +49,38 @@ def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
     return rng.choices(values, weights)[0]
 
 
+#: Items beyond which numpy does not draw.
+_NUMPY_ITEMS = 10**9
+
+
+def split_counts(rng: np.random.Generator, exact: random.Random, counts: np.ndarray, draws: int) -> np.ndarray:
+    """How many of `draws` items, taken without replacement, are of each kind."""
+    if counts.sum() < _NUMPY_ITEMS:
+        return rng.multivariate_hypergeometric(counts, draws, method="marginals")
+    rest, out = int(counts.sum()), []
+    for room in counts.tolist():
+        rest -= room
+        out.append(k := hypergeometric(exact, room, rest, draws))
+        draws -= k
+    return np.array(out, np.int64)
+
+
 def communication_matrix(block_sizes: list[int], cell_sizes: list[int], seed: int) -> list[list[int]]:
-    """Counts from each block to each cell, with row sums block_sizes and column sums cell_sizes."""
-    rng, left, matrix = random.Random(seed), list(cell_sizes), []
-    for draws in block_sizes:
-        rest, row = sum(left), []
-        for c, room in enumerate(left):
-            rest -= room
-            row.append(k := hypergeometric(rng, room, rest, draws))
-            draws -= k
-            left[c] -= k
-        matrix.append(row)
+    """Counts from each block to each cell, with row sums block_sizes and column sums cell_sizes.
+
+    The cells' rows are split between halves of the blocks, and so on down to single blocks, so few draws are about many items.
+    """
+    rng, exact = np.random.default_rng(seed), random.Random(seed)
+    ends = np.concatenate([[0], np.cumsum(np.array(block_sizes, np.int64))])
+    matrix, todo = [[]] * len(block_sizes), [(0, len(block_sizes), np.array(cell_sizes, np.int64))]
+    while todo:
+        low, high, counts = todo.pop()
+        if high - low == 1:
+            matrix[low] = counts.tolist()
+        elif high > low:
+            middle = (low + high) // 2
+            left = split_counts(rng, exact, counts, int(ends[middle] - ends[low]))
+            todo += [(low, middle, left), (middle, high, counts - left)]
     return matrix
 
 
@@ -65,7 +90,7 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int | None = None,
     Reruns agree: the keys are hashes of the row. Repeated rows are dealt one by one (which of them gets
     which slot makes no difference); nulls and empty values hash like any other; an empty table gives an
     empty table; a very long text goes whole with its row. Where df has a column named shard or slot, the new one
-    has an underscore at its end. The driver sees one count per block.
+    has an underscore at its end. The driver sees one count per block and draws the matrix (at most MOST_BLOCKS times MOST_CELLS numbers).
     """
     shard, slot_name = free_name(df, "shard"), free_name(df, "slot")
     block, rank, cell, bounds = (free_name(df, x) for x in ("_block", "_rank", "_cell", "_bounds"))
@@ -106,11 +131,18 @@ def uniform_shards(df: DataFrame, n_shards: int = 8, blocks: int | None = None,
     # Ties of both hashes are equal rows, but for what a hash passes over: nulls, told apart by flags, and those inside nested values.
     nulls, rest = [F.col(c).isNull() for c in key], [c for c in key if c not in texts]
     order = lambda k: [F.xxhash64(F.lit(seed + k), *key), F.xxhash64(F.lit(seed + k + 2), *nulls, *key), *rest]
-    placed = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(block).orderBy(*order(1))) - 1).join(sent, block)
+
+    def ranked(rows: DataFrame, group: str, by: list[Column], parts_: int) -> DataFrame:
+        """rows with their rank, by these keys, in their block or cell; by ranges where these are too large for a task."""
+        if size <= 2 * parts_ * PART_BYTES:
+            return rows.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*by)).cast("long") - 1)
+        named = {free_name(rows, f"_by{k}"): c for k, c in enumerate(by)}
+        return numbered_within(rows.withColumns(named), group, list(named), rank, -(-size // PART_BYTES)).drop(*named)
+
+    placed = ranked(keyed, block, order(1), blocks).join(sent, block)
     placed = placed.withColumn(cell, F.size(F.filter(bounds, lambda x: x <= F.col(rank)))).drop(bounds, rank, block)
-    placed = placed.join(places, cell)
-    slot = F.row_number().over(Window.partitionBy(cell).orderBy(*order(2))) - 1 + F.col(first)
-    return placed.withColumn(slot_name, slot.cast("long")).drop(cell, first)
+    placed = ranked(placed.join(places, cell), cell, order(2), len(cells))
+    return placed.withColumn(slot_name, (F.col(rank) + F.col(first)).cast("long")).drop(cell, first, rank)
 
 
 def digests(docs: DataFrame, *others: str) -> DataFrame:

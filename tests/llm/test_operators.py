@@ -323,6 +323,27 @@ def test_line_dedup(spark):
         assert out[i]["kept"] == (None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone))
 
 
+def test_large_blocks_are_ranked_by_ranges(spark, monkeypatch):
+    """Blocks and cells too large for a task give the same shards and slots by ranges, whatever the columns are called."""
+    docs = table(spark, corpus()).withColumnRenamed("d", "_range").withColumnRenamed("digest", "_n")
+    want = sorted(map(str, sharding.uniform_shards(docs, 3, blocks=4, cells_per_shard=2).collect()))
+    monkeypatch.setattr(sharding, "PART_BYTES", 1000)
+    assert sorted(map(str, sharding.uniform_shards(docs, 3, blocks=4, cells_per_shard=2).collect())) == want
+
+
+def test_matrix_of_many_rows(monkeypatch):
+    """Beyond what numpy draws: exact sums, and means as the law has them."""
+    matrix = sharding.communication_matrix([3 * 10**9, 10**9, 0, 2 * 10**9], [4 * 10**9, 2 * 10**9], 5)
+    assert [sum(r) for r in matrix] == [3 * 10**9, 10**9, 0, 2 * 10**9] and [sum(c) for c in zip(*matrix)] == [4 * 10**9, 2 * 10**9]
+    assert abs(matrix[0][0] - 2 * 10**9) < 200_000 and matrix[0][0] != 2 * 10**9
+    small = [sharding.communication_matrix([3, 5, 4], [6, 6], seed) for seed in range(600)]
+    monkeypatch.setattr(sharding, "_NUMPY_ITEMS", 0)
+    other = [sharding.communication_matrix([3, 5, 4], [6, 6], seed) for seed in range(600)]
+    for draws in (small, other):  # the first cell of the first block: hypergeometric, mean 1.5
+        counts = np.bincount([m[0][0] for m in draws], minlength=4) / 600
+        assert np.abs(counts - np.array([20, 90, 90, 20]) / 220).max() < 0.08
+
+
 def test_licences(spark):
     mit = "The MIT License (MIT)\n\n" + licenses.SENTENCES["mit-grant"][0].replace(" ", "\n", 9) + "\n" + licenses.SENTENCES["mit-notice"][0]
     bsd = "\n".join(licenses.SENTENCES[k][0] for k in ("bsd-may", "bsd-source", "bsd-binary", "bsd-endorse"))
