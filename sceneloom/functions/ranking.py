@@ -22,6 +22,15 @@ def numbered(df: DataFrame, order: list[str], name: str, start: int = 1) -> Data
     return out.withColumn(name, (rank + F.col("_base") + (start - 1)).cast("long")).drop("_range", "_base")
 
 
+def summed_before(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """df with `name` (long): the sum of `value` over all rows before, in order of the columns `order` (which tell rows apart). By ranges, as numbered."""
+    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_n")).select("_range", before("_n", Window.orderBy("_range")).alias("_base"))
+    out = dealt.join(F.broadcast(sums), "_range")  # one row per range
+    return out.withColumn(name, (before(value, Window.partitionBy("_range").orderBy(*order)) + F.col("_base")).cast("long")).drop("_range", "_base")
+
+
 def numbered_within(df: DataFrame, group: str, order: list[str], name: str, ranges: int | None = None) -> DataFrame:
     """df with `name` (long): 0, 1, ... in order of the columns `order` among the rows of each value of `group` (nulls are one).
 

@@ -66,6 +66,17 @@ def all_or_none(found: DataFrame, family: str, weights: list[int]) -> DataFrame:
     return have.select(family, (F.col("n") == len(weights)).alias("complete"))
 
 
+#: A family is looked up by so many of its first letters (or all, where it has fewer) wherever they stand in a file's name.
+SLUG_KEY = 6
+
+
+def by_part(fonts: DataFrame) -> DataFrame:
+    """fonts (low: a file's name, and others) once for each different part of the name, of up to SLUG_KEY letters, as key."""
+    low = F.col("low")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(SLUG_KEY)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, n)))
+    return fonts.withColumn("key", F.explode(F.array_distinct(F.flatten(parts))))
+
+
 def system_fonts(needed: DataFrame, files: DataFrame) -> DataFrame:
     """(family, weight, file): the first of files (ord, file) that a family and weight can use.
 
@@ -76,9 +87,8 @@ def system_fonts(needed: DataFrame, files: DataFrame) -> DataFrame:
     fonts = files.where(low.rlike(r"\.(ttf|otf|ttc)$")).select("ord", "file", low.alias("low"))
     family = F.lower("family")
     slugs = F.array(*(F.regexp_replace(family, r"\s+", by) for by in ("", "-", "_")))
-    # Families and font files of a machine are few hundreds each: every pair is looked at, the smaller side sent to all.
-    wanted = needed.select("family", "weight", F.explode(F.array_distinct(slugs)).alias("slug"))
-    both = fonts.join(F.broadcast(wanted), F.col("low").contains(F.col("slug")))
+    wanted = needed.select("family", "weight", F.explode(F.array_distinct(slugs)).alias("slug")).withColumn("key", F.substring("slug", 1, SLUG_KEY))
+    both = by_part(fonts).join(wanted, "key").where(F.col("low").contains(F.col("slug")))
     plain = (F.col("weight") == 400) & ~F.col("low").rlike(r"-\w+\.")
     named = F.lit(False)
     for weight, names in WEIGHT_NAMES.items():

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sceneloom.functions.ranking import numbered
+from sceneloom.functions.ranking import numbered, summed_before
 from sceneloom.functions.scalars import blank_as_space, guid_id, line_vector, position_char
 
 from .markup import PAINT
@@ -215,9 +215,8 @@ def add_tables(nodes: DataFrame, tables: DataFrame, cells: DataFrame) -> tuple[D
     bare = F.raise_error("a table needs at least one cell").cast("long")
     rows = rows.withColumn("n_rows", F.coalesce("n_rows", bare))
     rows = numbered(rows, ["k"], "_n", 0)
-    before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)  # one row a table
-    used = F.coalesce(F.sum(F.col("n_rows") + F.col("n_cols") + 1).over(before), F.lit(0))
-    rows = rows.withColumn("_local", used + F.lit(next_local(nodes)))
+    rows = summed_before(rows.withColumn("_ids", F.col("n_rows") + F.col("n_cols") + 1), ["k"], "_ids", "_used")
+    rows = rows.withColumn("_local", F.col("_used") + F.lit(next_local(nodes)))
     children = nodes.groupBy(F.col("pid").alias("parent")).agg(F.count(F.lit(1)).alias("_children"))
     place = F.coalesce("_children", F.lit(0)) + F.row_number().over(Window.partitionBy("parent").orderBy("k")) - 1
     last = nodes.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]

@@ -64,6 +64,30 @@ def gradient_fills(spark, d: str) -> DataFrame:
     return svg.fragments(rows).select("id", "text")
 
 
+# Runs of styles -----------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT p_partkey AS id, p_name AS t FROM part),
+g AS (SELECT id, i, substr(t, i, 1) AS c, (length(substr(t, 1, i - 1)) - length(replace(substr(t, 1, i - 1), ' ', ''))) % 3 AS style, CASE WHEN substr(t, i, 3) IN ('ffl', 'ffi') THEN 3 WHEN substr(t, i, 2) IN ('ff', 'fi', 'fl') THEN 2 ELSE 1 END AS n FROM b, unnest(range(1, length(t) + 1)) AS x(i)),
+s AS (SELECT id, string_agg('<tspan x="' || (i - 1) * 10 || '" y="12.5" font-family="' || CASE style WHEN 1 THEN 'Mono' ELSE 'Serif' END || ', sans-serif" font-weight="' || CASE style WHEN 1 THEN 700 ELSE 400 END || '" font-style="' || CASE style WHEN 2 THEN 'italic' ELSE 'normal' END || '">'
+  || substr(t, i, n::INT) || '</tspan>', '' ORDER BY i) AS spans FROM g JOIN b USING (id) WHERE c <> ' ' AND NOT EXISTS (SELECT 1 FROM g h WHERE h.id = g.id AND h.i < g.i AND h.i + h.n > g.i) GROUP BY id)
+SELECT id, '<g transform="translate(0,0)">' || chr(10) || '<text font-size="20" font-family="Serif, sans-serif"' || chr(10) || '  font-weight="400" font-style="normal" fill="#000000"' || chr(10) || '  text-rendering="geometricPrecision">' || spans || '</text>' || chr(10) || '</g>' AS text FROM s""")
+def draw_styled_texts(spark, d: str) -> DataFrame:
+    """Names of parts by their glyphs, every word in the next of three styles."""
+    n, none = F.length("p_name"), F.lit(None)
+    places = F.sequence(F.lit(0), n - 1)
+    glyph = lambda i: F.struct(i.alias("first"), (i * 10.0).alias("x"), F.lit(12.5).alias("y"), F.lit(20.0).alias("size"))
+    line = F.struct(F.lit(0).alias("first"), n.alias("end"), F.lit(0.0).alias("x"), F.lit(16.0).alias("y"), F.lit(24.0).alias("line_height"), F.lit(18.0).alias("ascent"))
+    style = lambda k, family, name: F.struct(F.lit(k).alias("id"), F.lit(family).cast("string").alias("family"), F.lit(name).cast("string").alias("style"))
+    words = F.transform(F.split("p_name", " "), lambda w, k: F.array_repeat((k % 3).cast("int"), F.length(w) + 1))
+    at = F.struct(*(F.lit(1.0 if k in ("m00", "m11") else 0.0).alias(k) for k in fills.MATRIX))
+    rows = _shape_rows(
+        spark, d, "TEXT", text=F.col("p_name"), transform=at, font_family=F.lit("Serif"), font_style=F.lit("Regular"), font_size=F.lit(20.0), glyphs=F.transform(places, glyph), baselines=F.array(line),
+        style_ids=F.slice(F.flatten(words), F.lit(1), n), styles=F.array(style(1, "Mono", "Bold"), style(2, None, "Italic")), letter_spacing=none.cast("double"), letter_units=none.cast("string"),
+    )
+    return svg.fragments(rows).select("id", "text")
+
+
 # Layouts inside instances -------------------------------------------------------------------------
 
 

@@ -221,3 +221,37 @@ def test_texts_folded_around_children(spark):
 
     got = {r["id"]: r["text"] for r in tree.fold_up(df, df.where("pid is null"), own).collect()}
     assert got == {r[0]: told(r) for r in rows[:3]} and max(map(len, got.values())) > 100
+
+
+def test_font_files_by_parts_of_their_names(spark):
+    """The look-up by part of the name finds what a look at every pair finds; short and empty families too."""
+    from sceneloom.operators import fonts
+
+    families = [("Noto Sans", 400), ("Noto Sans", 700), ("A", 400), ("", 700), ("Noto", 300), ("Open  Sans Pro", 600), ("ttc", 100), ("Missing", 400)]
+    files = ["NotoSans-Bold.ttf", "noto-sans.otf", "NotoSansMono-Light.ttf", "a.ttf", "xnoto_sans-regular.ttf", "OpenSansPro-SemiBold.otf", "open_sans_pro.ttc", "readme.txt", "Ab.ttc"]
+    got = {(r[0], r[1]): r[2] for r in fonts.system_fonts(spark.createDataFrame(families, "family string, weight int"), spark.createDataFrame(list(enumerate(files)), "ord int, file string")).collect()}
+    want = {}
+    for family, weight in families:
+        slugs = {"".join(family.lower().split()), "-".join(family.lower().split()), "_".join(family.lower().split())}
+        for file in files:
+            low = file.lower()
+            if not low.endswith((".ttf", ".otf", ".ttc")) or not any(s in low for s in slugs):
+                continue
+            import re
+
+            plain = weight == 400 and not re.search(r"-\w+\.", low)
+            if low.endswith(".ttc") or plain or any(n in low for n in fonts.WEIGHT_NAMES[weight]):
+                want.setdefault((family, weight), file)
+    assert got == want and len(want) > 5
+
+
+def test_sums_before(spark):
+    from sceneloom.functions.ranking import summed_before
+
+    df = spark.range(500).selectExpr("id * 7919 % 503 as k", "id % 5 as v").repartition(6)
+    rows = sorted(summed_before(df, ["k"], "v", "s").collect())
+    total = 0
+    for k, v, s in rows:
+        assert s == total
+        total += v
+    assert summed_before(df.where("false"), ["k"], "v", "s").count() == 0
