@@ -26,6 +26,13 @@ def active_slides(nodes: DataFrame, document: str | None = None) -> DataFrame:
     return live.withColumn("slide_index", F.row_number().over(Window.partitionBy(document).orderBy("ord")).cast("long") - 1)
 
 
+def backgrounds(slides: DataFrame) -> DataFrame:
+    """(id, r, g, b, a) of each slide: the colour of its first paint, of whatever type; null where that has none."""
+    first = F.try_element_at("fill_paints", F.lit(1))
+    coloured = F.coalesce(first["r"], first["g"], first["b"]).isNotNull()
+    return slides.select("id", *(F.when(coloured, first[c]).alias(c) for c in "rgba"))
+
+
 def main_rows(nodes: DataFrame) -> DataFrame:
     """Live slide rows whose canvas is not the internal one."""
     rows = nodes.where("type = 'SLIDE_ROW'").where(is_live())

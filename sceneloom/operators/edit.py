@@ -10,9 +10,11 @@ from sceneloom.functions.scalars import blank_as_space, position_char
 
 
 def soft_delete(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """nodes with those of `ids` (column id) marked as removed."""
+    """nodes with those of `ids` (column id) marked as removed and, where nodes have the column, without their interactions."""
     gone = ids.select(F.col("id").alias("_gone")).distinct()
     out = nodes.join(gone, nodes["id"] == F.col("_gone"), "left")
+    if "interactions" in nodes.columns:
+        out = out.withColumn("interactions", F.when(F.col("_gone").isNull(), F.col("interactions")))
     return out.withColumn("phase", F.when(F.col("_gone").isNotNull(), "REMOVED").otherwise(F.col("phase"))).drop("_gone")
 
 

@@ -33,6 +33,14 @@ def resolve(needed: DataFrame, builtin: DataFrame, sources: DataFrame) -> DataFr
     return per.select("family", "n_weights", gone.cast("long").alias("n_missing"), "missing", state.alias("state"))
 
 
+def sources_of(needed: DataFrame, builtin: DataFrame, sources: DataFrame) -> DataFrame:
+    """(family, weight, source): where each weight in needed that is not built in (column family) comes from: of sources (key, source, rank) that have it the
+    one of the lowest rank (cache, then downloads, then the system); null where none has. A weight is asked for only where those before lack it."""
+    wanted = needed.join(builtin.select("family").distinct(), "family", "left_anti").withColumn("key", cache_key(F.col("family"), F.col("weight")))
+    first = sources.groupBy("key").agg(F.min_by("source", "rank").alias("source"))
+    return wanted.join(first, "key", "left").select("family", "weight", "source")
+
+
 def preferred(found: DataFrame, key: list[str], rank: str, path: str) -> DataFrame:
     """(key, path): of the paths that exist, the one that comes first."""
     return found.where(F.col(path).isNotNull()).groupBy(*key).agg(F.min_by(path, rank).alias(path))
@@ -60,6 +68,14 @@ def packaged(families: DataFrame, files: DataFrame) -> DataFrame:
     return preferred(wanted.join(files.select("file").distinct(), "file"), ["slug", "weight"], "rank", "file")
 
 
+def with_fallback(files: DataFrame, whole: list[str], fallback: list[str]) -> DataFrame:
+    """(family, file, is_fallback) of each family in files (family, file): the files of `whole` if all are there, else what there is of `fallback`, marked as such."""
+    kept = files.where(F.col("file").isin([*whole, *fallback])).distinct()
+    have = files.groupBy(F.col("family").alias("_family")).agg((F.count_distinct(F.when(F.col("file").isin(whole), F.col("file"))) == len(set(whole))).alias("_whole"))
+    out = kept.join(have, F.col("family") == F.col("_family"))
+    return out.where(F.when(F.col("_whole"), F.col("file").isin(whole)).otherwise(F.col("file").isin(fallback))).select("family", "file", (~F.col("_whole")).alias("is_fallback"))
+
+
 def all_or_none(found: DataFrame, family: str, weights: list[int]) -> DataFrame:
     """(family, complete): whether every one of a family's weights is found (family, weight); a part of them does not count."""
     have = found.where(F.col("weight").isin(weights)).groupBy(family).agg(F.count_distinct("weight").alias("n"))

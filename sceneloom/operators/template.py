@@ -9,6 +9,8 @@ from sceneloom.functions.ranking import numbered
 from sceneloom.functions.scalars import parse_id, position_char, strip_prefix
 from sceneloom.functions.tables import written
 
+from .layouts import describe
+from .overrides import SCALE_MODE
 from .tree import is_live, roots, walk
 
 #: The sessions of cloned and of imported nodes, the distance between slides side by side.
@@ -20,11 +22,14 @@ def next_local(nodes: DataFrame) -> int:
     return (nodes.agg(F.max(parse_id(F.col("id"))["local"])).first()[0] or 0) + 1
 
 
-def publish(nodes: DataFrame, drafts: DataFrame) -> DataFrame:
+def publish(nodes: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
     """nodes with a MODULE between each draft slide (column slide) and its parent. Modules keep the slide's session, name and place.
 
-    Drafts that are no node are passed over; without any draft the result would be the input, and that is an error.
+    Without drafts, or with none named, all draft layouts of the main rows. Drafts that are no node are passed over; without any draft the
+    result would be the input, and that is an error.
     """
+    if drafts is None or drafts.isEmpty():
+        drafts = describe(nodes).where("state = 'draft'").select("slide")
     slides = nodes.join(drafts.select(F.col("slide").alias("id")).distinct(), "id", "left_semi")
     fresh = numbered(slides, ["ord"], "_n", next_local(nodes))
     if fresh.isEmpty():
@@ -60,12 +65,12 @@ def clone_layouts(nodes: DataFrame, wanted: DataFrame, row: str) -> DataFrame:
     return out.select("place", "old_id", *((changed[c] if c in changed else F.col(c)).cast(t).alias(c) for c, t in nodes.dtypes))
 
 
-def create_from_template(nodes: DataFrame, wanted: DataFrame, layouts: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """nodes with clones of the wanted layouts in the first row, filled with texts, and without the layouts and the other rows.
+def create_from_template(nodes: DataFrame, wanted: DataFrame, layouts: DataFrame, rows: DataFrame, texts: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """nodes with clones of the wanted layouts in the first row, filled with texts and pictures, and without the layouts and the other rows.
 
     wanted: (place, root). layouts: (row, slide, state). rows: (id, ord). texts: (place, key, text); a
     clone's text is the one whose key is its slot name, else its old id, else "#" and its old id, else its
-    name. Unknown roots and a template without rows are errors.
+    name; images (place, key, image, image_width, image_height) by the same keys. Unknown roots and a template without rows are errors.
     """
     first = rows.agg(F.min_by("id", "ord")).first()[0]
     if first is None:
@@ -74,7 +79,8 @@ def create_from_template(nodes: DataFrame, wanted: DataFrame, layouts: DataFrame
     unknown = wanted.join(tops, "root", "left_anti").select("root").first()
     if unknown:
         raise ValueError(f"layout not found: {unknown[0]}")
-    clones = filled(clone_layouts(nodes, wanted, first), texts).drop("place", "old_id")
+    clones = filled(clone_layouts(nodes, wanted, first), texts)
+    clones = (clones if images is None else pictured(clones, images)).drop("place", "old_id")
     gone = walk(nodes, tops.select(F.col("root").alias("id"))).select("id").unionByName(rows.where(F.col("id") != first).select("id")).distinct()
     return nodes.join(gone, "id", "left_anti").select(*nodes.columns).unionByName(clones.select(*nodes.columns))
 
@@ -143,13 +149,35 @@ def import_overrides(overrides: DataFrame, mapping: DataFrame, new: DataFrame) -
     return out.withColumns({"inst_id": F.col("_inst"), "path": path}).select(*overrides.columns)
 
 
+def _keyed(clones: DataFrame) -> DataFrame:
+    """(_place, _old, _at, _key): the keys that a clone goes by, the first first."""
+    keys = F.array_distinct(F.array_compact(F.array(strip_prefix(F.col("name")), F.col("old_id"), F.concat(F.lit("#"), F.col("old_id")), F.col("name"))))
+    return clones.select(F.col("place").alias("_place"), F.col("old_id").alias("_old"), F.posexplode(keys).alias("_at", "_key"))
+
+
+def pictured(clones: DataFrame, images: DataFrame) -> DataFrame:
+    """clones whose fill_paints show the picture that images (place, key, image, image_width, image_height) has under one of a node's keys.
+
+    It takes the place of the first picture, filling as that did, or of all paints where there is none.
+    """
+    kinds = clones.schema["fill_paints"].dataType.elementType
+    told = images.select(F.col("place").alias("_p"), F.col("key").alias("_k"), F.struct("image", F.col("image_width").cast("double").alias("image_width"), F.col("image_height").cast("double").alias("image_height")).alias("_i"))
+    hit = _keyed(clones).join(told, (F.col("_place") == F.col("_p")) & (F.col("_key") == F.col("_k"))).groupBy("_place", "_old").agg(F.min_by("_i", "_at").alias("_image"))
+    out = clones.join(hit, (F.col("place") == F.col("_place")) & (F.col("old_id") == F.col("_old")), "left")
+    values = {"type": F.lit("IMAGE"), "visible": F.lit(True), "opacity": F.lit(1.0), "scale": F.lit(0.5), **{c: F.col("_image")[c] for c in ("image", "image_width", "image_height")}}
+    if "mode" in kinds.names:
+        before = F.try_element_at(F.filter("fill_paints", lambda p: p["type"] == "IMAGE"), F.lit(1))["mode"]
+        values["mode"] = F.coalesce(before, F.lit(SCALE_MODE))
+    paint = F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields))
+    return out.withColumn("fill_paints", F.when(F.col("_image").isNotNull(), with_paint(F.col("fill_paints"), paint)).otherwise(F.col("fill_paints"))).drop("_place", "_old", "_image")
+
+
 def filled(clones: DataFrame, texts: DataFrame) -> DataFrame:
     """clones with `text` replaced where texts (place, key, text) has a value under one of a node's keys; empty texts become a space.
 
     A layout and list lines that a replaced text had (baselines, glyphs, line_types, line_indents) go with it.
     """
-    keys = F.array_distinct(F.array_compact(F.array(strip_prefix(F.col("name")), F.col("old_id"), F.concat(F.lit("#"), F.col("old_id")), F.col("name"))))
-    asked = clones.select(F.col("place").alias("_place"), F.col("old_id").alias("_old"), F.posexplode(keys).alias("_at", "_key"))
+    asked = _keyed(clones)
     values = texts.select(F.col("place").alias("_p"), F.col("key").alias("_k"), F.when(F.coalesce("text", F.lit("")) == "", " ").otherwise(F.col("text")).alias("_t"))
     hit = asked.join(values, (F.col("_place") == F.col("_p")) & (F.col("_key") == F.col("_k"))).groupBy("_place", "_old").agg(F.min_by("_t", "_at").alias("_text"))
     out = clones.join(hit, (F.col("place") == F.col("_place")) & (F.col("old_id") == F.col("_old")), "left")

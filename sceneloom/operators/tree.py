@@ -150,12 +150,15 @@ def ancestor_of_type(nodes: DataFrame, start: DataFrame, kind: str) -> DataFrame
             return start.select("id").distinct().join(found, "id", "left")
 
 
-def tree_lines(nodes: DataFrame, walked: DataFrame) -> DataFrame:
-    """(root, path, line): the indented listing with removed mark and symbol."""
+def tree_lines(nodes: DataFrame, walked: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(root, path, id, line): the indented listing: type, name, id, removed mark, symbol and the number of overrides (inst_id)."""
     n = nodes.select("id", "type", "name", "phase", "symbol_id")
+    n = n.withColumn("_overrides", F.lit(None).cast("long")) if overrides is None else n.join(overrides.groupBy(F.col("inst_id").alias("id")).agg(F.count(F.lit(1)).alias("_overrides")), "id", "left")
     removed = F.when(F.col("phase") == "REMOVED", F.lit(" [REMOVED]")).otherwise(F.lit(""))
     symbol = F.when(F.col("symbol_id").isNotNull(), F.concat(F.lit(" sym="), "symbol_id")).otherwise(F.lit(""))
-    line = F.concat(F.expr("repeat('  ', depth)"), "type", F.lit(" "), "id", F.lit(' "'), F.coalesce("name", F.lit("")), F.lit('"'), symbol, removed)
+    count = F.coalesce(F.concat(F.lit(" overrides="), "_overrides"), F.lit(""))
+    name = F.when(F.coalesce("name", F.lit("")) == "", "").otherwise(F.concat(F.lit('"'), "name", F.lit('"')))
+    line = F.concat(F.expr("repeat('  ', depth)"), F.coalesce(F.nullif("type", F.lit("")), F.lit("?")), F.lit(" "), name, F.lit(" ("), "id", F.lit(")"), removed, symbol, count)
     return walked.join(n, "id").select("root", "path", "id", line.alias("line"))
 
 

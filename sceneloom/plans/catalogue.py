@@ -53,10 +53,12 @@ def inspect_live(spark, d: str) -> DataFrame:
     return n.join(found, "id").groupBy("type", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(WALK + """ SELECT n.id, repeat('  ', w.depth) || n.type || ' ' || n.id || ' "' || n.name || '"' || coalesce(' sym=' || n.symbol_id, '') || CASE WHEN n.phase = 'REMOVED' THEN ' [REMOVED]' ELSE '' END AS line FROM w JOIN nodes n ON n.id = w.id""", graph=True, recursive=True)
+@query(WALK + """, o AS (SELECT inst_id, count(*) AS n FROM overrides GROUP BY 1)
+SELECT n.id, repeat('  ', w.depth) || n.type || ' "' || n.name || '" (' || n.id || ')' || CASE WHEN n.phase = 'REMOVED' THEN ' [REMOVED]' ELSE '' END || coalesce(' sym=' || n.symbol_id, '') || coalesce(' overrides=' || o.n, '') AS line
+FROM w JOIN nodes n ON n.id = w.id LEFT JOIN o ON o.inst_id = n.id""", graph=True, over=True, recursive=True)
 def tree_text(spark, d: str) -> DataFrame:
     n = nodes(spark, d)
-    return tree.tree_lines(n, tree.walk(n, tree.roots(n))).select("id", "line")
+    return tree.tree_lines(n, tree.walk(n, tree.roots(n)), overrides(spark, d)).select("id", "line")
 
 
 @query("SELECT n.id, n.type FROM nodes n WHERE n.type <> 'DOCUMENT' AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.id = n.pid AND p.type <> 'DOCUMENT')", graph=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sceneloom.functions import scalars as S
-from sceneloom.operators import edit, fills, imagediff, instances, svg, template
+from sceneloom.operators import catalog, decks, edit, fills, fonts, imagediff, instances, layouts, resolve, svg, template, vectors
 
 from .catalogue import query
 from .drawing import DEEP_SQL, NESTED_SQL, _shape_rows, deep_nodes
@@ -195,3 +195,145 @@ def moved_slides(spark, d: str) -> DataFrame:
     k = S.parse_id(F.col("id"))["local"]
     moves = s.where(k % 6 == 0).select("id", F.when(k % 4 == 0, -(k % 5) - 1).otherwise(k % 9).alias("to_index"))
     return edit.move_nodes(s, moves).select("id", "pid", "place", "position")
+
+
+# Drafts, pictures of templates, removals ----------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT s.id, s.pid, s.ord, s.name, row_number() OVER (ORDER BY s.ord) AS k FROM nodes s JOIN nodes r ON r.id = s.pid JOIN nodes c ON c.id = r.pid WHERE s.type = 'SLIDE' AND c.name <> 'Internal Only Canvas'),
+p AS (SELECT *, '3:' || ((SELECT max(split_part(id, ':', 2)::BIGINT) FROM nodes) + k) AS module FROM m)
+SELECT n.id, coalesce(p.module, n.pid) AS pid, n.type FROM nodes n LEFT JOIN p USING (id) UNION ALL SELECT module, pid, 'MODULE' FROM p""", graph=True)
+def publish_all_drafts(spark, d: str) -> DataFrame:
+    """With no draft named, all of the main rows are published; those of the internal canvas are not."""
+    return template.publish(nodes(spark, d)).select("id", "pid", "type")
+
+
+@query("SELECT id, CASE WHEN type = 'INSTANCE' AND ord % 3 = 0 THEN 'REMOVED' ELSE phase END AS phase, CASE WHEN NOT (type = 'INSTANCE' AND ord % 3 = 0) THEN name END AS click FROM nodes", graph=True)
+def removed_interactions(spark, d: str) -> DataFrame:
+    """What a removed node did on a click goes with it."""
+    n = nodes(spark, d).withColumn("interactions", F.array(F.struct(F.col("name").alias("click"))))
+    out = edit.soft_delete(n, n.where("type = 'INSTANCE' and ord % 3 = 0"))
+    return out.select("id", "phase", F.try_element_at("interactions", F.lit(1))["click"].alias("click"))
+
+
+@query("""WITH w AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS place, id AS root FROM nodes WHERE type = 'SLIDE'),
+t AS (SELECT w.place, n.id, n.name, split_part(n.id, ':', 2)::BIGINT % 3 AS kind FROM w JOIN nodes n ON n.pid = w.root WHERE n.phase <> 'REMOVED')
+SELECT place, id AS old_id, CASE WHEN name = '1-URGENT' THEN CASE kind WHEN 0 THEN 'IMAGE:n' || place || ':FIT' WHEN 1 THEN 'IMAGE:n' || place || ':FILL' ELSE 'SOLID::,IMAGE:n' || place || ':TILE,IMAGE:old:FILL' END
+ ELSE CASE kind WHEN 0 THEN 'IMAGE:old:FIT' WHEN 1 THEN 'SOLID::,SOLID::' ELSE 'SOLID::,IMAGE:old:TILE,IMAGE:old:FILL' END END AS paints FROM t""", graph=True)
+def template_pictures(spark, d: str) -> DataFrame:
+    """Clones of layouts with new pictures for nodes of one name: in place of the first picture, filling as it did, or of all paints."""
+    from sceneloom.functions.ranking import numbered
+
+    def paint(kind: str, image: str | None = None, mode: str | None = None):
+        return F.struct(F.lit(kind).alias("type"), F.lit(image).cast("string").alias("image"), F.lit(mode).cast("string").alias("mode"), F.lit(None).cast("double").alias("image_width"), F.lit(1.0).alias("opacity"))
+
+    kind = S.parse_id(F.col("id"))["local"] % 3
+    paints = F.when(kind == 0, F.array(paint("IMAGE", "old", "FIT"))).when(kind == 1, F.array(paint("SOLID"), paint("SOLID"))).otherwise(F.array(paint("SOLID"), paint("IMAGE", "old", "TILE"), paint("IMAGE", "old", "FILL")))
+    n = nodes(spark, d).withColumn("fill_paints", paints)
+    wanted = numbered(n.where("type = 'SLIDE'").select("ord", F.col("id").alias("root")), ["ord"], "place", 0).select("place", "root")
+    images = wanted.select("place", F.lit("1-URGENT").alias("key"), F.concat(F.lit("n"), "place").alias("image"), F.lit(10).alias("image_width"), F.lit(20).alias("image_height"))
+    out = template.pictured(template.clone_layouts(n, wanted, "2:0"), images).where("type = 'INSTANCE'")
+    said = F.transform("fill_paints", lambda p: F.concat(p["type"], F.lit(":"), F.coalesce(p["image"], F.lit("")), F.lit(":"), F.coalesce(p["mode"], F.lit(""))))
+    return out.select("place", "old_id", F.array_join(said, ",").alias("paints"))
+
+
+# Sources of fonts ---------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT DISTINCT p_brand AS family, p_size % 3 * 100 + 400 AS weight FROM part WHERE p_brand <> (SELECT max(p_brand) FROM part)),
+s AS (SELECT p_brand AS family, p_size % 3 * 100 + 400 AS weight, CASE p_partkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS rank, CASE p_partkey % 3 WHEN 0 THEN 'system' WHEN 1 THEN 'cache' ELSE 'web' END AS source FROM part WHERE p_retailprice > 1400)
+SELECT n.family, n.weight, arg_min(source, rank) AS source FROM n LEFT JOIN s USING (family, weight) GROUP BY ALL""")
+def font_sources(spark, d: str) -> DataFrame:
+    """Cache before web before system, for each family and weight."""
+    p = table(spark, d, "part")
+    needed = p.select(F.col("p_brand").alias("family"), (F.col("p_size") % 3 * 100 + 400).alias("weight")).distinct()
+    place = F.col("p_partkey") % 3
+    have = p.where("p_retailprice > 1400").select(
+        fonts.cache_key(F.col("p_brand"), F.col("p_size") % 3 * 100 + 400).alias("key"), F.when(place == 0, 3).when(place == 1, 1).otherwise(2).alias("rank"), F.when(place == 0, "system").when(place == 1, "cache").otherwise("web").alias("source")
+    )
+    return fonts.sources_of(needed, p.agg(F.max("p_brand").alias("family")), have)
+
+
+@query("""WITH f AS (SELECT DISTINCT p_type AS family, 'v' || p_size % 4 AS file FROM part), w AS (SELECT family, count(*) FILTER (WHERE file IN ('v0', 'v1', 'v2')) = 3 AS whole FROM f GROUP BY 1)
+SELECT family, file, NOT whole AS is_fallback FROM f JOIN w USING (family) WHERE CASE WHEN whole THEN file IN ('v0', 'v1', 'v2') ELSE file IN ('v3', 'v0') END""")
+def fallback_fonts(spark, d: str) -> DataFrame:
+    """Three files that count together, or else what there is of two others."""
+    files = table(spark, d, "part").select(F.col("p_type").alias("family"), F.concat(F.lit("v"), F.col("p_size") % 4).alias("file"))
+    return fonts.with_fallback(files, ["v0", "v1", "v2"], ["v3", "v0"])
+
+
+# Look-ups -----------------------------------------------------------------------------------------
+
+
+@query("SELECT id, name, 2::BIGINT AS number FROM nodes WHERE type = 'CANVAS' AND name <> 'Internal Only Canvas' ORDER BY position COLLATE NOCASE LIMIT 1 OFFSET 1", graph=True)
+def second_page(spark, d: str) -> DataFrame:
+    return decks.nth(catalog.pages(nodes(spark, d)), 2, "page").select("id", "name", "number")
+
+
+@query("""WITH s AS (SELECT id, name, ord FROM nodes WHERE type = 'INSTANCE'), r AS (SELECT DISTINCT o_orderpriority AS ref FROM orders UNION SELECT '4:' || o_orderkey FROM orders WHERE o_orderstatus = 'F')
+SELECT ref, coalesce((SELECT id FROM s WHERE id = ref), (SELECT arg_min(id, ord) FROM s WHERE name = ref)) AS id FROM r""", graph=True)
+def removed_by_reference(spark, d: str) -> DataFrame:
+    """Look-ups that count removed nodes too."""
+    o = table(spark, d, "orders")
+    refs = o.select(F.col("o_orderpriority").alias("ref")).unionByName(o.where("o_orderstatus = 'F'").select(F.concat(F.lit("4:"), F.col("o_orderkey")).alias("ref"))).distinct()
+    return resolve.by_reference(nodes(spark, d), refs, "INSTANCE", removed_too=True)
+
+
+@query("SELECT r.id AS row, r.name AS row_name, s.id AS slide, s.name FROM nodes s JOIN nodes r ON r.id = s.pid WHERE s.type = 'SLIDE'", graph=True)
+def layouts_of_all_rows(spark, d: str) -> DataFrame:
+    """Layouts of every live row, those of the internal canvas too."""
+    return layouts.describe(nodes(spark, d), include_internal=True).select("row", "row_name", "slide", "name")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 0.25 WHEN c_custkey % 3 = 1 THEN 0.5 END::DOUBLE AS r, CASE WHEN c_custkey % 3 < 2 THEN 1 END::DOUBLE AS a FROM customer")
+def slide_backgrounds(spark, d: str) -> DataFrame:
+    """The first paint's colour, though it be hidden or no solid one; none where it has none."""
+    kind, none = F.col("c_custkey") % 3, F.lit(None)
+    paint = lambda type_, visible, r, a: F.struct(F.lit(type_).alias("type"), F.lit(visible).alias("visible"), *(v.cast("double").alias(c) for c, v in zip("rgba", (r, r, r, a))))
+    paints = F.when(kind == 0, F.array(paint("SOLID", False, F.lit(0.25), F.lit(1)), paint("SOLID", True, F.lit(1), F.lit(1)))).when(kind == 1, F.array(paint("NOISE", True, F.lit(0.5), F.lit(1)))).otherwise(F.array(paint("IMAGE", True, none, none), paint("SOLID", True, F.lit(1), F.lit(1))))
+    return catalog.backgrounds(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), paints.alias("fill_paints"))).select("id", "r", "a")
+
+
+# Pictures, frames and unions ----------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 4 AS kind, p_size + 1 AS w, '<clipPath id="img-clip-' || p_partkey || '-1"><rect width="' || (p_size + 1) || '" height="20" rx="0" ry="0"/></clipPath>' AS clip, 'data:image/' || CASE WHEN p_partkey % 8 < 4 THEN 'png;base64,iVBO' ELSE 'jpeg;base64,/9j/' END AS uri FROM part),
+s AS (SELECT *, '<image href="' || uri || '" x="0" y="0" width="' || w || '" height="20" preserveAspectRatio="xMidYMid ' AS whole, '<rect x="0" y="0" width="' || w || '" height="20" rx="0" ry="0" fill=' AS rect, '" clip-path="url(#img-clip-' || id || '-1)"' AS clipped,
+ '<clipPath id="frame-clip-' || id || '"><rect width="' || w || '" height="20" rx="0" ry="0"/></clipPath>' AS frame FROM p)
+SELECT id, '<g transform="translate(0,0)">' || chr(10) || CASE kind
+ WHEN 0 THEN '<defs>' || clip || '</defs>' || chr(10) || whole || 'slice' || clipped || '/>' || chr(10) || rect || '"rgba(255,0,0,1.0000)"/>' || chr(10) || 'child'
+ WHEN 1 THEN '<defs>' || clip || '</defs>' || frame || chr(10) || whole || 'meet' || clipped || ' opacity="0.5"/>' || chr(10) || '<g clip-path="url(#frame-clip-' || id || ')">child</g>'
+ WHEN 2 THEN '<defs>' || clip || '<pattern id="img-pat-' || id || '-1" x="0" y="0" width="15" height="5" patternUnits="userSpaceOnUse"><image href="' || uri || '" width="15" height="5"/></pattern></defs>' || chr(10) || rect || '"url(#img-pat-' || id || '-1)"' || ltrim(clipped, '"') || '/>' || chr(10) || 'child'
+ ELSE 'child' END || chr(10) || '</g>' AS text FROM s""")
+def painted_frames(spark, d: str) -> DataFrame:
+    """Frames with pictures that fill, fit and tile, stacked and faint, and that clip what is inside where they are told to and have a visible paint."""
+    kind, none = F.col("p_partkey") % 4, F.lit(None)
+
+    def paint(type_: str, mode=None, opacity=None, visible=None, r=None):
+        fields = {"type": F.lit(type_), "visible": F.lit(visible).cast("boolean"), "opacity": F.lit(opacity).cast("double"), **{c: F.lit(r if c == "r" else None if r is None or c == "a" else 0.0).cast("double") for c in "rgba"}, "image": F.lit("h" if type_ == "IMAGE" else None).cast("string"),
+                  "mode": F.lit(mode).cast("string"), "image_width": F.lit(30.0), "image_height": F.lit(10.0), "scale": F.lit(0.5)}
+        return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+    paints = F.when(kind == 0, F.array(paint("IMAGE"), paint("SOLID", r=1.0))).when(kind == 1, F.array(paint("IMAGE", "FIT", 0.5))).when(kind == 2, F.array(paint("IMAGE", "TILE"))).otherwise(F.array(paint("IMAGE", visible=False)))
+    content = F.unhex(F.when(F.col("p_partkey") % 8 < 4, "89504E").otherwise("FFD8FF"))
+    at = F.struct(*(F.lit(1.0 if k in ("m00", "m11") else 0.0).alias(k) for k in fills.MATRIX))
+    rows = _shape_rows(spark, d, "FRAME", fill_paints=paints, width=(F.col("p_size") + 1).cast("double"), transform=at, inner=F.lit("child"), mask_disabled=F.when(kind != 2, F.lit(False)).otherwise(none.cast("boolean")), image_uris=F.create_map(F.lit("h"), fills.data_uri(content)))
+    # a first kind without a mask stays open
+    rows = rows.withColumn("mask_disabled", F.when(F.col("id") % 4 == 0, F.lit(True)).otherwise(F.col("mask_disabled")))
+    return svg.fragments(rows).select("id", "text")
+
+
+@query("""SELECT l_orderkey || ':' || l_linenumber AS id, max(CASE WHEN o_orderkey % 3 = 0 THEN 'rgba(255,0,0,1.0000)' WHEN o_orderkey % 3 = 1 AND o_custkey % 2 = 0 THEN 'rgba(0,0,255,1.0000)' ELSE 'own' END) AS colour FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def union_colours(spark, d: str) -> DataFrame:
+    """Shapes in unions have the union's colour, or that of the union around it; others their own."""
+    o, none = table(spark, d, "orders"), F.lit(None)
+    red, blue = ({"type": "SOLID", "r": r, "g": 0.0, "b": b, "a": 1.0, "opacity": 1.0, "visible": True} for r, b in ((1.0, 0.0), (0.0, 1.0)))
+    paint = lambda p: F.array(F.struct(*(F.lit(p[c]).alias(c) for c in ("type", "visible", "opacity", "r", "g", "b", "a"))))
+    kind = F.col("o_orderkey") % 3
+    key = F.col("o_orderkey").cast("string")
+    outer = o.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("id"), F.lit(None).cast("string").alias("pid"), F.lit("BOOLEAN_OPERATION").alias("type"), F.when(F.col("o_custkey") % 2 == 0, "UNION").otherwise("SUBTRACT").alias("boolean_operation"), paint(blue).alias("fill_paints")).distinct()
+    inner = o.select(F.concat(F.lit("o"), key).alias("id"), F.when(kind == 1, F.concat(F.lit("c"), F.col("o_custkey"))).alias("pid"), F.lit("BOOLEAN_OPERATION").alias("type"), F.when(kind == 2, "INTERSECT").otherwise("UNION").alias("boolean_operation"), F.when(kind == 0, paint(red)).alias("fill_paints"))
+    leaf = table(spark, d, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("pid"), F.lit("ELLIPSE").alias("type"), none.cast("string").alias("boolean_operation")).distinct()
+    leaf = leaf.withColumn("fill_paints", none.cast(outer.schema["fill_paints"].dataType))
+    out = vectors.union_fills(outer.unionByName(inner).unionByName(leaf)).where("type = 'ELLIPSE'")
+    return out.select("id", F.coalesce(svg.solid(F.col("fill_paints")), F.lit("own")).alias("colour"))

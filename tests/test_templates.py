@@ -56,7 +56,7 @@ def test_create_from_template(spark, nodes):
 
 def test_errors(spark, nodes):
     with pytest.raises(ValueError, match="no draft"):
-        template.publish(nodes, nodes.where("false").select(F.col("id").alias("slide")))
+        template.publish(nodes.where("type <> 'SLIDE'"), nodes.where("false").select(F.col("id").alias("slide")))
     with pytest.raises(ValueError, match="node not found"):
         template.annotate(nodes, spark.createDataFrame([("9:9", "x")], "id string, name string"), "layout:")
 
