@@ -1,7 +1,8 @@
-"""Traversal of node tables (id, pid, ord, type, name, phase, ...), level by level.
+"""Traversal of node tables (id, pid, ord, type, name, phase, ...).
 
-Each level is one join of the frontier with the nodes' parent ids, so a level's cost follows its width
-and documents are walked side by side.  Levels are written out: depth does not pile up in the plan.
+Whole subtrees are walked by doubling: every node knows a stretch of the way up from it, and each round joins it to the
+stretch above, so a tree of depth n takes about log2(n) joins.  Walks to a given depth and those through instances go level by level, one join of the frontier
+each.  Rounds and levels are written out: depth does not pile up in the plan.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sceneloom.functions.tables import written
+from sceneloom.functions.tables import drop_written, written
 
 
 def is_live() -> Column:
@@ -30,26 +31,57 @@ def walk(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, skip_
 
     path is the array of ord from the root (with ids, of (ord, id)): ordering by (root, path) is preorder; without it, path is left
     out. max_depth and skip_removed prune: what lies below is not visited. A node has one parent (where an
-    id repeats, its last row's), so a walk can come back to its root only, and there it ends.
+    id repeats, its last row's), so a walk can come back to its root only, and there it ends. A chain of 10,000 nodes takes 14 joins.
     """
     kept = nodes.where(is_live()) if skip_removed else nodes
     slim = kept.groupBy("id").agg(F.max_by(F.struct("pid", "ord"), "ord").alias("x")).select("id", "x.pid", "x.ord")
+    found = _ways_up(slim, start) if max_depth is None or max_depth > 2 else _levels(slim, start, max_depth)
+    found = found if max_depth is None else found.where(F.col("depth") <= max_depth)
+    if not path:
+        return found.drop("path")
+    return found if ids else found.withColumn("path", F.transform("path", lambda x: x["ord"]))
+
+
+def _ways_up(slim: DataFrame, start: DataFrame) -> DataFrame:
+    """(root, id, pid, depth, path) by doubling; path has (ord, id). way: the nodes from just below `above` down to a node; above is null at the top, or
+    where a way comes back to a node that is on it. Only nodes with something below take part in the rounds; the others follow their parents at the end."""
+    tops = start.select(F.col("id").alias("_top")).distinct()
+    step = F.struct(F.col("ord").cast("long").alias("ord"), "id", F.col("_top").isNotNull().alias("top"))
+    parents = slim.where("pid is not null").select(F.col("pid").alias("_parent")).distinct().withColumn("_full", F.lit(True))
+    slim = slim.join(tops, F.col("id") == F.col("_top"), "left").join(parents, F.col("id") == F.col("_parent"), "left")
+    slim = written(slim.select("id", "pid", F.array(step).alias("way"), F.col("_full").isNotNull().alias("full")))
+    state = written(slim.where("full").select("id", "pid", F.when(F.col("pid") != F.col("id"), F.col("pid")).alias("above"), "way"))
+    while not state.where("above is not null").isEmpty():
+        up = state.select(F.col("id").alias("_id"), F.col("above").alias("_above"), F.col("way").alias("_way"))
+        both = state.join(up, F.col("above") == F.col("_id"), "left")
+        longer = both.select("id", "pid", "_above", F.when(F.col("_id").isNotNull(), F.concat("_way", "way")).otherwise(F.col("way")).alias("way"))
+        back = F.exists("way", lambda x: x["id"] == F.col("_above"))
+        new = written(longer.select("id", "pid", F.when(~back, F.col("_above")).alias("above"), "way"))
+        drop_written(state)
+        state = new
+    up = state.select(F.col("id").alias("_id"), F.col("way").alias("_way"))
+    leaves = slim.where("not full").join(up, F.col("pid") == F.col("_id"), "left").select("id", "pid", F.when(F.col("_id").isNotNull(), F.concat("_way", "way")).otherwise(F.col("way")).alias("way"))
+    state = state.select("id", "pid", "way").unionByName(leaves)
+    last = F.size("way")
+    later = lambda x, i: F.exists(F.slice("way", i + 2, F.greatest(last - i - 1, F.lit(0))), lambda y: y["id"] == x["id"])  # noqa: E731  on a cycle
+    at = F.filter(F.transform("way", lambda x, i: F.when(x["top"] & ~later(x, i), i)), lambda i: i.isNotNull())
+    rows = state.select("id", "pid", "way", F.explode(at).alias("_at"))
+    path = F.transform(F.slice("way", F.col("_at") + 1, last - F.col("_at")), lambda x: F.struct(x["ord"].alias("ord"), x["id"].alias("id")))
+    return rows.select(F.element_at("way", F.col("_at") + 1)["id"].alias("root"), "id", "pid", (last - 1 - F.col("_at")).alias("depth"), path.alias("path"))
+
+
+def _levels(slim: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
+    """The same, down to a small depth, level by level."""
     slim = written(slim)  # read once per level
-    trail = ["path"] if path else []
-    level = start.select(F.col("id").alias("root")).distinct().join(slim.withColumnRenamed("id", "root"), "root")
-    first = F.struct(F.col("ord").cast("long").alias("ord"), F.col("root").alias("id")) if ids else F.col("ord")
-    level = level.select("root", F.col("root").alias("id"), "pid", F.lit(0).alias("depth"), F.array(first).alias("path"))
-    level = seen = written(level.drop(*(set(["path"]) - set(trail))))
-    step = slim.where("pid is not null").select(F.col("id").alias("child"), F.col("pid").alias("parent"), (F.struct(F.col("ord").cast("long").alias("ord"), "id") if ids else F.col("ord")).alias("o"))
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        below = level.join(step, (level["id"] == step["parent"]) & (step["child"] != level["root"]))
-        longer = [F.concat("path", F.array("o")).alias("path")] if path else []
-        level = written(below.select("root", F.col("child").alias("id"), F.col("parent").alias("pid"), F.lit(depth).alias("depth"), *longer))
-        if level.isEmpty():
-            break
+    step = F.struct(F.col("ord").cast("long").alias("ord"), "id")
+    level = start.select(F.col("id").alias("root")).distinct().join(slim, F.col("root") == F.col("id")).select("root", "id", "pid", F.lit(0).alias("depth"), F.array(step).alias("path"))
+    level = seen = written(level)
+    below = slim.where("pid is not null").select(F.col("id").alias("child"), F.col("pid").alias("parent"), step.alias("o"))
+    for depth in range(1, max_depth + 1):
+        rows = level.join(below, (F.col("id") == F.col("parent")) & (F.col("child") != F.col("root")))
+        level = written(rows.select("root", F.col("child").alias("id"), F.col("parent").alias("pid"), F.lit(depth).alias("depth"), F.concat("path", F.array("o")).alias("path")))
         seen = seen.unionByName(level)
+    drop_written(slim)
     return seen
 
 

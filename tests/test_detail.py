@@ -255,3 +255,47 @@ def test_sums_before(spark):
         assert s == total
         total += v
     assert summed_before(df.where("false"), ["k"], "v", "s").count() == 0
+
+
+@pytest.mark.parametrize("depth", [None, 1, 2, 5])
+@pytest.mark.parametrize("skip", [False, True])
+def test_walks_against_recursion(spark, depth, skip):
+    """Forests with nested starts, removed nodes, cycles with trees below them, a node that is its own parent, lost parents and repeated ids."""
+    import random
+
+    from sceneloom.operators import tree
+
+    rng, rows = random.Random(6), []
+    for k in range(400):
+        pid = rng.choice([None, "lost", f"n{rng.randrange(max(k - 6, 0), k + 1)}"]) if rng.random() < 0.15 else f"n{max(0, k - rng.randint(1, 4))}"
+        rows.append((f"n{k}", None if k == 0 else pid, k, rng.choice([None] * 9 + ["REMOVED"])))
+    rows += [("c0", "c2", 900, None), ("c1", "c0", 901, None), ("c2", "c1", 902, None), ("d0", "c1", 903, None), ("d1", "d0", 904, None), ("self", "self", 905, None), ("n7", "n3", 906, None)]
+    df = spark.createDataFrame(rows, "id string, pid string, ord bigint, phase string").repartition(3)
+    last = {}
+    for id_, pid, ord_, phase in rows:
+        if not (skip and phase == "REMOVED"):
+            last[id_] = (pid, ord_)
+    below = {}
+    for id_, (pid, ord_) in last.items():
+        below.setdefault(pid, []).append((id_, ord_))
+    starts = ["n0", "n5", "n9", "n120", "c1", "d1", "self", "nobody", "n7", "n399", "n7"]
+    want = []
+    for root in set(starts) & set(last):
+        todo = [(root, last[root][0], (last[root][1],))]
+        while todo:
+            id_, pid, path = todo.pop()
+            want.append((root, id_, pid, len(path) - 1, path))
+            if depth is None or len(path) <= depth:
+                todo += [(c, id_, (*path, o)) for c, o in below.get(id_, []) if c != root]
+    got = tree.walk(df, spark.createDataFrame([(x,) for x in starts], "id string"), depth, skip_removed=skip).collect()
+    assert sorted(map(str, ((r["root"], r["id"], r["pid"], r["depth"], tuple(r["path"])) for r in got))) == sorted(map(str, want))
+
+
+def test_deep_chain(spark):
+    """A chain of 3,000 nodes: a dozen joins, not one a level."""
+    from sceneloom.operators import tree
+
+    n = 3000
+    df = spark.range(n).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("pid"), F.col("id").alias("ord"), F.lit(None).cast("string").alias("phase"))
+    out = tree.walk(df, df.where("ord in (0, 2000)").select("id"), path=False)
+    assert {(r["root"], r["n"], r["deepest"]) for r in out.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest")).collect()} == {("n0", n, n - 1), ("n2000", 1000, 999)}
