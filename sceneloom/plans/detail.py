@@ -19,8 +19,9 @@ _MATRIX = {"m00": "0.5e0 + p_size / 100e0", "m01": "(p_partkey % 7) / 10e0 - 0.3
 
 
 def _two(x: str) -> str:
-    """SQL of a number with two decimals at most."""
-    return f"regexp_replace(regexp_replace(printf('%.2f', {x}), '\\.?0+$', ''), '^-0$', '0')"
+    """SQL of a number with two decimals at most; exact ties (odd eighths) go away from zero, where printf alone takes the even digit."""
+    tied = f"CASE WHEN abs({x}) * 8 = floor(abs({x}) * 8) AND floor(abs({x}) * 8)::BIGINT % 2 = 1 THEN {x} + sign({x}) * 0.0009765625 ELSE {x} END"
+    return f"regexp_replace(regexp_replace(printf('%.2f', {tied}), '\\.?0+$', ''), '^-0$', '0')"
 
 
 def _point(u: str, v: str, name: str) -> str:
