@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sceneloom.functions import scalars as S
-from sceneloom.operators import catalog, edit, imagediff, resolve, text, tree, validate
+from sceneloom.operators import catalog, edit, fonts, imagediff, resolve, text, tree, validate
 
 from .graph import NODES_SQL, OVERRIDES_SQL, nodes, overrides, table
 
@@ -331,15 +331,17 @@ def content_bounds(spark, d: str) -> DataFrame:
 @query("""SELECT p_brand AS family, list_sort(list(DISTINCT CASE WHEN p_size % 3 = 0 THEN 700 WHEN p_size % 3 = 1 THEN 500 ELSE 400 END)) AS weights FROM part GROUP BY p_brand""")
 def font_inventory(spark, d: str) -> DataFrame:
     style = F.element_at(F.array(F.lit("SemiBold"), F.lit("Medium"), F.lit("Regular")), (F.col("p_size") % 3 + 1).cast("int"))
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("family")).agg(F.sort_array(F.collect_set(S.inventory_weight(style))).alias("weights"))
+    found = fonts.inventory(table(spark, d, "part").select(F.col("p_brand").alias("family"), style.alias("style")))
+    return found.groupBy("family").agg(F.sort_array(F.collect_list("weight")).alias("weights"))
 
 
 @query("""WITH w AS (SELECT p_brand AS family, list(DISTINCT p_size % 12) AS have FROM part WHERE p_size < 20 GROUP BY 1)
 SELECT family, len([x FOR x IN [0, 3, 6, 9] IF NOT list_contains(have, x)]) AS n_missing, CASE WHEN len([x FOR x IN [0, 3, 6, 9] IF NOT list_contains(have, x)]) = 0 THEN 'resolved' WHEN len([x FOR x IN [0, 3, 6, 9] IF NOT list_contains(have, x)]) = 4 THEN 'failed' ELSE 'partial' END AS state FROM w""")
 def font_coverage(spark, d: str) -> DataFrame:
-    have = table(spark, d, "part").where("p_size < 20").groupBy(F.col("p_brand").alias("family")).agg(F.collect_set(F.expr("p_size % 12")).alias("have"))
-    missing = F.size(F.array_except(F.array(*map(F.lit, (0, 3, 6, 9))), "have"))
-    return have.select("family", missing.cast("long").alias("n_missing"), F.when(missing == 0, "resolved").when(missing == 4, "failed").otherwise("partial").alias("state"))
+    have = table(spark, d, "part").where("p_size < 20").select(F.col("p_brand").alias("family"), F.expr("p_size % 12").alias("weight"))
+    needed = have.select("family").distinct().select("family", F.explode(F.array(*map(F.lit, (0, 3, 6, 9)))).alias("weight"))
+    cached = have.select(fonts.cache_key(F.col("family"), F.col("weight")).alias("key"), F.lit("cache").alias("source"))
+    return fonts.resolve(needed, have.select("family").where("false"), cached).select("family", "n_missing", "state")
 
 
 @query("""SELECT vec_id, round(sqrt(power(embedding[3]::DOUBLE - embedding[1]::DOUBLE, 2) + power(embedding[4]::DOUBLE - embedding[2]::DOUBLE, 2)), 6) AS length,
