@@ -21,6 +21,7 @@ QUERIES = {
 }
 SQL = {
     "op1_ngram_join": ngram_join.OP1_SQL,
+    "op6_suffix_dedup": substring_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,

@@ -376,3 +376,26 @@ def drop_repeated_strings(docs: DataFrame) -> DataFrame:
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return drop_repeated_strings(documents(spark, sf_dir)).drop("kept")
+
+
+#: Every string by its 128-bit hash, cut from stretches of 256 starts; bytes as hex digits, since texts are cut within characters.
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+piece AS (SELECT doc_id, o, n, substr(x, 2 * o + 1, 2 * ({WIDTH} + 255)) AS x FROM (SELECT doc_id, x, n, unnest(range(0, n, 256)) AS o FROM d)),
+w AS (
+    SELECT doc_id, o + k AS s, md5_number(substr(x, 2 * k + 1, {2 * WIDTH})) AS h
+    FROM (SELECT *, unnest(range(0, least(256, n - {WIDTH - 1} - o))) AS k FROM piece)),
+again AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+edge AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {WIDTH} THEN 0 ELSE 1 END AS fresh FROM again),
+run AS (
+    SELECT doc_id, min(s) AS a, max(s) + {WIDTH} AS b
+    FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM edge) GROUP BY doc_id, g),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM run),
+gone AS (
+    SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS till,
+        string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+    FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept || substr(x, 2 * till + 1), x))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""

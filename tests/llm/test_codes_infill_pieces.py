@@ -32,7 +32,7 @@ def docs(spark):
     return table(spark, [*enumerate(texts()), (None, "no id\nat all"), (None, None), (3, "\n")]).repartition(3)
 
 
-@pytest.mark.parametrize("name", ["op11_vector_codes", "op12_fill_in_middle"])
+@pytest.mark.parametrize("name", ["op6_suffix_dedup", "op11_vector_codes", "op12_fill_in_middle"])
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
