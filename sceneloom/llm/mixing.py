@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sceneloom.functions.ranking import numbered
+
 from .common import byte_batches, documents, small_enough, words, written
 
 #: Fixed by the contract: weights by code point of the source, repeating; share of all sizes; most times a document is taken.
@@ -36,24 +38,23 @@ def count_words(df: DataFrame, text: str = "text", out: str = "size") -> DataFra
 def targets(sizes: DataFrame, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """(source, source_size, target): budgets by weight, stopped at `epochs` times a source's size, the excess reshared by weight.
 
-    The level at which resharing ends is found in closed form over the sources in order of size to weight
-    (the first to be full are the first in that order). One row per source goes through one task here.
+    Sources are numbered by ranges. The level (words a unit of weight) rises from that of all sources: those that are full below it leave,
+    the rest share what they leave, until none is full below the level. A round sums over the table of sources; two numbers reach the
+    driver. A round more is needed only if the last filled sources, so rounds are few (as many as sources at worst). An empty table gives no rows.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (number % len(WEIGHTS) + 1).cast("int")))
-    per = per.withColumn("ratio", epochs * F.col("source_size") / F.col("w"))
-    order, everything = Window.orderBy("ratio", F.col("source").asc_nulls_last()), Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    budget = share * F.sum("source_size").over(everything)
-    filled = F.coalesce(F.sum(epochs * F.col("source_size")).over(before), F.lit(0))
-    weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    per = per.withColumn("level", (budget - filled) / weight)
-    per = per.withColumn("number", F.row_number().over(order))
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("number", "level"))).over(everything)
-    per = per.withColumn("level", F.coalesce(first["level"], F.lit(float("inf"))))
-    full = F.col("level") >= F.col("ratio")
-    target = F.when(full, (epochs * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("w"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("_last", F.col("source").isNull())
+    per = numbered(per, ["_last", "source"], "number", start=0)
+    per = per.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("number") % len(WEIGHTS) + 1).cast("int")))
+    per = written(per.withColumn("ratio", epochs * F.col("source_size") / F.col("w")).drop("_last", "number"))
+    budget = share * (per.agg(F.sum("source_size")).first()[0] or 0)
+    level, full = 0.0, None
+    while True:
+        left = F.col("ratio") < level
+        filled, weight, n = per.agg(F.sum(F.when(left, epochs * F.col("source_size"))), F.sum(F.when(~left, F.col("w"))), F.count_if(left)).first()
+        if n == full:
+            break
+        full, level = n, (budget - (filled or 0)) / weight if weight else float("inf")
+    target = F.when(F.col("ratio") <= level, (epochs * F.col("source_size")).cast("double")).otherwise(F.lit(level) * F.col("w"))
     return per.select("source", "source_size", target.alias("target"))
 
 

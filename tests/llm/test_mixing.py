@@ -10,11 +10,11 @@ from sceneloom.llm import mixing
 SCHEMA = "doc_id bigint, source string, text string, size string, H string"
 
 
-def brute_targets(size):
+def brute_targets(size, share_of_all=1.5):
     """Budgets by weight, the excess of full sources shared again until none is above."""
     order = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
-    budget, full = 1.5 * sum(size.values()), set()
+    budget, full = share_of_all * sum(size.values()), set()
     while True:
         free = [s for s in order if s not in full]
         rest = budget - sum(2 * size[s] for s in full)
@@ -68,3 +68,15 @@ def test_empty(spark):
 def test_no_words(spark):
     docs = spark.createDataFrame([(1, "a", ""), (2, None, None)], "doc_id bigint, source string, text string")
     assert {(r["doc_id"], r["taken"], r["target"]) for r in mixing.mix_sources(docs).collect()} == {(1, 0, 0.0), (2, 0, 0.0)}
+
+
+@pytest.mark.parametrize("share", [1.5, 0.1, 2.5])
+def test_targets_of_many_sources(spark, share):
+    """Sources of geometric sizes fill up round after round; equal sizes tie; some are empty."""
+    size = {f"s{k:04}": (2 ** (k % 40) if k % 3 else k % 7) for k in range(500)} | {None: 90}
+    rows = spark.createDataFrame(list(size.items()), "source string, size bigint").repartition(5)
+    out = {r["source"]: r for r in mixing.targets(rows, share=share).collect()}
+    want = brute_targets(size, share)
+    assert set(out) == set(size)
+    for s, r in out.items():
+        assert r["source_size"] == size[s] and r["target"] == pytest.approx(want[s])
