@@ -3,12 +3,16 @@
 import hashlib
 import random
 import re
+import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from sceneloom.llm import decontaminate, language_id, licenses, line_dedup, ngram_join, quality, sharding, substring_dedup, token_files
+from sceneloom.llm import decontaminate, language_id, licenses, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, token_files
 
 SCHEMA = "doc_id bigint, text string, n bigint, `Block` string, d string, digest string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,18 +282,12 @@ def test_token_files_round_trip(spark):
     start = 0
     for r, e in zip(got, tool.encode_batch([t or "" for t in texts], add_special_tokens=False)):
         ids = np.array([*e.ids, 0], "<u4")
-        import zlib
-
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
 
 
 def test_token_files_added_token(spark):
     """Ids of whole texts by the library alone, in its default setting."""
-    import zlib
-
-    from tokenizers import Tokenizer
-
     texts = ["say <|endoftext|> here", "a\n<|endoftext|>.\n<|endoftext|><|endoftext|> b", " \n<|endoftext|>'s é <|endof text|>", "<|endoftext|>", "after", None]
     plain, start = Tokenizer.from_file(token_files.tokenizer_path()), 0
     assert plain.encode(texts[0], add_special_tokens=False).ids == [16706, 220, 50256, 994]
@@ -611,5 +609,42 @@ def test_pipeline(spark):
     alone = corpus_pipeline.near_duplicates(spark, kept, d)
     assert sorted(r["doc_id"] for r in alone.collect()) == [ids[i] for i, (_, c) in group.items() if i == c]
     clean = corpus_pipeline.decontamination(spark, alone, d)
-    assert clean.columns == docs.columns and clean.count() <= alone.count()
-    assert corpus_pipeline.run(spark, d).count() > 0
+    assert clean.columns == docs.columns
+    items = [plain_words(r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    texts = dict(alone.select("doc_id", "text").collect())
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, t in texts.items() if not holds_item(plain_words(t), items)}
+    mixed = corpus_pipeline.mixture(spark, clean, d)
+    con = duckdb.connect()
+    con.register("documents", clean.select("doc_id", "source", "text").toPandas())
+    taken = {i: words // size for i, size, words in con.sql(f"SELECT doc_id, size, taken FROM ({mixing.OP7_SQL})").fetchall() if words}
+    assert Counter(r["doc_id"] for r in mixed.collect()) == taken and set(taken.values()) == {1, 2}
+    texts, start, want = dict(clean.select("doc_id", "text").collect()), 0, []
+    tool = Tokenizer.from_file(token_files.tokenizer_path())
+    for i in sorted(Counter(taken).elements()):
+        ids = np.array([*tool.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    told = corpus_pipeline.run(spark, d).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(map(tuple, told.collect())) == want
+
+
+def plain_words(text):
+    return re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode().lower())
+
+
+def holds_item(text, items):
+    """Whether an item aligns with the text at 0.7 of its best score or more: 2 for a match, -1 for another word, -2 for a gap."""
+    code = {}
+    number = lambda words: np.array([code.setdefault(w, len(code)) for w in words], np.int64)
+    text = number(text)
+    step = 2 * np.arange(len(text) + 1)
+    for item in (number(i) for i in items if i):
+        row, best = np.zeros(len(text) + 1, np.int64), 0
+        for word in item:
+            new = np.zeros_like(row)
+            new[1:] = np.maximum(row[:-1] + np.where(text == word, 2, -1), row[1:] - 2)
+            row = np.maximum(np.maximum.accumulate(np.maximum(new, 0) + step) - step, 0)
+            best = max(best, row.max())
+        if best >= 0.7 * 2 * len(item):
+            return True
+    return False
