@@ -212,7 +212,7 @@ def blank_as_space(text: Column) -> Column:
 
 
 def first_visible_solid(paints: Column) -> Column:
-    return F.try_element_at(F.filter(paints, lambda p: (p["type"] == "SOLID") & F.coalesce(p["visible"], F.lit(True))), F.lit(1))
+    return F.get(F.filter(paints, lambda p: (p["type"] == "SOLID") & F.coalesce(p["visible"], F.lit(True))), F.lit(0))
 
 
 def render_scale(width: Column, height: Column, scale: Column) -> Column:

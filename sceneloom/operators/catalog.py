@@ -28,7 +28,7 @@ def active_slides(nodes: DataFrame, document: str | None = None) -> DataFrame:
 
 def backgrounds(slides: DataFrame) -> DataFrame:
     """(id, r, g, b, a) of each slide: the colour of its first paint, of whatever type; null where that has none."""
-    first = F.try_element_at("fill_paints", F.lit(1))
+    first = F.get("fill_paints", F.lit(0))
     coloured = F.coalesce(first["r"], first["g"], first["b"]).isNotNull()
     return slides.select("id", *(F.when(coloured, first[c]).alias(c) for c in "rgba"))
 

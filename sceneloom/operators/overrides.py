@@ -26,7 +26,7 @@ def has_image(paints: str = "fill_paints") -> Column:
 
 def first_image(paints: str = "fill_paints") -> Column:
     """Hash of the first paint, if that is a picture's."""
-    return F.try_element_at(F.col(paints), F.lit(1))["image"]
+    return F.get(F.col(paints), F.lit(0))["image"]
 
 
 def image_paint(image: Column, thumbnail: Column, width: Column, height: Column, mode: Column | None = None) -> Column:
@@ -133,13 +133,13 @@ def slide_content(nodes: DataFrame, overrides: DataFrame) -> DataFrame:
     slides = nodes.where("type = 'SLIDE'").where(is_live()).select("id")
     below = walk(nodes, slides, path=False).where("depth > 0").select(F.col("root").alias("slide"), "id").join(nodes.where(is_live()), "id")
     told = lambda tag, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"  [{tag}] "), "id", F.lit(' "'), F.coalesce("name", F.lit("")), F.lit('": '), value))
-    picture = F.try_element_at(F.filter("fill_paints", lambda p: (p["type"] == "IMAGE") & p["image"].isNotNull()), F.lit(1))["image"]
+    picture = F.get(F.filter("fill_paints", lambda p: (p["type"] == "IMAGE") & p["image"].isNotNull()), F.lit(0))["image"]
     text = told("text-node", F.when(F.col("type") == "TEXT", F.col("text")))
     shape = told("shape-text", F.when(F.col("type") == "SHAPE_WITH_TEXT", F.col("shape_text"))) if "shape_text" in nodes.columns else F.lit(None).cast("string")
     direct = below.select("slide", F.explode(F.array_compact(F.array(text, shape, told("image-node", picture)))).alias("line"))
     links = slide_symbols(nodes.where("type <> 'SLIDE'").unionByName(nodes.where("type = 'SLIDE'").where(is_live())))
     over = overrides.join(links.where("instance is not null").select("slide", "instance"), F.col("inst_id") == F.col("instance"))
-    key = F.coalesce(F.try_element_at("path", F.lit(1)), F.lit("?"))
+    key = F.coalesce(F.get("path", F.lit(0)), F.lit("?"))
     said = lambda tag, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"  [{tag}] "), key, F.lit(": "), F.col(c)))
     lines = over.select("slide", F.explode(F.array_compact(F.array(said("text-override", "text"), said("image-override", "image")))).alias("line"))
     return direct.unionByName(lines)

@@ -317,7 +317,7 @@ def geometry(nodes: DataFrame) -> DataFrame:
 def colours(nodes: DataFrame) -> DataFrame:
     """(id, fill, stroke, weight): colour of the first fill paint (in shapes that hold a text, of the shape's own) and of the first stroke paint, null where it has none."""
     rgb = lambda p: F.when(p["r"].isNotNull(), F.struct(*(p[c].alias(c) for c in "rgba")))
-    first = lambda c: F.try_element_at(F.col(c), F.lit(1))
+    first = lambda c: F.get(F.col(c), F.lit(0))
     inner = (F.col("type") == "SHAPE_WITH_TEXT") & F.col("shape_paints").isNotNull()
     stroke = rgb(first("stroke_paints"))
     weight = F.when(stroke.isNotNull(), F.coalesce("stroke_weight", F.lit(0.0)))

@@ -166,7 +166,7 @@ def pictured(clones: DataFrame, images: DataFrame) -> DataFrame:
     out = clones.join(hit, (F.col("place") == F.col("_place")) & (F.col("old_id") == F.col("_old")), "left")
     values = {"type": F.lit("IMAGE"), "visible": F.lit(True), "opacity": F.lit(1.0), "scale": F.lit(0.5), **{c: F.col("_image")[c] for c in ("image", "image_width", "image_height")}}
     if "mode" in kinds.names:
-        before = F.try_element_at(F.filter("fill_paints", lambda p: p["type"] == "IMAGE"), F.lit(1))["mode"]
+        before = F.get(F.filter("fill_paints", lambda p: p["type"] == "IMAGE"), F.lit(0))["mode"]
         values["mode"] = F.coalesce(before, F.lit(SCALE_MODE))
     paint = F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields))
     return out.withColumn("fill_paints", F.when(F.col("_image").isNotNull(), with_paint(F.col("fill_paints"), paint)).otherwise(F.col("fill_paints"))).drop("_place", "_old", "_image")

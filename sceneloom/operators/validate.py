@@ -41,7 +41,7 @@ def low_contrast(texts: DataFrame, least: float = 2.0) -> DataFrame:
 
 def first_colour(paints: str = "fill_paints"):
     """Colour of the first paint, of whatever type, seen or not; null without one."""
-    p = F.try_element_at(F.col(paints), F.lit(1))
+    p = F.get(F.col(paints), F.lit(0))
     return F.when(p["r"].isNotNull(), F.struct(*(p[c].alias(c) for c in "rgb")))
 
 

@@ -214,7 +214,7 @@ def removed_interactions(spark, d: str) -> DataFrame:
     """What a removed node did on a click goes with it."""
     n = nodes(spark, d).withColumn("interactions", F.array(F.struct(F.col("name").alias("click"))))
     out = edit.soft_delete(n, n.where("type = 'INSTANCE' and ord % 3 = 0"))
-    return out.select("id", "phase", F.try_element_at("interactions", F.lit(1))["click"].alias("click"))
+    return out.select("id", "phase", F.get("interactions", F.lit(0))["click"].alias("click"))
 
 
 @query("""WITH w AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS place, id AS root FROM nodes WHERE type = 'SLIDE'),

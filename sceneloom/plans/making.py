@@ -85,7 +85,7 @@ def added_shapes(spark, d: str) -> DataFrame:
         (key % 90 + 1).cast("double").alias("width"), F.lit(10.0).alias("height"), F.lit(100.0).alias("x2"), F.lit(50.0).alias("y2"), F.col("o_orderstatus").alias("text"),
     )
     out = shapes.add_shapes(nodes(spark, d), asks)
-    shown = F.coalesce("text", F.try_element_at("fill_paints", F.lit(1))["type"])
+    shown = F.coalesce("text", F.get("fill_paints", F.lit(0))["type"])
     t = F.col("transform")
     return out.select("id", "pid", "position", "type", "name", F.round("width", 6).alias("width"), t["m02"].alias("x"), t["m12"].alias("y"), F.round(t["m00"], 6).alias("m00"), shown.alias("shown"), "shape_kind", "stack_spacing")
 
@@ -130,7 +130,7 @@ def shape_nodes(spark, d: str) -> DataFrame:
 
 
 def _shown(paints: str, what: str):
-    return F.try_element_at(F.col(paints), F.lit(1))[what]
+    return F.get(F.col(paints), F.lit(0))[what]
 
 
 SHAPES_SQL = "s AS (SELECT p_partkey AS id, p_partkey % 3 AS kind, p_size AS size FROM part)"
