@@ -162,6 +162,14 @@ def test_positions_stand_in_order(spark):
     assert spark.range(1).select(position_char(F.lit(-1)), position_char(F.lit(None).cast("long"))).first() == (None, None)
 
 
+def test_positions_are_code_points(spark):
+    """Beyond the halves of pairs too a place is one character, the code point that many after "!", as the SQL of the queries has it."""
+    ks = [55_262, 57_311, 60_000, 65_503, 90_000, 900_000, 1_114_078]
+    got = {r["id"]: r["p"] for r in spark.createDataFrame([(k,) for k in (*ks, 57_310, 1_114_079)], "id bigint").select("id", position_char(F.col("id")).alias("p")).collect()}
+    assert [got[k] for k in ks] == [chr(33 + k) for k in ks]
+    assert chr(0xD7FF) < got[57_310] < chr(0xE000) and got[1_114_079] > chr(0x10FFFF)
+
+
 def test_moves(spark):
     """One move is a removal and an insertion, as lists have them; many siblings; several moves; null parents; unknown ids."""
     n = 12
