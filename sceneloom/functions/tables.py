@@ -36,6 +36,11 @@ def written(df: DataFrame, by: str | None = None, compression: str = "zstd") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 100_000) -> DataFrame:
+    """df dealt out by keys, so many rows a task: tasks do not grow with the table, whatever the session's number of partitions. It is counted first."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table that `written` gave (without `by`), once nothing reads it any more."""
     spark = df.sparkSession

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions.scalars import blank_as_space, is_key
+from sceneloom.functions.tables import spread
 
 from .resolve import slide_symbols
 from .tree import is_live, walk
@@ -47,21 +48,24 @@ def set_overrides(overrides: DataFrame, changes: DataFrame, what: str, exact: bo
     Changes have one row for each inst_id and key.
     """
     value = blank_as_space(F.col("text")) if what == "text" else F.col(what)
-    new = changes.select(F.col("inst_id").alias("_i"), F.col("key").alias("_k"), value.alias("_v"))
+    types, columns = dict(overrides.dtypes), overrides.columns
     fits = F.col(what).isNotNull() & (F.size("path") == 1 if exact else F.size("path") >= 1)
-    first = Window.partitionBy("inst_id", F.when(fits, F.col("path")[0])).orderBy("ov_ix")
-    old = overrides.withColumn("_n", F.when(fits, F.row_number().over(first)))
-    same = (F.col("inst_id") == F.col("_i")) & (F.col("path")[0] == F.col("_k")) & (F.col("_n") == 1)
-    joined = old.join(new.withColumn("_hit", F.lit(True)), same & F.lit(not append), "left")
-    kept = joined.select(*(_replaced(c, what, exact) for c in overrides.columns))
-    hit = old.where("_n = 1").select(F.col("inst_id").alias("_i"), F.col("path")[0].alias("_k"))
-    fresh = new if append else new.join(hit, ["_i", "_k"], "left_anti")
-    last = overrides.groupBy(F.col("inst_id").alias("_i")).agg(F.max("ov_ix").alias("_last"))
-    place = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy("_i").orderBy("_k"))
-    types = dict(overrides.dtypes)
-    made = {"inst_id": F.col("_i"), "ov_ix": place, "path": F.array("_k"), what: F.col("_v")}
-    rows = fresh.join(last, "_i", "left").select(*(made.get(c, F.lit(None)).cast(types[c]).alias(c) for c in overrides.columns))
-    return kept.unionByName(rows)
+    old = overrides.select(*columns, F.when(fits, F.col("path")[0]).alias("_k"), F.lit(None).cast(types[what]).alias("_v"), F.lit(0).alias("_new"))
+    none = {"inst_id": F.col("inst_id"), "_k": F.col("key"), "_v": value, "_new": F.lit(1)}
+    new = changes.select(*(none.get(c, F.lit(None)).cast(t).alias(c) for c, t in old.dtypes))
+    # one shuffle brings an instance's overrides and changes together; a task has about so many rows whatever the size
+    rows = spread(old.unionByName(new), "inst_id")
+    of_key, named = Window.partitionBy("inst_id", "_k"), F.col("_k").isNotNull() & F.col("inst_id").isNotNull() & F.lit(not append)
+    rows = rows.select(
+        "*", F.row_number().over(of_key.orderBy("_new", "ov_ix")).alias("_n"), F.max("_new").over(of_key).alias("_asked"), F.max("_v").over(of_key).alias("_to"),
+        F.when(F.col("inst_id").isNotNull(), F.max("ov_ix").over(Window.partitionBy("inst_id"))).alias("_last"))
+    # a change whose key has an override is not the first of its key: it went into that
+    rows = rows.where(~((F.col("_new") == 1) & (F.col("_n") > 1) & named))
+    hit = (F.col("_new") == 0) & (F.col("_n") == 1) & (F.col("_asked") == 1) & named
+    rows = rows.withColumn("_hit", hit).withColumn("_v", F.when(F.col("_new") == 1, F.col("_v")).otherwise(F.col("_to")))
+    place = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy("inst_id", "_new").orderBy("_k"))
+    made = {"inst_id": F.col("inst_id"), "ov_ix": place, "path": F.array("_k"), what: F.col("_v")}
+    return rows.select(*(F.when(F.col("_new") == 1, made.get(c, F.lit(None))).otherwise(_replaced(c, what, exact)).cast(types[c]).alias(c) for c in columns))
 
 
 def _replaced(column: str, what: str, exact: bool) -> Column:

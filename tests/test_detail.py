@@ -307,3 +307,22 @@ def test_deep_chain(spark):
     df = spark.range(n).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("pid"), F.col("id").alias("ord"), F.lit(None).cast("string").alias("phase"))
     out = tree.walk(df, df.where("ord in (0, 2000)").select("id"), path=False)
     assert {(r["root"], r["n"], r["deepest"]) for r in out.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("deepest")).collect()} == {("n0", n, n - 1), ("n2000", 1000, 999)}
+
+
+def test_overrides_are_set_in_one_shuffle(spark):
+    """Changes without a key or an instance are appended; a table is dealt out by so many rows a task; no join of overrides with themselves."""
+    from sceneloom.functions.tables import spread
+    from sceneloom.operators import overrides as O
+
+    old = spark.createDataFrame([("a", 1, ["k"], "x", None), ("a", 2, ["k"], "y", None), ("a", 3, ["m", "n"], "z", None), ("a", 4, ["m"], None, "p"), (None, 7, ["k"], "w", None)], "inst_id string, ov_ix bigint, path array<string>, text string, image string")
+    changes = spark.createDataFrame([("a", "k", "", "i"), ("a", "m", "M", "j"), ("a", None, "N", "l"), ("b", "k", "B", "b"), (None, "k", "O", "o")], "inst_id string, key string, text string, image string")
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    fresh = [("a", 5, [None], "N", None), ("a", 6, ["m"], "M", None), ("b", 1, ["k"], "B", None), (None, 1, ["k"], "O", None)]
+    got = O.set_overrides(old, changes, "text")
+    assert rows(got) == sorted([("a", 1, ["k"], " ", None), *(tuple(r) for r in old.collect()[1:]), *fresh], key=str)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    pictures = rows(O.set_overrides(old, changes, "image", exact=False))
+    assert ("a", 4, ["m"], None, "j") in pictures and len(pictures) == 9
+    assert len(rows(O.set_overrides(old, changes, "image", append=True))) == 10
+    sizes = spread(spark.range(1000), "id", rows=50).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 20
