@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions.ranking import numbered, numbered_within
 from sceneloom.functions.scalars import blank_as_space, position_char
+from sceneloom.functions.tables import spread
 
 
 def soft_delete(nodes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -71,11 +72,14 @@ def allocate_ids(nodes: DataFrame, start: int, session: int) -> DataFrame:
 
 
 def remap(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """nodes with id, pid and symbol_id replaced where ids (old, new) has them, and the phase set to CREATED."""
+    """nodes with id, pid and symbol_id replaced where ids (old, new) has them, and the phase set to CREATED.
+
+    ids grow with the document, so they are merged, not broadcast; nodes that refer to nothing are spread by their ids.
+    """
     out = nodes
     for c in ("id", "pid", "symbol_id"):
-        m = ids.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-        out = out.join(m, out[c] == F.col("_old"), "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
+        m = ids.select(F.col("old").alias("_old"), F.col("new").alias("_new")).hint("shuffle_merge")
+        out = out.join(m, (F.coalesce(c, F.concat(F.lit("\0"), "id")) if c != "id" else out[c]) == F.col("_old"), "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
     return out.withColumn("phase", F.lit("CREATED"))
 
 
@@ -89,8 +93,8 @@ def import_plan(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def prune(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """nodes without those of ids."""
-    return nodes.join(ids.select("id").distinct(), "id", "left_anti")
+    """nodes without those of ids. These may be most of the nodes: both are merged in shares of so many rows."""
+    return spread(nodes, "id").join(ids.select("id").hint("shuffle_merge"), "id", "left_anti")
 
 
 def put_images(images: DataFrame, new: DataFrame) -> DataFrame:

@@ -326,3 +326,14 @@ def test_overrides_are_set_in_one_shuffle(spark):
     assert len(rows(O.set_overrides(old, changes, "image", append=True))) == 10
     sizes = spread(spark.range(1000), "id", rows=50).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert len(sizes) == 20
+
+
+def test_ids_of_a_document_are_merged(spark):
+    """What grows with the document is not broadcast into every task: new ids, and nodes that go."""
+    nodes = spark.createDataFrame([("1:1", None, 1, None, "REMOVED"), ("1:2", "1:1", 2, "1:1", None), ("1:3", "1:9", 3, "1:2", None)], "id string, pid string, ord bigint, symbol_id string, phase string")
+    ids = spark.createDataFrame([("1:1", "9:1"), ("1:2", "9:2")], "old string, new string")
+    out, left = edit.remap(nodes, ids), edit.prune(nodes, ids.select(F.col("old").alias("id")))
+    assert sorted(tuple(r) for r in out.select("id", "pid", "symbol_id", "phase").collect()) == [("1:3", "1:9", "9:2", "CREATED"), ("9:1", None, None, "CREATED"), ("9:2", "9:1", "9:1", "CREATED")]
+    assert [tuple(r) for r in left.collect()] == [("1:3", "1:9", 3, "1:2", None)]
+    for df in (out, left):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
