@@ -58,6 +58,10 @@ def hex_colour(text: Column) -> Column:
     return F.when(digits != "", F.struct(part(1).alias("r"), part(3).alias("g"), part(5).alias("b")))
 
 
+#: Tasks over which the asks of one colour are spread.
+SHARES = 64
+
+
 def resolve_colours(asks: DataFrame, variables: DataFrame, colour: str = "colour") -> DataFrame:
     """asks with r, g, b and colour_var: what the text in `colour` means.
 
@@ -72,7 +76,10 @@ def resolve_colours(asks: DataFrame, variables: DataFrame, colour: str = "colour
     black = F.when(F.coalesce(F.col(colour), F.lit("")) == "", F.struct(*(F.lit(0.0).alias(c) for c in "rgb")))
     unknown = F.raise_error(F.concat(F.lit("unknown colour: "), F.col(colour))).cast("struct<r:double,g:double,b:double>")
     by_hex = hex_colour(F.col(colour))
-    joined = asks.join(first, F.col(colour) == F.col("_name"), "left")
+    # most asks may have one colour: each colour is met in so many shares
+    salt = F.pmod(F.xxhash64(*(c for c, t in asks.dtypes if "map<" not in t)), F.lit(SHARES))
+    first = first.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    joined = asks.join(first, (F.col(colour) == F.col("_name")) & (salt == F.col("_share")), "left").drop("_share")
     out = joined.withColumn("_rgb", F.coalesce(black, by_hex, named, alias, unknown))
     bound = F.when(by_hex.isNull() & F.col("_var.r").isNotNull(), F.col("_var.id"))
     return out.withColumns({**{c: F.col(f"_rgb.{c}") for c in "rgb"}, "colour_var": bound}).drop("_name", "_var", "_rgb")

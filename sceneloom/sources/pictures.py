@@ -5,11 +5,11 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sceneloom.functions.ranking import numbered
+from sceneloom.functions.ranking import numbered, numbered_within
 from sceneloom.functions.scalars import guid_id, position_char
 from sceneloom.operators.shapes import SESSION, SHAPE, paint, placed, resolve_colours
 from sceneloom.operators.template import next_local
@@ -77,15 +77,17 @@ def add_graphics(nodes: DataFrame, asks: DataFrame, variables: DataFrame) -> tup
     rows = rows.withColumns({"_scale": scale, "_height": F.col("width") * (F.col("_box.height") / F.col("_box.width")), "_called": F.coalesce("name", F.lit("SVG"))})
     rows = numbered(rows, ["k"], "_n", 0)
     children = nodes.groupBy(F.col("pid").alias("parent")).agg(F.count(F.lit(1)).alias("_children"))
-    place = F.coalesce("_children", F.lit(0)) + F.row_number().over(Window.partitionBy("parent").orderBy("k")) - 1
-    rows = rows.join(children, "parent", "left").withColumn("_place", place)
     base, last = next_local(nodes), nodes.agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
     frame_id, vector_id = (guid_id(F.lit(SESSION), F.col("_n") * 2 + base + k) for k in (0, 1))
+    pieces = rows.select(vector_id.alias("id"), _fills("_data", "_scale").alias("fills"), _network("_data").alias("network"))
+    # one parent may have all graphics: they are numbered below it by ranges
+    children = children.join(rows.select("parent").distinct(), "parent", "left_semi")
+    rows = numbered_within(rows.drop("svg", "_data"), "parent", ["k"], "_below").join(children, "parent", "left").withColumn("_place", F.coalesce("_children", F.lit(0)) + F.col("_below"))
     common = {"phase": F.lit("CREATED"), "visible": F.lit(True), "opacity": F.lit(1.0), "width": F.col("width"), "height": F.col("_height"), "stroke_align": F.lit("INSIDE")}
     frame = common | {"id": frame_id, "pid": F.col("parent"), "position": position_char(F.col("_place")), "type": F.lit("FRAME"), "name": F.col("_called"), "transform": placed(F.col("x"), F.col("y")), "stroke_weight": F.lit(1.0), "mask_disabled": F.lit(True)}
     vector = common | {"id": vector_id, "pid": frame_id, "position": F.lit("!"), "type": F.lit("VECTOR"), "name": F.concat("_called", F.lit("_vector")), "transform": placed(F.lit(0.0), F.lit(0.0)), "stroke_weight": F.lit(0.0), "fill_paints": F.array(paint(F.col("r"), F.col("g"), F.col("b")))}
     made = lambda of, k: rows.select("k", (F.col("_n") * 2 + last + 1 + k).alias("ord"), *(of.get(c, F.lit(None)).cast(t).alias(c) for c, t in SHAPE.items()))
-    pieces = rows.select(vector_id.alias("id"), _fills("_data", "_scale").alias("fills"), _network("_data").alias("network"))
     fills = pieces.select("id", F.posexplode("fills").alias("ix", "bytes")).select("id", "ix", F.lit("fill").alias("kind"), "bytes")
     network = pieces.select("id", F.size("fills").alias("ix"), F.lit("network").alias("kind"), F.col("network").alias("bytes"))
-    return made(frame, 0).unionByName(made(vector, 1)), fills.unionByName(network)
+    # what reads the bytes runs in tasks of its own, so that its Python workers do not stand beside those that made them
+    return made(frame, 0).unionByName(made(vector, 1)), fills.unionByName(network).repartition("id")

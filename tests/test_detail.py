@@ -337,3 +337,40 @@ def test_ids_of_a_document_are_merged(spark):
     assert [tuple(r) for r in left.collect()] == [("1:3", "1:9", 3, "1:2", None)]
     for df in (out, left):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def plain(spark):
+    """A session without adaptive plans or broadcasts, in which a shuffle's partitions can be seen."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_colour_is_spread(plain):
+    """Asks that all have one colour do not meet in one task."""
+    from sceneloom.operators import shapes
+
+    variables = plain.createDataFrame([("v:1", 1, "White", 0.5, 0.25, 0.125), ("v:2", 2, "other", 0.0, 0.0, 0.0)], "id string, ord bigint, name string, r double, g double, b double")
+    out = shapes.resolve_colours(plain.range(500).withColumn("colour", F.lit("White")), variables)
+    assert out.count() == 500 and out.select("r", "g", "b", "colour_var").distinct().collect() == [(0.5, 0.25, 0.125, "v:1")]
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_graphics_of_one_parent_are_spread(spark):
+    """The bytes of graphics are made without a window over all graphics of a parent."""
+    from sceneloom.plans import making
+
+    nodes, found = making._graphics(spark, "/root/testdata/sf0.001")
+    assert "windowspecdefinition(parent" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(parent" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_goes_from_a_template_is_merged(spark):
+    """The nodes that go grow with the template, so they are not broadcast."""
+    from sceneloom.plans import QUERIES
+
+    plan = QUERIES["from_template"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in x and "LeftAnti" in x for x in plan.splitlines())
