@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sceneloom.functions.ranking import numbered
 from sceneloom.functions.scalars import parse_id, position_char, strip_prefix
-from sceneloom.functions.tables import written
+from sceneloom.functions.tables import spread, written
 
 from .layouts import describe
 from .overrides import SCALE_MODE
@@ -82,7 +82,8 @@ def create_from_template(nodes: DataFrame, wanted: DataFrame, layouts: DataFrame
     clones = filled(clone_layouts(nodes, wanted, first), texts)
     clones = (clones if images is None else pictured(clones, images)).drop("place", "old_id")
     gone = walk(nodes, tops.select(F.col("root").alias("id"))).select("id").unionByName(rows.where(F.col("id") != first).select("id")).distinct()
-    return nodes.join(gone, "id", "left_anti").select(*nodes.columns).unionByName(clones.select(*nodes.columns))
+    left = spread(nodes, "id").join(gone.hint("shuffle_merge"), "id", "left_anti")  # most of a template may go
+    return left.select(*nodes.columns).unionByName(clones.select(*nodes.columns))
 
 
 def import_symbols(source: DataFrame, target: DataFrame, wanted: DataFrame, canvas: str) -> tuple[DataFrame, DataFrame]:
