@@ -86,33 +86,57 @@ def _levels(slim: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
-def walk_links(nodes: DataFrame, start: DataFrame, skip_removed: bool = True, enter_symbol: bool = False) -> DataFrame:
+def walk_links(nodes: DataFrame, start: DataFrame, skip_removed: bool = True, enter_symbol: bool = False, wanted: Column | None = None) -> DataFrame:
     """(root, id, depth, path) of all nodes below each start node, through instances into their symbols.
 
     An instance's symbol's children come before its own (with enter_symbol, the symbol itself does). A
     node counts once per root, at its first place in preorder: ordering by (root, path) is preorder.
     skip_removed prunes. Per level and root each node keeps its first path only, and a path never meets a
-    node twice, so diamonds do not multiply and cycles end.
+    node twice, so diamonds do not multiply and cycles end. A node's own children have that one way to it, so
+    those with nothing below them take no part in the rounds.
+
+    wanted (a condition on nodes): rows of nodes that do not meet it may be left out; links that lead to none of them are not walked.
     """
-    kept = (nodes.where(is_live()) if skip_removed else nodes).select("id", "pid", "ord", "type", "symbol_id")
-    own = kept.where("pid is not null").select(F.col("pid").alias("parent"), F.col("id").alias("child"), F.lit(1).cast("long").alias("kind"), F.col("ord").alias("o"))
+    keep = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    kept = (nodes.where(is_live()) if skip_removed else nodes).select("id", "pid", "ord", "type", "symbol_id", keep.alias("wanted"))
+    own = kept.where("pid is not null").select(F.col("pid").alias("parent"), F.col("id").alias("child"), F.lit(1).cast("long").alias("kind"), F.col("ord").alias("o"), "wanted")
     uses = kept.where("type = 'INSTANCE' and symbol_id is not null").select(F.col("id").alias("parent"), "symbol_id")
-    inside = kept.select("id", (F.col("id") if enter_symbol else F.col("pid")).alias("_of"), "ord")
-    linked = uses.join(inside, F.col("symbol_id") == F.col("_of")).select("parent", F.col("id").alias("child"), F.lit(0).cast("long").alias("kind"), F.col("ord").alias("o"))
-    steps = written(own.unionByName(linked))
-    level = start.select(F.col("id").alias("root")).distinct().join(kept.withColumnRenamed("id", "root"), "root")
-    level = written(level.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.array(F.lit(1).cast("long"), "ord").alias("path"), F.array("root").alias("ids")))
-    found = level
+    inside = kept.select("id", (F.col("id") if enter_symbol else F.col("pid")).alias("_of"), "ord", "type", "wanted")
+    if wanted is not None and enter_symbol:  # symbols without anything in them
+        some = own.select(F.col("parent").alias("_some")).distinct()
+        inside = inside.join(some, F.col("id") == F.col("_some"), "left").where("wanted or type = 'INSTANCE' or _some is not null")
+    linked = uses.join(inside, F.col("symbol_id") == F.col("_of")).select("parent", F.col("id").alias("child"), F.lit(0).cast("long").alias("kind"), F.col("ord").alias("o"), "wanted")
+    steps = _leading(written(own.unionByName(linked)), wanted is not None)
+    level = start.select(F.col("id").alias("root")).distinct().join(kept.select(F.col("id").alias("root"), "ord"), "root")
+    level = level.groupBy("root").agg(F.min(F.struct("ord")).alias("x"))
+    level = written(level.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"), F.array(F.lit(1).cast("long"), "x.ord").alias("path"), F.array("root").alias("ids")))
+    found = level.drop("ids")
     while not level.isEmpty():
         below = level.join(steps, level["id"] == steps["parent"]).where(~F.array_contains("ids", F.col("child")))
-        below = below.select("root", F.col("child").alias("id"), F.struct(F.concat("path", F.array("kind", "o")).alias("path"), F.concat("ids", F.array("child")).alias("ids"), (F.col("depth") + 1).alias("depth")).alias("x"))
-        below = below.groupBy("root", "id").agg(F.min("x").alias("x"))
-        level = written(below.select("root", "id", "x.depth", "x.path", "x.ids"))
-        found = found.unionByName(level)
+        ids = F.when(F.col("full"), F.concat("ids", F.array("child")))
+        below = written(below.select("root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("kind", "o")).alias("path"), ids.alias("ids"), (F.col("full") | (F.col("kind") == 0)).alias("meets")))
+        first = below.where("meets").groupBy("root", "id").agg(F.min(F.struct("path", "ids", "depth")).alias("x"))
+        first = written(first.select("root", "id", "x.depth", "x.path", "x.ids"))
+        found = found.unionByName(below.where("not meets").drop("ids", "meets")).unionByName(first.drop("ids"))
+        level = first.where("ids is not null")
     first = found.groupBy("root", "id").agg(F.min(F.struct("path", "depth")).alias("x"))
     return first.select("root", "id", "x.depth", "x.path")
 
 
+def _leading(steps: DataFrame, prune: bool) -> DataFrame:
+    """steps with `full`: whether there may be steps from the child on. With prune, those to unwanted children without any go, again and again as long as that leaves less than a third."""
+    n = steps.count() if prune else 0
+    while True:
+        on = steps.select(F.col("parent").alias("_on")).distinct()
+        marked = steps.drop("full").join(on, F.col("child") == F.col("_on"), "left").withColumn("full", F.col("_on").isNotNull()).drop("_on")
+        marked = written(marked.where("wanted or full") if prune else marked)
+        drop_written(steps)
+        steps, before = marked, n
+        n = steps.count() if prune else 0
+        if 3 * n >= before:
+            return steps
+
+
 #: Stands for the children's texts while a node's own is made.
 INNER = "\x00inner\x00"
 
@@ -173,8 +197,8 @@ def ancestor_of_type(nodes: DataFrame, start: DataFrame, kind: str) -> DataFrame
     Each level is one join of what still searches; the ids on the way tell a cycle.
     """
     slim = nodes.select(F.col("id").alias("nid"), F.col("pid").alias("up"), F.col("type").alias("kind"))
-    level = start.select("id").distinct().join(slim, F.col("id") == F.col("nid"))
-    level = level.select("id", F.col("up").alias("at"), F.array("id").alias("way"))
+    level = written(start.select("id").distinct()).join(slim, F.col("id") == F.col("nid"))  # written, so that few meet all nodes without a shuffle
+    level = written(level.select("id", F.col("up").alias("at"), F.array("id").alias("way")))
     found = None
     while True:
         here = level.join(slim, level["at"] == slim["nid"])

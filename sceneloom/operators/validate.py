@@ -48,7 +48,8 @@ def first_colour(paints: str = "fill_paints"):
 def slide_contrast(nodes: DataFrame) -> DataFrame:
     """(slide, id, name, ratio) of every text below a live slide, through instances and removed nodes too, whose contrast with the slide's background is low."""
     slides = nodes.where("type = 'SLIDE'").where(is_live())
-    found = walk_links(nodes, slides.select("id"), skip_removed=False, enter_symbol=True).select(F.col("root").alias("slide"), "id")
+    coloured = (F.col("type") == "TEXT") & first_colour().isNotNull()
+    found = walk_links(nodes, slides.select("id"), skip_removed=False, enter_symbol=True, wanted=coloured).select(F.col("root").alias("slide"), "id")
     ground = slides.select(F.col("id").alias("slide"), first_colour().alias("_bg"))
     texts = nodes.where("type = 'TEXT'").select("id", "name", first_colour().alias("_fg")).where("_fg is not null")
     rows = found.join(texts, "id").join(ground, "slide")

@@ -87,11 +87,11 @@ UNION ALL SELECT 'missing', id, 'INSTANCE ' || id || ' "' || name || '": referen
 UNION ALL SELECT 'contrast', id, 'TEXT ' || id || ' "' || s_name || '": contrast ratio ' || printf('%.2f', ratio) || ':1 on slide ' || root || ' is below 2:1' FROM l WHERE ratio < 2""")
 def document_warnings(spark, d: str) -> DataFrame:
     n, s = deep_nodes(spark, d), table(spark, d, "supplier")
-    shade = F.col("s_acctbal") / 10000
+    shade = F.col("s_acctbal") / 10000  # of texts only, so no other node meets them
     paints = s.select(F.concat(F.lit("6:"), F.col("s_suppkey")).alias("_id"), F.array(F.struct(F.lit("SOLID").alias("type"), *(shade.alias(c) for c in "rgb"))).alias("fill_paints"))
-    extra = nodes(spark, d).select(F.col("id").alias("_n"), "component_key", "variant_specs")
-    n = n.join(paints, F.col("id") == F.col("_id"), "left").join(extra, F.col("id") == F.col("_n"), "left")
-    return validate.warnings(n)
+    texts = n.where("type = 'TEXT'").join(paints, F.col("id") == F.col("_id"), "left").drop("_id")
+    others = nodes(spark, d).select(*n.columns, "component_key", "variant_specs")
+    return validate.warnings(others.unionByName(texts, allowMissingColumns=True))
 
 
 # Lists --------------------------------------------------------------------------------------------

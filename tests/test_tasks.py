@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sceneloom.functions import tables
-from sceneloom.operators import tree
+from sceneloom.operators import tree, validate
 
 
 def test_drawings_are_put_together_by_so_many_rows_a_task(spark, monkeypatch):
@@ -17,3 +17,62 @@ def test_drawings_are_put_together_by_so_many_rows_a_task(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     rows = {r["id"]: r["text"] for r in got.collect()}
     assert len(rows) == 500 and all(rows[str(k)] == f"{k}({500 + k}()\n{1000 + k}())" for k in range(500))
+
+
+NODE = "id string, pid string, ord bigint, type string, name string, phase string, symbol_id string, text string, shape_text string, holds_text boolean, width double, height double, fill_paints array<struct<type:string,r:double,g:double,b:double>>"
+
+
+def document(spark):
+    """Five slides, each with forty uses of an empty symbol, one of a symbol with a white and a removed text, and forty notes (every fourth fixed)."""
+    white, rows = [("SOLID", 1.0, 1.0, 1.0)], []
+
+    def put(id_, pid, kind, name="n", phase="CREATED", symbol=None, paints=None):
+        rows.append((id_, pid, len(rows), kind, name, phase, symbol, None, None, None, None, None, paints))
+
+    put("e", None, "SYMBOL"), put("t", None, "SYMBOL"), put("t1", "t", "TEXT", "slot:text:T", paints=white), put("t2", "t", "TEXT", "gone", "REMOVED", paints=white)
+    for s in range(5):
+        put(f"s{s}", None, "SLIDE")
+        for k in range(40):
+            put(f"i{s}-{k}", f"s{s}", "INSTANCE", symbol="e")
+            put(f"n{s}-{k}", f"s{s}", "ELLIPSE", "fixed:image:F" if k % 4 == 0 else "slot:image:I")
+        put(f"u{s}", f"s{s}", "INSTANCE", symbol="t")
+    return spark.createDataFrame(rows, NODE)
+
+
+def walked_on(monkeypatch):
+    """The numbers of rows that rounds of a walk through links send on."""
+    seen, plain = [], tree.written
+
+    def counted(df, *args, **more):
+        out = plain(df, *args, **more)
+        seen.append(out.where("ids is not null").count() if "ids" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(tree, "written", counted)
+    return seen
+
+
+def test_contrast_walks_no_links_that_lead_to_no_text(spark, monkeypatch):
+    seen = walked_on(monkeypatch)
+    got = validate.slide_contrast(document(spark)).select("slide", "id", "ratio").collect()
+    assert sorted(tuple(r) for r in got) == sorted((f"s{s}", t, 1.0) for s in range(5) for t in ("t1", "t2"))
+    assert sum(seen) < 50  # not the 200 uses of the empty symbol, nor the 200 notes
+
+
+def test_links_keep_first_paths_through_diamonds_and_cycles(spark):
+    rows = [("r", None, 1, "SLIDE", None), ("a", "r", 3, "INSTANCE", "y"), ("b", "r", 2, "INSTANCE", "y"), ("y", None, 9, "SYMBOL", None), ("t", "y", 5, "TEXT", None), ("g", "y", 4, "INSTANCE", "z"), ("z", None, 8, "SYMBOL", None), ("h", "z", 6, "INSTANCE", "y"), ("l", "h", 7, "TEXT", None)]
+    n = spark.createDataFrame([(i, p, o, k, "CREATED", s) for i, p, o, k, s in rows], "id string, pid string, ord bigint, type string, phase string, symbol_id string")
+    below = {i: [(0, o, c) for c, p, o, _, _ in rows if s and p == s] + [(1, o, c) for c, p, o, _, _ in rows if p == i] for i, _, _, _, s in rows}
+    first = {}
+
+    def visit(id_, path, way):
+        first[id_] = min(first.get(id_, path), path)
+        for kind, o, c in below[id_]:
+            if c not in way:
+                visit(c, [*path, kind, o], [*way, c])
+
+    visit("r", [1, 1], ["r"])
+    plain = {r["id"]: r["path"] for r in tree.walk_links(n, n.where("id = 'r'")).collect()}
+    assert plain == first
+    wanted = {r["id"]: r["path"] for r in tree.walk_links(n, n.where("id = 'r'"), wanted=F.col("type") == "TEXT").collect()}
+    assert {k: wanted[k] for k in ("t", "l")} == {k: first[k] for k in ("t", "l")} and all(first[k] == v for k, v in wanted.items())
