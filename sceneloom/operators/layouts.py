@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sceneloom.functions.scalars import PREFIXES, half_up, head16, strip_prefix
+from sceneloom.functions.tables import written
 
 from .catalog import layouts, main_rows
 from .listing import LARGE
@@ -35,8 +36,9 @@ def describe(nodes: DataFrame, include_internal: bool = False) -> DataFrame:
     A layout in a module is published, goes by the module's name and begins there (root).
     """
     rows = nodes.where("type = 'SLIDE_ROW'").where(is_live()) if include_internal else main_rows(nodes)
+    rows = written(rows)  # few, so that what is right below them is found without a shuffle of all nodes
     found = layouts(nodes, rows)
-    slides = nodes.select(F.col("id").alias("slide"), F.col("pid").alias("_up"), F.col("name").alias("_slide_name"))
+    slides = nodes.where("type = 'SLIDE'").select(F.col("id").alias("slide"), F.col("pid").alias("_up"), F.col("name").alias("_slide_name"))
     modules = nodes.where("type = 'MODULE'").select(F.col("id").alias("module"), F.col("name").alias("_module_name"))
     named = rows.select(F.col("id").alias("row"), F.coalesce(F.nullif("name", F.lit("")), F.lit("Slide row")).alias("row_name"))
     out = found.join(slides, "slide").join(named, "row")
@@ -52,33 +54,36 @@ def slots(nodes: DataFrame, tops: DataFrame) -> DataFrame:
     (source heuristic). Guessed texts count where a layout has no explicit text, guessed pictures where it has
     no explicit slot at all. Fixed images are none. The way leads through instances into their symbols.
     """
-    parents = nodes.where(is_live()).where("pid is not null").select(F.col("pid").alias("id")).distinct().withColumn("_full", F.lit(True))
-    found = walk_links(nodes, tops.select(F.col("root").alias("id"))).select("root", "id", "path").join(tops.select("layout", "root"), "root")
-    rows = found.join(nodes, "id").join(parents, "id", "left")
     kind, name = F.col("type"), F.col("name")
     texts = kind.isin("TEXT", "SHAPE_WITH_TEXT")
     said_text, said_image = prefixed(name, TEXT_SLOT), prefixed(name, IMAGE_SLOT)
     fixed = prefixed(name, FIXED_IMAGE).isNotNull()
-    empty = kind.isin("FRAME", "ROUNDED_RECTANGLE") & (F.col("width") > LARGE) & (F.col("height") > LARGE) & F.col("_full").isNull()
+    large = F.coalesce(kind.isin("FRAME", "ROUNDED_RECTANGLE") & (F.col("width") > LARGE) & (F.col("height") > LARGE), F.lit(False))
     numbered = F.concat(F.lit("#"), F.col("id"))
     plain = said_text.isNull() & said_image.isNull() & ~fixed
     guess = F.when((kind == "TEXT") & (F.coalesce(name, F.lit("")) != ""), name).when((kind == "SHAPE_WITH_TEXT") & F.coalesce("holds_text", F.lit(False)), numbered)
     slot = lambda what, source, called: F.struct(F.lit(what).alias("kind"), F.lit(source).alias("source"), called.alias("name"))
-    either = F.array_compact(F.array(
+    either = F.array(
         F.when(said_text.isNotNull() & texts, slot("text", "explicit", said_text)),
         F.when(said_text.isNull() & said_image.isNotNull(), slot("image", "explicit", said_image)),
         F.when(plain & guess.isNotNull(), slot("text", "heuristic", guess)),
-        F.when(plain & (has_image() | F.coalesce(empty, F.lit(False))), slot("image", "heuristic", numbered)),
-    ))
+        F.when(plain & (has_image() | (large & F.col("_full").isNull())), slot("image", "heuristic", numbered)),
+    )
     preview = F.when(kind == "TEXT", head16(F.coalesce("text", F.lit("")), PREVIEW)).otherwise(head16(F.trim(F.coalesce("shape_text", F.lit(""))), PREVIEW))
     size = lambda c: half_up(F.coalesce(c, F.lit(0.0))).cast("long")
-    spread = rows.select("layout", "id", "path", "type", preview.alias("preview"), size("width").alias("width"), size("height").alias("height"), has_image().alias("has_image"), F.explode(either).alias("s"))
-    w = Window.partitionBy("layout")
+    # what may be a slot, told without making names: large frames with something in them are among it
+    may = ~fixed & (texts | has_image() | large | F.coalesce(name.startswith(TEXT_SLOT) | name.startswith(IMAGE_SLOT), F.lit(False)))
+    parents = nodes.where(is_live()).where("pid is not null").select(F.col("pid").alias("id")).distinct().withColumn("_full", F.lit(True))
+    slim = nodes.where(may).join(parents, "id", "left").select("id", "type", preview.alias("preview"), size("width").alias("width"), size("height").alias("height"), has_image().alias("has_image"), F.explode(either).alias("s"))
+    found = walk_links(nodes, tops.select(F.col("root").alias("id")), wanted=may).select("root", "id", "path")
+    spread = found.join(slim.where("s is not null"), "id")
+    w = Window.partitionBy("root")  # layouts of one root have the same slots
     explicit = F.col("s.source") == "explicit"
     some_text = F.max(explicit & (F.col("s.kind") == "text")).over(w)
     some = F.max(explicit).over(w)
     spread = spread.withColumn("_has", F.when(F.col("s.kind") == "text", some_text).otherwise(some))
     kept = spread.where((F.col("s.source") == "explicit") | ~F.col("_has"))
+    kept = kept.join(tops.select("layout", "root"), "root")
     columns = ["layout", "s.kind", "id", "s.name", "s.source", "type", F.when(F.col("s.kind") == "text", F.col("preview")).alias("preview")]
     return kept.select(*columns, "width", "height", "has_image", "path")
 

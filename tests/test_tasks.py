@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sceneloom.functions import tables
-from sceneloom.operators import tree, validate
+from sceneloom.operators import layouts, tree, validate
 
 
 def test_drawings_are_put_together_by_so_many_rows_a_task(spark, monkeypatch):
@@ -59,6 +59,14 @@ def test_contrast_walks_no_links_that_lead_to_no_text(spark, monkeypatch):
     assert sum(seen) < 50  # not the 200 uses of the empty symbol, nor the 200 notes
 
 
+def test_slots_without_anything_below_take_no_part_in_the_rounds(spark, monkeypatch):
+    seen, n = walked_on(monkeypatch), document(spark)
+    got = layouts.slots(n, n.where("type = 'SLIDE'").select(F.col("id").alias("layout"), F.col("id").alias("root"))).collect()
+    want = [(f"s{s}", "text", "t1") for s in range(5)] + [(f"s{s}", "image", f"n{s}-{k}") for s in range(5) for k in range(40) if k % 4]
+    assert sorted((r["layout"], r["kind"], r["id"]) for r in got) == sorted(want)
+    assert sum(seen) < 50
+
+
 def test_links_keep_first_paths_through_diamonds_and_cycles(spark):
     rows = [("r", None, 1, "SLIDE", None), ("a", "r", 3, "INSTANCE", "y"), ("b", "r", 2, "INSTANCE", "y"), ("y", None, 9, "SYMBOL", None), ("t", "y", 5, "TEXT", None), ("g", "y", 4, "INSTANCE", "z"), ("z", None, 8, "SYMBOL", None), ("h", "z", 6, "INSTANCE", "y"), ("l", "h", 7, "TEXT", None)]
     n = spark.createDataFrame([(i, p, o, k, "CREATED", s) for i, p, o, k, s in rows], "id string, pid string, ord bigint, type string, phase string, symbol_id string")
