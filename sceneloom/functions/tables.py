@@ -24,14 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, by: str | None = None, compression: str = "zstd") -> DataFrame:
+def written(df: DataFrame, by: str | None = None, compression: str = "zstd", group: int | None = None) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: it cuts the lineage and survives lost executors.
 
-    With `by`, in one folder per value of that column, so that a filter on it reads one.
+    With `by`, in one folder per value of that column, so that a filter on it reads one. group: bytes of a row group, for tables of long values, since up
+    to 4,096 rows of one are read at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     writer = df.write.option("compression", compression)
+    writer = writer if group is None else writer.option("parquet.block.size", group)
     (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

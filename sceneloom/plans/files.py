@@ -57,7 +57,7 @@ UNION ALL SELECT 'nation-' || c_nationkey || '.deck', '1:' || c_custkey, '0:0',
 UNION ALL SELECT 'nation-' || c_nationkey || '.deck', '2:' || o_orderkey, '1:' || o_custkey, 'TEXT', 'Ä', CASE WHEN o_orderstatus = 'F' THEN 'REMOVED' ELSE 'CREATED' END, o_orderpriority, o_orderkey % 2 = 0, 0.5, NULL, NULL FROM o""")
 def files_edited(spark, d: str) -> DataFrame:
     """Documents written as files, read, their slides renamed, written and read again."""
-    parts = written(archive.parts_of(files(spark, d)))
+    parts = written(archive.parts_of(files(spark, d)), group=archive.GROUP)
     name = F.when(F.col("type") == "SLIDE", F.concat(F.lit("edited "), "name")).otherwise(F.col("name"))
     edited = archive.write_archives(archive.with_nodes(parts, archive.nodes_of(parts).withColumn("name", name))).withColumnRenamed("archive", "content")
     out = archive.typed(archive.nodes_of(archive.parts_of(edited)))

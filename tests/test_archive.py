@@ -119,3 +119,46 @@ def test_font_files(spark, tmp_path):
         (tmp_path / name).write_bytes(name.encode())
     got = {r["path"].rsplit("/", 1)[1]: bytes(r["bytes"]) for r in fonts.read_fonts(spark, str(tmp_path)).collect()}
     assert got == {"a.ttf": b"a.ttf", "b.woff2": b"sub/b.woff2"}
+
+
+def test_messages_in_slices(spark, monkeypatch):
+    """A long message is read, given new nodes, packed and read again in slices that do not grow with it."""
+    monkeypatch.setattr(archive, "SLICE", 200)
+    schema = {**SCHEMA, "Message": ("MESSAGE", [("blobs", "byte", True, 2), *SCHEMA["Message"][1], ("notes", "Node", True, 300)])}
+    message = {"nodeChanges": [{**NODES[k % 2], "guid": {"sessionID": 1, "localID": k}} for k in range(300)], "blobs": bytes(1000), "notes": NODES * 50}
+    data = records.encode(message, schema, "Message")
+    canvas = [("schema", 0, archive.CANVAS, "fig-deck", 48, records.write_schema(schema)), ("message", 1, archive.CANVAS, "fig-deck", 48, data)]
+    files = spark.createDataFrame([("a", archive.pack(canvas)), ("b", archive.pack(canvas_parts()))], "path string, content binary")
+    parts = archive.parts_of(files).cache()
+    rows = parts.where("path = 'a' and kind = 'message'").orderBy("at").collect()
+    assert b"".join(bytes(r["bytes"]) for r in rows) == data and len(rows) > 50 and max(len(r["bytes"]) for r in rows) < 300
+    assert parts.where("path = 'b' and kind = 'message'").count() == 1
+    nodes = archive.nodes_of(parts)
+    assert [r["id"] for r in nodes.where("path = 'a'").orderBy("ord").collect()] == [f"1:{k}" for k in range(300)]
+    again = archive.with_nodes(parts, nodes)
+    assert max(len(r["bytes"]) for r in again.where("path = 'a' and kind = 'message'").collect()) < 300
+    packed = {r["path"]: archive.unpack(bytes(r["archive"])) for r in archive.write_archives(again).collect()}
+    assert records.decode(packed["a"][1][5], schema, "Message") == message and packed["b"][:3] == canvas_parts()[:3]
+    got = {r["path"]: (r["nodes"], r["chunks"], r["same"]) for r in archive.round_trip(parts).collect()}
+    assert got == {"a": (300, 2, True), "b": (2, 3, True)}
+
+
+def test_slices_of_odd_messages():
+    """Slices are a message's bytes, whatever it holds; from where the schema does not fit, they say so."""
+    schema = {**SCHEMA, "Message": ("MESSAGE", [("blobs", "byte", True, 2), *SCHEMA["Message"][1]])}
+    one = records.encode({"nodeChanges": NODES * 9}, schema, "Message")
+    for data, odd in ((one, False), (one[:-1] + one, True), (one[:-30], True), (one[:-1] + b"\x09", True), (one + b"rest", False), (b"\0", False), (b"", True)):
+        for step in (1, 7, 1000):
+            found = list(records.sliced((data[k : k + step] for k in range(0, len(data), step)), schema, "Message", "nodeChanges", 4, 64))
+            assert b"".join(x for _, _, x in found) == data and any(n == -1 for _, n, _ in found) == odd
+    assert [n for _, n, _ in records.sliced([one], schema, "Message", "nodeChanges", 4, 10**6)] == [0, 4, 4, 4, 4, 2, None]
+
+
+def test_records_with_the_schema_looked_up_once():
+    fields = [*SCHEMA["Node"][1], ("kids", "Node", True, 200), ("numbers", "int", True, 11), ("bytes", "byte", False, 12), ("ubig", "uint64", True, 13), ("odd", "NodeType", True, 14)]
+    schema = {**SCHEMA, "Node": ("MESSAGE", fields)}
+    node = {**NODES[1], "kids": NODES, "numbers": [-70, 0, 2**31 - 1], "bytes": 255, "ubig": [2**64 - 1], "odd": ["TEXT"], "opacity": -2.5}
+    data = records.encode(node, schema, "Node")
+    assert records.writer(schema, "Node")(node) == records.writer(schema, "Node")({**node, "hash": "00ff"}) == data
+    assert records.reader(schema, "Node")(b"x" + data, 1) == (records.decode(data, schema, "Node"), len(data) + 1)
+    assert records.reader(schema, "NodeType")(b"\x63", 0) == (99, 1)
