@@ -84,3 +84,15 @@ def test_links_keep_first_paths_through_diamonds_and_cycles(spark):
     assert plain == first
     wanted = {r["id"]: r["path"] for r in tree.walk_links(n, n.where("id = 'r'"), wanted=F.col("type") == "TEXT").collect()}
     assert {k: wanted[k] for k in ("t", "l")} == {k: first[k] for k in ("t", "l")} and all(first[k] == v for k, v in wanted.items())
+
+
+def test_leaves_do_not_walk(spark, monkeypatch):
+    """Only nodes with something below them are walked; leaves, repeated ids, starts inside starts and hidden nodes draw as ever."""
+    rows = [("r", None, 0, None), ("a", "r", 1, None), ("b", "r", 2, None), ("c", "r", 3, "REMOVED"), ("a1", "b", 0, None), ("a1", "a", 1, None), ("a2", "a", 2, None), ("b1", "b", 1, None), ("c1", "c", 1, None)]
+    n = spark.createDataFrame(rows, "id string, pid string, ord long, phase string")
+    walked, real = [], tree.walk
+    monkeypatch.setattr(tree, "walk", lambda nodes, *a, **k: walked.append(nodes.count()) or real(nodes, *a, **k))
+    own = lambda level: level.withColumn("text", F.when(F.col("id") == "b", "b!").otherwise(F.concat("id", F.lit("("), "inner", F.lit(")"))))
+    got = {r["id"]: r["text"] for r in tree.fold_up(n, n.where("id in ('r', 'a', 'b', 'a2', 'c')"), own).collect()}
+    assert got == {"r": "r(a(a1()\na1()\na2())\nb!)", "a": "a(a1()\na1()\na2())", "b": "b!", "a2": "a2()"}
+    assert walked == [3]
